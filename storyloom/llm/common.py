@@ -6,6 +6,7 @@ them is a few vector operations over a slice of a few megabytes. A slice always
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -35,7 +36,10 @@ def durable(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="storyloom-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    sc._jvm.System.gc()  # the shuffle files behind a dropped lineage go when the driver collects its garbage
+    return out
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets, sharding, url_filter, warc
+from . import bpe, decontaminate, langid, minhash, quality, secrets, sharding, url_filter, warc
 from .common import read
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(langid.learnable(F.col("doc_id"))))
+    rows = langid.identify(docs, model, keep=["doc_id"])
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.ambiguous", "language.runner_up")
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"], out="c")
+    items = F.col("c.item_ids")
+    return found.select("doc_id", "c.n_words", "c.n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("c.n_hit") > 0).alias("contaminated"), "c.longest", "c.longest_at")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages).select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
@@ -22,6 +36,17 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(read(spark, sf_dir, "documents"))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    rows = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+    return rows.select("doc_id", "bpe.n_tokens", F.sha2("bpe.ids", 256).alias("ids_sha256"), F.sha2("bpe.decoded", 256).alias("decoded_sha256"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
@@ -41,5 +66,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(secrets.render(F.col("secrets.base")), 256).alias("base_sha256"), secrets.render(F.col("secrets.spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filter, op5_hilbert_shards, op7_warc, op8_quality, op9_secrets)}
+def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(read(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op4_url_filter, op5_hilbert_shards, op6_bpe, op7_warc, op8_quality, op9_secrets, op10_minmax_dedup)}
 ORACLE_SQL: dict[str, str] = {}
