@@ -31,14 +31,20 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read back, with its lineage cut."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir; a temporary one only where it names none."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="storyloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder and read back, with its lineage cut."""
+    checkpoint_dir(df.sparkSession)
     out = df.checkpoint(eager=True)
     gc.collect()
-    sc._jvm.System.gc()  # the shuffle files behind a dropped lineage go when the driver collects its garbage
+    df.sparkSession._jvm.System.gc()  # the shuffle files behind a dropped lineage go when the driver collects its garbage
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, minhash, quality, secrets, sharding, url_filter, warc
+from . import bpe, decontaminate, langid, minhash, quality, secrets, sharding, suffix_dedup, url_filter, warc
 from .common import read
 
 
@@ -23,6 +23,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "c.n_words", "c.n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("c.n_hit") > 0).alias("contaminated"), "c.longest", "c.longest_at")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return rows.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages).select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
@@ -70,5 +76,5 @@ def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(read(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op4_url_filter, op5_hilbert_shards, op6_bpe, op7_warc, op8_quality, op9_secrets, op10_minmax_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_suffix_dedup, op4_url_filter, op5_hilbert_shards, op6_bpe, op7_warc, op8_quality, op9_secrets, op10_minmax_dedup)}
 ORACLE_SQL: dict[str, str] = {}
