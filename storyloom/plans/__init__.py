@@ -1,6 +1,6 @@
 """The registered queries of the story engine."""
 
-from . import text_queries  # noqa: F401
+from . import metric_queries, text_queries  # noqa: F401
 from .views_sql import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
