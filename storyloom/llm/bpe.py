@@ -7,11 +7,16 @@ A chunk's edges may fall inside a word. So a chunk is kept as its head (up to it
 tail (after its last): the body stands between white space and is encoded for itself; where two chunks join, tail and head
 are encoded anew as one span, which grows over further chunks until both its ends are at white space. There the encodings
 agree exactly: the tokenizer's normaliser, splitter and merges never look across ASCII white space, and its special tokens
-hold none. Spans are in turn encoded word by word, each distinct word once in a task while its cache lasts.
+hold none. Spans are in turn encoded piece by piece, each distinct piece once in a task while its cache lasts: words, with
+a run of plain punctuation apart where it stands between an ASCII letter or digit and another or white space (there the
+splitter always parts them), and in lower case, as the normaliser makes them (but where a `<` may open a special token).
 """
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -25,11 +30,13 @@ from .common import BASE, powers, raw, with_struct
 ROLL = 16
 MEAN_CHUNK = 512
 #: Entries of a task's caches; a full cache is emptied and fills again.
-WORDS, CHUNKS = 200_000, 40_000
+WORDS, CHUNKS = 500_000, 30_000
+_PIECES = re.compile(rb"[ \t\n\r\x0b\x0c]+|((?<=[a-z0-9])[.,;:!?%&$*#]+(?=[a-z0-9 \t\n\r\x0b\x0c]|\Z))")
 
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -55,26 +62,31 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
-        self.words: dict[bytes, tuple[bytes, str]] = {b"": (b"", "")}
+        self.words: dict[bytes, tuple[bytes, str]] = {}
         self.chunks: dict[bytes, tuple] = {}
         self.reused = self.made = 0
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode words, none of which holds ASCII white space, that aren't known yet."""
+        """Encode pieces that aren't known yet."""
         new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > WORDS:
-            self.words = {b"": (b"", "")}
-            new = [w for w in words if w]
+            self.words = {}
+            new = list(words)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            done = self.tok.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            ids = [e.ids for e in done]
-            for w, i, text in zip(part, ids, self.tok.decode_batch(ids, skip_special_tokens=False), strict=True):
-                self.words[w] = np.array(i, dtype="<u4").tobytes(), text
-
-    def span(self, text: bytes) -> tuple[bytes, str]:
-        """A span between white space; its words are known."""
-        got = [self.words[w] for w in text.split()]
+            ids = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
+            ends = np.cumsum([4 * len(i) for i in ids]).tolist()
+            packed = np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4", count=ends[-1] // 4).tobytes()
+            texts = self.tok.decode_batch(ids, skip_special_tokens=False)
+            self.words.update(zip(part, zip([packed[a:b] for a, b in zip([0, *ends], ends, strict=False)], texts, strict=True), strict=True))
+
+    @staticmethod
+    def pieces(text: bytes) -> list[bytes]:
+        return [x for x in _PIECES.split(text if b"<" in text else text.lower()) if x]
+
+    def span(self, pieces: list[bytes]) -> tuple[bytes, str]:
+        """The pieces of a span between white space, all known, as one."""
+        got = [self.words[w] for w in pieces]
         return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
 
     def parts(self, chunk: bytes) -> tuple[bytes, bytes | None, bytes]:
@@ -93,8 +105,9 @@ class Encoder:
             docs.append([whole[s + a : s + b] for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a])
         if len(self.chunks) > CHUNKS:
             self.chunks = {}
-        # 1. every distinct chunk is taken apart and its body's words are learned, all in one call.
+        # 1. every distinct chunk is taken apart, joins are laid out, and all new pieces are learned in one call.
         parts = {c: self.parts(c) for c in {c for d in docs for c in d if c not in self.chunks}}
+        bodies = {c: self.pieces(p[1] or b"") for c, p in parts.items()}
         plans, need = [], set()
         for d in docs:
             plan, open_ = [], b""
@@ -102,31 +115,24 @@ class Encoder:
                 head, body, tail = parts[c] if c in parts else self.chunks[c][1]
                 open_ += head
                 if body is not None:
-                    plan.append((open_, c))
-                    need.update(open_.split())
+                    plan.append((self.pieces(open_), c))
                     open_ = tail
-            need.update(open_.split())
-            plans.append((plan, open_))
-        for _, body, _ in parts.values():
-            need.update((body or b"").split())
-        if len(need) + len(self.words) > WORDS:
-            self.words = {b"": (b"", "")}
+            plan.append((self.pieces(open_), None))
+            plans.append(plan)
+            for x, _ in plan:
+                need.update(x)
+        need.update(itertools.chain.from_iterable(bodies.values()))
         self.learn(need)
         self.made += len(parts)
         self.reused += sum(map(len, docs)) - len(parts)
         for c, p in parts.items():
-            self.chunks[c] = (self.span(p[1]) if p[1] is not None else (b"", "")), p
-        # 2. joins: the open span between two bodies, encoded as one.
+            self.chunks[c] = self.span(bodies[c]), p
+        # 2. a document is its joins, each the open span between two bodies encoded as one, and its bodies.
         ids, decoded = [], []
-        for plan, end in plans:
-            x, y = [], []
-            for open_, c in plan:
-                for got in (self.span(open_), self.chunks[c][0]):
-                    x.append(got[0])
-                    y.append(got[1])
-            got = self.span(end)
-            ids.append(b"".join([*x, got[0]]))
-            decoded.append(" ".join([t for t in (*y, got[1]) if t]))
+        for plan in plans:
+            got = [x for join, c in plan for x in ((self.span(join), self.chunks[c][0]) if c is not None else (self.span(join),))]
+            ids.append(b"".join([x[0] for x in got]))
+            decoded.append(" ".join([x[1] for x in got if x[1]]))
         return ids, decoded
 
 
