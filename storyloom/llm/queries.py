@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, minhash, quality, secrets, sharding, suffix_dedup, url_filter, warc
+from . import bpe, decontaminate, langid, minhash, oracle, quality, secrets, sharding, suffix_dedup, url_filter, warc
 from .common import read
 
 
@@ -20,7 +20,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"], out="c")
     items = F.col("c.item_ids")
-    return found.select("doc_id", "c.n_words", "c.n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("c.n_hit") > 0).alias("contaminated"), "c.longest", "c.longest_at")
+    return found.select("doc_id", "c.n_words", "c.n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("c.n_hit") > 0).alias("contaminated"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +77,4 @@ def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_suffix_dedup, op4_url_filter, op5_hilbert_shards, op6_bpe, op7_warc, op8_quality, op9_secrets, op10_minmax_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_decontaminate": oracle.OP2, "op3_suffix_dedup": oracle.OP3, "op4_url_filter": oracle.OP4, "op7_warc": oracle.OP7, "op8_quality": oracle.OP8, "op9_secrets": oracle.OP9, "op10_minmax_dedup": oracle.OP10}
