@@ -14,17 +14,6 @@ from ..functions import text as X
 RECENT = 200
 
 
-def nearest(left: DataFrame, right: DataFrame, score: Column, keep: int, left_key: str, right_key: str, where: Column | None = None) -> DataFrame:
-    """(left_key, right_key, score, rank): the best `keep` of a bounded right side for each left row.
-
-    right must be bounded: it is broadcast. Each left row's candidates are ranked in its own array, so nothing is shuffled.
-    """
-    pairs = left.join(F.broadcast(right), F.lit(True) if where is None else where).select(left_key, right_key, score.alias("score"))
-    best = pairs.groupBy(left_key).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(right_key).alias("k")))), 1, keep).alias("b"))
-    out = best.select(left_key, F.posexplode("b").alias("i", "x"))
-    return out.select(left_key, F.col("x.k").alias(right_key), (-F.col("x.s")).alias("score"), (F.col("i") + 1).alias("rank"))
-
-
 def match_stories(articles: DataFrame, stories: DataFrame, accept: float = 0.75, maybe: float = 0.68, recent: int = RECENT) -> DataFrame:
     """(doc_id, story_id, score) of each article's best story by cosine, among the `recent` latest stories.
 
@@ -120,10 +109,10 @@ def missing_sources(expected: DataFrame, articles: DataFrame, asof: Column, hour
 def notification_rows(stories: DataFrame, prefs: DataFrame, asof: Column) -> DataFrame:
     """(story_id, user_id): verified stories first seen in the last thirty minutes and not sent, times the users who opted in.
 
-    Few stories are due at once: they are kept to the thousand oldest of a run and broadcast; the next run takes the rest.
+    The product is the result itself; Spark picks the side to send by its size.
     """
     due = stories.filter((F.col("source_count") >= 3) & (F.col("source_count") < 5) & ~F.col("notified") & (F.col("first_seen") > asof - F.expr("interval 30 minutes")) & (F.col("first_seen") <= asof))
-    return prefs.filter("opted_in").select("user_id").join(F.broadcast(due.orderBy("first_seen", "story_id").limit(1000).select("story_id")))
+    return prefs.filter("opted_in").select("user_id").crossJoin(due.select("story_id"))
 
 
 def with_read_state(stories: DataFrame, reads: DataFrame) -> DataFrame:
