@@ -108,10 +108,10 @@ def j11_missing_sources(spark, d):
     return J.missing_sources(expected, V.articles(spark, d), V.asof())
 
 
-@query("SELECT story_id, c_custkey AS user_id FROM stories, customer WHERE source_count BETWEEN 3 AND 4 AND NOT notified AND first_seen > TIMESTAMP '2024-01-01 10:00:00' - INTERVAL 30 MINUTE AND first_seen <= TIMESTAMP '2024-01-01 10:00:00' AND c_acctbal > 5000")
+@query("SELECT story_id, c_custkey AS user_id FROM stories, customer WHERE source_count BETWEEN 3 AND 4 AND NOT notified AND first_seen > TIMESTAMP '2024-01-01 02:05:00' - INTERVAL 30 MINUTE AND first_seen <= TIMESTAMP '2024-01-01 02:05:00' AND c_acctbal > 5000")
 def j12_notifications(spark, d):
     prefs = V.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") > 5000).alias("opted_in"))
-    return J.notification_rows(V.stories(spark, d), prefs, F.lit("2024-01-01 10:00:00").cast("timestamp"))
+    return J.notification_rows(V.stories(spark, d), prefs, F.lit("2024-01-01 02:05:00").cast("timestamp"))
 
 
 @query("SELECT s.story_id, coalesce(last_updated <= r.ts, false) AS read FROM stories s LEFT JOIN (SELECT story_id, min(ts) AS ts FROM interactions WHERE kind = 'view' GROUP BY 1) r USING (story_id)")
