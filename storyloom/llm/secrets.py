@@ -91,6 +91,8 @@ def scan(docs: DataFrame, text: str = "text", repository: str = "source", owner:
     bare = rows.filter(~has).select("row.*", F.struct(F.array().cast(JUDGED).alias("base"), F.array().cast(JUDGED).alias("spans")).alias(out))
     some = rows.filter(has).select("row", "repository", "owner", "base", F.concat("base", loose(F.col("base"), F.col("opaque"))).alias("spans"))
     some = some.withColumn("ident", F.sha2(F.to_json(F.struct("row", "repository", "owner", "spans"), {"ignoreNullFields": "false"}), 256))
+    if text in keep:
+        some = durable(some)  # three uses below: the texts with candidates only, found in one pass
     value = F.sha2("span.value", 256).alias("hash")
     each = some.select("repository", "owner", F.explode("spans").alias("span")).select(value, "repository", "owner").distinct()
     known = each.groupBy("hash").agg(F.count_distinct("repository").alias("repositories"), F.count_distinct("owner").alias("owners"))
