@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,10 +43,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and read back, with its lineage cut."""
     checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()  # the shuffle files behind a dropped lineage go when the driver collects its garbage
-    return out
+    return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """See to it that the shuffle files behind dropped lineages go before the next large job.
+
+    They do when the driver has collected its garbage. Python's side lets go of its objects in the background, within a
+    second, and the listeners of the last job do so with the next one.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.2)
+        spark.range(1).count()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def free_name(df: DataFrame, name: str) -> str:

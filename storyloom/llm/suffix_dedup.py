@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, SLICE_BYTES, _BACK, bound_batches, durable, mix, powers, raw, slices
+from .common import BASE, SLICE_BYTES, _BACK, bound_batches, durable, mix, powers, raw, release, slices
 
 SIZE = 100
 K = 40
@@ -256,7 +256,7 @@ RUNS = "part int, kind int, lcp binary, rest binary, left binary, id binary, pla
 
 
 def _runs(splitters: list[bytes], spread: int):
-    """A function from batches (id, text, hashes) to runs (kind 0) and certain repeats (kind 1: id, place of the text)."""
+    """A function from batches (id, text, lists of hashes) to runs (kind 0) and certain repeats (kind 1: id, place of the text)."""
     marks = np.array(splitters, dtype=f"S{K}") if splitters else np.zeros(0, f"S{K}")
 
     def run(batches):
@@ -266,7 +266,7 @@ def _runs(splitters: list[bytes], spread: int):
                 data, off = raw(part.column(1))
                 place, h, lo, hi = anchors(data, off)
                 row = _rows_of(off, place)
-                lists = [np.frombuffer(x.as_py() or b"", np.uint64) for x in part.column(2)]
+                lists = [np.frombuffer(y, np.uint64) for x in part.column(2).to_pylist() for y in x or ()]
                 wanted = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)
                 # A hash that repeats anywhere repeats for every document that has it.
                 keep = np.isin(h, wanted)
@@ -276,14 +276,14 @@ def _runs(splitters: list[bytes], spread: int):
                 ends = off[1:][row]
                 begin = off[:-1][row]
                 cols = np.arange(SIZE)
-                right = np.where(place[:, None] + cols < ends[:, None], data[np.minimum(place[:, None] + cols, len(data) - 1)], 0)
+                # Bytes that none of the anchor's texts reach are zero: they compress away, and contexts fall together.
+                right = np.where((place[:, None] + cols < ends[:, None]) & (cols < SIZE - lo[:, None]), data[np.minimum(place[:, None] + cols, len(data) - 1)], 0)
                 cols = np.arange(1, LEFT + 1)  # the byte before the anchor first
-                left = np.where(place[:, None] - cols >= begin[:, None], data[np.maximum(place[:, None] - cols, 0)], 0)
+                left = np.where((place[:, None] - cols >= begin[:, None]) & (cols <= hi[:, None]), data[np.maximum(place[:, None] - cols, 0)], 0)
                 own, at = ids[row], place - begin
                 order = _order(np.concatenate([right, left], axis=1))
                 right, left, own, at, lo, hi = right[order], left[order], own[order], at[order], lo[order], hi[order]
-                # Equal contexts: the first in (document, place) stays, the others are repeats, whatever else there is. A
-                # document's edge looks like zero bytes there, but texts never reach beyond it, as lo and hi see to.
+                # Equal contexts: the first in (document, place) stays, the others are repeats, whatever else there is.
                 new = np.concatenate([[True], ((right[1:] != right[:-1]).any(axis=1)) | ((left[1:] != left[:-1]).any(axis=1)) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
                 group = np.cumsum(new) - 1
                 by = np.lexsort((at, own, group))
@@ -391,7 +391,7 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asks, ranges = (max(least, int(size / 30 / x) + 1) for x in (ASK_ROWS, RANGE_ROWS))
     asked = ask(rows, asks).repartition(asks, "part")
-    told = answer(asked).groupBy("id").agg(F.array_join(F.collect_list(F.hex("hashes")), "").alias("hashes")).select("id", F.unhex("hashes").alias("hashes"))
+    told = answer(asked).groupBy("id").agg(F.collect_list("hashes").alias("hashes"))
     # Splitters: one substring of about SAMPLES documents, from all of them by a hash; the driver sees only these.
     one = F.substring("text", 1, K) if size == 0 else F.substr(F.col("text"), 1 + F.pmod(F.xxhash64("id"), F.greatest(F.length("text") - K, F.lit(1))).cast("int"), F.lit(K))
     share = min(1.0, SAMPLES / max(1, count))
@@ -437,4 +437,6 @@ def cut(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_i
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """cut() of repeats(): every row of docs with what is removed from it and what stays. An empty table stays empty."""
-    return cut(docs, durable(repeats(docs, text, key)), text, key)
+    spans = durable(repeats(docs, text, key))
+    release(docs.sparkSession)
+    return cut(docs, spans, text, key)
