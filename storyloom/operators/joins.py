@@ -67,19 +67,33 @@ def positive_pairs(members: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return m.select(F.explode(later).alias("p")).select("p.a", "p.b", F.lit(1).alias("label")).orderBy(hashed_order("a", "b", seed=seed)).limit(n)
 
 
-def hard_negatives(articles: DataFrame, n: int, most_df: int = 200, seed: int = 42) -> DataFrame:
-    """n pairs of different stories whose title words' set ratio is above .1 and below .6.
+def hard_negatives(articles: DataFrame, n: int, most_df: int | None = None, seed: int = 42, cell: int = 1024) -> DataFrame:
+    """n pairs of different stories whose title words' set ratio is above .1 and below .6, in a seeded order.
 
-    Candidates share a word that at most most_df titles hold (commoner words alone can't bring two titles together);
-    a pair is counted once by its set ratio.
+    Titles of equal word sets are a class; classes meet by prefix filtering on the words' global order, rarest first, which
+    misses no pair. Only then linked classes are dealt into cells of about `cell` by `cell` articles, so no class lands in
+    one task, and their pairs go straight into the first n. The order is a hash of the pair, so each pair is made.
+    most_df: pairs that share only words of more titles than that are left out; None leaves none out.
     """
-    a = articles.select("doc_id", "story_id", Z.token_set(F.col("headline")).alias("w")).filter(F.size("w") > 0)
-    post = a.select("doc_id", "story_id", "w", F.explode("w").alias("t"))
-    rare = post.groupBy("t").agg(F.count("*").alias("df")).filter((F.col("df") > 1) & (F.col("df") <= most_df)).select("t")
-    post = post.join(rare, "t")
-    x, y = post.select("t", F.col("doc_id").alias("a"), F.col("story_id").alias("s"), F.col("w").alias("u")), post.select("t", F.col("doc_id").alias("b"), F.col("story_id").alias("r"), F.col("w").alias("v"))
-    j = x.join(y, "t").filter("a < b and s <> r").withColumn("j", Z.jaccard(F.col("u"), F.col("v"))).filter("j > 0.1 and j < 0.6")
-    return j.groupBy("a", "b").agg(F.round(F.max("j"), 6).alias("jaccard")).withColumn("label", F.lit(0)).orderBy(hashed_order("a", "b", seed=seed)).limit(n)
+    a = articles.select("doc_id", "story_id", F.array_sort(Z.token_set(F.col("headline"))).alias("c")).filter(F.size("c") > 0).distinct()
+    classes = a.groupBy("c").agg(F.count("*").alias("n"))
+    words = classes.select("c", "n", F.explode("c").alias("t"))
+    held = words.groupBy("t").agg(F.sum("n").alias("df"), F.count("*").alias("classes"))
+    order = words.join(held, "t").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t", "classes"))).alias("o"))
+    # above .1, two sets share more than a tenth of either's words: the last tenth of a set needs no posting
+    post = order.select("c", "n", F.col("o.t").alias("w"), F.explode(F.slice("o", 1, F.size("o") - F.floor(F.size("o") / 10).cast("int"))).alias("p")).filter("p.classes > 1")
+    post = post if most_df is None else post.filter(F.col("p.df") <= most_df)
+    x, y = post.select("p.t", "c", "n", F.col("w").alias("u")), post.select("p.t", F.col("c").alias("e"), F.col("n").alias("m"), F.col("w").alias("v"))
+    met = x.join(y, "t").filter((F.col("c") < F.col("e")) & (F.get(F.array_intersect("u", "v"), 0) == F.col("t")))
+    link = met.withColumn("j", Z.jaccard(F.col("u"), F.col("v"))).filter("j > 0.1 and j < 0.6")
+    slots = lambda k: F.ceil(F.col(k) / cell).cast("int")
+    dealt = a.join(classes, "c").groupBy("c", F.pmod(F.xxhash64("doc_id"), slots("n")).cast("int").alias("p")).agg(F.collect_list(F.struct("doc_id", "story_id")).alias("x"))
+    cells = link.select("c", "e", "j", "m", F.explode(F.sequence(F.lit(0), slots("n") - 1)).alias("p")).select("c", "e", "j", "p", F.explode(F.sequence(F.lit(0), slots("m") - 1)).alias("q"))
+    cells = cells.join(dealt, ["c", "p"]).join(dealt.select(F.col("c").alias("e"), F.col("p").alias("q"), F.col("x").alias("y")), ["e", "q"])
+    cells = cells.select("j", "x", "y").repartition(int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = cells.select("j", "y", F.explode("x").alias("x")).select("j", "x", F.explode("y").alias("y")).filter("x.story_id <> y.story_id and x.doc_id <> y.doc_id")
+    pairs = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), F.round("j", 6).alias("jaccard"), F.lit(0).alias("label"))
+    return pairs.orderBy(hashed_order("a", "b", seed=seed)).limit(n)
 
 
 def easy_negatives(articles: DataFrame, per_category: int, n: int, seed: int = 42) -> DataFrame:

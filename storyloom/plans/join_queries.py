@@ -189,7 +189,7 @@ def r6_similar_articles(spark, d):
 def _features(spark, d):
     a = V.with_entities(V.articles(spark, d))
     a = a.withColumn("signature", X.event_signature(F.col("headline"), F.col("description"), F.col("entities")))
-    p = J.pair_dataset(J.positive_pairs(V.members(spark, d), 300), J.hard_negatives(a, 300, most_df=40), J.easy_negatives(a, 20, 200))
+    p = J.pair_dataset(J.positive_pairs(V.members(spark, d), 300), J.hard_negatives(a, 300), J.easy_negatives(a, 20, 200))
     return J.pair_features(p, a, V.vectors(spark, d))
 
 
@@ -232,7 +232,7 @@ def u1_union_hits(spark, d):
 @query()
 def u2_pair_dataset(spark, d):
     a = V.articles(spark, d)
-    return J.pair_dataset(J.positive_pairs(V.members(spark, d), 300), J.hard_negatives(a, 300, most_df=40), J.easy_negatives(a, 20, 200))
+    return J.pair_dataset(J.positive_pairs(V.members(spark, d), 300), J.hard_negatives(a, 300), J.easy_negatives(a, 20, 200))
 
 
 @query("SELECT 'src' || feed AS source FROM feeds EXCEPT SELECT DISTINCT source FROM articles")

@@ -132,3 +132,28 @@ def test_streams_and_batch_agree(spark, tmp_path):
     stream = {r["feed"]: r["consecutive"] for r in spark.read.parquet(out).collect()}
     batch = {r["feed"]: r["consecutive"] for r in R.breaker_state(log, F.lit("2024-01-02 00:00:00").cast("timestamp")).collect()}
     assert stream == batch
+
+
+def test_hard_negatives_meet_on_common_words(spark):
+    """Two headlines of 50 titles each share one word of 100 titles: all their pairs count, whatever the frequency and the cells."""
+    rows = [(i, i, "alpha beta common" if i % 2 else "gamma delta common") for i in range(100)]
+    a = spark.createDataFrame(rows, "doc_id long, story_id long, headline string")
+    for cell in (1024, 7):
+        got = [(r["a"], r["b"], r["jaccard"]) for r in J.hard_negatives(a, 10_000, cell=cell).collect()]
+        assert sorted(got) == [(x, y, 0.2) for x in range(100) for y in range(x + 1, 100) if (x + y) % 2]
+
+
+def test_hard_negatives_at_a_thousand_documents(spark):
+    """As many pairs as asked for, where the cap of 40 titles a word left none; against the SQL's first pairs without its cap."""
+    import duckdb
+
+    from storyloom.plans import ORACLE_SQL
+    from storyloom.plans import views as V
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "events", "supplier", "nation", "region"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    want = con.execute(ORACLE_SQL["j7_hard_negatives"].replace("BETWEEN 2 AND 40", ">= 2")).fetchall()
+    got = [(r["a"], r["b"], r["jaccard"], r["label"]) for r in J.hard_negatives(V.articles(spark, d), 300).collect()]
+    assert len(want) == 300 and got == want
