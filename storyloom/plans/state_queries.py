@@ -131,16 +131,20 @@ def k1_cluster_stream(spark, d):
     a = V.articles(spark, d)
     v = V.vectors(spark, d)
     path, out = _tmp(spark, "in"), _tmp(spark, "out")
-    a.repartitionByRange(4, "doc_id").write.parquet(path)
-    have = v.join(a.filter("processed"), v.vec_id == a.doc_id).select(v.story_id, "source")
-    stories = _vector_stories(spark, d)
-
-    def assign(batch):
-        with_vectors = batch.join(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
-        return C.assign_batch(batch, J.match_stories(with_vectors, stories, 0.3, 0.3), have, V.asof())
-
-    K.cluster_stream(S.article_changes(spark, path, spark.read.parquet(path).schema, files=2), _tmp(spark, "state"), assign, out)
-    return spark.read.parquet(out).select("doc_id", F.col("story_id").cast("long").alias("story_id"), "created")
+    _land(a, path)
+    have = v.select(F.col("story_id").cast("long").alias("story_id"), F.col("vec_id").alias("doc_id")).join(a.filter("processed").select("doc_id", "source", "tier", "published_at"), "doc_id", "left")
+    stories = _vector_stories(spark, d).select(F.col("story_id").cast("long").alias("story_id"), "title", "centroid", "last_updated")
+    K.cluster_stream(S.article_changes(spark, path, a.schema, files=2), _tmp(spark, "state"), stories, have, v.select("vec_id", "embedding"), V.asof(), out, 0.3, 0.3)
+    return spark.read.parquet(f"{out}/members").select("doc_id", "story_id", "created")
+
+
+def _land(a, path, slices=4, files=2):
+    """Articles as change files of equal spans of time, one span after the other, so that a stream reads them in that order."""
+    at = F.col("published_at").cast("long")
+    lo, hi = a.agg(F.min(at), F.max(at)).first()
+    for i in range(slices if lo is not None else 0):
+        part = a.filter(F.floor((at - lo) * slices / (hi - lo + 1)) == i)
+        part.repartition(files).write.mode("append").parquet(path)
 
 
 @query("""SELECT story_id, count(DISTINCT source)::int AS source_count, CASE WHEN count(DISTINCT source) >= 5 THEN 'TOP_STORY' WHEN count(DISTINCT source) >= 3 THEN 'VERIFIED' WHEN count(DISTINCT source) = 2 THEN 'DEVELOPING' ELSE 'NEW' END AS status, min(tier) = 1 OR count(DISTINCT source) >= 3 AS breaking FROM articles GROUP BY 1""")

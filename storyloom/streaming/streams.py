@@ -1,25 +1,48 @@
-"""Structured Streaming forms. Each has a batch twin; with availableNow both give the same rows."""
+"""Structured Streaming forms. Each has a batch twin; clustering gives the rows of its twin run slice by slice."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.clusters import assign_batch, refresh_stories
+from ..operators.joins import match_stories
+
 
 def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Run the stream over what there is, batch by batch, and stop. `each` must be idempotent by batch id."""
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
 
 
-def cluster_stream(changes: DataFrame, checkpoint: str, assign: Callable[[DataFrame], DataFrame], out: str) -> None:
-    """Each micro-batch is assigned against the snapshot and written under its batch id, so a batch that runs again replaces itself."""
+def cluster_stream(changes: DataFrame, checkpoint: str, stories: DataFrame, members: DataFrame, vectors: DataFrame, asof: Column, out: str, accept: float = 0.75, maybe: float = 0.68) -> None:
+    """Each micro-batch is assigned as in the batch form, against the snapshot and what earlier batches made of it.
+
+    A batch writes its members to out/members and its new or changed stories, with their sources, centroid and time made
+    anew, to out/stories, each under its batch id; it reads smaller ids alone, so a batch that runs again replaces itself.
+    stories: story_id, title, centroid, last_updated; members: story_id, doc_id, source, tier, published_at (null where
+    only the vector counts); vectors: vec_id, embedding. Stories without a vector can't match and are no candidates.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        assign(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        before = lambda name: batch.sparkSession.read.option("basePath", f"{out}/{name}").parquet(*[f"{out}/{name}/batch={i}" for i in range(number)])
+        have, now = members, stories
+        if number:
+            have = members.unionByName(before("members").select(members.columns))
+            last = before("stories").groupBy("story_id").agg(F.max_by(F.struct("title", "centroid", "last_updated"), "batch").alias("s")).select("story_id", "s.*")
+            now = stories.join(last.select("story_id"), "story_id", "left_anti").unionByName(last.select(stories.columns))
+        rows = batch.join(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
+        got = assign_batch(batch, match_stories(rows, now, accept, maybe), have, asof)
+        got.join(batch.select("doc_id", "source", "tier", "published_at", "headline"), "doc_id").write.mode("overwrite").parquet(f"{out}/members/batch={number}")
+        added = batch.sparkSession.read.parquet(f"{out}/members/batch={number}")
+        every = have.unionByName(added.select(members.columns)).join(added.select("story_id").distinct(), "story_id", "left_semi")
+        every = every.groupBy("story_id", "doc_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("source", "tier", "published_at")])
+        known = now.select("story_id", "title", F.col("last_updated").alias("was")).unionByName(added.filter("created").select("story_id", F.col("headline").alias("title"), F.lit(None).cast("timestamp").alias("was")))
+        new = refresh_stories(every, vectors).filter("centroid is not null").join(known, "story_id")
+        new.withColumn("last_updated", F.greatest("last_updated", "was")).drop("was").write.mode("overwrite").parquet(f"{out}/stories/batch={number}")
 
     drain(changes, checkpoint, each)
 

@@ -157,3 +157,68 @@ def test_hard_negatives_at_a_thousand_documents(spark):
     want = con.execute(ORACLE_SQL["j7_hard_negatives"].replace("BETWEEN 2 AND 40", ">= 2")).fetchall()
     got = [(r["a"], r["b"], r["jaccard"], r["label"]) for r in J.hard_negatives(V.articles(spark, d), 300).collect()]
     assert len(want) == 300 and got == want
+
+
+def test_cluster_stream_goes_on_from_earlier_batches(spark, tmp_path):
+    """Three batches: a source counts once a story over all of them, and a story of an earlier batch is found, by its new centroid."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [  # batch, doc_id, source, vector
+        (0, 1, "a", [1.0, 0.0, 0.0]), (0, 2, "b", [0.0, 1.0, 0.0]),
+        (1, 3, "a", [1.0, 0.0, 0.0]), (1, 4, "c", [0.0, 1.0, 0.0]), (1, 5, "c", [0.8, 0.6, 0.0]),
+        (2, 6, "c", [0.0, 1.0, 0.0]), (2, 7, "d", [0.6, 0.8, 0.0]), (2, 8, "b", [0.0, 0.0, 1.0]),
+    ]
+    at = lambda i: t0 + dt.timedelta(minutes=i)
+    a = spark.createDataFrame([(i, s, 1, at(i), f"title {i}", False, b) for b, i, s, _ in rows], "doc_id long, source string, tier int, published_at timestamp, headline string, processed boolean, b int")
+    v = spark.createDataFrame([(i, x) for _, i, _, x in rows] + [(100, [1.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
+    stories = spark.createDataFrame([(50, "old", [1.0, 0.0, 0.0], t0)], "story_id long, title string, centroid array<double>, last_updated timestamp")
+    members = spark.createDataFrame([(50, 100, "z", 1, t0)], "story_id long, doc_id long, source string, tier int, published_at timestamp")
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for b in range(3):
+        a.filter(F.col("b") == b).coalesce(1).write.mode("append").parquet(path)
+    K.cluster_stream(S.article_changes(spark, path, a.schema), str(tmp_path / "state"), stories, members, v, F.lit("2024-01-02").cast("timestamp"), out, 0.7, 0.7)
+    got = {(r["batch"], r["doc_id"], r["story_id"], r["created"]) for r in spark.read.parquet(f"{out}/members").collect()}
+    # 3: its source is in; 6: likewise in the story of 2; 7: (.6, .8) is nearer to that story than to the old one
+    assert got == {(0, 1, 50, False), (0, 2, -3, True), (1, 4, -3, False), (1, 5, 50, False), (2, 7, -3, False), (2, 8, -9, True)}
+    last = {r["story_id"]: r for r in spark.read.parquet(f"{out}/stories").filter("batch = 1").collect()}
+    assert last[50]["source_count"] == 3 and last[50]["last_updated"] == at(5) and 0.9 < last[50]["centroid"][0] < 1
+
+
+def test_cluster_stream_query_is_the_batch_form_slice_by_slice(spark, tmp_path):
+    from storyloom.operators.joins import match_stories
+    from storyloom.plans import QUERIES, state_queries
+    from storyloom.plans import views as V
+
+    d = "/root/testdata/sf0.001"
+    got = sorted((r["doc_id"], r["story_id"], r["created"]) for r in QUERIES["k1_cluster_stream"](spark, d).collect())
+    a, v = V.articles(spark, d), V.vectors(spark, d)
+    lo, hi = a.agg(F.min("published_at"), F.max("published_at")).first()
+    ids = [[r["doc_id"] for r in a.collect() if int((r["published_at"] - lo).total_seconds()) * 4 // int((hi - lo).total_seconds() + 1) == i] for i in range(4)]
+    assert all(ids)
+    vec = {r["vec_id"]: r["embedding"] for r in v.collect()}
+    about = {r["doc_id"]: r for r in a.collect()}
+    base = {r["story_id"]: [r["title"], r["centroid"], r["last_updated"]] for r in state_queries._vector_stories(spark, d).collect()}
+    own = {}
+    for r in v.collect():
+        own.setdefault(r["story_id"], set()).add(r["vec_id"])
+    sources = {s: {about[i]["source"] for i in m if i in about and about[i]["processed"]} for s, m in own.items()}
+    want = []
+    for batch in ids:
+        stories = spark.createDataFrame([(int(s), *x) for s, x in base.items()], "story_id long, title string, centroid array<double>, last_updated timestamp")
+        have = spark.createDataFrame([(int(s), x) for s, xs in sources.items() for x in xs], "story_id long, source string")
+        part = a.filter(F.col("doc_id").isin(batch))
+        rows = part.join(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
+        new = [(r["doc_id"], r["story_id"], r["created"]) for r in C.assign_batch(part, match_stories(rows, stories, 0.3, 0.3), have, V.asof()).collect()]
+        for i, s, created in new:
+            own.setdefault(s, set()).add(i)
+            sources.setdefault(s, set()).add(about[i]["source"])
+            if created:
+                base[s] = [about[i]["headline"], None, about[i]["published_at"]]
+            base[s][2] = max(base[s][2], about[i]["published_at"])
+        for s in {s for _, s, _ in new}:
+            m = [sum(float(vec[i][k]) for i in own[s]) / len(own[s]) for k in range(64)]
+            n = sum(x * x for x in m) ** 0.5
+            base[s][1] = [x / n for x in m]
+        want += new
+    assert got == sorted(want)
+    taken = [(s, about[i]["source"]) for i, s, created in got if not created]
+    assert len(taken) == len(set(taken))
