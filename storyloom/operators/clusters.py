@@ -74,15 +74,16 @@ def split_clusters(members: DataFrame, least: int = 10, days: float = 3.0) -> Da
     return cut.unionByName(members.join(due.select("story_id"), "story_id", "left_anti").select("story_id", "doc_id", F.lit(0).alias("part")))
 
 
-def split_by_vectors(members: DataFrame, least: int = 10, seed: int = 7) -> DataFrame:
+def split_by_vectors(members: DataFrame, least: int = 10, seed: int = 7, whole: int = 1000) -> DataFrame:
     """(story_id, doc_id, part): k-means over each large story's member vectors, k = min(3, n / 4); parts of one member are dropped.
 
-    members: story_id, doc_id, embedding. Many small independent fits; stories of ten thousand members or more belong to the time split.
+    members: story_id, doc_id, embedding. Stories below `whole` members are small independent fits, each in one task; larger
+    ones are fitted together, row by row where the rows lie. Those start from the k members of the least hash.
     """
     import numpy as np
     import pandas as pd
 
-    sized = members.join(members.groupBy("story_id").agg(F.count("*").alias("n")).filter((F.col("n") >= least) & (F.col("n") < 10_000)), "story_id")
+    sized = members.join(members.groupBy("story_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least), "story_id").select("story_id", "doc_id", "embedding", "n")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
@@ -96,7 +97,72 @@ def split_by_vectors(members: DataFrame, least: int = 10, seed: int = 7) -> Data
         keep = size[part] >= 2
         return pd.DataFrame({"story_id": pdf["story_id"][keep], "doc_id": pdf["doc_id"][keep], "part": part[keep].astype("int32")})
 
-    return sized.select("story_id", "doc_id", "embedding").groupBy("story_id").applyInPandas(fit, "story_id long, doc_id long, part int")
+    small = sized.filter(F.col("n") < whole).drop("n").groupBy("story_id").applyInPandas(fit, "story_id long, doc_id long, part int")
+    return small.unionByName(_split_large(sized.filter(F.col("n") >= whole).select("story_id", "doc_id", "embedding"), seed))
+
+
+def _split_large(rows: DataFrame, seed: int, rounds: int = 25) -> DataFrame:
+    """k-means, k = 3, of all stories of rows at once. The driver holds three centres a story; a task sends sums by story and part."""
+    import numpy as np
+    import pandas as pd
+
+    sc = rows.sparkSession.sparkContext
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).repartition("doc_id").persist()
+    start: dict[int, list] = {}
+    left = rows
+    for _ in range(3):  # the least, then the least above it
+        least = left.groupBy("story_id").agg(F.min(F.struct("h", "doc_id", "embedding")).alias("m")).select("story_id", "m.*").collect()
+        if not least:
+            break
+        for r in least:
+            start.setdefault(r["story_id"], []).append((r["h"], r["doc_id"], r["embedding"]))
+        found = rows.sparkSession.createDataFrame([(s, x[-1][0], x[-1][1]) for s, x in start.items()], "story_id long, top long, last long")
+        left = rows.join(F.broadcast(found), "story_id").filter("h > top or (h = top and doc_id > last)").drop("top", "last")
+    centres = {s: np.array([e for *_, e in x], dtype="float64") for s, x in start.items()}
+    if not centres:
+        return rows.select(F.col("story_id").cast("long"), F.col("doc_id").cast("long"), F.lit(0).alias("part"))
+
+    def parts(pdf: pd.DataFrame, at: dict):
+        for story, g in pdf.groupby("story_id"):
+            x = np.stack(g["embedding"].to_list()).astype("float64")
+            c = at[story]
+            yield story, g, x, np.stack([((x - y) ** 2).sum(axis=1) for y in c], axis=1).argmin(axis=1)
+
+    def sums(shared):
+        def run(frames):
+            total: dict = {}
+            for pdf in frames:
+                for story, _, x, part in parts(pdf, shared.value):
+                    for i in np.unique(part).tolist():
+                        n, t = total.get((story, i), (0, 0.0))
+                        total[story, i] = n + int((part == i).sum()), t + x[part == i].sum(axis=0)
+            if total:
+                yield pd.DataFrame([(s, i, n, t.tolist()) for (s, i), (n, t) in total.items()], columns=["story_id", "part", "n", "t"])
+
+        return run
+
+    size: dict = {}
+    for _ in range(rounds):
+        shared = sc.broadcast(centres)
+        local = rows.select("story_id", "embedding").mapInPandas(sums(shared), "story_id long, part int, n long, t array<double>")
+        by = local.select("story_id", "part", F.posexplode_outer("t").alias("i", "x"), "n").groupBy("story_id", "part", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+        got = by.groupBy("story_id", "part").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("t")).collect()
+        used, centres = centres, {s: c.copy() for s, c in centres.items()}
+        size = {(r["story_id"], r["part"]): r["n"] for r in got}
+        for r in got:
+            centres[r["story_id"]][r["part"]] = np.array(r["t"]) / r["n"]
+        if all(np.array_equal(used[s], c) for s, c in centres.items()):
+            break
+    shared = sc.broadcast((used, size))
+
+    def assign(frames):
+        used, size = shared.value
+        for pdf in frames:
+            for story, g, _, part in parts(pdf, used):
+                keep = np.array([size.get((story, i), 0) >= 2 for i in part.tolist()])
+                yield pd.DataFrame({"story_id": g["story_id"][keep], "doc_id": g["doc_id"][keep], "part": part[keep].astype("int32")})
+
+    return rows.select("story_id", "doc_id", "embedding").mapInPandas(assign, "story_id long, doc_id long, part int")
 
 
 def decay(stories: DataFrame, asof: Column) -> DataFrame:

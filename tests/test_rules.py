@@ -222,3 +222,24 @@ def test_cluster_stream_query_is_the_batch_form_slice_by_slice(spark, tmp_path):
     assert got == sorted(want)
     taken = [(s, about[i]["source"]) for i, s, created in got if not created]
     assert len(taken) == len(set(taken))
+
+
+def test_split_by_vectors_keeps_the_largest_stories(spark):
+    """A story of 10,500 members in three clouds keeps all of them, each with its nearest mean; fits by rows end where a plain fit ends."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    mid = np.eye(4)[:3] * 10
+
+    def story(s, n):
+        return [(s, s * 100_000 + i, (mid[i % 3] + rng.normal(0, 0.5, 4)).astype("float32").tolist()) for i in range(n)]
+
+    rows = story(1, 10_500) + story(2, 1_500) + story(3, 60) + story(4, 9)
+    vec = {i: (s, np.array(x)) for s, i, x in rows}
+    m = spark.createDataFrame(rows, "story_id long, doc_id long, embedding array<float>").repartition(8)
+    got = {r["doc_id"]: (r["story_id"], r["part"]) for r in C.split_by_vectors(m).collect()}
+    assert set(got) == {i for s, i, _ in rows if s != 4}
+    for s in (1, 2, 3):
+        mine = [i for i, (t, _) in got.items() if t == s]
+        mean = {p: np.mean([vec[i][1] for i in mine if got[i][1] == p], axis=0) for p in {got[i][1] for i in mine}}
+        assert all(got[i][1] == min(mean, key=lambda p: ((vec[i][1] - mean[p]) ** 2).sum()) for i in mine)
