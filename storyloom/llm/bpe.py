@@ -1,22 +1,22 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash cuts each text into chunks at places that depend on the bytes around them alone, so passages that several
-documents share give the same chunks whatever stands before them. A task encodes each distinct chunk once and reuses it.
-
-A chunk's edges may fall inside a word. So a chunk is kept as its head (up to its first white space), its body, and its
-tail (after its last): the body stands between white space and is encoded for itself; where two chunks join, tail and head
-are encoded anew as one span, which grows over further chunks until both its ends are at white space. There the encodings
-agree exactly: the tokenizer's normaliser, splitter and merges never look across ASCII white space, and its special tokens
-hold none. Spans are in turn encoded piece by piece, each distinct piece once in a task while its cache lasts: words, with
-a run of plain punctuation apart where it stands between an ASCII letter or digit and another or white space (there the
-splitter always parts them), and in lower case, as the normaliser makes them (but where a `<` may open a special token).
+documents share give the same chunks whatever stands before them. A worker encodes each distinct chunk once, with the
+tokenizer itself, and reuses the ids while its cache lasts.
+
+A chunk's first and last tokens are wrong where the cut fell inside a word or a special token. So every join is repaired:
+a window from a word of the chunk before the cut to a word of the chunk after it is encoded anew. The join stands if the
+window's first word has the place and the ids that it has in the one chunk, and its last word those that it has in the
+other: from an agreed word on, the tokenizer's left-to-right splitting goes on alike. Where they don't agree, or a chunk is too
+short to hold both words, the chunks around the join are encoded as one, twice as many with each round, until all joins
+agree or the text is one chunk. Nothing is presumed of the tokenizer but that: words come from its own splitter (a tokenizer
+that doesn't split gets whole texts), and the words lie further from the cut than its longest added token reaches.
 """
 
 from __future__ import annotations
 
-import itertools
 import os
-import re
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -26,20 +26,25 @@ from pyspark.sql import functions as F
 
 from .common import BASE, powers, raw, with_struct
 
-#: Bytes that the rolling hash sees, and the mean size of a chunk.
+#: Bytes that the rolling hash sees; the mean size of a chunk, and its least but at a text's end.
 ROLL = 16
-MEAN_CHUNK = 512
-#: Entries of a task's caches; a full cache is emptied and fills again.
-WORDS, CHUNKS = 500_000, 30_000
-_PIECES = re.compile(rb"[ \t\n\r\x0b\x0c]+|((?<=[a-z0-9])[.,;:!?%&$*#]+(?=[a-z0-9 \t\n\r\x0b\x0c]|\Z))")
+MEAN_CHUNK, LEAST_CHUNK = 1024, 192
+#: Characters on either side of a cut that a window covers at least, beyond the longest added token.
+MARGIN = 12
+#: Characters of chunks in one generation of a worker's cache (there are two), and in one call of the tokenizer.
+CACHE_CHARS, CALL_CHARS = 24_000_000, 1_000_000
 
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
+    """The tokenizer of a file; what the file says of truncation and padding is left out."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
@@ -57,99 +62,212 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return at[(data[at] & 0xC0) != 0x80]
 
 
+def chunks(text: bytes, at: np.ndarray) -> list[str]:
+    """text cut at those of its boundaries that leave no chunk shorter than LEAST_CHUNK."""
+    edges = [0]
+    for x in at.tolist():
+        if x - edges[-1] >= LEAST_CHUNK and len(text) - x >= LEAST_CHUNK:
+            edges.append(x)
+    edges.append(len(text))
+    return [text[a:b].decode() for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+
+
+@dataclass(frozen=True, slots=True)
+class Word:
+    """A word of an encoded text: its characters and tokens."""
+
+    start: int
+    end: int
+    first: int
+    last: int
+
+
+@dataclass(frozen=True, slots=True)
+class Chunk:
+    """A text as the tokenizer encodes it alone: packed ids, and the words that windows end and begin with, if it has them."""
+
+    text: str
+    ids: bytes
+    early: Word | None
+    late: Word | None
+
+    def of(self, w: Word) -> bytes:
+        return self.ids[4 * w.first : 4 * w.last]
+
+
+def _word(enc, k: int) -> Word | None:
+    """Word k, or None where there is none."""
+    tokens, chars = enc.word_to_tokens(k), enc.word_to_chars(k)
+    return Word(chars[0], chars[1], tokens[0], tokens[1]) if tokens and chars else None
+
+
+def _word_at(enc, place: int, step: int, n: int) -> int | None:
+    """The word of the first character from place on, by steps, that belongs to one; white space may belong to none."""
+    while 0 <= place < n:
+        if (k := enc.char_to_word(place)) is not None:
+            return k
+        place += step
+    return None
+
+
 class Encoder:
-    """Encodes byte strings to (ids as little-endian 32-bit, decoded text); one for a task."""
+    """Encodes texts to (ids as little-endian 32-bit, decoded text); one for a worker."""
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
-        self.words: dict[bytes, tuple[bytes, str]] = {}
-        self.chunks: dict[bytes, tuple] = {}
-        self.reused = self.made = 0
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode pieces that aren't known yet."""
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > WORDS:
-            self.words = {}
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            ids = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            ends = np.cumsum([4 * len(i) for i in ids]).tolist()
-            packed = np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4", count=ends[-1] // 4).tobytes()
-            texts = self.tok.decode_batch(ids, skip_special_tokens=False)
-            self.words.update(zip(part, zip([packed[a:b] for a, b in zip([0, *ends], ends, strict=False)], texts, strict=True), strict=True))
-
-    @staticmethod
-    def pieces(text: bytes) -> list[bytes]:
-        return [x for x in _PIECES.split(text if b"<" in text else text.lower()) if x]
-
-    def span(self, pieces: list[bytes]) -> tuple[bytes, str]:
-        """The pieces of a span between white space, all known, as one."""
-        got = [self.words[w] for w in pieces]
-        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
-
-    def parts(self, chunk: bytes) -> tuple[bytes, bytes | None, bytes]:
-        """(head, body, tail); body is None where the chunk has no white space, and all of it is head."""
-        marks = [i for i in (chunk.find(c) for c in (b" ", b"\n", b"\t", b"\r")) if i >= 0]
-        if not marks:
-            return chunk, None, b""
-        last = max(chunk.rfind(c) for c in (b" ", b"\n", b"\t", b"\r"))
-        return chunk[: min(marks)], chunk[min(marks) : last + 1], chunk[last + 1 :]
+        added = self.tok.get_added_tokens_decoder().values()
+        self.margin = MARGIN + max((len(t.content) for t in added), default=0)
+        self.young: dict[str, Chunk] = {}
+        self.old: dict[str, Chunk] = {}
+        self.held = self.made = self.reused = self.repaired = self.widened = 0
+
+    def encodings(self, texts: list[str]):
+        """(text, encoding) of each text, some characters at a time."""
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= CALL_CHARS):
+                size += len(texts[to])
+                to += 1
+            yield from zip(texts[at:to], self.tok.encode_batch(texts[at:to], add_special_tokens=False), strict=True)
+            at = to
+
+    def chunk(self, text: str, enc) -> Chunk:
+        n = len(text)
+        early = late = None
+        if (k := _word_at(enc, self.margin, 1, n)) is not None:
+            w = _word(enc, k + 1)
+            if w and w.start >= self.margin and w.end < n and _word(enc, k + 2):
+                early = w
+        if (k := _word_at(enc, n - 1 - self.margin, -1, n)) is not None and (w := _word(enc, k)) and w.end < n:
+            late = w
+        return Chunk(text, np.array(enc.ids, dtype="<u4").tobytes(), early, late)
+
+    def learn(self, texts: set[str]) -> dict[str, Chunk]:
+        """The chunks of texts: from the cache, or encoded and kept there until two generations are full."""
+        out, new = {}, []
+        for t in texts:
+            c = self.young.get(t) or self.old.get(t)
+            if c is None:
+                new.append(t)
+            else:
+                out[t] = self.young[t] = c
+        self.made += len(new)
+        for t, enc in self.encodings(new):
+            out[t] = self.young[t] = self.chunk(t, enc)
+            self.held += len(t)
+        if self.held > CACHE_CHARS:
+            self.young, self.old, self.held = {}, self.young, 0
+        return out
+
+    def repair(self, joins: set[tuple[str, str]], known: dict[str, Chunk]) -> dict[tuple[str, str], bytes]:
+        """The ids between the agreed words, these included, of each join (text before, text after) whose window agrees."""
+        windows: dict[str, list[tuple[Chunk, Chunk]]] = {}
+        for a, b in joins:
+            x, y = known[a], known[b]
+            if x.late and y.early:
+                windows.setdefault(a[x.late.start :] + b[: y.early.end], []).append((x, y))
+        done = {}
+        self.repaired += len(windows)
+        for text, enc in self.encodings(list(windows)):
+            ids = np.array(enc.ids, dtype="<u4").tobytes()
+            for x, y in windows[text]:
+                cut = len(x.text) - x.late.start
+                head, k = _word(enc, 0), enc.char_to_word(cut + y.early.start)
+                tail = _word(enc, k) if k is not None else None
+                fits = head and tail and (head.start, head.end) == (0, x.late.end - x.late.start) and (tail.start, tail.end) == (cut + y.early.start, len(text))
+                if fits and 4 * tail.last == len(ids) and ids[: 4 * head.last] == x.of(x.late) and ids[4 * tail.first :] == y.of(y.early):
+                    done[x.text, y.text] = ids
+        return done
+
+    def ids(self, docs: list[list[str]]) -> list[bytes]:
+        """The packed ids of each document, given as its chunks."""
+        known = self.learn({c for d in docs for c in d})
+        self.reused += sum(map(len, docs)) - len(known)
+        docs = [list(d) for d in docs]
+        agreed: dict[tuple[str, str], bytes] = {}
+        failed: set[tuple[str, str]] = set()
+        reach = 1
+
+        def stands(d: list[str], i: int) -> bool:
+            """Is the join of chunks i and i + 1 repaired, and does chunk i + 1 keep it apart from the next one?"""
+            if (d[i], d[i + 1]) not in agreed:
+                return False
+            c = known[d[i + 1]]
+            return i + 2 == len(d) or (c.late is not None and c.early.end <= c.late.start)
+
+        open_ = [d for d in docs if len(d) > 1]
+        while open_:
+            agreed |= self.repair({j for d in open_ for j in zip(d[:-1], d[1:], strict=True) if j not in agreed and j not in failed}, known)
+            failed |= {j for d in open_ for j in zip(d[:-1], d[1:], strict=True) if j not in agreed}
+            left = []
+            for d in open_:
+                bad = [i for i in range(len(d) - 1) if not stands(d, i)]
+                if not bad:
+                    continue
+                one = np.zeros(len(d) - 1, dtype=bool)  # joins that go
+                for i in bad:
+                    one[max(0, i - reach + 1) : i + reach] = True
+                new = [d[0]]
+                parts: list[list[str]] = [[d[0]]]
+                for i, gone in enumerate(one.tolist()):
+                    if gone:
+                        parts[-1].append(d[i + 1])
+                    else:
+                        parts.append([d[i + 1]])
+                new = ["".join(p) for p in parts]
+                self.widened += len(d) - len(new)
+                d[:] = new
+                left.append(d)
+            known |= {t: self.chunk(t, enc) for t, enc in self.encodings([t for t in {t for d in left for t in d} if t not in known])}
+            open_ = [d for d in left if len(d) > 1]
+            reach *= 2
+        out = []
+        for d in docs:
+            parts, at = [], 0
+            for i, t in enumerate(d):
+                c = known[t]
+                end = len(c.ids) if i + 1 == len(d) else 4 * c.late.first
+                parts.append(c.ids[at:end])
+                if i + 1 < len(d):
+                    parts.append(agreed[t, d[i + 1]])
+                    at = 4 * known[d[i + 1]].early.last
+            out.append(b"".join(parts))
+        return out
 
     def texts(self, data: np.ndarray, off: np.ndarray) -> tuple[list[bytes], list[str]]:
         whole = data.tobytes()
+        at = cuts(data)
         docs = []
-        for s, e in zip(off[:-1], off[1:], strict=True):
-            edges = [0, *(cuts(data[s:e]).tolist()), int(e - s)]
-            docs.append([whole[s + a : s + b] for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a])
-        if len(self.chunks) > CHUNKS:
-            self.chunks = {}
-        # 1. every distinct chunk is taken apart, joins are laid out, and all new pieces are learned in one call.
-        parts = {c: self.parts(c) for c in {c for d in docs for c in d if c not in self.chunks}}
-        bodies = {c: self.pieces(p[1] or b"") for c, p in parts.items()}
-        plans, need = [], set()
-        for d in docs:
-            plan, open_ = [], b""
-            for c in d:
-                head, body, tail = parts[c] if c in parts else self.chunks[c][1]
-                open_ += head
-                if body is not None:
-                    plan.append((self.pieces(open_), c))
-                    open_ = tail
-            plan.append((self.pieces(open_), None))
-            plans.append(plan)
-            for x, _ in plan:
-                need.update(x)
-        need.update(itertools.chain.from_iterable(bodies.values()))
-        self.learn(need)
-        self.made += len(parts)
-        self.reused += sum(map(len, docs)) - len(parts)
-        for c, p in parts.items():
-            self.chunks[c] = self.span(bodies[c]), p
-        # 2. a document is its joins, each the open span between two bodies encoded as one, and its bodies.
-        ids, decoded = [], []
-        for plan in plans:
-            got = [x for join, c in plan for x in ((self.span(join), self.chunks[c][0]) if c is not None else (self.span(join),))]
-            ids.append(b"".join([x[0] for x in got]))
-            decoded.append(" ".join([x[1] for x in got if x[1]]))
+        for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            # A cut looks at bytes of its own text alone.
+            own = at[np.searchsorted(at, s + ROLL) : np.searchsorted(at, e)] - s
+            docs.append(chunks(whole[s:e], own))
+        ids = self.ids(docs)
+        decoded = self.tok.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
         return ids, decoded
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for a worker process, whatever the number of its tasks."""
+    return Encoder(path)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "bpe", keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns keep) and a struct column out: n_tokens, ids (little-endian unsigned 32-bit), decoded.
 
     Equals the tokenizer's own encode(text, add_special_tokens=False) and decode(ids, skip_special_tokens=False) of whole
-    texts. Null is the empty text, which has no token. For tokenizers that never look across ASCII white space and
-    whose decoder joins tokens by a space. A text without any white space is one span, encoded whole. Row by row: no
-    shuffle; what a task shares between documents it keeps in caches of bounded size.
+    texts. Null is the empty text, which has no token. Repeated rows are answered alike; an empty table stays empty. A
+    text that the tokenizer's splitter doesn't part is encoded whole. Row by row: no shuffle; what a worker shares between
+    documents it keeps in a cache of bounded size.
     """
 
     def make():
-        encoder = Encoder(path)
+        own = encoder(path)
 
         def work(texts: pa.Array) -> dict:
-            ids, decoded = encoder.texts(*raw(texts))
+            ids, decoded = own.texts(*raw(texts))
             return {"n_tokens": [len(i) // 4 for i in ids], "ids": ids, "decoded": decoded}
 
         return work

@@ -185,18 +185,58 @@ def test_loser_tree():
     assert [l for _, l in out][1:] == suffix_dedup.common(np.frombuffer(b"".join(strings), np.uint8).reshape(-1, 12)).tolist()[1:]
 
 
-def test_bpe(docs, rows):
-    tok = bpe.tokenizer(BPE)
-    for r in bpe.encode(docs, BPE, keep=["doc_id"]).collect():
-        ids = tok.encode(rows[r["doc_id"]][1] or "", add_special_tokens=False).ids
-        assert (struct.pack(f"<{len(ids)}I", *ids), tok.decode(ids, skip_special_tokens=False)) == (bytes(r["bpe"]["ids"]), r["bpe"]["decoded"])
+def wanted_ids(tok, text):
+    ids = tok.encode(text or "", add_special_tokens=False).ids
+    return struct.pack(f"<{len(ids)}I", *ids), tok.decode(ids, skip_special_tokens=False)
 
 
-def test_bpe_reuses_chunks():
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe(spark, docs, rows, name):
+    path = public_tokenizers.path(name)
+    tok = bpe.tokenizer(path)
+    got = bpe.encode(docs, path, keep=["doc_id", "spans"]).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert wanted_ids(tok, rows[r["doc_id"]][1]) == (bytes(r["bpe"]["ids"]), r["bpe"]["decoded"])
+    assert bpe.encode(docs.limit(0), path).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("mean, least", [(1024, 192), (64, 20), (32, 1)])
+def test_bpe_joins_are_repaired(monkeypatch, name, mean, least):
+    """Random texts, cut into chunks so small that words, characters with marks, and special tokens are cut through."""
+    monkeypatch.setattr(bpe, "MEAN_CHUNK", mean)
+    monkeypatch.setattr(bpe, "LEAST_CHUNK", least)
+    rng = random.Random(mean)
+    parts = ["a", "b", " ", "  ", "\n", "é", "e", "\u0301", "<|endoftext|>", "<|startoftext|>", "don't", "it's", "I'LL", "123", "!!", "日本", "Σς", "\u00a0", "\x0b", "word", "<", "|>", "'", "ß", "İ", "😀", "\u200d", "the quick brown"]
+    texts = ["ab" * 50_000]
+    for _ in range(300):
+        own, sep = rng.sample(parts, rng.randint(1, len(parts))), rng.choice(["", "", " ", "  "])
+        texts.append(sep.join(rng.choice(own) for _ in range(rng.randint(0, 500))))
+    e = bpe.Encoder(public_tokenizers.path(name))
+    ids, decoded = e.texts(*raw(pa.array(texts)))
+    assert list(zip(ids, decoded, strict=True)) == [wanted_ids(e.tok, t) for t in texts]
+    assert e.repaired and (least > 1 or e.widened)
+
+
+def test_bpe_reuses_chunks(monkeypatch):
     text = " ".join(f"word{i} more." for i in range(3000))
     e = bpe.Encoder(BPE)
-    e.texts(*raw(pa.array([text, "prefix that shifts it " + text])))
-    assert e.reused > 0.9 * (e.made - 20)
+    first = e.texts(*raw(pa.array([text])))
+    made = e.made
+    again = e.texts(*raw(pa.array([text, "prefix that shifts it " + text])))
+    assert again[0][0] == first[0][0] and e.reused > 1.9 * (made - 4) and e.made <= made + 2
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 1000)
+    assert e.texts(*raw(pa.array([text])))[0] == first[0] and len(e.young) == 0
+
+
+def test_bpe_query(spark):
+    """The query's digests, over all documents."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    tok = bpe.tokenizer(BPE)
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries.op6_bpe(spark, SF).collect()}
+    want = {d: wanted_ids(tok, t) for d, t in texts.items()}
+    assert got == {d: (len(i) // 4, brute.sha(i), brute.sha(t)) for d, (i, t) in want.items()}
 
 
 def test_bpe_unpack_and_decode(spark, docs):
