@@ -225,7 +225,7 @@ def test_bpe_reuses_chunks(monkeypatch):
     first = e.texts(*raw(pa.array([text])))
     made = e.made
     again = e.texts(*raw(pa.array([text, "prefix that shifts it " + text])))
-    assert again[0][0] == first[0][0] and e.reused > 1.9 * (made - 4) and e.made <= made + 2
+    assert again[0][0] == first[0][0] and e.reused >= made - 3 and e.made <= made + 3
     monkeypatch.setattr(bpe, "CACHE_CHARS", 1000)
     assert e.texts(*raw(pa.array([text])))[0] == first[0] and len(e.young) == 0
 
