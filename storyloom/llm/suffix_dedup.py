@@ -3,10 +3,14 @@
 Every text of SIZE bytes holds an anchor: the K-gram with the smallest hash among its K-grams. Equal texts have the same
 anchor at the same offset, so of all suffixes only those at anchors are sorted, one in thirty or so.
 
-1. Distinguishing prefixes: tasks exchange hashes of the anchors' K-grams; anchors whose K-gram occurs once drop out.
+1. Distinguishing prefixes: tasks exchange hashes of the anchors' K-grams; anchors whose K-gram occurs once drop out. A
+   task asks for a hash once for every HOLD anchors, however often it has it, and a document is told the hashes that repeat
+   by a row for each, so questions and replies grow with the anchors.
 2. Runs: a task sorts its remaining anchors' suffixes, drops those whose whole context a smaller one of its own run has
    (they are repeats for certain), cuts the run at common splitters, and sends each part front-coded: per suffix
-   the length of the prefix shared with the one before, the rest, and the bytes to its left.
+   the length of the prefix shared with the one before, the rest, and the bytes to its left. A K-gram of very many documents
+   (a line of boilerplate) is no part of its own: there CLASS values of l share a key of all bytes that their texts
+   must have in common, so its suffixes part by what stands around them.
 3. Merge: a task combines the runs of its key range with a loser tree. Each run's head carries the length of the prefix
    that it shares with the last suffix put out; a head that shares more is smaller, and only heads that share equally much
    are compared, from there on. So no known prefix is compared again, and the merged order comes with its common
@@ -18,18 +22,27 @@ anchor at the same offset, so of all suffixes only those at anchors are sorted,
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, SLICE_BYTES, _BACK, bound_batches, durable, mix, powers, raw, release, slices
+from .common import BASE, SLICE_BYTES, _BACK, bound_batches, durable, mix, powers, raw, slices, span_hashes
 
 SIZE = 100
 K = 40
-#: Sampled substrings that the splitters come from; anchors (one in about 30 bytes) that a task takes questions for; and
-#: anchors for each range of the merge, of which only those that repeat get there.
-SAMPLES, ASK_ROWS, RANGE_ROWS = 20_000, 1_000_000, 300_000
+LEFT = SIZE - K
+#: Anchors (one in about 30 bytes) that a task takes questions for, and for each part of the merge, of which only those that
+#: repeat get there; anchors that a task holds before it asks, and before it sends a run.
+ASK_ROWS, PART_ROWS, HOLD, RUN_ROWS = 1_000_000, 300_000, 1_000_000, 200_000
+#: Documents from which parts are planned, by a hash of the key: this many at least, one in so many at least; and splitters.
+#: The plan changes where suffixes meet, never the result.
+SAMPLE_DOCS, SAMPLE_SHARE, SPLITTERS = 5_000, 1000, 10_000
+#: A K-gram in more documents than this is split, by classes of so many values of l.
+HOT_DOCS, CLASS = 300_000, 8
 
 
 def anchors(data: np.ndarray, off: np.ndarray, size: int = SIZE, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -47,7 +60,7 @@ def anchors(data: np.ndarray, off: np.ndarray, size: int = SIZE, k: int = K) ->
     del total
     w = size - k + 1  # K-grams in a text
     m = len(h)
-    bits = np.uint64(30)  # the same for every slice, so that ties fall alike everywhere
+    bits = np.uint64(31)  # a column's texts are below 2 GiB; the same for every slice, so that ties fall alike everywhere
     key = ((h >> bits) << bits) | np.arange(m, dtype=np.uint64)  # of equal hashes the first wins
     # Smallest key of each window of w: the minimum to its block's end, and from the next block's start.
     blocks = -(-m // w)
@@ -73,46 +86,88 @@ def _rows_of(off: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.searchsorted(off, place, side="right") - 1
 
 
+def pieces(batch: pa.RecordBatch):
+    """(ids, base, rows, data, offsets) of a batch's texts, some megabytes at a time; base[i]: where text i starts in its row.
+
+    A long text comes in pieces that overlap by SIZE - 1 bytes, so each text of SIZE bytes starts in exactly one of them.
+    """
+    at = 0
+    for part in slices(batch, "text", SLICE_BYTES):
+        ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        data, off = raw(part.column(1))
+        rows = np.arange(at, at + len(ids))
+        at += len(ids)
+        if len(ids) > 1 or len(data) <= 2 * SLICE_BYTES:
+            yield ids, np.zeros(len(ids), np.int64), rows, data, off
+            continue
+        for a in range(0, len(data), SLICE_BYTES):
+            own = data[a : a + SLICE_BYTES + SIZE - 1]
+            yield ids, np.array([a]), rows, own, np.array([0, len(own)])
+
+
+def _first_of(a: np.ndarray) -> np.ndarray:
+    """True at the first of each run of equal values."""
+    return np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
+
+
 def ask(docs: DataFrame, ranges: int) -> DataFrame:
-    """(part, ids, first, hashes, known): a slice's distinct anchor hashes by range of the hash, each with its documents.
+    """(part, ids, hashes, twice): anchor hashes by range of the hash, each with a document that has it.
 
-    first cuts hashes by document. A hash that the slice has twice is asked for once, and marked as known to repeat.
+    A hash that a task has twice among HOLD anchors is asked for once, and marked as known to repeat. Its other documents
+    are told so with rows whose twice is empty, in any range.
     """
 
+    def sent(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((ids, h))
+        h, ids = h[order], ids[order]
+        lone = _first_of(h)
+        twice = np.append(~lone[1:], False) if len(h) else lone
+        other = ~lone & _first_of(ids)
+        out = []
+        to = (h[lone] % np.uint64(ranges)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        to, asked = to[order], np.flatnonzero(lone)[order]
+        cut = np.flatnonzero(np.append(_first_of(to), True))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            mine = asked[a:b]
+            out.append((int(to[a]), ids[mine].tobytes(), h[mine].tobytes(), twice[mine].tobytes()))
+        told = np.flatnonzero(other)
+        for a in range(0, len(told), ASK_ROWS // 10):
+            mine = told[a : a + ASK_ROWS // 10]
+            out.append((int(h[mine[0]] % np.uint64(ranges)), ids[mine].tobytes(), h[mine].tobytes(), b""))
+        kinds = [pa.int32(), *[pa.binary()] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "ids", "hashes", "twice"])
+
     def run(batches):
+        held, n = [], 0
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                data, off = raw(part.column(1))
+            for ids, _, _, data, off in pieces(batch):
                 place, h, _, _ = anchors(data, off)
-                row = _rows_of(off, place)
-                order = np.lexsort((row, h))
-                h, row = h[order], row[order]
-                same = np.concatenate([[False], h[1:] == h[:-1]])
-                twice = same | np.concatenate([same[1:], [False]]) if len(h) else same
-                pair = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else same
-                to = (h % np.uint64(ranges)).astype(np.int64)
-                out = []
-                lone = ~same  # one question for each hash
-                for p in np.unique(to[lone]):
-                    mine = lone & (to == p)
-                    out.append((int(p), ids[row[mine]].tobytes(), h[mine].tobytes(), twice[mine].tobytes()))
-                # What the slice already knows goes straight to its documents, with any range: only the dealing counts.
-                rest = twice & pair & same
-                if rest.any():
-                    out.append((int(h[rest][0] % np.uint64(ranges)), ids[row[rest]].tobytes(), h[rest].tobytes(), b""))
-                if out:
-                    part_, ids_, h_, t_ = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(part_, pa.int32()), pa.array(ids_, pa.binary()), pa.array(h_, pa.binary()), pa.array(t_, pa.binary())], names=["part", "ids", "hashes", "twice"])
+                if not len(place):
+                    continue
+                held.append((h, ids[_rows_of(off, place)]))
+                n += len(h)
+                if n >= HOLD:
+                    yield sent(held)
+                    held, n = [], 0
+        if n:
+            yield sent(held)
 
     return docs.mapInArrow(run, "part int, ids binary, hashes binary, twice binary")
 
 
 def answer(asked: DataFrame) -> DataFrame:
-    """(id, hashes): each document's anchor hashes that occur more than once. A task holds the ranges dealt to it."""
+    """(id, hash): each document with each of its anchor hashes that occur more than once. A task holds the ranges dealt to it."""
+
+    def rows(i: np.ndarray, h: np.ndarray):
+        order = np.argsort(i, kind="stable")
+        i, h = i[order], h[order].view(np.int64)
+        for a in range(0, len(i), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(i[a : a + 50_000]), pa.array(h[a : a + 50_000])], names=["id", "hash"])
 
     def run(batches):
-        ids, hs, twice, told = [], [], [], []
+        ids, hs, twice = [], [], []
         for batch in batches:
             for i, h, t in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
                 i, h, t = (np.frombuffer(x.as_py(), d) for x, d in ((i, np.int64), (h, np.uint64), (t, bool)))
@@ -121,8 +176,7 @@ def answer(asked: DataFrame) -> DataFrame:
                     hs.append(h)
                     twice.append(t)
                 else:
-                    told.append((i, h))
-        out_i, out_h = [x[0] for x in told], [x[1] for x in told]
+                    yield from rows(i, h)
         if hs:
             h, i, t = np.concatenate(hs), np.concatenate(ids), np.concatenate(twice)
             order = np.argsort(h, kind="stable")
@@ -131,23 +185,9 @@ def answer(asked: DataFrame) -> DataFrame:
             again = t.copy()
             again[1:] |= same
             again[:-1] |= same
-            out_i.append(i[again])
-            out_h.append(h[again])
-        if not out_i:
-            return
-        i, h = np.concatenate(out_i), np.concatenate(out_h)
-        order = np.argsort(i, kind="stable")
-        i, h = i[order], h[order]
-        cut = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
-        for at in range(0, len(cut), 2000):
-            some = np.append(cut[at : at + 2001], len(i))[: min(2000, len(cut) - at) + 1]
-            lists = [h[a:b].tobytes() for a, b in zip(some[:-1], some[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(i[some[:-1]]), pa.array(lists, pa.binary())], names=["id", "hashes"])
+            yield from rows(i[again], h[again])
 
-    return asked.mapInArrow(run, "id long, hashes binary")
-
-
-LEFT = SIZE - K
+    return asked.mapInArrow(run, "id long, hash long")
 
 
 def common(a: np.ndarray) -> np.ndarray:
@@ -255,60 +295,133 @@ class LoserTree:
 RUNS = "part int, kind int, lcp binary, rest binary, left binary, id binary, place binary, lo binary, hi binary"
 
 
-def _runs(splitters: list[bytes], spread: int):
-    """A function from batches (id, text, lists of hashes) to runs (kind 0) and certain repeats (kind 1: id, place of the text)."""
-    marks = np.array(splitters, dtype=f"S{K}") if splitters else np.zeros(0, f"S{K}")
+@dataclass(frozen=True)
+class Plan:
+    """Which part a suffix goes to: by splitters, then by its K-gram's hash; suffixes of hot K-grams by deeper bytes."""
+
+    parts: int
+    marks: np.ndarray  # sorted K-grams
+    hot: np.ndarray  # K-grams
+
+    @staticmethod
+    def of(parts: int, grams: list[bytes], hot: list[bytes]) -> Plan:
+        n = min(parts, SPLITTERS)
+        seen = sorted(set(grams))
+        marks = sorted({seen[i * len(seen) // n] for i in range(1, n)}) if seen else []
+        return Plan(parts, np.array(marks, dtype=f"S{K}"), np.array(sorted(hot), dtype=f"S{K}"))
+
+
+def _grams(right: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(right[:, :K]).view(f"S{K}").ravel()  # a trailing zero byte sorts like no byte
+
+
+@dataclass
+class Suffixes:
+    """Anchors with the bytes that their texts reach: from the anchor on, and to its left, the nearest first; others are zero."""
+
+    right: np.ndarray
+    left: np.ndarray
+    own: np.ndarray
+    at: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    part: np.ndarray
+
+    def take(self, by: np.ndarray) -> Suffixes:
+        return Suffixes(*(x[by] for x in vars(self).values()))
+
+    @staticmethod
+    def join(many: list[Suffixes]) -> Suffixes:
+        return Suffixes(*(np.concatenate(x) for x in zip(*(vars(m).values() for m in many), strict=True)))
+
+    def narrow(self) -> None:
+        self.right[np.arange(SIZE) >= SIZE - self.lo[:, None]] = 0
+        self.left[np.arange(1, LEFT + 1) > self.hi[:, None]] = 0
+
+
+def _deal(s: Suffixes, h: np.ndarray, plan: Plan) -> Suffixes:
+    """s with their parts. One of a hot K-gram comes once for each class of l that it has, with what that class needs."""
+    grams = _grams(s.right)
+    to = np.searchsorted(plan.marks, grams, side="right")
+    sub = -(-plan.parts // (len(plan.marks) + 1))
+    s.part = (to * sub + (h % np.uint64(sub)).astype(np.int64)) % plan.parts
+    hot = np.isin(grams, plan.hot)
+    if not hot.any():
+        return s
+    out = [s.take(~hot)]
+    for l0 in range(0, LEFT + 1, CLASS):
+        l1 = min(l0 + CLASS - 1, LEFT)
+        c = s.take(hot & (s.lo <= l1) & (s.hi >= l0))
+        c.lo, c.hi = np.maximum(c.lo, l0), np.minimum(c.hi, l1)
+        c.narrow()
+        key = np.concatenate([c.right[:, : SIZE - l1], c.left[:, :l0]], axis=1)
+        ends = np.arange(1, len(key) + 1) * key.shape[1]
+        c.part = (span_hashes(key.ravel(), ends - key.shape[1], ends) % np.uint64(plan.parts)).astype(np.int64)
+        out.append(c)
+    return Suffixes.join(out)
+
+
+def _runs(plan: Plan):
+    """A function from batches (id, text, hashes) to runs (kind 0) and certain repeats (kind 1: id, place of the text)."""
+
+    def found(ids, base, data, off, wanted) -> tuple[Suffixes, np.ndarray] | None:
+        place, h, lo, hi = anchors(data, off)
+        row = _rows_of(off, place)
+        # A hash that repeats anywhere repeats for every document that has it.
+        keep = np.isin(h, wanted)
+        place, row, lo, hi, h = place[keep], row[keep], lo[keep], hi[keep], h[keep]
+        if not len(place):
+            return None
+        cols = np.arange(SIZE)
+        right = data[np.minimum(place[:, None] + cols, len(data) - 1)]
+        left = data[np.maximum(place[:, None] - np.arange(1, LEFT + 1), 0)]  # the byte before the anchor first
+        s = Suffixes(right, left, ids[row], place - off[:-1][row] + base[row], lo, hi, np.zeros(len(lo), np.int64))
+        s.narrow()  # so bytes of other rows go too; zeros compress away, and contexts fall together
+        return s, h
+
+    def sent(held: list[tuple[Suffixes, np.ndarray]], pack) -> pa.RecordBatch:
+        s = _deal(Suffixes.join([x for x, _ in held]), np.concatenate([h for _, h in held]), plan)
+        s = s.take(_order(np.concatenate([s.right, s.left], axis=1)))
+        # Equal contexts: the first in (document, place) stays, the others are repeats, whatever else there is.
+        new = np.concatenate([[True], ((s.right[1:] != s.right[:-1]).any(axis=1)) | ((s.left[1:] != s.left[:-1]).any(axis=1)) | (s.lo[1:] != s.lo[:-1]) | (s.hi[1:] != s.hi[:-1])])
+        group = np.cumsum(new) - 1
+        by = np.lexsort((s.at, s.own, group))
+        s, group = s.take(by), group[by]
+        head = _first_of(group)
+        first = np.flatnonzero(head)[group]
+        sure = ~head & ((s.own != s.own[first]) | (s.at != s.at[first]))
+        out = []
+        if sure.any():
+            lo, hi, own, at = s.lo[sure], s.hi[sure], s.own[sure], s.at[sure]
+            size = hi - lo + 1
+            starts = np.repeat(at - hi, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            spans = merge(np.repeat(own, size), starts)
+            out.append((int(own[0] % plan.parts), 1, b"", b"", b"", *(x.astype(np.int64).tobytes() for x in spans), b""))
+        s = s.take(~sure)
+        s = s.take(np.argsort(s.part, kind="stable"))
+        cut = np.flatnonzero(np.append(_first_of(s.part), True))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            lcp, rest = front_code(s.right[a:b])
+            out.append((int(s.part[a]), 0, lcp.tobytes(), pack(rest), pack(s.left[a:b].tobytes()), s.own[a:b].tobytes(), s.at[a:b].astype(np.int64).tobytes(), s.lo[a:b].astype(np.uint8).tobytes(), s.hi[a:b].astype(np.uint8).tobytes()))
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RUNS.split(", ")])
 
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        held, n = [], 0
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                data, off = raw(part.column(1))
-                place, h, lo, hi = anchors(data, off)
-                row = _rows_of(off, place)
-                lists = [np.frombuffer(y, np.uint64) for x in part.column(2).to_pylist() for y in x or ()]
-                wanted = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)
-                # A hash that repeats anywhere repeats for every document that has it.
-                keep = np.isin(h, wanted)
-                place, row, lo, hi = place[keep], row[keep], lo[keep], hi[keep]
-                if not len(place):
-                    continue
-                ends = off[1:][row]
-                begin = off[:-1][row]
-                cols = np.arange(SIZE)
-                # Bytes that none of the anchor's texts reach are zero: they compress away, and contexts fall together.
-                right = np.where((place[:, None] + cols < ends[:, None]) & (cols < SIZE - lo[:, None]), data[np.minimum(place[:, None] + cols, len(data) - 1)], 0)
-                cols = np.arange(1, LEFT + 1)  # the byte before the anchor first
-                left = np.where((place[:, None] - cols >= begin[:, None]) & (cols <= hi[:, None]), data[np.maximum(place[:, None] - cols, 0)], 0)
-                own, at = ids[row], place - begin
-                order = _order(np.concatenate([right, left], axis=1))
-                right, left, own, at, lo, hi = right[order], left[order], own[order], at[order], lo[order], hi[order]
-                # Equal contexts: the first in (document, place) stays, the others are repeats, whatever else there is.
-                new = np.concatenate([[True], ((right[1:] != right[:-1]).any(axis=1)) | ((left[1:] != left[:-1]).any(axis=1)) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-                group = np.cumsum(new) - 1
-                by = np.lexsort((at, own, group))
-                right, left, own, at, lo, hi, group = right[by], left[by], own[by], at[by], lo[by], hi[by], group[by]
-                head = np.concatenate([[True], group[1:] != group[:-1]])
-                first = np.flatnonzero(head)[group]
-                later = (own != own[first]) | (at != at[first])
-                sure = ~head & later
-                out = []
-                if sure.any():
-                    size = hi[sure] - lo[sure] + 1
-                    starts = np.repeat(at[sure] - hi[sure], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                    spans = merge(np.repeat(own[sure], size), starts)
-                    out.append((int(own[0] % spread), 1, b"", b"", b"", *(x.astype(np.int64).tobytes() for x in spans[:2]), spans[2].astype(np.int64).tobytes(), b""))
-                stay = ~sure
-                right, left, own, at, lo, hi = right[stay], left[stay], own[stay], at[stay], lo[stay], hi[stay]
-                # Equal K-grams must meet, so the splitters look at these bytes alone. A trailing zero byte sorts like no byte.
-                grams = np.ascontiguousarray(right[:, :K]).view(f"S{K}").ravel()
-                to = np.searchsorted(marks, grams, side="right")
-                cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else np.zeros(0, np.int64)
-                for a, b in zip(cut[:-1], cut[1:], strict=True):
-                    lcp, rest = front_code(right[a:b])
-                    out.append((int(to[a]), 0, lcp.tobytes(), rest, left[a:b].tobytes(), own[a:b].tobytes(), at[a:b].astype(np.int64).tobytes(), lo[a:b].astype(np.uint8).tobytes(), hi[a:b].astype(np.uint8).tobytes()))
-                kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RUNS.split(", ")])
+            lists = batch.column(2)
+            for ids, base, rows, data, off in pieces(batch):
+                wanted = lists.slice(rows[0], len(rows)).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                got = found(ids, base, data, off, wanted)
+                if got is not None:
+                    held.append(got)
+                    n += len(got[1])
+                if n >= RUN_ROWS:
+                    yield sent(held, pack)
+                    held, n = [], 0
+        if n:
+            yield sent(held, pack)
 
     return run
 
@@ -332,6 +445,7 @@ def _groups(order: np.ndarray, lcp: np.ndarray, depth: int) -> np.ndarray:
 
 def _merged(batches):
     """Spans (id, start, end) of later texts, from the runs of a task's ranges."""
+    unpack = zstandard.ZstdDecompressor().decompress
     spans = []
     parts: dict[int, list] = {}
     for batch in batches:
@@ -343,13 +457,14 @@ def _merged(batches):
     for key in sorted(parts):
         rs = parts.pop(key)
         lcps = [np.frombuffer(r["lcp"], np.uint8) for r in rs]
-        rights = [front_decode(l, r["rest"], SIZE) for l, r in zip(lcps, rs, strict=True)]
+        rights = [front_decode(l, unpack(r["rest"]), SIZE) for l, r in zip(lcps, rs, strict=True)]
         tree = LoserTree([([x.tobytes() for x in m], l.tolist()) for m, l in zip(rights, lcps, strict=True)], SIZE)
         run, place, lcp = (np.array(x, dtype=np.int64) for x in zip(*tree, strict=True))
         base = np.concatenate([[0], np.cumsum([len(l) for l in lcps])])
         order = base[run] + place
-        take = lambda c, t, w=None: np.concatenate([np.frombuffer(r[c], t) if w is None else np.frombuffer(r[c], t).reshape(-1, w) for r in rs])
-        left, own, at = take("left", np.uint8, LEFT), take("id", np.int64), take("place", np.int64)
+        take = lambda c, t: np.concatenate([np.frombuffer(r[c], t) for r in rs])
+        left = np.concatenate([np.frombuffer(unpack(r["left"]), np.uint8).reshape(-1, LEFT) for r in rs])
+        own, at = take("id", np.int64), take("place", np.int64)
         lo, hi = take("lo", np.uint8).astype(np.int64), take("hi", np.uint8).astype(np.int64)
         alone = (lcp < K) & (np.append(lcp[1:], 0) < K)  # no other suffix has its K-gram
         many = np.zeros(len(own), dtype=bool)
@@ -377,31 +492,55 @@ def _merged(batches):
             yield pa.RecordBatch.from_pydict({"id": i[a : a + 50_000], "start": s[a : a + 50_000], "end": e[a : a + 50_000]})
 
 
+def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(id, text) of the rows with a key: one shuffle of it by id serves both the runs and the cut."""
+    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).filter("id is not null")
+
+
+def _planned(rows: DataFrame) -> tuple[int, Plan]:
+    """(ranges of the questions, the plan of parts), from the anchors of a sample of documents."""
+    spark = rows.sparkSession
+    share = min(1.0, max(SAMPLE_DOCS / max(1, rows.count()), 1 / SAMPLE_SHARE))
+
+    def run(batches):
+        for batch in batches:
+            grams: list[np.ndarray] = []
+            for _, _, _, data, off in pieces(batch):
+                place, _, _, _ = anchors(data, off)
+                own = data[place[:, None] + np.arange(K)]
+                grams.append(_grams(own))
+            if grams:
+                got, n = np.unique(np.concatenate(grams), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([g.ljust(K, b"\0") for g in got.tolist()], pa.binary()), pa.array(n.astype(np.int64))], names=["gram", "n"])
+
+    spot = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_003)) < int(share * 1_000_003) + 1
+    freq = durable(rows.filter(spot).mapInArrow(run, "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    total = int((freq.agg(F.sum("n").alias("n")).first()["n"] or 0) / share)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges, parts = (max(least, total // x + 1) for x in (ASK_ROWS, PART_ROWS))
+    seen = [bytes(r[0]) for r in freq.orderBy(F.xxhash64("gram"), "gram").limit(2 * SPLITTERS).select("gram").collect()]
+    hot = [bytes(r[0]) for r in freq.filter(F.col("n") > F.lit(share * HOT_DOCS)).select("gram").collect()]  # total / HOT_DOCS at most
+    return ranges, Plan.of(parts, seen, hot)
+
+
+def _repeats(rows: DataFrame) -> DataFrame:
+    ranges, plan = _planned(rows)
+    told = answer(ask(rows, ranges).repartitionById(ranges, "part")).groupBy("id").agg(F.collect_list("hash").alias("hashes"))
+    runs = rows.join(told, "id").select("id", "text", "hashes").mapInArrow(_runs(plan), RUNS).repartitionById(plan.parts, "part")
+    spans = runs.mapInArrow(_merged, "id long, start long, end long")
+    return spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
 def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, spans) of the documents in which bytes are removed: byte spans of texts of SIZE bytes that also start earlier.
 
     Earlier is a smaller key, or the same key and an earlier start. A null text is empty. A row with a null key takes no
-    part. Rows that share a key share their spans: keys are expected to be unique.
+    part. Rows that share a key share their spans: keys are expected to be unique. What a task holds is bounded by HOLD,
+    RUN_ROWS and a part's suffixes; a part outgrows that only where a string of more than SIZE - CLASS bytes, but
+    less than SIZE, is shared by a large part of all documents with other bytes around it in each.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null and octet_length(text) >= %d" % SIZE)
-    about = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
-    size, count = about["b"] or 0, about["n"]
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asks, ranges = (max(least, int(size / 30 / x) + 1) for x in (ASK_ROWS, RANGE_ROWS))
-    asked = ask(rows, asks).repartition(asks, "part")
-    told = answer(asked).groupBy("id").agg(F.collect_list("hashes").alias("hashes"))
-    # Splitters: one substring of about SAMPLES documents, from all of them by a hash; the driver sees only these.
-    one = F.substring("text", 1, K) if size == 0 else F.substr(F.col("text"), 1 + F.pmod(F.xxhash64("id"), F.greatest(F.length("text") - K, F.lit(1))).cast("int"), F.lit(K))
-    share = min(1.0, SAMPLES / max(1, count))
-    spot = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_003)) < int(share * 1_000_003) + 1
-    seen = sorted({r[0].encode()[:K].ljust(K, b" ") for r in rows.filter(spot).select(one).collect()})
-    splitters = sorted({seen[i * len(seen) // ranges] for i in range(1, ranges)}) if seen else []
-    wanted = rows.join(told, "id")
-    runs = wanted.select("id", "text", "hashes").mapInArrow(_runs(splitters, ranges), RUNS).repartition(ranges, "part")
-    spans = runs.mapInArrow(_merged, "id long, start long, end long")
-    return spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    bound_batches(docs.sparkSession)
+    return _repeats(_rows(docs, text, key))
 
 
 def cut(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -430,13 +569,16 @@ def cut(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_i
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "n_bytes", "spans", "kept"])
 
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(spans, "id", "left")
-    done = rows.select("id", "text", "spans").mapInArrow(run, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    rows = _rows(docs, text, key).join(spans, "id", "left").select("id", "text", "spans")
+    none = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).filter("id is null")
+    rows = rows.unionByName(none, allowMissingColumns=True)
+    done = rows.mapInArrow(run, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return done.select(F.col("id").alias(key), "n_bytes", "spans", "kept")
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """cut() of repeats(): every row of docs with what is removed from it and what stays. An empty table stays empty."""
-    spans = durable(repeats(docs, text, key))
-    release(docs.sparkSession)
-    return cut(docs, spans, text, key)
+    """cut() of repeats(): every row of docs with what is removed from it and what stays.
+
+    A row with a null key stays whole. An empty table stays empty.
+    """
+    return cut(docs, repeats(docs, text, key), text, key)

@@ -170,6 +170,49 @@ def test_suffix_dedup_random(spark):
     assert suffix_dedup.dedup(d.limit(0)).count() == 0
 
 
+def dedup_digests(d):
+    return suffix_dedup.dedup(d).select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("r"), F.size("spans").alias("s"), F.sha2("kept", 256).alias("h"))
+
+
+@pytest.mark.parametrize("hot", [300_000, 20])
+@pytest.mark.parametrize("size", [50, 70, 95, 130])
+def test_suffix_dedup_shared_line(spark, monkeypatch, hot, size):
+    """A line that all documents have, with other text around it in each, some of it alike in groups of documents."""
+    monkeypatch.setattr(suffix_dedup, "HOT_DOCS", hot)
+    rng = random.Random(size)
+    words = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, sides = words(size), [words(70) for _ in range(6)]
+    rows = [(i, words(rng.randint(0, 200)) + rng.choice(sides) + line + rng.choice(sides) + words(rng.randint(0, 200))) for i in range(150)] + [(200, line * 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert by_key(dedup_digests(d), ["n_bytes", "r", "s", "h"]) == brute.repeats(rows)
+
+
+def test_suffix_dedup_long_text(spark):
+    """Texts that are worked on in several pieces; null keys stay whole."""
+    rng = random.Random(5)
+    half = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz é", k=2_400_000))
+    n = len(half.encode())
+    d = spark.createDataFrame([(1, half + half), (2, "x" + half[1000:5000]), (None, half[:500])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["r"], r["s"]) for r in dedup_digests(d).collect()}
+    part = len(half[1000:5000].encode())
+    assert got == {1: (2 * n, n, 1), 2: (part + 1, part, 1), None: (len(half[:500].encode()), 0, 0)}
+
+
+def test_pieces_hold_each_text_once(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 300)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab é") for _ in range(n)) for n in (10, 2000, 99, 100, 700, 0, 250)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(7), pa.int64()), "text": texts})
+    found = Counter()
+    for ids, base, rows, data, off in suffix_dedup.pieces(batch):
+        place, _, lo, hi = suffix_dedup.anchors(data, off)
+        row = suffix_dedup._rows_of(off, place)
+        for p, r, a, b in zip(place, row, lo, hi, strict=True):
+            for l in range(a, b + 1):
+                found[int(ids[r]), int(p - off[r] + base[r] - l)] += 1
+    assert found == Counter((i, k) for i, t in enumerate(texts) for k in range(max(0, len(t.encode()) - 99)))
+
+
 def test_loser_tree():
     rng = random.Random(2)
     runs = []
