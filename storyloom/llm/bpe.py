@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, powers, raw, with_struct
+from .common import _BACK, BASE, powers, raw, with_struct
 
 #: Bytes that the rolling hash sees; the mean size of a chunk, and its least but at a text's end.
 ROLL = 16
-MEAN_CHUNK, LEAST_CHUNK = 1024, 192
+MEAN_CHUNK, LEAST_CHUNK = 2048, 256
 #: Characters on either side of a cut that a window covers at least, beyond the longest added token.
 MARGIN = 12
 #: Characters of chunks in one generation of a worker's cache (there are two), and in one call of the tokenizer.
@@ -52,11 +52,9 @@ def cuts(data: np.ndarray) -> np.ndarray:
     n = len(data)
     if n <= ROLL:
         return np.zeros(0, np.int64)
-    scale = powers(BASE, ROLL)[::-1]
-    wide = data.astype(np.uint64) + np.uint64(1)
-    h = np.zeros(n - ROLL, np.uint64)
-    for k in range(ROLL):
-        h += wide[k : n - ROLL + k] * scale[k]
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=total[1:])
+    h = (total[ROLL:-1] - total[: -ROLL - 1]) * powers(_BACK, n - ROLL)
     h ^= h >> np.uint64(29)
     at = np.flatnonzero((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40) < np.uint64((1 << 24) // MEAN_CHUNK)) + ROLL
     return at[(data[at] & 0xC0) != 0x80]

@@ -41,6 +41,8 @@ ASK_ROWS, PART_ROWS, HOLD, RUN_ROWS = 1_000_000, 300_000, 1_000_000, 200_000
 #: Documents from which parts are planned, by a hash of the key: this many at least, one in so many at least; and splitters.
 #: The plan changes where suffixes meet, never the result.
 SAMPLE_DOCS, SAMPLE_SHARE, SPLITTERS = 5_000, 1000, 10_000
+#: The text column on the way; a name of its own, as Spark sees two scans as one shuffle only if both rename it.
+BODY = "__body"
 #: A K-gram in more documents than this is split, by classes of so many values of l.
 HOT_DOCS, CLASS = 300_000, 8
 
@@ -92,7 +94,7 @@ def pieces(batch: pa.RecordBatch):
     A long text comes in pieces that overlap by SIZE - 1 bytes, so each text of SIZE bytes starts in exactly one of them.
     """
     at = 0
-    for part in slices(batch, "text", SLICE_BYTES):
+    for part in slices(batch, BODY, SLICE_BYTES):
         ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         data, off = raw(part.column(1))
         rows = np.arange(at, at + len(ids))
@@ -493,8 +495,8 @@ def _merged(batches):
 
 
 def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(id, text) of the rows with a key: one shuffle of it by id serves both the runs and the cut."""
-    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).filter("id is not null")
+    """(id, BODY) of the rows with a key: one shuffle of it by id serves both the runs and the cut."""
+    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias(BODY)).filter("id is not null")
 
 
 def _planned(rows: DataFrame) -> tuple[int, Plan]:
@@ -526,7 +528,7 @@ def _planned(rows: DataFrame) -> tuple[int, Plan]:
 def _repeats(rows: DataFrame) -> DataFrame:
     ranges, plan = _planned(rows)
     told = answer(ask(rows, ranges).repartitionById(ranges, "part")).groupBy("id").agg(F.collect_list("hash").alias("hashes"))
-    runs = rows.join(told, "id").select("id", "text", "hashes").mapInArrow(_runs(plan), RUNS).repartitionById(plan.parts, "part")
+    runs = rows.join(told, "id").select("id", BODY, "hashes").mapInArrow(_runs(plan), RUNS).repartitionById(plan.parts, "part")
     spans = runs.mapInArrow(_merged, "id long, start long, end long")
     return spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
@@ -569,8 +571,8 @@ def cut(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_i
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "n_bytes", "spans", "kept"])
 
     bound_batches(docs.sparkSession)
-    rows = _rows(docs, text, key).join(spans, "id", "left").select("id", "text", "spans")
-    none = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).filter("id is null")
+    rows = _rows(docs, text, key).join(spans, "id", "left").select("id", BODY, "spans")
+    none = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias(BODY)).filter("id is null")
     rows = rows.unionByName(none, allowMissingColumns=True)
     done = rows.mapInArrow(run, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return done.select(F.col("id").alias(key), "n_bytes", "spans", "kept")

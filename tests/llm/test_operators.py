@@ -202,7 +202,7 @@ def test_pieces_hold_each_text_once(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 300)
     rng = random.Random(6)
     texts = ["".join(rng.choice("ab é") for _ in range(n)) for n in (10, 2000, 99, 100, 700, 0, 250)]
-    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(7), pa.int64()), "text": texts})
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(7), pa.int64()), suffix_dedup.BODY: texts})
     found = Counter()
     for ids, base, rows, data, off in suffix_dedup.pieces(batch):
         place, _, lo, hi = suffix_dedup.anchors(data, off)
