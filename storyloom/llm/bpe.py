@@ -11,16 +11,26 @@ other: from an agreed word on, the tokenizer's left-to-right splitting goes on a
 short to hold both words, the chunks around the join are encoded as one, twice as many with each round, until all joins
 agree or the text is one chunk. Nothing is presumed of the tokenizer but that: words come from its own splitter (a tokenizer
 that doesn't split gets whole texts), and the words lie further from the cut than its longest added token reaches.
+
+Most chunks are new, but most of what stands between their spaces is not. Where the tokenizer's own description shows that
+no word of it reaches over a space (`parted`), each distinct piece between spaces is encoded once by the tokenizer while a
+worker's cache of pieces lasts, and a new chunk is put together from its pieces. Other tokenizers encode each new chunk whole.
+Windows at joins are always encoded whole.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
+import re
+import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +43,8 @@ MEAN_CHUNK, LEAST_CHUNK = 2048, 256
 MARGIN = 12
 #: Characters of chunks in one generation of a worker's cache (there are two), and in one call of the tokenizer.
 CACHE_CHARS, CALL_CHARS = 24_000_000, 1_000_000
+#: Pieces between spaces in one of two generations of a worker's cache.
+PIECES = 400_000
 
 
 @lru_cache(maxsize=4)
@@ -108,6 +120,82 @@ def _word_at(enc, place: int, step: int, n: int) -> int | None:
     return None
 
 
+def parted(tok) -> bool:
+    """Does the tokenizer encode what stands between two spaces always alike, whatever stands around it?
+
+    So if it has a model of byte pairs without dropout, its splitter keeps the matches of a pattern that never looks around
+    and of which no part matches a space, its normaliser composes, lowers or collapses white space only, and
+    its added tokens are plain strings without a space. False where its description doesn't show that.
+    """
+    spec = json.loads(tok.to_str())
+    flat = lambda x, key: [] if x is None else [z for y in x[key] for z in flat(y, key)] if x["type"] == "Sequence" else [x]
+    white = {"Regex": r"\s+"}
+    normal = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and (x["pattern"], x["content"]) == (white, " ") for x in flat(spec["normalizer"], "normalizers"))
+    split, *rest = flat(spec["pre_tokenizer"], "pretokenizers") or [{"type": None}]
+    level = all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in rest)
+    pattern = split["pattern"].get("Regex") if split["type"] == "Split" and split["behavior"] == "Removed" and split["invert"] else None
+    if pattern is None or re.search(r"\(\?(?!:)|\\[bBAzZGKkXR1-9]|[.$&]|(?<!\[)\^", pattern):
+        return False
+    parts = re.findall(r"\[(?:\\.|[^\]\\])*\]|\\[pP]\{[^}]*\}|\\.|[^|()?*+{}\\\[\]]", pattern)
+    plain = not any(regex.fullmatch(x, " ") for x in parts)
+    model = spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and spec["post_processor"] is None
+    added = all(" " not in x["content"] and not (x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]) for x in spec["added_tokens"])
+    return normal and level and plain and model and added
+
+
+class Pieces:
+    """The ids of pieces between spaces, each encoded once while the cache lasts."""
+
+    def __init__(self, tok):
+        self.tok = tok
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The cache, with all pieces in it."""
+        if len(self.young) > PIECES:
+            self.young, self.old = {"": b""}, self.young
+        young, old = self.young, self.old
+        young |= {x: old[x] for x in pieces & old.keys()}
+        new = list(pieces - young.keys())
+        # Many in one text, told apart by their places, unless the normaliser may move places.
+        still = [x for x in new if x.isprintable() and (x.isascii() or unicodedata.is_normalized("NFC", x) and len(x.lower()) == len(x))]
+        for a in range(0, len(still), 50_000):
+            some = still[a : a + 50_000]
+            enc = self.tok.encode_batch([" ".join(some)], add_special_tokens=False)[0]
+            ids = np.array(enc.ids, dtype="<u4").tobytes()
+            ends = np.cumsum([len(x) + 1 for x in some])
+            cut = (4 * np.searchsorted(np.array(enc.offsets, dtype=np.int64).reshape(-1, 2)[:, 0], ends)).tolist()
+            young.update(zip(some, [ids[i:j] for i, j in zip([0, *cut[:-1]], cut, strict=True)], strict=True))
+        odd = list(pieces - young.keys())
+        young |= {x: np.array(e.ids, dtype="<u4").tobytes() for x, e in zip(odd, self.tok.encode_batch(odd, add_special_tokens=False), strict=True)}
+        return young
+
+    def chunks(self, texts: list[str], margin: int) -> dict[str, Chunk]:
+        """Those of texts, with a piece on either side for windows where they are long enough to need it."""
+        split = [t.split(" ") for t in texts]
+        known = self.learn(set(itertools.chain.from_iterable(split)))
+        out = {}
+        for text, own in zip(texts, split, strict=True):
+            ids = b"".join(map(known.__getitem__, own))
+            early, at, first = None, 0, 0
+            for x in own[:-1]:
+                n = len(known[x]) // 4
+                if n and at >= margin:
+                    early = Word(at, at + len(x), first, first + n)
+                    break
+                at, first = at + len(x) + 1, first + n
+            late, at, first = None, len(text) + 1, len(ids) // 4
+            for k in range(len(own) - 1, 0, -1):
+                n = len(known[own[k]]) // 4
+                at, first = at - len(own[k]) - 1, first - n
+                if n and k + 1 < len(own) and len(text) - at > margin:
+                    late = Word(at, at + len(own[k]), first, first + n)
+                    break
+            out[text] = Chunk(text, ids, early, late)
+        return out
+
+
 class Encoder:
     """Encodes texts to (ids as little-endian 32-bit, decoded text); one for a worker."""
 
@@ -115,6 +203,7 @@ class Encoder:
         self.tok = tokenizer(path)
         added = self.tok.get_added_tokens_decoder().values()
         self.margin = MARGIN + max((len(t.content) for t in added), default=0)
+        self.pieces = Pieces(self.tok) if parted(self.tok) else None
         self.young: dict[str, Chunk] = {}
         self.old: dict[str, Chunk] = {}
         self.held = self.made = self.reused = self.repaired = self.widened = 0
@@ -151,9 +240,10 @@ class Encoder:
             else:
                 out[t] = self.young[t] = c
         self.made += len(new)
-        for t, enc in self.encodings(new):
-            out[t] = self.young[t] = self.chunk(t, enc)
-            self.held += len(t)
+        self.held += sum(map(len, new))
+        made = self.pieces.chunks(new, self.margin) if self.pieces else {t: self.chunk(t, enc) for t, enc in self.encodings(new)}
+        self.young |= made
+        out |= made
         if self.held > CACHE_CHARS:
             self.young, self.old, self.held = {}, self.young, 0
         return out
@@ -170,11 +260,12 @@ class Encoder:
         for text, enc in self.encodings(list(windows)):
             ids = np.array(enc.ids, dtype="<u4").tobytes()
             for x, y in windows[text]:
-                cut = len(x.text) - x.late.start
-                head, k = _word(enc, 0), enc.char_to_word(cut + y.early.start)
-                tail = _word(enc, k) if k is not None else None
-                fits = head and tail and (head.start, head.end) == (0, x.late.end - x.late.start) and (tail.start, tail.end) == (cut + y.early.start, len(text))
-                if fits and 4 * tail.last == len(ids) and ids[: 4 * head.last] == x.of(x.late) and ids[4 * tail.first :] == y.of(y.early):
+                cut, k, n = len(x.text) - x.late.start, x.late.last - x.late.first, y.early.last - y.early.first
+                if 4 * (k + n) > len(ids) or ids[: 4 * k] != x.of(x.late) or ids[len(ids) - 4 * n :] != y.of(y.early):
+                    continue
+                # Agreed in their ids; the places where the one ends and the other begins must be the same, too.
+                head, tail = enc.token_to_chars(k - 1), enc.token_to_chars(len(ids) // 4 - n)
+                if head and tail and head[1] == x.late.end - x.late.start and tail[0] == cut + y.early.start:
                     done[x.text, y.text] = ids
         return done
 

@@ -262,6 +262,27 @@ def test_bpe_joins_are_repaired(monkeypatch, name, mean, least):
     assert e.repaired and (least > 1 or e.widened)
 
 
+def test_bpe_pieces_need_a_plain_description():
+    """Texts are encoded by pieces between spaces only where the tokenizer's file shows that no word reaches over a space."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(bpe.tokenizer(BPE).to_str())
+
+    def with_(f):
+        changed = json.loads(json.dumps(spec))
+        f(changed)
+        return bpe.parted(Tokenizer.from_str(json.dumps(changed)))
+
+    split = lambda x: x["pre_tokenizer"]["pretokenizers"][0]
+    assert with_(lambda x: None) and not bpe.parted(bpe.tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+    assert not with_(lambda x: split(x)["pattern"].update(Regex=r"[\p{L} ]+|[^\s]")) and not with_(lambda x: split(x)["pattern"].update(Regex=r"\s?\p{L}+"))
+    assert not with_(lambda x: split(x)["pattern"].update(Regex=r"\p{L}+(?=\s)")) and not with_(lambda x: split(x).update(invert=False, behavior="Isolated"))
+    assert not with_(lambda x: x.update(pre_tokenizer=None)) and not with_(lambda x: x["normalizer"]["normalizers"].append({"type": "Prepend", "prepend": "_"}))
+    assert not with_(lambda x: x["added_tokens"][0].update(lstrip=True))
+
+
 def test_bpe_reuses_chunks(monkeypatch):
     text = " ".join(f"word{i} more." for i in range(3000))
     e = bpe.Encoder(BPE)
