@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .text import _lits, _names, words
+from .text import _lits, _names, key_names, words
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -80,9 +80,11 @@ def topic_conflict(a: Column, b: Column) -> Column:
 
 
 def signature_similarity(a: Column, b: Column) -> Column:
-    """0.4 verbs + 0.3 event types + 0.3 entities, each a set ratio."""
+    """0.4 verbs + 0.3 event types + 0.3 key entities, each a set ratio; 0 where a signature is missing."""
     verbs = lambda s: F.transform(s["actions"], lambda x: x["verb"])
-    return 0.4 * jaccard(verbs(a), verbs(b)) + 0.3 * jaccard(a["event_types"], b["event_types"]) + 0.3 * jaccard(a["entities"], b["entities"])
+    names = lambda s: F.array_distinct(key_names(s["entities"]))
+    score = 0.4 * jaccard(verbs(a), verbs(b)) + 0.3 * jaccard(a["event_types"], b["event_types"]) + 0.3 * jaccard(names(a), names(b))
+    return F.when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(score)
 
 
 def geo_similarity(a: Column, b: Column) -> Column:

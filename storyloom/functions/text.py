@@ -137,7 +137,8 @@ def promotional(title: Column, description: Column, url: Column) -> Column:
     text, low = F.lower(F.concat_ws(" ", title, description)), F.lower(url)
     ws = words(F.trim(title))
     capital = F.size(F.filter(ws, lambda w: w.rlike(r"^\p{Lu}")))
-    venue = (F.size(ws) <= 4) & (capital * 10 >= F.size(ws) * 7) & (text.rlike(any_of(vocab.DINING)) | low.rlike(any_of(vocab.DINING_URLS)))
+    guide = low.rlike(any_of(vocab.VENUE_URLS)) & ~F.lower(title).rlike(any_of(vocab.NEWS_WORDS))
+    venue = (F.size(ws) <= 4) & (capital * 10 >= F.size(ws) * 7) & (text.rlike(any_of(vocab.DINING)) | low.rlike(any_of(vocab.DINING_URLS)) | guide)
     return text.rlike(any_of(vocab.PROMO_PHRASES)) | text.rlike(any_pattern(vocab.PROMO_PATTERNS)) | low.rlike(any_of(vocab.PROMO_URLS)) | F.lower(title).rlike(r"^the \d+ best .* to (?:shop|buy)") | venue
 
 
@@ -150,20 +151,42 @@ def _names(text: Column, table) -> Column:
     return F.filter(F.array(*[F.when(text.rlike(any_of(ws)), F.lit(n)) for n, ws in table]), lambda x: x.isNotNull())
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def key_entities(found: Column) -> Column:
+    """array<struct<text, type, priority>>: the five entities of the highest priority, of equals the first."""
+    kind = lambda e: F.when(e["type"] == "PERSON", 3).when(e["type"].isin("ORGANIZATION", "LOCATION"), 2).when(e["type"] == "EVENT", 1).otherwise(0)
+    ranked = F.array_sort(F.transform(found, lambda e, i: F.struct((-kind(e)).alias("p"), i.alias("i"), e["text"].alias("text"), e["type"].alias("type"))))
+    return F.transform(F.slice(ranked, 1, 5), lambda x: F.struct(x["text"].alias("text"), x["type"].alias("type"), (-x["p"]).alias("priority")))
+
+
+def key_names(five: Column) -> Column:
+    """The names, in lower case, of those key entities that are persons, organisations or places."""
+    return F.transform(F.filter(five, lambda e: e["priority"] >= 2), lambda e: F.lower(e["text"]))
+
+
 def event_signature(title: Column, description: Column, found: Column) -> Column:
-    """struct: up to three verbs by first place with their context, event types, scale, temporal, confidence, hash."""
+    """struct: up to three verbs by first place with their context, event types, scale, temporal, key entities, confidence, hash."""
+    verbs = _lits(vocab.ACTIONS)
+
+    def made(x: Column) -> Column:
+        text, toks, five = x["text"], x["toks"], x["five"]
+        three = F.slice(F.array_intersect(toks, verbs), 1, 3)  # in order of their first place
+        at = lambda v: F.array_position(toks, v).cast("int")
+        actions = F.transform(three, lambda v: F.struct(v.alias("verb"), F.array_join(F.slice(toks, F.greatest(at(v) - 2, F.lit(1)), at(v) + 3 - F.greatest(at(v) - 2, F.lit(1))), " ").alias("context"), (at(v) - 1).cast("long").alias("position")))
+        types, scale, when = _names(text, vocab.EVENT_TYPES), _names(text, vocab.SCALES), _names(text, vocab.TEMPORAL)
+        sure = 0.4 * F.size(three) / 3 + 0.3 * F.least(F.size(types), F.lit(2)) / 2 + 0.2 * F.least(F.size(scale), F.lit(2)) / 2
+        part = lambda name, xs: F.when(F.size(xs) > 0, F.concat(F.lit(name + ":"), F.array_join(F.array_sort(xs), ",")))
+        joined = F.concat_ws("|", part("actions", three), part("types", types), part("entities", key_names(F.slice(five, 1, 2))))
+        hashed = F.substring(F.md5(F.when(joined == "", "none").otherwise(joined).cast("binary")), 1, 12)
+        return F.struct(actions.alias("actions"), types.alias("event_types"), scale.alias("scale"), when.alias("temporal"), five.alias("entities"), F.round(F.least(sure, F.lit(1.0)), 6).alias("confidence"), hashed.alias("hash"))
+
     text = F.lower(F.concat_ws(" ", title, description))
-    toks = F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    verbs = F.filter(F.transform(_lits(vocab.ACTIONS), lambda v: F.struct(F.array_position(toks, v).alias("p"), v.alias("v"))), lambda x: x["p"] > 0)
-    three = F.slice(F.array_sort(verbs), 1, 3)
-    actions = F.transform(three, lambda x: F.struct(x["v"].alias("verb"), F.array_join(F.slice(toks, F.greatest(x["p"] - 2, F.lit(1)).cast("int"), (x["p"] + 2 - F.greatest(x["p"] - 2, F.lit(1)) + 1).cast("int")), " ").alias("context"), (x["p"] - 1).alias("position")))
-    types, scale, when = _names(text, vocab.EVENT_TYPES), _names(text, vocab.SCALES), _names(text, vocab.TEMPORAL)
-    two = F.slice(F.transform(F.filter(found, lambda e: e["type"].isin("PERSON", "ORGANIZATION", "LOCATION")), lambda e: F.lower(e["text"])), 1, 2)
-    sure = 0.4 * F.size(actions) / 3 + 0.3 * F.least(F.size(types), F.lit(2)) / 2 + 0.2 * F.least(F.size(scale), F.lit(2)) / 2
-    part = lambda name, xs: F.when(F.size(xs) > 0, F.concat(F.lit(name + ":"), F.array_join(F.array_sort(xs), ",")))
-    joined = F.concat_ws("|", part("actions", F.transform(actions, lambda a: a["verb"])), part("types", types), part("entities", two))
-    hashed = F.substring(F.md5(F.when(joined == "", "none").otherwise(joined).cast("binary")), 1, 12)
-    return F.struct(actions.alias("actions"), types.alias("event_types"), scale.alias("scale"), when.alias("temporal"), two.alias("entities"), F.round(F.least(sure, F.lit(1.0)), 6).alias("confidence"), hashed.alias("hash"))
+    with_words = lambda t: F.struct(t.alias("text"), F.filter(F.split(t, r"[^\p{L}\p{N}_]+"), lambda w: w != "").alias("toks"), key_entities(found).alias("five"))
+    return let(let(text, with_words), made)
 
 
 def _fold(c: Column, patterns: Iterable[str]) -> Column:

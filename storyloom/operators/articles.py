@@ -1,11 +1,13 @@
-"""Table jobs over articles and stories: cleaning, ids, flags, display columns. Projections only; none shuffles."""
+"""Table jobs over articles and stories: cleaning, ids, flags, display columns. Mostly projections."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import vocab
+from ..functions import similarity as Z
 from ..functions import text as X
 
 
@@ -37,20 +39,30 @@ def with_cost(df: DataFrame, prices: DataFrame, model: str = "model") -> DataFra
     return df.join(prices, model).withColumn("cost", F.when(F.col("batch"), raw / 2).otherwise(raw)).drop("a", "b", "c")
 
 
+def _first_members(members: DataFrame, n: int, *cols: str) -> DataFrame:
+    """(story_id, m): the first n members (doc_id, cols) of each story, by number.
+
+    Ranks are cut to n before and after the shuffle, and texts are joined to the few that stay, so a story's size doesn't count.
+    """
+    w = Window.partitionBy("story_id").orderBy("doc_id")
+    few = members.select("story_id", "doc_id").withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")
+    return few.join(members.select("doc_id", *cols), "doc_id").groupBy("story_id").agg(F.sort_array(F.collect_list(F.struct("doc_id", *cols))).alias("m"))
+
+
 def fallback_summary(stories: DataFrame, members: DataFrame) -> DataFrame:
     """(story_id, summary): the title, up to three sources, and the first member's description; a hundred words at most."""
-    one = members.groupBy("story_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("doc_id", "source", "description"))), 1, 3).alias("m"), F.count("*").alias("n"))
+    one = _first_members(members, 3, "source", "description")
     m = F.col("m")
     lead = F.substring(m[0]["description"], 1, 300)
     many = F.concat(F.col("title"), F.lit(". Multiple sources including "), F.array_join(F.transform(m, lambda x: x["source"]), ", "), F.lit(" are reporting on this story. "), lead)
-    text = F.when(F.col("n") == 1, F.concat(F.col("title"), F.lit(". According to "), m[0]["source"], F.lit(", "), lead)).otherwise(many)
+    text = F.when(F.size("m") == 1, F.concat(F.col("title"), F.lit(". According to "), m[0]["source"], F.lit(", "), lead)).otherwise(many)
     return stories.join(one, "story_id").select("story_id", F.array_join(F.slice(X.words(text), 1, 100), " ").alias("summary"))
 
 
 def summary_requests(members: DataFrame) -> DataFrame:
     """(story_id, template, prompt): numbered blocks of the first six members, a thousand characters each."""
-    one = members.groupBy("story_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("doc_id", "source", "headline", "text"))), 1, 6).alias("m"))
-    block = lambda x, i: F.concat(F.lit("Source "), (i + 1).cast("string"), F.lit(": "), x["source"], F.lit("\nTitle: "), x["headline"], F.lit("\nContent: "), F.substring(x["text"], 1, 1000))
+    one = _first_members(members.withColumn("text", F.substring("text", 1, 1000)), 6, "source", "headline", "text")
+    block = lambda x, i: F.concat(F.lit("Source "), (i + 1).cast("string"), F.lit(": "), x["source"], F.lit("\nTitle: "), x["headline"], F.lit("\nContent: "), x["text"])
     return one.select("story_id", F.when(F.size("m") == 1, "single").otherwise("multi").alias("template"), F.array_join(F.transform("m", block), "\n\n---\n\n").alias("prompt"))
 
 
@@ -70,13 +82,24 @@ def story_detail(stories: DataFrame, members: DataFrame, asof: Column) -> DataFr
     return stories.join(one, "story_id", "left").withColumns({"unique_sources": F.coalesce(F.size("sources"), F.lit(0)), "summary_state": state})
 
 
-def client_view(detail: DataFrame) -> DataFrame:
+def feed_columns(stories: DataFrame) -> DataFrame:
+    """What a feed row needs of a story, those columns that there are; vectors and the like stay behind."""
+    wanted = ("story_id", "title", "category", "tags", "status", "level", "summary", "source_count", "first_seen", "last_updated", "importance", "breaking", "members")
+    return stories.select(*[c for c in wanted if c in stories.columns])
+
+
+def client_view(detail: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+    """Stories as a client shows them. level is 0 to 10; trending is .9 for breaking news, else a tenth of the importance.
+
+    urls (story_id, url), where given, adds the address of the story's first source.
+    """
     words = F.size(X.words(F.coalesce("summary", F.lit(""))))
     level = F.least(F.col("source_count"), F.lit(10))
-    return detail.select(
-        "story_id", "title", X.normalize_category(F.col("category")).alias("category"), F.greatest(F.lit(1), F.floor(words / 200)).cast("int").alias("minutes"),
-        F.round(level / 10, 6).alias("credibility"), F.round(F.when(F.col("breaking"), 0.9).otherwise(F.col("importance") / 100), 6).alias("trending"),
+    out = with_status(detail).select(
+        "story_id", "title", X.normalize_category(F.col("category")).alias("category"), F.greatest(F.lit(1), F.floor(words / 200)).cast("int").alias("minutes"), "status",
+        F.round(level / 10, 6).alias("credibility"), F.round(F.when(F.col("breaking"), 0.9).otherwise(F.col("importance") / 10), 6).alias("trending"),
     )
+    return out if urls is None else out.join(urls.select("story_id", "url"), "story_id", "left")
 
 
 def display_columns(stories: DataFrame, asof: Column) -> DataFrame:
@@ -127,21 +150,40 @@ def visible_stories(stories: DataFrame, category: str | None, asof: Column) -> D
 
 
 def needs_summary(stories: DataFrame, asof: Column, hours: int, n: int) -> DataFrame:
-    """The n latest stories without a summary that changed within the hours before asof."""
+    """The n latest stories without a summary that changed within the hours before asof, but those that are only monitored."""
     recent = F.col("last_updated") >= asof - F.expr(f"interval {hours} hours")
-    return stories.filter((F.length(F.coalesce("summary", F.lit(""))) == 0) & (F.col("source_count") >= 1) & recent).orderBy(F.desc("last_updated"), "story_id").limit(n)
-
-
-def needs_enrichment(articles: DataFrame, asof: Column, vectors: DataFrame) -> DataFrame:
-    """Processed articles of the last seven days without a vector."""
-    fresh = articles.filter("processed").filter(F.col("published_at") >= asof - F.expr("interval 7 days"))
-    return fresh.join(vectors.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
+    watched = F.coalesce(F.col("status") != "MONITORING", F.lit(True))
+    return stories.filter((F.length(F.coalesce("summary", F.lit(""))) == 0) & (F.col("source_count") >= 1) & watched & recent).orderBy(F.desc("last_updated"), "story_id").limit(n)
+
+
+def needs_enrichment(articles: DataFrame, asof: Column, vectors: DataFrame, linked: DataFrame | None = None, least_confidence: float = 0.3, geography: bool = False) -> DataFrame:
+    """Processed articles of the last seven days that lack a vector, entity links, a signature or places.
+
+    linked (doc_id): the articles whose entities are linked; None turns that gate off. A signature is missing where
+    `signature` is null and `confidence` is least_confidence or more, if articles has these columns; places where
+    `places` is null, if geography is asked for.
+    """
+    fresh = articles.filter("processed").filter(F.floor((asof.cast("long") - F.col("published_at").cast("long")) / 86400) <= 7)
+    j = fresh.join(vectors.select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("__vector")).distinct(), "doc_id", "left")
+    lacks = F.col("__vector").isNull()
+    if linked is not None:
+        j = j.join(linked.select("doc_id", F.lit(True).alias("__linked")).distinct(), "doc_id", "left")
+        lacks = lacks | F.col("__linked").isNull()
+    if "signature" in articles.columns:
+        lacks = lacks | (F.col("signature").isNull() & (F.coalesce("confidence", F.lit(0.0)) >= least_confidence))
+    if geography:
+        lacks = lacks | F.col("places").isNull()
+    return j.filter(lacks).select(articles.columns)
 
 
 def validate_stories(detail: DataFrame) -> DataFrame:
-    """(story_id, issues) of stories with an issue."""
+    """(story_id, issues) of stories with an issue. detail: story_id, title, category, last_updated, sources (null: none listed)."""
     issue = lambda c, name: F.when(c, F.lit(name))
-    issues = F.array(issue(F.length(F.coalesce("title", F.lit(""))) < 10, "short title"), issue(F.coalesce("source_count", F.lit(0)) < 2, "single source"), issue(F.length(F.coalesce("summary", F.lit(""))) == 0, "no summary"), issue(~F.col("category").isin(*vocab.CATEGORIES), "unknown category"))
+    title, n = F.coalesce("title", F.lit("")), F.coalesce(F.size("sources"), F.lit(0))
+    issues = F.array(
+        issue(F.col("title").isNull(), "no title"), issue(F.col("category").isNull(), "no category"), issue(F.col("last_updated").isNull(), "no time"), issue(F.length(F.trim(title)) < 10, "short title"), issue(F.length(title) > 200, "long title"),
+        issue(n <= 0, "no sources"), issue(n > 20, "many sources"), issue(~F.col("category").isin(*vocab.CATEGORIES, "tech", "us", "europe", "australia", "general"), "unknown category"),
+    )
     return detail.select("story_id", F.filter(issues, lambda x: x.isNotNull()).alias("issues")).filter(F.size("issues") > 0)
 
 
@@ -150,11 +192,19 @@ def ready_feeds(feeds: DataFrame, state: DataFrame, asof: Column, seconds: int)
     return feeds.join(state.select("feed", "last_poll"), "feed", "left").filter(F.col("last_poll").isNull() | (asof.cast("long") - F.col("last_poll").cast("long") >= seconds)).drop("last_poll")
 
 
-def rank_entities(df: DataFrame, title: str = "headline", found: str = "entities", keep: int = 10) -> DataFrame:
-    """The entities by salience: in the title 1, earliness in the list 0.5, confidence (1) 0.3."""
-    n = F.greatest(F.size(found), F.lit(1))
-    scored = F.transform(F.col(found), lambda e, i: F.struct((-(F.when(F.contains(F.col(title), e["text"]), 1.0).otherwise(0.0) + 0.5 * (1 - i / n) + 0.3)).alias("s"), e["text"].alias("text"), e["type"].alias("type")))
-    return df.withColumn("ranked", F.transform(F.slice(F.array_sort(scored), 1, keep), lambda x: F.struct(x["text"].alias("text"), F.round(-x["s"], 6).alias("salience"))))
+def rank_entities(df: DataFrame, title: str = "headline", description: str = "description", found: str = "entities", keep: int = 10) -> DataFrame:
+    """The entities by salience: 1 for one that the title holds, half of 1 - start / 5000, and .3 of its confidence.
+
+    start is its first place in title and description; confidence is .5, .2 more for several words, .1 more for capitals alone.
+    """
+    text, low = F.concat_ws(" ", title, description), F.lower(title)
+
+    def salience(name: Column) -> Column:
+        sure = 0.5 + F.when(F.size(X.words(name)) > 1, 0.2).otherwise(0.0) + F.when((F.upper(name) == name) & (F.lower(name) != name), 0.1).otherwise(0.0)
+        return F.when(F.contains(low, F.lower(name)), 1.0).otherwise(0.0) + 0.5 * (1 - (F.position(name, text) - 1) / 5000) + 0.3 * F.least(sure, F.lit(1.0))
+
+    scored = F.array_sort(F.transform(F.col(found), lambda e, i: F.struct((-F.round(salience(e["text"]), 6)).alias("s"), i.alias("i"), e["text"].alias("text"), e["type"].alias("type"))))
+    return df.withColumn("ranked", F.transform(F.slice(scored, 1, keep), lambda x: F.struct(x["text"].alias("text"), x["type"].alias("type"), (-x["s"]).alias("salience"))))
 
 
 def normalize_articles(df: DataFrame, url: str = "url") -> DataFrame:
@@ -164,3 +214,9 @@ def normalize_articles(df: DataFrame, url: str = "url") -> DataFrame:
 
 def embedding_text(df: DataFrame, title: str = "headline", n: int = 500) -> DataFrame:
     return df.withColumn("embedding_text", F.trim(F.concat(F.col(title), F.lit(" "), F.substring("description", 1, n))))
+
+
+def blend_vectors(df: DataFrame, text: str = "text_vector", names: str = "entity_vector", share: float = 0.3, out: str = "embedding") -> DataFrame:
+    """out: share of the entity vector and the rest of the text vector, at unit length; the text vector alone where the other is null."""
+    both = F.zip_with(text, names, lambda x, y: (1 - share) * x.cast("double") + share * y.cast("double"))
+    return df.withColumn(out, F.when(F.col(names).isNull(), F.transform(text, lambda x: x.cast("double"))).otherwise(Z.unit(both)))

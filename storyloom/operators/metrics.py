@@ -50,11 +50,13 @@ def ingest_stats(articles: DataFrame, asof: Column) -> DataFrame:
 
 
 def clustering_stats(articles: DataFrame, stories: DataFrame, asof: Column) -> DataFrame:
+    """health: healthy from ten stories updated in the last hour on and a backlog below 100, stalled without any, else degraded."""
     matched = rate(F.count_if(F.col("source_count") >= 2), F.count("*"))
-    s = stories.agg(F.round(F.avg("source_count"), 6).alias("mean_sources"), matched.alias("match_rate"), F.count_if(since("first_seen", asof, "24 hours")).alias("created"), F.count_if(since("last_updated", asof, "24 hours") & ~since("first_seen", asof, "24 hours")).alias("updated"))
-    a = articles.agg(F.count_if(~F.col("processed")).alias("backlog"), seconds(asof, F.min(F.when(~F.col("processed"), F.col("published_at")))).cast("long").alias("oldest_backlog_s"))
-    label = F.when(F.col("match_rate") >= 0.3, "good").when(F.col("match_rate") >= 0.1, "fair").otherwise("poor")
-    return s.crossJoin(a).withColumn("health", F.when(F.col("backlog") > 1000, "degraded").otherwise(label))
+    s = stories.agg(F.round(F.avg("source_count"), 6).alias("mean_sources"), matched.alias("match_rate"), F.count_if(since("first_seen", asof, "24 hours")).alias("created"), F.count_if(since("last_updated", asof, "24 hours") & ~since("first_seen", asof, "24 hours")).alias("updated"), F.count_if(since("last_updated", asof, "1 hour")).alias("hour"))
+    oldest = F.floor(seconds(asof, F.min(F.when(~F.col("processed"), F.col("fetched_at")))) / 60).cast("long")
+    a = articles.agg(F.count_if(~F.col("processed")).alias("backlog"), F.count_if("processed").alias("processed"), oldest.alias("oldest_minutes"))
+    label = F.when((F.col("hour") >= 10) & (F.col("backlog") < 100), "healthy").when(F.col("hour") > 0, "degraded").otherwise("stalled")
+    return s.crossJoin(a).withColumn("health", label)
 
 
 def summary_stats(stories: DataFrame, responses: DataFrame, asof: Column) -> DataFrame:
@@ -70,18 +72,34 @@ def batch_stats(batches: DataFrame) -> DataFrame:
     return batches.agg(F.count("*").alias("submitted"), done.alias("completed"), rate(done, F.count("*")).alias("success_rate"), F.count_if(F.col("status") == "in_progress").alias("waiting"), F.round(F.avg("request_count"), 6).alias("mean_size"), F.round(F.sum("cost"), 2).alias("cost"))
 
 
-def feed_quality(stories: DataFrame) -> DataFrame:
-    """Label from the match rate and the mean share of distinct sources among a story's articles."""
-    r = stories.agg(rate(F.count_if(F.col("source_count") >= 2), F.count("*")).alias("match_rate"), F.round(F.avg(F.col("source_count") / F.col("n_articles")), 6).alias("diversity"))
-    return r.withColumn("label", F.when((F.col("match_rate") >= 0.5) & (F.col("diversity") >= 0.8), "excellent").when((F.col("match_rate") >= 0.3) & (F.col("diversity") >= 0.6), "good").otherwise("needs work"))
-
-
-def health(ingest: DataFrame, clustering: DataFrame) -> DataFrame:
-    """Component labels and the worst of them."""
-    i = F.when(F.col("per_hour") >= 10, 0).when(F.col("per_hour") > 0, 1).otherwise(2)
-    c = F.when(F.col("health") == "good", 0).when(F.col("health") == "degraded", 2).otherwise(1)
-    names = F.array(F.lit("healthy"), F.lit("degraded"), F.lit("down"))
-    return ingest.crossJoin(clustering).select(names[i].alias("ingest"), names[c].alias("clustering"), names[F.greatest(i, c)].alias("overall"))
+def feed_quality(stories: DataFrame, articles: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Label from the share of stories with several sources and the distinct sources of articles over all feeds, 1 at most."""
+    matched = stories.agg(rate(F.count_if(F.col("source_count") >= 2), F.count("*")).alias("match_rate"))
+    spread = articles.agg(F.count_distinct("source").alias("s")).crossJoin(feeds.agg(F.count("*").alias("f")))
+    r = matched.crossJoin(spread.select(F.when(F.col("f") > 0, F.least(F.round(F.col("s") / F.col("f"), 6), F.lit(1.0))).otherwise(0.0).alias("diversity")))
+    m, v = F.col("match_rate"), F.col("diversity")
+    return r.withColumn("label", F.when((m > 0.7) & (v > 0.5), "Excellent").when((m > 0.5) & (v > 0.3), "Good").when(m > 0.3, "Fair").otherwise("Needs Improvement"))
+
+
+def health(ingest: DataFrame, clustering: DataFrame, summaries: DataFrame, stories: DataFrame) -> DataFrame:
+    """Component labels and the overall one, from one-row frames of the stats.
+
+    ingest stands for the worker's own report: healthy with articles in the last hour, degraded with some in the last day,
+    else down. Jobs are healthy with healthy ingest and stories updated in the last hour, degraded with either or with
+    processed articles. Summaries: healthy above 95 % coverage, degraded above 80 %. Overall looks at the database and the jobs.
+    """
+    worker = F.when(F.col("hour") > 0, "healthy").when(F.col("day") > 0, "degraded").otherwise("down")
+    i = ingest.select(worker.alias("ingest"))
+    c = clustering.select(F.col("health").alias("clustering"), F.col("hour").alias("rate"), "processed")
+    s = summaries.select(F.when(F.col("coverage") > 0.95, "healthy").when(F.col("coverage") > 0.80, "degraded").otherwise("down").alias("summaries"))
+    d = stories.agg(F.when(F.count("*") > 0, "healthy").otherwise("degraded").alias("database"))
+    up, active = F.col("ingest") == "healthy", F.col("rate") > 0
+    jobs = F.when(up & active, "healthy").when(up | active | (F.col("processed") > 0), "degraded").otherwise("down")  # the ingest that's left is down or degraded
+    jobs = F.when((F.col("ingest") == "degraded") & ~active & (F.col("processed") == 0), "unknown").otherwise(jobs)
+    rows = i.crossJoin(c).crossJoin(s).crossJoin(d).withColumn("jobs", jobs)
+    both = (F.col("database") == "healthy") & (F.col("jobs") == "healthy")
+    overall = F.when(both, "healthy").when((F.col("database") == "degraded") | F.col("jobs").isin("degraded", "down"), "degraded").otherwise(F.col("database"))
+    return rows.select("database", "ingest", "clustering", "summaries", "jobs", overall.alias("overall"))
 
 
 def source_histogram(stories: DataFrame) -> DataFrame:
@@ -90,10 +108,10 @@ def source_histogram(stories: DataFrame) -> DataFrame:
 
 
 def duplicate_sources(members: DataFrame) -> DataFrame:
-    """One row: stories with repeated sources, surplus rows, their rate, a label."""
-    by = members.groupBy("story_id", "source").agg(F.count("*").alias("k")).groupBy("story_id").agg(F.sum(F.col("k") - 1).alias("surplus"), F.sum("k").alias("rows"))
-    out = by.agg(F.count_if(F.col("surplus") > 0).alias("stories"), F.sum("surplus").alias("surplus"), rate(F.sum("surplus"), F.sum("rows")).alias("rate"))
-    return out.withColumn("label", F.when(F.col("rate") == 0, "clean").when(F.col("rate") < 0.05, "minor").otherwise("major"))
+    """One row over the stories of several members: those with repeated sources, surplus rows, their percentage, a label."""
+    by = members.groupBy("story_id", "source").agg(F.count("*").alias("k")).groupBy("story_id").agg(F.sum(F.col("k") - 1).alias("surplus"), F.sum("k").alias("rows")).filter("rows > 1")
+    out = by.agg(F.count_if(F.col("surplus") > 0).alias("stories"), F.coalesce(F.sum("surplus"), F.lit(0)).alias("surplus"), F.round(100 * rate(F.count_if(F.col("surplus") > 0), F.count("*")), 4).alias("percent"))
+    return out.withColumn("label", F.when(F.col("percent") > 10, "failing").when(F.col("percent") > 5, "partial").otherwise("working"))
 
 
 def fingerprint_collisions(stories: DataFrame, fp: str = "fp") -> DataFrame:
@@ -102,10 +120,16 @@ def fingerprint_collisions(stories: DataFrame, fp: str = "fp") -> DataFrame:
 
 
 def accuracy_sample(members: DataFrame, n: int) -> DataFrame:
-    """Stories with two members or more: the similarity of the first two titles. The n smallest story ids."""
-    two = members.groupBy("story_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("doc_id", "headline"))), 1, 2).alias("m")).filter(F.size("m") == 2)
-    s = F.round(title_similarity(F.col("m")[0]["headline"], F.col("m")[1]["headline"]), 6)
-    return two.orderBy("story_id").limit(n).select("story_id", s.alias("similarity")).withColumn("label", F.when(F.col("similarity") >= 0.5, "good").when(F.col("similarity") >= 0.2, "questionable").otherwise("poor"))
+    """Stories with two members or more: the similarity of the first two titles. The n smallest story ids.
+
+    good from .70 on, questionable from .50 on, else poor.
+    """
+    few = members.groupBy("story_id").agg(F.count("*").alias("k")).filter("k > 1").orderBy("story_id").limit(n)
+    w = Window.partitionBy("story_id").orderBy("doc_id")
+    rows = members.join(F.broadcast(few), "story_id").withColumn("r", F.row_number().over(w)).filter("r <= 2")
+    two = rows.groupBy("story_id").agg(F.min_by("headline", "r").alias("x"), F.max_by("headline", "r").alias("y"))
+    s = F.round(title_similarity(F.col("x"), F.col("y")), 6)
+    return two.select("story_id", s.alias("similarity")).withColumn("label", F.when(F.col("similarity") >= 0.7, "good").when(F.col("similarity") >= 0.5, "questionable").otherwise("poor"))
 
 
 def completeness(articles: DataFrame) -> DataFrame:
@@ -119,9 +143,10 @@ def per_minute(articles: DataFrame, asof: Column, interval: str) -> DataFrame:
 
 
 def processing_lag(articles: DataFrame, asof: Column) -> DataFrame:
+    """The backlog and the age of its oldest article by fetch: minimal below a minute, moderate below five, else high; none without one."""
     late = ~F.col("processed")
-    out = articles.agg(F.count_if(late).alias("backlog"), F.max(F.when(late, F.floor(seconds(asof, F.col("published_at")) / 60))).cast("long").alias("oldest_minutes"))
-    return out.withColumn("label", F.when(F.col("backlog") < 100, "healthy").when(F.col("backlog") < 1000, "lagging").otherwise("stuck"))
+    out = articles.agg(F.count_if(late).alias("backlog"), F.floor(seconds(asof, F.min(F.when(late, F.col("fetched_at"))))).cast("long").alias("lag_s"))
+    return out.withColumn("label", F.when(F.col("lag_s").isNull(), "none").when(F.col("lag_s") < 60, "minimal").when(F.col("lag_s") < 300, "moderate").otherwise("high"))
 
 
 def concentration(articles: DataFrame) -> DataFrame:
@@ -129,13 +154,21 @@ def concentration(articles: DataFrame) -> DataFrame:
     return top.withColumn("label", F.when(F.col("top_share") > 0.6, "critical").when(F.col("top_share") > 0.5, "high").when(F.col("top_share") > 0.3, "moderate").otherwise("diverse"))
 
 
-def quality_score(stories: DataFrame) -> DataFrame:
-    """Weighted .25 sources, .25 summaries, .20 distinct titles, .15 categories, .15 importance."""
-    by = stories.groupBy("title").agg(F.count("*").alias("k"))
-    dup = by.agg(F.sum(F.col("k") - 1).alias("duplicate_titles"), F.sum("k").alias("total"))
-    p = stories.agg(F.avg((F.col("source_count") >= 2).cast("double")).alias("a"), F.avg((F.length(F.coalesce("summary", F.lit(""))) > 0).cast("double")).alias("b"), F.count_distinct("category").alias("c"), F.avg("importance").alias("d"))
-    score = 0.25 * F.col("a") + 0.25 * F.col("b") + 0.20 * (1 - F.col("duplicate_titles") / F.col("total")) + 0.15 * F.least(F.col("c") / 10, F.lit(1.0)) + 0.15 * F.col("d") / 100
-    return p.crossJoin(dup).select("duplicate_titles", F.round(score, 5).alias("score"))
+def quality_score(stories: DataFrame, members: DataFrame, flawed: DataFrame) -> DataFrame:
+    """One row: repeated titles, and the overall score out of 100 of its five parts.
+
+    .25 stories without a structural issue (flawed: story_id of those with one), .25 ten points a distinct source, .20
+    stories of two to eight listed sources, .15 images (full marks: stories carry none), .15 stories with a summary.
+    """
+    n = members.groupBy("story_id").agg(F.count("*").alias("n"))
+    j = stories.select("story_id", "title", "summary").join(n, "story_id", "left").join(flawed.select("story_id", F.lit(True).alias("bad")).distinct(), "story_id", "left")
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double")) * 100
+    parts = j.agg(share(F.col("bad").isNull()).alias("structural"), share(F.col("n").between(2, 8)).alias("clustering"), share(F.length("summary") > 0).alias("summaries"))
+    name = F.lower(F.trim("source"))
+    real = members.filter((name != "") & ~name.contains("test") & ~name.startswith("source ")).agg(F.least(F.lit(100.0), F.count_distinct(name) * 10.0).alias("diversity"))
+    dup = stories.groupBy(F.lower("title").alias("t")).agg((F.count("*") - 1).alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("duplicate_titles"))
+    score = 0.25 * F.col("structural") + 0.25 * F.col("diversity") + 0.20 * F.col("clustering") + 0.15 * 100 + 0.15 * F.col("summaries")
+    return parts.crossJoin(real).crossJoin(dup).select("duplicate_titles", F.round("structural", 4).alias("structural"), "diversity", F.round("clustering", 4).alias("clustering"), F.round("summaries", 4).alias("summaries"), F.round(score, 4).alias("score"))
 
 
 def timeliness(members: DataFrame, asof: Column) -> DataFrame:
@@ -152,9 +185,10 @@ def cluster_rollup(stories: DataFrame) -> DataFrame:
     return stories.groupBy("category").agg(F.count_if(F.col("n_articles") == 1).alias("created"), F.sum(F.col("n_articles") - 1).alias("additions"), F.round(F.avg("source_count"), 6).alias("mean_sources"))
 
 
-def latency(events: DataFrame, key: str = "event_type", value: str = "value") -> DataFrame:
-    """Exact nearest-rank percentiles; for very large groups pass a sketch's accuracy to percentile_approx instead."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+def latency(events: DataFrame, key: str = "event_type", value: str = "value", accuracy: int = 10_000) -> DataFrame:
+    """Nearest-rank percentiles from mergeable sketches, so a hot key is no hot task: exact for up to accuracy values a key, else
+    off by one in accuracy ranks at most."""
+    p = F.percentile_approx(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), accuracy)
     return events.groupBy(key).agg(F.count("*").alias("n"), p.alias("p")).select(key, "n", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
 
 
@@ -226,7 +260,8 @@ def notify_latency(sent: DataFrame) -> DataFrame:
 
 
 def pair_metrics(scored: DataFrame, threshold: float) -> DataFrame:
-    """scored: (label, score). Precision, recall and F1 of score >= threshold."""
+    """scored: (label, score). Accuracy, precision, recall and F1 of score >= threshold, and the duplicate rate: positives kept apart, of all positives."""
     hit, pos = F.col("score") >= threshold, F.col("label") == 1
-    r = scored.agg(F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"), F.count_if(~hit & pos).alias("fn"))
-    return r.select("tp", "fp", "fn", rate(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), rate(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), rate(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+    r = scored.agg(F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"), F.count_if(~hit & pos).alias("fn"), F.count("*").alias("n"))
+    tp, fp, fn, n = (F.col(c) for c in ("tp", "fp", "fn", "n"))
+    return r.select("tp", "fp", "fn", rate(n - fp - fn, n).alias("accuracy"), rate(tp, tp + fp).alias("precision"), rate(tp, tp + fn).alias("recall"), rate(2 * tp, 2 * tp + fp + fn).alias("f1"), rate(fn, tp + fn).alias("duplicate_rate"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import articles as A
 from ..operators import metrics as M
 from . import views as V
 from .text_queries import BARE, _key, _prop, WORDS
@@ -40,8 +41,9 @@ def a4_ingest_stats(spark, d):
     return M.ingest_stats(V.articles(spark, d), V.asof())
 
 
-_CL = f""", cl AS (SELECT *, CASE WHEN backlog > 1000 THEN 'degraded' WHEN match_rate >= 0.3 THEN 'good' WHEN match_rate >= 0.1 THEN 'fair' ELSE 'poor' END AS health FROM (SELECT round(avg(source_count), 6) AS mean_sources, {rate('count(*) FILTER (source_count >= 2)', 'count(*)')} AS match_rate,
- count(*) FILTER (WHERE {since('first_seen', '24 HOUR')}) AS created, count(*) FILTER (WHERE {since('last_updated', '24 HOUR')} AND NOT {since('first_seen', '24 HOUR')}) AS updated FROM stories), (SELECT count(*) FILTER (NOT processed) AS backlog, cast(epoch({T}) - epoch(min(published_at) FILTER (NOT processed)) AS bigint) AS oldest_backlog_s FROM articles))"""
+_CL = f""", cl AS (SELECT *, CASE WHEN hour >= 10 AND backlog < 100 THEN 'healthy' WHEN hour > 0 THEN 'degraded' ELSE 'stalled' END AS health FROM (SELECT round(avg(source_count), 6) AS mean_sources, {rate('count(*) FILTER (source_count >= 2)', 'count(*)')} AS match_rate,
+ count(*) FILTER (WHERE {since('first_seen', '24 HOUR')}) AS created, count(*) FILTER (WHERE {since('last_updated', '24 HOUR')} AND NOT {since('first_seen', '24 HOUR')}) AS updated, count(*) FILTER (WHERE {since('last_updated', '1 HOUR')}) AS hour FROM stories),
+ (SELECT count(*) FILTER (NOT processed) AS backlog, count(*) FILTER (processed) AS processed, cast(floor((epoch({T}) - epoch(min(fetched_at) FILTER (NOT processed))) / 60) AS bigint) AS oldest_minutes FROM articles))"""
 
 
 @query(f"{_CL} SELECT * FROM cl")
@@ -61,15 +63,20 @@ def a7_batch_stats(spark, d):
     return M.batch_stats(o.select(F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "in_progress").otherwise("failed").alias("status"), F.col("o_custkey").alias("request_count"), F.col("o_totalprice").cast("decimal(18,2)").alias("cost"))).withColumn("cost", F.col("cost").cast("double"))
 
 
-@query(f"SELECT *, CASE WHEN match_rate >= 0.5 AND diversity >= 0.8 THEN 'excellent' WHEN match_rate >= 0.3 AND diversity >= 0.6 THEN 'good' ELSE 'needs work' END AS label FROM (SELECT {rate('count(*) FILTER (source_count >= 2)', 'count(*)')} AS match_rate, round(avg(source_count / n_articles), 6) AS diversity FROM stories)")
+@query(f"""SELECT match_rate, diversity, CASE WHEN match_rate > 0.7 AND diversity > 0.5 THEN 'Excellent' WHEN match_rate > 0.5 AND diversity > 0.3 THEN 'Good' WHEN match_rate > 0.3 THEN 'Fair' ELSE 'Needs Improvement' END AS label
+ FROM (SELECT {rate('count(*) FILTER (source_count >= 2)', 'count(*)')} AS match_rate FROM stories), (SELECT least(round((SELECT count(DISTINCT source) FROM articles) / (SELECT count(*) FROM feeds), 6), 1.0)::double AS diversity)""")
 def a8_feed_quality(spark, d):
-    return M.feed_quality(V.stories(spark, d))
+    return M.feed_quality(V.stories(spark, d), V.articles(spark, d), V.feeds(spark, d))
 
 
-@query(f"""{_CL} SELECT ['healthy', 'degraded', 'down'][i + 1] AS ingest, ['healthy', 'degraded', 'down'][c + 1] AS clustering, ['healthy', 'degraded', 'down'][greatest(i, c) + 1] AS overall FROM (SELECT CASE WHEN p >= 10 THEN 0 WHEN p > 0 THEN 1 ELSE 2 END AS i, CASE health WHEN 'good' THEN 0 WHEN 'degraded' THEN 2 ELSE 1 END AS c FROM cl,
- (SELECT greatest(count(*) FILTER (WHERE {since('fetched_at', '24 HOUR')}) / 24, count(*) FILTER (WHERE {since('fetched_at', '1 HOUR')})) AS p FROM articles))""")
+@query(f"""{_CL}, parts AS (SELECT 'healthy' AS database, CASE WHEN h > 0 THEN 'healthy' WHEN y > 0 THEN 'degraded' ELSE 'down' END AS ingest, health AS clustering, CASE WHEN c > 0.95 THEN 'healthy' WHEN c > 0.80 THEN 'degraded' ELSE 'down' END AS summaries, hour AS rate, processed
+ FROM cl, (SELECT count(*) FILTER (WHERE {since('fetched_at', '1 HOUR')}) AS h, count(*) FILTER (WHERE {since('fetched_at', '24 HOUR')}) AS y FROM articles), (SELECT {rate(f'count(*) FILTER ({HAS})', 'count(*)')} AS c FROM stories)),
+ j AS (SELECT *, CASE WHEN ingest = 'healthy' AND rate > 0 THEN 'healthy' WHEN ingest = 'healthy' OR rate > 0 OR processed > 0 THEN 'degraded' WHEN ingest = 'down' THEN 'down' ELSE 'unknown' END AS jobs FROM parts)
+ SELECT database, ingest, clustering, summaries, jobs, CASE WHEN jobs = 'healthy' THEN 'healthy' WHEN jobs IN ('degraded', 'down') THEN 'degraded' ELSE database END AS overall FROM j""")
 def a9_health(spark, d):
-    return M.health(M.ingest_stats(V.articles(spark, d), V.asof()), M.clustering_stats(V.articles(spark, d), V.stories(spark, d), V.asof()))
+    a, s = V.articles(spark, d), V.stories(spark, d)
+    none = V.table(spark, d, "events").limit(0).select(F.lit(0.0).alias("seconds"), F.lit(0).alias("words"), F.lit(0.0).alias("cost"))
+    return M.health(M.ingest_stats(a, V.asof()), M.clustering_stats(a, s, V.asof()), M.summary_stats(s, none, V.asof()), s)
 
 
 @query("SELECT source_count, count(*) AS n, round(count(*) / (SELECT count(*) FROM stories), 6) AS share FROM stories GROUP BY 1")
@@ -77,8 +84,8 @@ def a10_source_histogram(spark, d):
     return M.source_histogram(V.stories(spark, d))
 
 
-@query(f""", k AS (SELECT story_id, sum(k - 1)::bigint AS surplus, sum(k)::bigint AS rows FROM (SELECT story_id, source, count(*) AS k FROM articles GROUP BY 1, 2) GROUP BY 1)
- SELECT *, CASE WHEN rate = 0 THEN 'clean' WHEN rate < 0.05 THEN 'minor' ELSE 'major' END AS label FROM (SELECT count(*) FILTER (surplus > 0) AS stories, sum(surplus)::bigint AS surplus, {rate('sum(surplus)', 'sum(rows)')} AS rate FROM k)""")
+@query(f""", k AS (SELECT story_id, sum(k - 1)::bigint AS surplus FROM (SELECT story_id, source, count(*) AS k FROM articles GROUP BY 1, 2) GROUP BY 1 HAVING sum(k) > 1)
+ SELECT *, CASE WHEN percent > 10 THEN 'failing' WHEN percent > 5 THEN 'partial' ELSE 'working' END AS label FROM (SELECT count(*) FILTER (surplus > 0) AS stories, coalesce(sum(surplus), 0)::bigint AS surplus, round(100 * {rate('count(*) FILTER (surplus > 0)', 'count(*)')}, 4) AS percent FROM k)""")
 def a11_duplicate_sources(spark, d):
     return M.duplicate_sources(V.members(spark, d))
 
@@ -92,7 +99,7 @@ def a12_fingerprint_collisions(spark, d):
  s AS (SELECT story_id, round(CASE WHEN len(kh) = 0 OR len(kg) = 0 THEN jac ELSE 0.40 * len(list_filter(kh, lambda w: list_contains(kg, w))) / least(len(kh), len(kg)) + CASE WHEN len(ph) > 0 AND len(pg) > 0 THEN 0.40 * len(list_intersect(ph, pg)) / least(len(ph), len(pg)) ELSE 0 END
  + 0.15 * (len(list_filter(kh, lambda w: length(w) > 4 AND contains(lower(g), w))) + len(list_filter(kg, lambda w: length(w) > 4 AND contains(lower(h), w)))) / (len(kh) + len(kg)) + 0.05 * jac END, 6) AS similarity
  FROM (SELECT *, {_key('h')} AS kh, {_key('g')} AS kg, {_prop('h')} AS ph, {_prop('g')} AS pg, len(list_intersect(th, tg)) / len(list_distinct(list_concat(th, tg))) AS jac FROM (SELECT *, list_distinct({WORDS.format('lower(h)')}) AS th, list_distinct({WORDS.format('lower(g)')}) AS tg FROM p)))
- SELECT *, CASE WHEN similarity >= 0.5 THEN 'good' WHEN similarity >= 0.2 THEN 'questionable' ELSE 'poor' END AS label FROM s""")
+ SELECT *, CASE WHEN similarity >= 0.7 THEN 'good' WHEN similarity >= 0.5 THEN 'questionable' ELSE 'poor' END AS label FROM s""")
 def a13_accuracy_sample(spark, d):
     return M.accuracy_sample(V.members(spark, d), 100)
 
@@ -107,7 +114,7 @@ def a15_per_minute(spark, d):
     return M.per_minute(V.articles(spark, d), V.asof(), "12 hours")
 
 
-@query(f"SELECT *, CASE WHEN backlog < 100 THEN 'healthy' WHEN backlog < 1000 THEN 'lagging' ELSE 'stuck' END AS label FROM (SELECT count(*) FILTER (NOT processed) AS backlog, max(cast(floor((epoch({T}) - epoch(published_at)) / 60) AS bigint)) FILTER (NOT processed) AS oldest_minutes FROM articles)")
+@query(f"SELECT *, CASE WHEN lag_s IS NULL THEN 'none' WHEN lag_s < 60 THEN 'minimal' WHEN lag_s < 300 THEN 'moderate' ELSE 'high' END AS label FROM (SELECT count(*) FILTER (NOT processed) AS backlog, cast(floor(epoch({T}) - epoch(min(fetched_at) FILTER (NOT processed))) AS bigint) AS lag_s FROM articles)")
 def a16_processing_lag(spark, d):
     return M.processing_lag(V.articles(spark, d), V.asof())
 
@@ -117,9 +124,13 @@ def a17_concentration(spark, d):
     return M.concentration(V.articles(spark, d))
 
 
-@query(f"SELECT duplicate_titles::bigint AS duplicate_titles, round(0.25 * a + 0.25 * b + 0.20 * (1 - duplicate_titles / total) + 0.15 * least(c / 10, 1.0) + 0.15 * d / 100, 5) AS score FROM (SELECT sum(k - 1) AS duplicate_titles, sum(k) AS total FROM (SELECT count(*) AS k FROM stories GROUP BY title)), (SELECT avg((source_count >= 2)::int) AS a, avg(({HAS})::int) AS b, count(DISTINCT category) AS c, avg(importance) AS d FROM stories)")
+@query(f"""SELECT duplicate_titles, round(structural, 4) AS structural, diversity, round(clustering, 4) AS clustering, round(summaries, 4) AS summaries, round(0.25 * structural + 0.25 * diversity + 0.20 * clustering + 15 + 0.15 * summaries, 4) AS score
+ FROM (SELECT sum(k - 1)::bigint AS duplicate_titles FROM (SELECT count(*) AS k FROM stories GROUP BY lower(title))), (SELECT least(100.0, count(DISTINCT lower(source)) * 10.0)::double AS diversity FROM articles WHERE source <> '' AND NOT contains(lower(source), 'test') AND NOT starts_with(lower(source), 'source ')),
+ (SELECT 100 * avg((length(trim(title)) >= 10 AND length(title) <= 200 AND source_count BETWEEN 1 AND 20)::int)::double AS structural, 100 * avg((n_articles BETWEEN 2 AND 8)::int)::double AS clustering, 100 * avg(({HAS})::int)::double AS summaries FROM stories)""")
 def a18_quality_score(spark, d):
-    return M.quality_score(V.stories(spark, d))
+    s, m = V.stories(spark, d), V.members(spark, d)
+    listed = s.join(m.groupBy("story_id").agg(F.collect_set("source").alias("sources")), "story_id", "left")
+    return M.quality_score(s, m, A.validate_stories(listed))
 
 
 @query(f"SELECT mean_hours, greatest(0.0, round(100 - 2 * mean_hours, 4)) AS score FROM (SELECT round(avg((epoch({T}) - epoch(p)) / 3600), 5) AS mean_hours FROM (SELECT max(published_at) AS p FROM articles GROUP BY story_id))")
@@ -137,7 +148,7 @@ def a21_cluster_rollup(spark, d):
     return M.cluster_rollup(V.stories(spark, d))
 
 
-@query("SELECT event_type, count(*) AS n, " + ", ".join(f"round(quantile_cont(value, {q}), 6) AS p{p}" for p, q in ((50, 0.5), (95, 0.95), (99, 0.99))) + " FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS n, " + ", ".join(f"round(quantile_disc(value, {q}), 6) AS p{p}" for p, q in ((50, 0.5), (95, 0.95), (99, 0.99))) + " FROM events GROUP BY 1")
 def a22_latency(spark, d):
     return M.latency(V.table(spark, d, "events"))
 
@@ -218,7 +229,7 @@ def a35_notify_latency(spark, d):
     return M.notify_latency(V.articles(spark, d).select(F.col("published_at").alias("triggered"), F.col("fetched_at").alias("sent")))
 
 
-@query(f"SELECT tp, fp, fn, {rate('tp', '(tp + fp)')} AS precision, {rate('tp', '(tp + fn)')} AS recall, {rate('2 * tp', '(2 * tp + fp + fn)')} AS f1 FROM (SELECT count(*) FILTER (n_chars >= 2000 AND quality = 1) AS tp, count(*) FILTER (n_chars >= 2000 AND quality <> 1) AS fp, count(*) FILTER (n_chars < 2000 AND quality = 1) AS fn FROM labels JOIN articles USING (doc_id))")
+@query(f"SELECT tp, fp, fn, {rate('(n - fp - fn)', 'n')} AS accuracy, {rate('tp', '(tp + fp)')} AS precision, {rate('tp', '(tp + fn)')} AS recall, {rate('2 * tp', '(2 * tp + fp + fn)')} AS f1, {rate('fn', '(tp + fn)')} AS duplicate_rate FROM (SELECT count(*) AS n, count(*) FILTER (n_chars >= 2000 AND quality = 1) AS tp, count(*) FILTER (n_chars >= 2000 AND quality <> 1) AS fp, count(*) FILTER (n_chars < 2000 AND quality = 1) AS fn FROM labels JOIN articles USING (doc_id))")
 def a36_pair_metrics(spark, d):
     rows = V.table(spark, d, "labels").join(V.articles(spark, d), "doc_id").select(F.col("quality").alias("label"), F.col("n_chars").alias("score"))
     return M.pair_metrics(rows, 2000)

@@ -53,11 +53,11 @@ def p13_entities(spark, d):
     return rows.select("doc_id", F.posexplode("entities").alias("i", "e")).select("doc_id", (F.col("i") + 1).alias("place"), F.col("e.text").alias("entity"), F.col("e.type").alias("type"))
 
 
-@query(f"""{ENTITIES}, n AS (SELECT doc_id, count(*) AS n FROM ents GROUP BY 1) SELECT doc_id, count(*) AS n, round(max(s), 6) AS top FROM (
- SELECT e.doc_id, CASE WHEN contains(a.headline, e.w) THEN 1.0 ELSE 0.0 END + 0.5 * (1 - (r - 1) / n::double) + 0.3 AS s FROM ents e JOIN n USING (doc_id) JOIN articles a USING (doc_id)) GROUP BY 1""")
+@query(f"""{ENTITIES}, sc AS (SELECT e.doc_id, w, r, round(CASE WHEN contains(lower(headline), lower(w)) THEN 1.0 ELSE 0.0 END + 0.5 * (1 - (strpos(headline || ' ' || description, w) - 1) / 5000) + 0.3 * (0.5 + CASE WHEN upper(w) = w AND lower(w) <> w THEN 0.1 ELSE 0 END), 6)::double AS s FROM ents e JOIN articles a USING (doc_id))
+ SELECT doc_id, place::int AS place, w AS entity, s AS salience FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, r) AS place FROM sc) WHERE place <= 10""")
 def p14_rank_entities(spark, d):
-    rows = A.rank_entities(V.with_entities(V.articles(spark, d)), keep=20).filter(F.size("ranked") > 0)
-    return rows.select("doc_id", F.size("ranked").cast("long").alias("n"), F.col("ranked")[0]["salience"].alias("top"))
+    rows = A.rank_entities(V.with_entities(V.articles(spark, d)))
+    return rows.select("doc_id", F.posexplode("ranked").alias("i", "e")).select("doc_id", (F.col("i") + 1).alias("place"), F.col("e.text").alias("entity"), F.col("e.salience").alias("salience"))
 
 
 @query()
@@ -110,14 +110,21 @@ def _any(table, col="t"):
     return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({col}, '{any_of(w)}') THEN '{n}' END" for n, w in table) + "], lambda x: x IS NOT NULL)"
 
 
-@query(f"""SELECT doc_id, array_to_string(list_transform(v, lambda x: x.v), ',') AS verbs, array_to_string({_any(vocab.EVENT_TYPES)}, ',') AS event_types, array_to_string({_any(vocab.SCALES)}, ',') AS scale,
- array_to_string({_any(vocab.TEMPORAL)}, ',') AS temporal, round(least(0.4 * len(v) / 3 + 0.3 * least(len({_any(vocab.EVENT_TYPES)}), 2) / 2 + 0.2 * least(len({_any(vocab.SCALES)}), 2) / 2, 1.0), 6)::double AS confidence
- FROM (SELECT doc_id, t, list_sort(list_filter(list_transform({lst(vocab.ACTIONS)}, lambda v: {{'p': coalesce(list_position(toks, v), 0), 'v': v}}), lambda x: x.p > 0))[1:3] AS v
- FROM (SELECT doc_id, lower(headline || ' ' || description) AS t, list_filter(regexp_split_to_array(t, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '') AS toks FROM articles))""")
+_SIG = f"""{ENTITIES}, five AS (SELECT doc_id, list(lower(w) ORDER BY r) FILTER (r <= 5) AS names FROM ents GROUP BY 1),
+ sg AS (SELECT doc_id, coalesce(names, []) AS names, v, toks, {_any(vocab.EVENT_TYPES)} AS types, {_any(vocab.SCALES)} AS scale, {_any(vocab.TEMPORAL)} AS temporal FROM (SELECT doc_id, t, toks, list_sort(list_filter(list_transform({lst(vocab.ACTIONS)}, lambda v: {{'p': coalesce(list_position(toks, v), 0), 'v': v}}), lambda x: x.p > 0))[1:3] AS v
+ FROM (SELECT doc_id, lower(headline || ' ' || description) AS t, list_filter(regexp_split_to_array(t, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '') AS toks FROM articles)) LEFT JOIN five USING (doc_id)),
+ sig AS (SELECT *, list_transform(v, lambda x: x.v) AS verbs, round(least(0.4 * len(v) / 3 + 0.3 * least(len(types), 2) / 2 + 0.2 * least(len(scale), 2) / 2, 1.0), 6)::double AS confidence FROM sg),
+ sh AS (SELECT *, array_to_string(list_filter([CASE WHEN len(verbs) > 0 THEN 'actions:' || array_to_string(list_sort(verbs), ',') END, CASE WHEN len(types) > 0 THEN 'types:' || array_to_string(list_sort(types), ',') END,
+ CASE WHEN len(names) > 0 THEN 'entities:' || array_to_string(list_sort(names[1:2]), ',') END], lambda x: x IS NOT NULL), '|') AS parts FROM sig)"""
+
+
+@query(f"""{_SIG} SELECT doc_id, array_to_string(verbs, ',') AS verbs, array_to_string(list_transform(v, lambda x: array_to_string(toks[greatest(x.p - 2, 1):x.p + 2], ' ')), '|') AS contexts, array_to_string(types, ',') AS event_types, array_to_string(scale, ',') AS scale,
+ array_to_string(temporal, ',') AS temporal, array_to_string(names, ',') AS entities, confidence, md5(CASE WHEN parts = '' THEN 'none' ELSE parts END)[1:12] AS hash FROM sh""")
 def p15_event_signature(spark, d):
     s = V.with_entities(V.articles(spark, d)).select("doc_id", X.event_signature(F.col("headline"), F.col("description"), F.col("entities")).alias("s"))
     j = lambda c: F.array_join(c, ",")
-    return s.select("doc_id", j(F.transform("s.actions", lambda a: a["verb"])).alias("verbs"), j("s.event_types").alias("event_types"), j("s.scale").alias("scale"), j("s.temporal").alias("temporal"), F.col("s.confidence").alias("confidence"))
+    verbs, contexts = F.transform("s.actions", lambda a: a["verb"]), F.transform("s.actions", lambda a: a["context"])
+    return s.select("doc_id", j(verbs).alias("verbs"), F.array_join(contexts, "|").alias("contexts"), j("s.event_types").alias("event_types"), j("s.scale").alias("scale"), j("s.temporal").alias("temporal"), j(X.key_names(F.col("s.entities"))).alias("entities"), F.col("s.confidence").alias("confidence"), F.col("s.hash").alias("hash"))
 
 
 @query(r"SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS domain FROM pages")
@@ -195,9 +202,21 @@ def p25_story_detail(spark, d):
     return rows.select("story_id", "unique_sources", "summary_state", F.array_join("sources", ",").alias("sources"))
 
 
-@query(f"""SELECT story_id, title, category, cast(greatest(1, len({WORDS.format("coalesce(summary, '')")}) // 200) AS int) AS minutes, round(least(source_count, 10) / 10, 6) AS credibility, round(CASE WHEN breaking THEN 0.9 ELSE importance / 100 END, 6) AS trending FROM stories""")
+_STATUS = "CASE WHEN source_count >= 5 THEN 'TOP_STORY' WHEN source_count >= 3 THEN 'VERIFIED' WHEN source_count = 2 THEN 'DEVELOPING' ELSE 'NEW' END"
+
+
+@query("SELECT story_id, title, category, summary, source_count, first_seen, last_updated, importance, breaking FROM stories")
+def p24_feed_columns(spark, d):
+    """Stories with their centroids, as a feed reads them: without."""
+    v = V.vectors(spark, d).select("story_id", F.col("embedding").alias("centroid")).dropDuplicates(["story_id"])
+    return A.feed_columns(V.stories(spark, d).join(v, "story_id", "left"))
+
+
+@query(f"""SELECT s.story_id, s.title, s.category, cast(greatest(1, len({WORDS.format("coalesce(summary, '')")}) // 200) AS int) AS minutes, {_STATUS} AS status, round(least(source_count, 10) / 10, 6) AS credibility, round(CASE WHEN breaking THEN 0.9 ELSE importance / 10 END, 6) AS trending, u.url
+ FROM stories s LEFT JOIN (SELECT story_id, arg_min(url, doc_id) AS url FROM articles GROUP BY 1) u ON u.story_id = s.story_id""")
 def p26_client_view(spark, d):
-    return A.client_view(V.stories(spark, d))
+    urls = V.articles(spark, d).groupBy("story_id").agg(F.min_by("url", "doc_id").alias("url"))
+    return A.client_view(V.stories(spark, d), urls)
 
 
 @query(f"""SELECT story_id, epoch(last_updated) - epoch(first_seen) >= 1800 AS updated, CASE WHEN m < 60 THEN m || 'm' WHEN m < 1440 THEN (m // 60) || 'h' ELSE (m // 1440) || 'd' END AS age,
@@ -222,9 +241,21 @@ def p31_embedding_text(spark, d):
     return A.embedding_text(V.articles(spark, d)).select("doc_id", "embedding_text")
 
 
+@query(""", e AS (SELECT a.vec_id, unnest(a.embedding)::double AS x, unnest(b.embedding)::double AS y, generate_subscripts(a.embedding, 1) AS i FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), z AS (SELECT *, 0.7 * x + 0.3 * y AS b FROM e),
+ n AS (SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 1.0 ELSE sqrt(sum(b * b)) END AS n FROM z GROUP BY 1) SELECT vec_id, max(CASE WHEN i = 1 THEN v END) AS x0, max(CASE WHEN i = 64 THEN v END) AS x63 FROM (SELECT vec_id, i, round(CASE WHEN vec_id % 4 = 0 THEN x ELSE b / n END, 5) AS v FROM z JOIN n USING (vec_id)) GROUP BY 1""")
+def p31_blend_vectors(spark, d):
+    """Each vector blended with the next one's, which stands for its entities'; one in four has none."""
+    v = V.vectors(spark, d)
+    names = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("entity_vector"))
+    rows = v.select("vec_id", F.col("embedding").alias("text_vector")).join(names, "vec_id").withColumn("entity_vector", F.when(F.col("vec_id") % 4 != 0, F.col("entity_vector")))
+    out = A.blend_vectors(rows)
+    return out.select("vec_id", F.round(F.col("embedding")[0], 5).alias("x0"), F.round(F.col("embedding")[63], 5).alias("x63"))
+
+
 _CAP = f"{WORDS.format('trim(headline)')}"
 _PROMO = f"""(regexp_matches(t, '{any_of(vocab.PROMO_PHRASES)}') OR regexp_matches(t, '{any_pattern(vocab.PROMO_PATTERNS)}') OR regexp_matches(lower(url), '{any_of(vocab.PROMO_URLS)}') OR regexp_matches(lower(headline), '^the \\d+ best .* to (?:shop|buy)')
- OR (len({_CAP}) <= 4 AND len(list_filter({_CAP}, lambda w: regexp_matches(w, '^\\p{{Lu}}'))) * 10 >= len({_CAP}) * 7 AND (regexp_matches(t, '{any_of(vocab.DINING)}') OR regexp_matches(lower(url), '{any_of(vocab.DINING_URLS)}'))))"""
+ OR (len({_CAP}) <= 4 AND len(list_filter({_CAP}, lambda w: regexp_matches(w, '^\\p{{Lu}}'))) * 10 >= len({_CAP}) * 7 AND (regexp_matches(t, '{any_of(vocab.DINING)}') OR regexp_matches(lower(url), '{any_of(vocab.DINING_URLS)}')
+ OR (regexp_matches(lower(url), '{any_of(vocab.VENUE_URLS)}') AND NOT regexp_matches(lower(headline), '{any_of(vocab.NEWS_WORDS)}')))))"""
 
 
 @query(f"SELECT doc_id FROM (SELECT *, lower(headline || ' ' || description) AS t FROM articles) WHERE NOT {_PROMO}")
@@ -253,19 +284,33 @@ def f5_visible(spark, d):
     return A.visible_stories(V.stories(spark, d), "top_stories", V.asof()).select("story_id")
 
 
-@query(f"SELECT story_id FROM stories WHERE length(coalesce(summary, '')) = 0 AND last_updated >= {T} - INTERVAL 24 HOUR ORDER BY last_updated DESC, story_id LIMIT 50")
+@query(f"SELECT story_id FROM stories WHERE length(coalesce(summary, '')) = 0 AND source_count >= 1 AND story_id % 5 <> 0 AND last_updated >= {T} - INTERVAL 24 HOUR ORDER BY last_updated DESC, story_id LIMIT 50")
 def f8_needs_summary(spark, d):
-    return A.needs_summary(V.stories(spark, d), V.asof(), 24, 50).select("story_id")
+    s = A.with_status(V.stories(spark, d))
+    watched = s.withColumn("status", F.when(F.col("story_id") % 5 == 0, "MONITORING").otherwise(F.col("status")))
+    return A.needs_summary(watched, V.asof(), 24, 50).select("story_id")
 
 
-@query(f"SELECT doc_id FROM articles WHERE processed AND published_at >= {T} - INTERVAL 7 DAY AND doc_id NOT IN (SELECT vec_id FROM embeddings)")
+@query(f"""SELECT doc_id FROM articles WHERE processed AND (epoch({T}) - epoch(published_at)) // 86400 <= 7 AND (doc_id NOT IN (SELECT vec_id FROM embeddings) OR doc_id % 3 = 0 OR (doc_id % 7 = 0 AND doc_id % 100 >= 30) OR doc_id % 11 = 0)""")
 def f9_needs_enrichment(spark, d):
-    return A.needs_enrichment(V.articles(spark, d), V.asof(), V.vectors(spark, d)).select("doc_id")
+    """Of the articles, one in three isn't linked, one in seven has no signature (at a confidence of its last two digits), one in eleven no places."""
+    k = F.col("doc_id")
+    a = V.articles(spark, d).withColumns({"signature": F.when(k % 7 != 0, "s"), "confidence": (k % 100) / 100, "places": F.when(k % 11 != 0, F.array(F.lit("p")))})
+    return A.needs_enrichment(a, V.asof(), V.vectors(spark, d), a.filter(k % 3 != 0).select("doc_id"), 0.3, True).select("doc_id")
 
 
-@query("SELECT story_id, issues FROM (SELECT story_id, array_to_string(list_filter([CASE WHEN length(title) < 10 THEN 'short title' END, CASE WHEN source_count < 2 THEN 'single source' END, CASE WHEN length(coalesce(summary, '')) = 0 THEN 'no summary' END], lambda x: x IS NOT NULL), ',') AS issues FROM stories) WHERE issues <> ''")
+@query("""SELECT story_id, issues FROM (SELECT story_id, array_to_string(list_filter([CASE WHEN t IS NULL THEN 'no title' END, CASE WHEN c IS NULL THEN 'no category' END, CASE WHEN length(trim(coalesce(t, ''))) < 10 THEN 'short title' END, CASE WHEN length(coalesce(t, '')) > 200 THEN 'long title' END,
+ CASE WHEN n = 0 THEN 'no sources' END, CASE WHEN n > 20 THEN 'many sources' END, CASE WHEN c NOT IN (SELECT DISTINCT category FROM articles) AND c <> 'us' THEN 'unknown category' END], lambda x: x IS NOT NULL), ',') AS issues FROM (SELECT story_id, CASE story_id % 8 WHEN 1 THEN NULL WHEN 2 THEN 'Short' WHEN 3 THEN repeat(title, 20) ELSE title END AS t,
+ CASE story_id % 5 WHEN 1 THEN NULL WHEN 2 THEN 'nowhere' WHEN 3 THEN 'us' ELSE category END AS c, CASE story_id % 7 WHEN 1 THEN 0 WHEN 2 THEN 21 ELSE source_count END AS n FROM stories)) WHERE issues <> ''""".replace("c NOT IN (SELECT DISTINCT category FROM articles) AND c <> 'us'", f"c NOT IN {(*vocab.CATEGORIES, 'us')}"))
 def f10_validate(spark, d):
-    return A.validate_stories(V.stories(spark, d)).withColumn("issues", F.array_join("issues", ","))
+    """Stories, some of them spoilt by their number."""
+    k = F.col("story_id")
+    listed = V.members(spark, d).groupBy("story_id").agg(F.collect_set("source").alias("own"))
+    s = V.stories(spark, d).join(listed, "story_id")
+    title = F.when(k % 8 == 1, None).when(k % 8 == 2, "Short").when(k % 8 == 3, F.repeat("title", F.lit(20))).otherwise(F.col("title"))
+    category = F.when(k % 5 == 1, None).when(k % 5 == 2, "nowhere").when(k % 5 == 3, "us").otherwise(F.col("category"))
+    sources = F.when(k % 7 == 1, F.array().cast("array<string>")).when(k % 7 == 2, F.array_repeat(F.lit("x"), 21)).otherwise(F.col("own"))
+    return A.validate_stories(s.withColumns({"title": title, "category": category, "sources": sources})).withColumn("issues", F.array_join("issues", ","))
 
 
 @query(f"SELECT f.feed FROM feeds f LEFT JOIN (SELECT feed, max(ts) AS p FROM fetch_log WHERE ts <= {T} GROUP BY 1) s USING (feed) WHERE p IS NULL OR floor(epoch({T})) - floor(epoch(p)) >= 21600")
@@ -304,7 +349,10 @@ def e4_topic_conflict(spark, d):
     return pairs(spark, d).select("x", "y", Z.topic_conflict(F.col("h"), F.col("g")).alias("conflict"))
 
 
-@query()
+_JAC = "CASE WHEN len({0}) + len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) END"
+
+
+@query(f"{_SIG} SELECT a.doc_id, round(0.4 * ({_JAC.format('a.verbs', 'b.verbs')}) + 0.3 * ({_JAC.format('a.types', 'b.types')}) + 0.3 * ({_JAC.format('list_distinct(a.names)', 'list_distinct(b.names)')}), 6)::double AS similarity FROM sig a JOIN sig b ON b.doc_id = a.doc_id + 7")
 def e12_signature_similarity(spark, d):
     a = V.with_entities(V.articles(spark, d)).select("doc_id", X.event_signature(F.col("headline"), F.col("description"), F.col("entities")).alias("s"))
     b = a.select((F.col("doc_id") - 7).alias("doc_id"), F.col("s").alias("t"))

@@ -26,7 +26,7 @@ def _pick(values, index: Column) -> Column:
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
-    """One article a document; published a minute apart, with a headline from the fixed list."""
+    """One article a document; published a minute apart, with a headline from the fixed lists."""
     k = F.col("doc_id")
     head = F.split_part("text", F.lit("."), F.lit(1))
     published = F.timestamp_seconds(F.lit(1704067200) + k * 60)
@@ -35,7 +35,7 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "source", "lang", "n_chars", "text",
         F.trim(head).alias("title"),
         F.translate(F.substr("text", F.length(head) + 2, F.lit(200)), "\n", " ").alias("description"),
-        _pick(vocab.HEADLINES, k).alias("headline"),
+        F.trim(F.concat(_pick(vocab.HEADLINES, k), F.lit(" "), _pick(vocab.HEADLINE_TAILS, F.floor(k / len(vocab.HEADLINES))))).alias("headline"),
         F.concat(F.lit("https://news.example/"), _pick(SECTIONS, k), F.lit("/"), k.cast("string")).alias("url"),
         _pick(vocab.CATEGORIES, k).alias("category"),
         (k % 3 + 1).cast("int").alias("tier"),

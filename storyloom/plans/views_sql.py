@@ -16,7 +16,7 @@ def pick(values, index: str) -> str:
 
 T = f"TIMESTAMP '{ASOF}'"
 ARTICLES = f"""articles AS (SELECT doc_id, source, lang, n_chars, coalesce(text, '') AS text, trim(split_part(text, '.', 1), ' ') AS title,
- translate(substr(text, length(split_part(text, '.', 1)) + 2, 200), chr(10), ' ') AS description, {pick(vocab.HEADLINES, "doc_id")} AS headline,
+ translate(substr(text, length(split_part(text, '.', 1)) + 2, 200), chr(10), ' ') AS description, trim({pick(vocab.HEADLINES, "doc_id")} || ' ' || {pick(vocab.HEADLINE_TAILS, f"doc_id // {len(vocab.HEADLINES)}")}, ' ') AS headline,
  'https://news.example/' || {pick(SECTIONS, "doc_id")} || '/' || doc_id AS url, {pick(vocab.CATEGORIES, "doc_id")} AS category,
  cast(doc_id % 3 + 1 as int) AS tier, doc_id % 5 <> 0 AS processed, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS published_at,
  TIMESTAMP '2024-01-01' + to_minutes(doc_id + doc_id % 90) AS fetched_at,
