@@ -34,22 +34,54 @@ def refresh_stories(members: DataFrame, vectors: DataFrame) -> DataFrame:
     return about.join(centroids(v), "story_id", "left")
 
 
-def merge_candidates(stories: DataFrame, asof: Column, least_jaccard: float = 0.6, least_overlap: float = 0.5) -> DataFrame:
-    """(a, b, jaccard): story pairs of a category, two members or more, both active within seven days, overlapping in time and entities.
+def merge_candidates(stories: DataFrame, asof: Column, least_jaccard: float = 0.6, least_overlap: float = 0.5, least_geography: float = 0.7, least_signature: float = 0.8, least_cosine: float | None = None) -> DataFrame:
+    """(a, b, jaccard): story pairs of a category, two members or more, both updated within seven days, alike in all else.
 
-    stories: story_id, category, n_articles, first_seen, last_updated, terms (entity words). Candidates share a term, so
-    the pairs of a category aren't formed.
+    stories: story_id, category, n_articles, first_seen, last_updated, names (entities in lower case), places, signature,
+    and centroid where least_cosine is given, which then stands for geography and signature. Time: what both cover, over the
+    longer of the two. Geography is the ratio of the places, .5 where either has none; a missing signature counts .5 as well.
+
+    Pairs meet by prefix filtering: sets with a ratio of j or more share one of their first n - ceil(j n) + 1 names in any
+    common order, here the rarest first, and a day, as stories that overlap do. So no pair is missed, and frequent names
+    bring few stories together.
+    """
+    age = F.floor((asof.cast("double") - F.col("last_updated").cast("double")) / 86400)
+    live = stories.filter((F.col("n_articles") >= 2) & (age >= 0) & (age <= 7) & (F.size("names") > 0))
+    extra = ["centroid"] if least_cosine is not None else ["places", "signature"]
+    live = live.select("story_id", "category", "names", F.col("first_seen").cast("double").alias("s"), F.col("last_updated").cast("double").alias("e"), *extra)
+    df = live.select(F.explode(F.array_distinct("names")).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    ranked = live.select("story_id", F.explode(F.array_distinct("names")).alias("t")).join(df, "t").groupBy("story_id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))
+    first = F.slice("o", 1, (F.size("o") - F.ceil(F.round(F.lit(least_jaccard) * F.size("o"), 9)) + 1).cast("int"))
+    days = F.explode(F.sequence(F.floor(F.col("s") / 86400), F.floor(F.col("e") / 86400)))
+    post = live.join(ranked.select("story_id", F.explode(first).alias("p")), "story_id").select("story_id", "category", F.col("p.t").alias("t"), days.alias("day"))
+    pairs = post.withColumnRenamed("story_id", "a").join(post.withColumnRenamed("story_id", "b"), ["category", "t", "day"]).filter("a < b").select("a", "b").distinct()
+    one = live.drop("category")
+    j = pairs.join(one.select(F.col("story_id").alias("a"), F.struct(*[c for c in one.columns if c != "story_id"]).alias("x")), "a").join(one.select(F.col("story_id").alias("b"), F.struct(*[c for c in one.columns if c != "story_id"]).alias("y")), "b")
+    x, y = F.col("x"), F.col("y")
+    both, longer = F.least(x["e"], y["e"]) - F.greatest(x["s"], y["s"]), F.greatest(x["e"] - x["s"], y["e"] - y["s"])
+    overlap = F.when((both > 0) & (longer > 0), both / longer).otherwise(0.0)
+    jac = Z.jaccard(x["names"], y["names"])
+    j = j.filter((overlap >= least_overlap) & (jac >= least_jaccard))
+    if least_cosine is not None:
+        j = j.filter(Z.cosine(x["centroid"], y["centroid"]) >= least_cosine)
+    else:
+        some = (F.coalesce(F.size(x["places"]), F.lit(0)) > 0) & (F.coalesce(F.size(y["places"]), F.lit(0)) > 0)
+        j = j.filter(F.when(some, Z.jaccard(x["places"], y["places"])).otherwise(0.5) >= least_geography)
+        known = x["signature"].isNotNull() & y["signature"].isNotNull()
+        j = j.filter(F.round(F.when(known, Z.signature_similarity(x["signature"], y["signature"])).otherwise(0.5), 9) >= least_signature)
+    return j.select("a", "b", F.round(jac, 6).alias("jaccard"))
+
+
+def merged_profiles(members: DataFrame, entities: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(story_id, level, histogram, centroid) of merged members (story_id, doc_id): their number, entity counts and mean vector.
+
+    entities: doc_id, name. The histogram of two stories that merged is the sum of theirs, less what a shared member counts twice.
     """
-    live = stories.filter((F.col("n_articles") >= 2) & (F.col("last_updated") >= asof - F.expr("interval 7 days")) & (F.col("last_updated") <= asof))
-    post = live.withColumn("t", F.explode("terms"))
-    x = post.select("t", "category", F.col("story_id").alias("a"), F.col("terms").alias("u"), F.col("first_seen").alias("s"), F.col("last_updated").alias("e"))
-    y = post.select("t", "category", F.col("story_id").alias("b"), F.col("terms").alias("v"), F.col("first_seen").alias("r"), F.col("last_updated").alias("f"))
-    j = x.join(y, ["category", "t"]).filter("a < b").dropDuplicates(["a", "b"])
-    sec = lambda c: F.col(c).cast("double")
-    shared = F.least(sec("e"), sec("f")) - F.greatest(sec("s"), sec("r"))
-    shorter = F.greatest(F.least(sec("e") - sec("s"), sec("f") - sec("r")), F.lit(1.0))
-    jac = Z.jaccard(F.col("u"), F.col("v"))
-    return j.filter((F.greatest(shared, F.lit(0.0)) / shorter >= least_overlap) & (jac >= least_jaccard)).select("a", "b", F.round(jac, 6).alias("jaccard"))
+    level = members.groupBy("story_id").agg(F.count("*").alias("level"))
+    counts = members.join(entities, "doc_id").groupBy("story_id", "name").agg(F.count("*").alias("n"))
+    tops = counts.groupBy("story_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "n")))).alias("histogram"))
+    v = members.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    return level.join(tops, "story_id", "left").join(centroids(v), "story_id", "left")
 
 
 def merge_clusters(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -205,11 +237,20 @@ def status_history(members: DataFrame) -> DataFrame:
     return rows.withColumn("before", F.lag("status").over(w)).filter("before is null or before <> status").select("story_id", "doc_id", "status")
 
 
-def ingest_batch_results(results: DataFrame, stories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(counts by batch, summaries by story) of results (batch_id, story_id, type, text); refusals and errors leave the story as it is."""
-    from ..functions.text import clean_summary, refusal
+def ingest_batch_results(results: DataFrame, stories: DataFrame, fallback: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(counts by batch, summaries by story) of results (batch_id, story_id, type, text).
+
+    A succeeded answer becomes its story's summary; for a refusal the fallback (story_id, summary) of the story stands in,
+    and without one the story stays as it is. Errors and expired requests leave it, too. words counts the summary's.
+    """
+    from ..functions.text import refusal, words
 
     n = lambda t: F.count_if(F.col("type") == t).alias(t)
-    counts = results.groupBy("batch_id").agg(F.count("*").alias("requests"), n("succeeded"), n("errored"), n("expired"))
-    good = results.filter("type = 'succeeded'").withColumn("text", clean_summary(F.col("text"))).filter(~refusal(F.col("text")))
-    return counts, stories.select("story_id").join(good, "story_id").select("story_id", F.col("text").alias("summary"))
+    counts = results.groupBy("batch_id").agg(F.count("*").alias("requests"), n("succeeded"), n("errored"), n("expired"), F.lit("completed").alias("status"))
+    good = stories.select("story_id").join(results.filter("type = 'succeeded'").select("batch_id", "story_id", F.trim("text").alias("text")), "story_id")
+    refused = refusal(F.col("text"))
+    if fallback is not None:
+        good = good.join(fallback.select("story_id", F.col("summary").alias("other")), "story_id", "left").withColumn("text", F.when(refused, F.col("other")).otherwise(F.col("text")))
+    else:
+        good = good.filter(~refused)
+    return counts, good.filter("text is not null").select("batch_id", "story_id", F.col("text").alias("summary"), F.size(words(F.col("text"))).alias("words"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .. import vocab
 from ..functions import similarity as Z
 from ..functions import text as X
 
@@ -27,8 +30,13 @@ def match_stories(articles: DataFrame, stories: DataFrame, accept: float = 0.75,
     return best.filter((F.col("score") >= accept) | ((F.col("score") >= maybe) & (shared >= 2))).select("doc_id", "story_id", "score")
 
 
-def match_fingerprint(a: DataFrame, b: DataFrame, fp: str = "fp") -> DataFrame:
-    return a.join(b, fp)
+def match_fingerprint(articles: DataFrame, stories: DataFrame, fp: str = "fp") -> DataFrame:
+    """(doc_id, fp, story_id, stories): of each article the class of stories with its fingerprint: the smallest story and their number.
+
+    A fingerprint is a class, and its stories are those that carry it; articles aren't multiplied by them.
+    """
+    of = stories.groupBy(fp).agg(F.min("story_id").alias("story_id"), F.count("*").alias("stories"))
+    return articles.select("doc_id", fp).join(of, fp)
 
 
 def backfill_sources(stories: DataFrame, articles: DataFrame, recent: int = 500, least: float = 0.6) -> DataFrame:
@@ -60,40 +68,57 @@ def hashed_order(*cols: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]).cast("binary"))
 
 
-def positive_pairs(members: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n pairs of articles of one story, in a seeded order. Pairs are within a story's own array, which a story bounds."""
-    m = members.groupBy("story_id").agg(F.sort_array(F.collect_list("doc_id")).alias("m"))
-    later = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return m.select(F.explode(later).alias("p")).select("p.a", "p.b", F.lit(1).alias("label")).orderBy(hashed_order("a", "b", seed=seed)).limit(n)
+def _slot(key: str, round_: Column, slots: Column, seed: int) -> Column:
+    """A slot from 0 to slots - 1 for a row in a round, by md5."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), round_.cast("string"), F.col(key).cast("string")).cast("binary"))
+    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), slots)
+
+
+def positive_pairs(members: DataFrame, n: int, seed: int = 42, rounds: int = 5) -> DataFrame:
+    """n pairs of articles of one story, in a seeded order.
+
+    Articles of a story are dealt into half as many slots as it has members, `rounds` times over; those in one slot are a
+    pair. So a story gives pairs in proportion to its members, and a large one is spread over its slots.
+    """
+    size = members.groupBy("story_id").agg(F.count("*").alias("n")).filter("n > 1")
+    m = members.select("story_id", "doc_id").join(size, "story_id").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    m = m.select("story_id", "r", "doc_id", _slot("doc_id", F.col("r"), F.greatest(F.expr("n div 2"), F.lit(1)), seed).alias("slot"))
+    j = m.withColumnRenamed("doc_id", "a").join(m.withColumnRenamed("doc_id", "b"), ["story_id", "r", "slot"]).filter("a < b")
+    return j.select("a", "b", F.lit(1).alias("label")).distinct().orderBy(hashed_order("a", "b", seed=seed)).limit(n)
 
 
-def hard_negatives(articles: DataFrame, n: int, most_df: int | None = None, seed: int = 42, cell: int = 1024) -> DataFrame:
-    """n pairs of different stories whose title words' set ratio is above .1 and below .6, in a seeded order.
+def random_pairs(rows: DataFrame, attempts: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
+    """About `attempts` distinct pairs (a, b), a < b, of rows drawn at random by a seeded hash; fewer where there are no more.
 
-    Titles of equal word sets are a class; classes meet by prefix filtering on the words' global order, rarest first, which
-    misses no pair. Only then linked classes are dealt into cells of about `cell` by `cell` articles, so no class lands in
-    one task, and their pairs go straight into the first n. The order is a hash of the pair, so each pair is made.
-    most_df: pairs that share only words of more titles than that are left out; None leaves none out.
+    Of more than `attempts` rows about so many are drawn; these are dealt into half as many slots, in one round or, of few
+    rows, in several, and those in one slot are pairs. The work grows with rows and attempts, never with all pairs.
     """
-    a = articles.select("doc_id", "story_id", F.array_sort(Z.token_set(F.col("headline"))).alias("c")).filter(F.size("c") > 0).distinct()
-    classes = a.groupBy("c").agg(F.count("*").alias("n"))
-    words = classes.select("c", "n", F.explode("c").alias("t"))
-    held = words.groupBy("t").agg(F.sum("n").alias("df"), F.count("*").alias("classes"))
-    order = words.join(held, "t").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t", "classes"))).alias("o"))
-    # above .1, two sets share more than a tenth of either's words: the last tenth of a set needs no posting
-    post = order.select("c", "n", F.col("o.t").alias("w"), F.explode(F.slice("o", 1, F.size("o") - F.floor(F.size("o") / 10).cast("int"))).alias("p")).filter("p.classes > 1")
-    post = post if most_df is None else post.filter(F.col("p.df") <= most_df)
-    x, y = post.select("p.t", "c", "n", F.col("w").alias("u")), post.select("p.t", F.col("c").alias("e"), F.col("n").alias("m"), F.col("w").alias("v"))
-    met = x.join(y, "t").filter((F.col("c") < F.col("e")) & (F.get(F.array_intersect("u", "v"), 0) == F.col("t")))
-    link = met.withColumn("j", Z.jaccard(F.col("u"), F.col("v"))).filter("j > 0.1 and j < 0.6")
-    slots = lambda k: F.ceil(F.col(k) / cell).cast("int")
-    dealt = a.join(classes, "c").groupBy("c", F.pmod(F.xxhash64("doc_id"), slots("n")).cast("int").alias("p")).agg(F.collect_list(F.struct("doc_id", "story_id")).alias("x"))
-    cells = link.select("c", "e", "j", "m", F.explode(F.sequence(F.lit(0), slots("n") - 1)).alias("p")).select("c", "e", "j", "p", F.explode(F.sequence(F.lit(0), slots("m") - 1)).alias("q"))
-    cells = cells.join(dealt, ["c", "p"]).join(dealt.select(F.col("c").alias("e"), F.col("p").alias("q"), F.col("x").alias("y")), ["e", "q"])
-    cells = cells.select("j", "x", "y").repartition(int(articles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = cells.select("j", "y", F.explode("x").alias("x")).select("j", "x", F.explode("y").alias("y")).filter("x.story_id <> y.story_id and x.doc_id <> y.doc_id")
-    pairs = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), F.round("j", 6).alias("jaccard"), F.lit(0).alias("label"))
-    return pairs.orderBy(hashed_order("a", "b", seed=seed)).limit(n)
+    total = rows.count()
+    drawn = max(1, min(total, attempts))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("pool"), F.col(key).cast("string")).cast("binary"))
+    pool = rows.select(key).filter(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") * total < attempts * (1 << 32))
+    pool = pool.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(-(-attempts // drawn)))))
+    pool = pool.select("r", key, _slot(key, F.col("r"), F.lit(max(drawn // 2, 1)), seed).alias("slot"))
+    j = pool.withColumnRenamed(key, "a").join(pool.withColumnRenamed(key, "b"), ["r", "slot"]).filter("a < b")
+    return j.select("a", "b").distinct()
+
+
+def hard_negatives(articles: DataFrame, n: int, seed: int = 42, attempts: int = 20) -> DataFrame:
+    """(a, b, jaccard, entities, label): n pairs of different stories that look alike, in a seeded order.
+
+    Alike are titles whose word sets' ratio is above .1 and below .6, or entities (where articles has them) with a ratio
+    above .2 and below .8. Drawn by rejection: `attempts` times n random pairs are tried. articles: doc_id, story_id, headline, entities.
+    """
+    has = "entities" in articles.columns
+    names = F.array_distinct(F.transform("entities", lambda e: F.lower(e["text"]))) if has else F.array().cast("array<string>")
+    one = articles.select("doc_id", F.struct("story_id", Z.token_set(F.col("headline")).alias("t"), names.alias("e")).alias("x"))
+    pairs = random_pairs(articles, attempts * n, seed)
+    j = pairs.join(one.select(F.col("doc_id").alias("a"), F.col("x").alias("p")), "a").join(one.select(F.col("doc_id").alias("b"), F.col("x").alias("q")), "b")
+    titles, entities = Z.jaccard(F.col("p.t"), F.col("q.t")), Z.jaccard(F.col("p.e"), F.col("q.e"))
+    j = j.filter((F.col("p.story_id") != F.col("q.story_id")) & (F.size("p.t") > 0) & (F.size("q.t") > 0)).select("a", "b", titles.alias("jaccard"), entities.alias("entities"))
+    alike = ((F.col("jaccard") > 0.1) & (F.col("jaccard") < 0.6)) | ((F.col("entities") > 0.2) & (F.col("entities") < 0.8))
+    rows = j.filter(alike).select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("entities", 6).alias("entities"), F.lit(0).alias("label"))
+    return rows.orderBy(hashed_order("a", "b", seed=seed)).limit(n)
 
 
 def easy_negatives(articles: DataFrame, per_category: int, n: int, seed: int = 42) -> DataFrame:
@@ -134,60 +159,98 @@ def with_read_state(stories: DataFrame, reads: DataFrame) -> DataFrame:
     return stories.join(reads, "story_id", "left").withColumn("read", F.coalesce(F.col("last_updated") <= F.col("read_at"), F.lit(False))).drop("read_at")
 
 
-def link_entities(mentions: DataFrame, kb: DataFrame, least: float = 0.6) -> DataFrame:
-    """(mention, qid, score): the best entity of kb (qid, label, aliases, sitelinks) by a shared word, above least.
+def link_entities(mentions: DataFrame, kb: DataFrame, least: float = 0.6, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keep, mention, qid, score): the best entity of kb for each mention, above least; of equals the smallest.
 
-    Score: 0.7 for the label, 0.5 for an alias, 0.3 for a part of the label, and up to 0.3 for its links.
+    mentions: keep, mention, type, context; kb: qid, label, aliases, sitelinks, type, description. Candidates share a word
+    with the mention. Score: .3 for links to other sites (full at 100), .4 for the label or .2 for a part of it, .3 for the
+    first alias that holds the mention, if it is all of it, else .15, .2 for a fitting type (.1 for a general one), .2 for the
+    context: half of the description's words that it holds, .3 for the label in it, .2 for words that speak for the type.
     """
-    m = mentions.select(F.col("mention"), F.lower("mention").alias("q")).distinct()
-    forms = kb.select("qid", F.lower("label").alias("label"), F.transform("aliases", F.lower).alias("aliases"), "sitelinks")
+    m = mentions.select(*keep, "mention", "type", F.lower("mention").alias("q"), F.lower("context").alias("c"))
+    forms = kb.select("qid", F.lower("label").alias("label"), F.transform("aliases", F.lower).alias("aliases"), "sitelinks", F.col("type").alias("kind"), F.lower("description").alias("d"))
     key = F.explode(F.array_distinct(F.concat(X.words(F.col("label")), F.flatten(F.transform("aliases", X.words)))))
-    j = m.withColumn("t", F.explode(F.array_distinct(X.words(F.col("q"))))).join(forms.withColumn("t", key), "t").dropDuplicates(["mention", "qid"])
-    score = F.when(F.col("q") == F.col("label"), 0.7).when(F.array_contains("aliases", F.col("q")), 0.5).when(F.col("label").contains(F.col("q")), 0.3).otherwise(0.0) + F.least(F.col("sitelinks") / 100, F.lit(0.3))
+    j = m.withColumn("t", F.explode(F.array_distinct(X.words(F.col("q"))))).join(forms.withColumn("t", key), "t").dropDuplicates([*keep, "mention", "type", "c", "qid"])
+    q, c, kind = F.col("q"), F.col("c"), F.col("kind")
+    label = F.when(q == F.col("label"), 0.4).when(F.contains(F.col("label"), q), 0.2).otherwise(0.0)
+    holder = F.get(F.filter("aliases", lambda a: F.contains(a, q)), F.lit(0))
+    alias = F.when(holder.isNull(), 0.0).when(holder == q, 0.3).otherwise(0.15)
+    fits = F.lit(False)
+    for name, kinds in vocab.LINK_TYPES.items():
+        fits = fits | ((F.upper("type") == name) & kind.isin(*kinds))
+    typed = F.when(fits, 1.0).when(kind == "entity", 0.5).otherwise(0.0)
+    tokens = lambda x: F.array_distinct(F.filter(F.split(x, r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
+    told = F.when(F.size(tokens(F.col("d"))) > 0, 0.5 * F.size(F.array_intersect(tokens(F.col("d")), tokens(c))) / F.size(tokens(F.col("d")))).otherwise(0.0)
+    clue = F.when((kind == "person") & c.rlike(X.any_of(vocab.PERSON_CLUES)), 0.2).when(kind.isin("city", "country", "state") & c.rlike(X.any_of(vocab.PLACE_CLUES)), 0.2).otherwise(0.0)
+    context = F.least(told + F.when(F.contains(c, F.col("label")), 0.3).otherwise(0.0) + clue, F.lit(1.0))
+    score = 0.3 * F.least(F.col("sitelinks") / 100, F.lit(1.0)) + label + alias + 0.2 * typed + 0.2 * F.coalesce(context, F.lit(0.0))
     best = j.withColumn("score", F.round(score, 6)).filter(F.col("score") > least)
-    return best.groupBy("mention").agg(F.max_by(F.struct("qid", "score"), F.struct("score", -F.col("qid"))).alias("b")).select("mention", "b.qid", "b.score")
+    return best.groupBy(*keep, "mention").agg(F.max_by(F.struct("qid", "score"), F.struct("score", -F.col("qid"))).alias("b")).select(*keep, "mention", "b.qid", "b.score")
 
 
-def with_simhash(df: DataFrame, words: Column, out: str = "h") -> DataFrame:
-    """df and a long out: the 64-bit SimHash of a word array's three-word shingles (all words as one where there are fewer).
+def with_simhash(df: DataFrame, text: Column, key: str = "doc_id") -> DataFrame:
+    """(key, hi, lo): the two halves of the 64-bit SimHash of text's three-word shingles, one of all the text where it has fewer words.
 
-    Bit i is set where more shingle hashes have it than not; null for no word.
+    A bit is set where more than half of the shingles' md5 sums, in their last 64 bits, have it. Shingles are summed bit by
+    bit where they lie; a row of sums a document is all that moves.
     """
-    n = F.size("__w")
-    grams = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.slice(F.col("__w"), i, 3)))).when(n > 0, F.array(F.xxhash64("__w")))
-    return df.withColumn("__w", words).withColumn(out, _majority(grams)).drop("__w")
+    low = df.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("t")).select(key, "t", X.words(F.col("t")).alias("w"))  # the words once a row
+    grams = F.when(F.size("w") < 3, F.array("t")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")))
+    each = low.select(key, F.explode(grams).alias("g")).select(key, F.md5(F.col("g").cast("binary")).alias("m"))
+    half = lambda a: F.conv(F.substring("m", a, 8), 16, 10).cast("long")
+    each = each.select(key, half(17).alias("hi"), half(25).alias("lo"))
+    bit = lambda c, i: F.sum(F.shiftright(F.col(c), i).bitwiseAND(F.lit(1)))
+    sums = each.groupBy(key).agg(F.count("*").alias("n"), *[bit(c, i).alias(f"{c}{i}") for c in ("hi", "lo") for i in range(32)])
+    whole = lambda c: reduce(lambda x, y: x + y, [F.when(2 * F.col(f"{c}{i}") > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(32)]).cast("long")
+    return sums.select(key, whole("hi").alias("hi"), whole("lo").alias("lo"))
 
 
-@F.pandas_udf(T.LongType())
-def _majority(hashes):
-    """Bit by bit, what more than half of a row's hashes have."""
-    import numpy as np
-    import pandas as pd
+def _spells(rows: DataFrame, cols: list[str], days: int) -> DataFrame:
+    """rows with the spell of equal cols that each is in: a spell ends where the next row is more than `days` later.
 
-    def one(h):
-        if h is None or not len(h):
-            return None
-        bits = np.unpackbits(np.asarray(h, dtype="<i8").view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").sum(axis=0) * 2 > len(h)
-        return int(np.packbits(bits, bitorder="little").view("<i8")[0])
+    Adds first (its first doc_id), since and until. A key moves as one row a period of `days`, so a hot key isn't one task's.
+    """
+    span = days * 86400
+    at = rows.withColumn("__t", F.col("published_at").cast("double")).withColumn("__p", F.floor(F.col("__t") / span))
+    period = at.groupBy(*cols, "__p").agg(F.min("__t").alias("a"), F.max("__t").alias("z"), F.min_by("doc_id", F.struct("__t", "doc_id")).alias("d"))
+    w = Window.partitionBy(*cols).orderBy("__p")
+    period = period.withColumn("s", F.sum(F.when(F.col("a") - F.lag("z").over(w) <= span, 0).otherwise(1)).over(w))
+    own = Window.partitionBy(*cols, "s")
+    period = period.select(*cols, "__p", F.min_by("d", "__p").over(own).alias("first"), F.min("a").over(own).alias("since"), F.max("z").over(own).alias("until"))
+    return at.join(period, [*cols, "__p"]).drop("__t", "__p")
 
-    return pd.Series([one(h) for h in hashes], dtype="Int64")
 
+#: Blocks of the 64 bits, as (half, first bit, bits); with three bits that differ, at least three of the six agree.
+_BLOCKS = (("hi", 0, 11), ("hi", 11, 11), ("hi", 22, 10), ("lo", 0, 11), ("lo", 11, 11), ("lo", 22, 10))
 
-def near_duplicates(articles: DataFrame, bits: int = 3, head: int = 2000) -> DataFrame:
-    """(a, b, distance): pairs within `bits` of 64 SimHash bits, between the first articles of equal hashes, and copies to these.
 
-    Four bands of 16 bits meet by equi join: with at most three differing bits one band is equal, so no pair is missed.
-    Articles of one hash are a class: each is linked to the class's first at distance 0, not to all the others.
+def near_duplicates(articles: DataFrame, bits: int = 3, days: int = 7) -> DataFrame:
+    """(a, b, distance, kind): copies within a week, from the first article of a class to the others and between classes.
+
+    Exact: the same title and domain; later ones point to the first of their spell and go no further. Others: SimHashes
+    of title and description within `bits` bits (3 at most). Equal hashes are a class, whose articles point to its first at
+    distance 0; classes of different hashes meet by equi joins on each three of six blocks of bits. a is the earlier one's number.
+    articles: doc_id, headline, description, url, published_at. Repeated rows count once.
     """
-    h = with_simhash(articles.select("doc_id", "text"), X.words(F.lower(F.substring("text", 1, head)))).select("doc_id", "h").filter("h is not null")
-    first = h.groupBy("h").agg(F.min("doc_id").alias("rep"))
-    same = h.join(first, "h").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("distance"))
-    band = F.posexplode(F.array(*[F.shiftright(F.col("h"), 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]))
-    banded = first.select("rep", "h", band.alias("i", "k"))
-    x, y = banded.select(F.col("rep").alias("a"), F.col("h").alias("g"), "i", "k"), banded.select(F.col("rep").alias("b"), "h", "i", "k")
-    far = F.bit_count(F.col("g").bitwiseXOR(F.col("h")))
-    near = x.join(y, ["i", "k"]).filter("a < b").select("a", "b", far.cast("int").alias("distance")).filter(F.col("distance") <= bits).distinct()
-    return near.unionByName(same)
+    if bits > 3:
+        raise ValueError("three equal blocks of six are only certain up to three differing bits")
+    host = F.coalesce(F.lower(F.try_parse_url("url", F.lit("HOST"))), F.lit(""))
+    rows = articles.select("doc_id", "published_at", "headline", "description", F.lower(F.trim(F.coalesce("headline", F.lit("")))).alias("k"), host.alias("host")).dropDuplicates(["doc_id"])
+    spells = _spells(rows, ["k", "host"], days)
+    exact = spells.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("distance"), F.lit("exact").alias("kind"))
+    kept = spells.filter("doc_id = first").drop("first", "since", "until")
+    hashed = with_simhash(kept, F.concat(F.coalesce("headline", F.lit("")), F.coalesce("description", F.lit(""))))
+    classes = _spells(kept.select("doc_id", "published_at").join(hashed, "doc_id"), ["hi", "lo"], days)
+    same = classes.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("distance"), F.lit("near").alias("kind"))
+    reps = classes.filter("doc_id = first").select("doc_id", "hi", "lo", "since", "until")
+    block = lambda x: F.shiftright(F.col(x[0]), x[1]).bitwiseAND(F.lit((1 << x[2]) - 1))
+    keys = [F.struct(F.lit(i).alias("i"), reduce(lambda u, v: u * (1 << 11) + v, [block(x) for x in three]).alias("k")) for i, three in enumerate(itertools.combinations(_BLOCKS, 3))]
+    met = reps.select("*", F.explode(F.array(*keys)).alias("x")).select("*", "x.i", "x.k").drop("x")
+    x, y = (met.select("i", "k", *[F.col(c).alias(f"{c}_{n}") for c in ("doc_id", "hi", "lo", "since", "until")]) for n in "ab")
+    far = F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b")))
+    j = x.join(y, ["i", "k"]).filter("(since_a, doc_id_a) < (since_b, doc_id_b)").filter((F.col("hi_a") != F.col("hi_b")) | (F.col("lo_a") != F.col("lo_b")))
+    j = j.filter(F.col("since_b") - F.col("until_a") <= days * 86400).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), far.cast("int").alias("distance")).filter(F.col("distance") <= bits).distinct()
+    return exact.unionByName(same).unionByName(j.withColumn("kind", F.lit("near")))
 
 
 def candidate_window(articles: DataFrame, stories: DataFrame) -> DataFrame:
@@ -217,14 +280,15 @@ def centroids(members: DataFrame, key: str = "story_id", vector: str = "embeddin
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score): the k best documents (doc_id, text) for each query (query_id, text), Okapi weights.
+    """(query_id, doc_id, score, rank): the k best documents (doc_id, text) for each query (query_id, text), Okapi weights.
 
-    Postings are joined by term, so only documents that share a term with a query move; document lengths ride along.
+    Words are what stands between white space, in lower case, of three characters and more, without stop words. Postings are
+    joined by term, so only documents that share a term with a query move; document lengths ride along.
     """
-    toks = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 2)
-    d = corpus.select("doc_id", toks(F.col("text")).alias("w")).withColumn("len", F.size("w"))
+    toks = lambda c, stop: F.filter(X.words(F.lower(c)), lambda w: (F.length(w) > 2) & ~w.isin(*stop))
+    d = corpus.select("doc_id", toks(F.col("text"), vocab.STOP_RETRIEVAL).alias("w")).withColumn("len", F.size("w")).filter("len > 0")
     about = d.agg(F.count("*").alias("N"), F.avg("len").alias("mean"))
-    q = queries.select("query_id", F.explode(F.array_distinct(toks(F.col("text")))).alias("t"))
+    q = queries.select("query_id", F.explode(F.array_distinct(toks(F.col("text"), vocab.STOP_QUERY))).alias("t"))
     post = d.select("doc_id", "len", F.explode("w").alias("t")).join(q.select("t").distinct(), "t", "left_semi").groupBy("t", "doc_id", "len").agg(F.count("*").alias("tf"))
     idf = post.groupBy("t").agg(F.count("*").alias("df")).join(F.broadcast(about)).withColumn("idf", F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
@@ -233,9 +297,12 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: floa
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1000) -> DataFrame:
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1000, where: Column | None = None, about: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, vec_id, distance, rank): the k nearest of corpus by squared L2 for each query, filters applied beforehand.
 
+    where compares columns named in about, of corpus as they are and of queries as q_ and their name (time, category, source);
+    it is part of the join, so k rows come back where there are k.
+
     A stated query set against all rows: queries are broadcast in blocks, the corpus is never shuffled; each
     task keeps its own k best of a query before the shuffle.
     """
@@ -244,8 +311,9 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1000
     n = queries.count()
     parts = max(1, -(-n // block))
     for p in range(parts):
-        mine = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).select("query_id", F.col("embedding").alias("q"))
-        pairs = corpus.select("vec_id", F.col("embedding").alias("v")).join(F.broadcast(mine)).select("query_id", F.round(dist, 6).alias("distance"), "vec_id", F.spark_partition_id().alias("__p"))
+        mine = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).select("query_id", F.col("embedding").alias("q"), *[F.col(c).alias(f"q_{c}") for c in about])
+        met = corpus.select("vec_id", F.col("embedding").alias("v"), *about).join(F.broadcast(mine), F.lit(True) if where is None else where)
+        pairs = met.select("query_id", F.round(dist, 6).alias("distance"), "vec_id", F.spark_partition_id().alias("__p"))
         out = pairs if out is None else out.unionByName(pairs)
     local = out.withColumn("__r", F.row_number().over(Window.partitionBy("query_id", "__p").orderBy("distance", "vec_id"))).filter(F.col("__r") <= k)
     return local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).filter(F.col("rank") <= k).drop("__p", "__r")
@@ -265,63 +333,102 @@ def similar_articles(candidates: DataFrame, vectors: DataFrame, least: float = 0
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("rank") <= n)
 
 
-FEATURES = ("cosine", "text_jaccard", "entity_jaccard", "organization_jaccard", "location_jaccard", "time_decay", "same_source", "same_category", "signature", "geography", "length_ratio", "title_jaccard")
+FEATURES = (
+    "embedding_similarity", "bm25_similarity", "entity_overlap_jaccard", "person_entity_overlap", "org_entity_overlap", "location_entity_overlap", "wikidata_entity_match", "temporal_proximity", "source_overlap",
+    "category_match", "event_signature_similarity", "geographic_proximity", "wikidata_consistency", "text_length_ratio", "title_overlap",
+)
 
 
 def pair_features(pairs: DataFrame, articles: DataFrame, vectors: DataFrame) -> DataFrame:
-    """pairs (a, b, label) with FEATURES. articles: doc_id, headline, description, source, category, published_at, entities, signature."""
+    """pairs (a, b, label) with FEATURES. articles: doc_id, headline, description, source, category, published_at, entities, signature, qids.
+
+    Features of entities are 0 where either article has none, those of a type or of linked ids where either has none of
+    them. Time is exp(-.01 h), .1 at least, .5 where a time is missing. Signatures: 1 for equal hashes, else the mean of
+    equal first verbs, equal first types and the ratio of their entities. Sources: 1 where equal, else the ratio of their parts.
+    """
     v = vectors.select(F.col("vec_id").alias("doc_id"), "embedding")
-    one = articles.join(v, "doc_id", "left").select("doc_id", F.struct("headline", "description", "source", "category", "published_at", "entities", "signature", "embedding").alias("x"))
+    one = articles.join(v, "doc_id", "left").select("doc_id", F.struct("headline", "description", "source", "category", "published_at", "entities", "signature", "qids", "embedding").alias("x"))
     j = pairs.join(one.select(F.col("doc_id").alias("a"), F.col("x").alias("p")), "a").join(one.select(F.col("doc_id").alias("b"), F.col("x").alias("q")), "b")
     p, q = F.col("p"), F.col("q")
-    text = lambda s: F.concat_ws(" ", s["headline"], s["description"])
+    text = lambda s: F.concat(F.coalesce(s["headline"], F.lit("")), F.lit(" "), F.coalesce(s["description"], F.lit("")))
     names = lambda s, kind=None: F.array_distinct(F.transform(F.filter(s["entities"], lambda e: F.lit(True) if kind is None else e["type"] == kind), lambda e: F.lower(e["text"])))
+    ratio = lambda x, y: F.when((F.size(x) > 0) & (F.size(y) > 0), Z.jaccard(x, y)).otherwise(F.lit(0.0))
     hours = F.abs(p["published_at"].cast("double") - q["published_at"].cast("double")) / 3600
     lens = [F.length(text(s)) for s in (p, q)]
-    num = lambda c: c.cast("double")
+    num = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    linked = F.when((F.size(p["entities"]) > 0) & (F.size(q["entities"]) > 0), ratio(p["qids"], q["qids"])).otherwise(F.lit(0.0))
+    sources = [F.lower(F.coalesce(s["source"], F.lit(""))) for s in (p, q)]
+    source = F.when((sources[0] == "") | (sources[1] == ""), 0.0).when(sources[0] == sources[1], 1.0).otherwise(Z.jaccard(*[F.array_distinct(F.split(x, r"\.")) for x in sources]))
+    sp, sq = p["signature"], q["signature"]
+    first = lambda s, c: F.get(s[c], F.lit(0))
+    verb = num(F.get(sp["actions"], F.lit(0))["verb"].eqNullSafe(F.get(sq["actions"], F.lit(0))["verb"]))
+    parts = (verb + num(first(sp, "event_types").eqNullSafe(first(sq, "event_types"))) + Z.jaccard(F.array_distinct(X.key_names(sp["entities"])), F.array_distinct(X.key_names(sq["entities"])))) / 3
+    signature = F.when(sp.isNull() | sq.isNull(), 0.0).when(sp["hash"] == sq["hash"], 1.0).otherwise(parts)
     cols = [
-        Z.cosine(p["embedding"], q["embedding"]), Z.jaccard(Z.token_set(text(p)), Z.token_set(text(q))), Z.jaccard(names(p), names(q)), Z.jaccard(names(p, "ORGANIZATION"), names(q, "ORGANIZATION")),
-        Z.jaccard(names(p, "LOCATION"), names(q, "LOCATION")), F.exp(-hours / 24), num(p["source"] == q["source"]), num(p["category"] == q["category"]), Z.signature_similarity(p["signature"], q["signature"]),
-        Z.geo_similarity(p["entities"], q["entities"]), F.least(*lens) / F.greatest(*lens, F.lit(1)), Z.jaccard(Z.token_set(p["headline"]), Z.token_set(q["headline"])),
+        Z.cosine(p["embedding"], q["embedding"]), Z.jaccard(Z.token_set(text(p)), Z.token_set(text(q))), ratio(names(p), names(q)), ratio(names(p, "PERSON"), names(q, "PERSON")), ratio(names(p, "ORGANIZATION"), names(q, "ORGANIZATION")),
+        ratio(names(p, "LOCATION"), names(q, "LOCATION")), linked, F.coalesce(F.greatest(F.lit(0.1), F.exp(-0.01 * hours)), F.lit(0.5)), source, num(p["category"].eqNullSafe(q["category"])), signature,
+        Z.geo_similarity(p["entities"], q["entities"]), linked, F.when(F.greatest(*lens) > 0, F.least(*lens) / F.greatest(*lens)).otherwise(F.lit(0.0)), Z.jaccard(Z.token_set(p["headline"]), Z.token_set(q["headline"])),
     ]
     return j.select("a", "b", "label", *[F.round(c, 6).alias(n) for c, n in zip(cols, FEATURES, strict=True)])
 
 
-RULE = {"cosine": 0.35, "entity_jaccard": 0.2, "title_jaccard": 0.2, "time_decay": 0.1, "signature": 0.1, "same_category": 0.05}
+def rule_score(features: DataFrame) -> DataFrame:
+    """score: the weighted mean of six features, which stands in where no model is trained."""
+    return features.withColumn("score", F.round(Z.weighted(vocab.RULE_WEIGHTS, F.col) / sum(vocab.RULE_WEIGHTS.values()), 6))
 
 
-def rule_score(features: DataFrame) -> DataFrame:
-    return features.withColumn("score", F.round(Z.weighted(RULE, F.col), 6))
+def story_factors(pairs: DataFrame, articles: DataFrame, stories: DataFrame) -> DataFrame:
+    """pairs (doc_id, story_id) with cosine, entities, title, hours, same_place and breaking, for multi_factor_score.
 
+    articles: doc_id, headline, published_at, names, place, vector; stories: story_id, title, last_updated, names, place,
+    centroid, breaking. names are entities in lower case; a place that isn't known is no common one.
+    """
+    a = articles.select("doc_id", F.struct("headline", "published_at", "names", "place", "vector").alias("p"))
+    s = stories.select("story_id", F.struct("title", "last_updated", "names", "place", "centroid", "breaking").alias("q"))
+    j = pairs.join(a, "doc_id").join(s, "story_id")
+    hours = F.abs(F.col("p.published_at").cast("double") - F.col("q.last_updated").cast("double")) / 3600
+    return j.select(
+        "doc_id", "story_id", F.round(Z.cosine(F.col("p.vector"), F.col("q.centroid")), 6).alias("cosine"), Z.jaccard(F.col("p.names"), F.col("q.names")).alias("entities"),
+        Z.jaccard(Z.token_set(F.col("p.headline")), Z.token_set(F.col("q.title"))).alias("title"), hours.alias("hours"), F.coalesce(F.col("p.place") == F.col("q.place"), F.lit(False)).alias("same_place"), F.col("q.breaking").alias("breaking"),
+    )
+
+
+def multi_factor_score(factors: DataFrame) -> DataFrame:
+    """factors with score: .55 cosine, .20 entities, .10 title, .10 exp(-(h / sigma)^2) of the hours, .05 for one place.
 
-def multi_factor_score(features: DataFrame, breaking: Column | None = None) -> DataFrame:
-    """.55 cosine, .20 entities, .10 title, .10 Gaussian time (24 h for breaking news, else 72 h), .05 same place."""
-    hours = -F.log(F.greatest(F.col("time_decay"), F.lit(1e-300))) * 24
-    sigma = F.when(breaking, 24.0).otherwise(72.0) if breaking is not None else F.lit(72.0)
-    s = 0.55 * F.col("cosine") + 0.20 * F.col("entity_jaccard") + 0.10 * F.col("title_jaccard") + 0.10 * F.exp(-(hours * hours) / (2 * sigma * sigma)) + 0.05 * (F.col("location_jaccard") > 0).cast("double")
-    return features.withColumn("score", F.round(s, 6))
+    sigma is 24 hours for breaking news, else 72.
+    """
+    w = vocab.FACTOR_WEIGHTS
+    far = F.col("hours") / F.when(F.col("breaking"), 24.0).otherwise(72.0)
+    s = w["cosine"] * F.col("cosine") + w["entities"] * F.col("entities") + w["title"] * F.col("title") + w["time"] * F.exp(-(far * far)) + w["place"] * F.col("same_place").cast("double")
+    return factors.withColumn("score", F.round(s, 6))
 
 
 def assign_clusters(scored: DataFrame) -> DataFrame:
-    """scored (doc_id, story_id, score, age_hours): the best story where it clears the threshold of its age.
+    """scored (doc_id, story_id, score, age_hours): the best story of an article where it clears the threshold.
 
-    .62 under a day, .58 under three days, else .52; the article's mean plus two deviations can only lower it.
+    That is .62 for articles under 12 hours, .58 under three days, else .52. Of several candidates a best one that is two
+    deviations above their mean is taken below it, too.
     """
-    best = scored.groupBy("doc_id").agg(F.max_by(F.struct("story_id", "score", "age_hours"), F.struct("score", -F.col("story_id"))).alias("b"), F.avg("score").alias("m"), F.stddev_pop("score").alias("s"))
-    base = F.when(F.col("b.age_hours") < 24, 0.62).when(F.col("b.age_hours") < 72, 0.58).otherwise(0.52)
-    bar = F.least(base, F.col("m") + 2 * F.col("s"))
-    return best.filter(F.col("b.score") >= bar).select("doc_id", "b.story_id", "b.score")
+    best = scored.groupBy("doc_id").agg(F.max_by(F.struct("story_id", "score", "age_hours"), F.struct("score", -F.col("story_id"))).alias("b"), F.avg("score").alias("m"), F.stddev_pop("score").alias("s"), F.count("*").alias("n"))
+    base = F.when(F.col("b.age_hours") < 12, 0.62).when(F.col("b.age_hours") < 72, 0.58).otherwise(0.52)
+    clear = (F.col("n") > 1) & (F.col("b.score") >= F.round(F.col("m") + 2 * F.col("s"), 6))
+    return best.filter((F.col("b.score") >= base) | clear).select("doc_id", "b.story_id", "b.score")
+
 
+def train_scorer(features: DataFrame, seed: int = 42, trees: int = 100, depth: int = 6, forest: bool = False):
+    """A model on FEATURES from about 80 % of the pairs of each label, by a hash, and the held-back rest.
 
-def train_scorer(features: DataFrame, seed: int = 42):
-    """A boosted-tree model on FEATURES from about 80 % of the pairs by a hash, and the held-back rest."""
+    Boosted trees, or a forest of as many: for labels that boosting can't take, or to train all trees at once. Pairs are few
+    beside the corpus, so they are put into a few partitions, where the rounds of boosting cost no more than their sums.
+    """
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    part = F.conv(F.substring(hashed_order("a", "b", seed=seed), 1, 4), 16, 10).cast("int") % 5
-    steps = [VectorAssembler(inputCols=list(FEATURES), outputCol="features"), GBTClassifier(labelCol="label", maxIter=20, maxDepth=4, seed=seed)]
-    return Pipeline(stages=steps).fit(features.filter(part != 0)), features.filter(part == 0)
+    part = F.conv(F.substring(hashed_order("label", "a", "b", seed=seed), 1, 4), 16, 10).cast("int") % 5
+    learner = RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth, seed=seed) if forest else GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, seed=seed)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), learner]).fit(features.filter(part != 0)), features.filter(part == 0)
 
 
 def score_pairs(model, features: DataFrame) -> DataFrame:
@@ -330,3 +437,6 @@ def score_pairs(model, features: DataFrame) -> DataFrame:
     return model.transform(features).select("a", "b", "label", vector_to_array("probability")[1].alias("score"))
 
 
+def importances(model, spark) -> DataFrame:
+    """(feature, importance) of a model of train_scorer."""
+    return spark.createDataFrame(list(zip(FEATURES, [float(x) for x in model.stages[-1].featureImportances.toArray()], strict=True)), "feature string, importance double")

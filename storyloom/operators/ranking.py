@@ -107,7 +107,7 @@ def feed_score(stories: DataFrame, profile: DataFrame, asof: Column) -> DataFram
     for hours, points in ((3, 95), (6, 90), (12, 80), (24, 70), (48, 50)):
         recency = recency.when(h < hours, float(points))
     recency = recency.otherwise(F.greatest(F.lit(0.0), 30 - h))
-    j = stories.join(F.broadcast(profile.limit(1000)), "category", "left")  # one row a category
+    j = stories.join(profile, "category", "left")  # a row a category; Spark sends it by its size
     score = F.coalesce(recency, F.lit(50.0)) + F.when(F.col("breaking"), 15.0).otherwise(0.0) + F.col("importance") / 10 + F.least(F.col("source_count"), F.lit(5)) + 10 * F.coalesce("weight", F.lit(0.0))
     return j.withColumn("score", F.round(score, 6)).drop("weight")
 
@@ -134,11 +134,12 @@ def default_feed(stories: DataFrame, n: int) -> DataFrame:
 
 
 def search(stories: DataFrame, q: str, category: str | None, n: int, asof: Column) -> DataFrame:
-    """Stories whose title or summary holds q, by phrase in title 100, a word in title 50, in summary 25, and up to 20 for age."""
+    """Stories whose title or summary holds q, or that have it as a tag; by phrase in title 100, a word in title 50, in summary 25, and up to 20 for age."""
     q = q.lower()
     title, text = F.lower("title"), F.lower(F.coalesce("summary", F.lit("")))
     age = (asof.cast("double") - F.col("last_updated").cast("double")) / 3600
-    hit = stories.filter(title.contains(q) | text.contains(q))
+    tagged = F.coalesce(F.array_contains("tags", q), F.lit(False)) if "tags" in stories.columns else F.lit(False)
+    hit = stories.filter(title.contains(q) | text.contains(q) | tagged)
     hit = hit.filter(F.col("category") == category) if category else hit
     score = F.when(title.contains(q), 100.0).otherwise(0.0) + F.when(title.rlike(X.any_of(q.split())), 50.0).otherwise(0.0) + F.when(text.contains(q), 25.0).otherwise(0.0) + F.greatest(F.lit(0.0), 20 - age)
     return hit.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "story_id").limit(n)

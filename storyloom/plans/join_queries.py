@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..operators import joins as J
 from ..operators import metrics as M
 from . import views as V
-from .text_queries import BARE, WORDS, ENTITIES
+from .text_queries import BARE, ENTITIES, JAC, SIM, WORDS
 from .views_sql import T, query
 
 COS = "list_dot_product({0}::double[], {1}::double[]) / (sqrt(list_dot_product({0}::double[], {0}::double[])) * sqrt(list_dot_product({1}::double[], {1}::double[])))"
@@ -51,17 +51,19 @@ def _fp(c):
     return f"md5(trim({BARE.format(c)}, ' '))[1:12]"
 
 
-@query(f"SELECT s.story_id, a.doc_id FROM stories s JOIN articles a ON {_fp('s.title')} = {_fp('a.headline')} WHERE s.story_id < a.doc_id AND a.doc_id % 50 = s.story_id % 50")
+@query(f"SELECT doc_id, fp, s.story_id, stories FROM (SELECT doc_id, {_fp('headline')} AS fp FROM articles) a JOIN (SELECT {_fp('title')} AS fp, min(story_id) AS story_id, count(*) AS stories FROM stories GROUP BY 1) s USING (fp)")
 def j2_match_fingerprint(spark, d):
-    s = V.stories(spark, d).select("story_id", X.title_fp(F.col("title")).alias("fp"), (F.col("story_id") % 50).alias("slot"))
-    a = V.articles(spark, d).select("doc_id", X.title_fp(F.col("headline")).alias("fp"), (F.col("doc_id") % 50).alias("slot"))
-    return s.join(a, ["fp", "slot"]).filter("story_id < doc_id").select("story_id", "doc_id")
+    s = V.stories(spark, d).select("story_id", X.title_fp(F.col("title")).alias("fp"))
+    return J.match_fingerprint(V.articles(spark, d).select("doc_id", X.title_fp(F.col("headline")).alias("fp")), s)
 
 
-@query()
+@query(f""", sj AS (SELECT story_id, CASE WHEN story_id % 2 = 0 THEN {_fp('title')} ELSE '-' END AS fp, title, category FROM stories WHERE source_count = 1), aj AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {_fp('headline')} ELSE doc_id::varchar END AS fp, headline, category, published_at FROM articles),
+ eq AS (SELECT story_id, doc_id FROM sj JOIN aj USING (fp)), pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY published_at DESC, doc_id) AS r FROM aj) WHERE r <= 500),
+ prs AS (SELECT story_id AS x, doc_id AS y, title AS h, headline AS g FROM sj JOIN pool USING (category) WHERE story_id NOT IN (SELECT story_id FROM eq)){SIM}
+ SELECT story_id, doc_id, 'fingerprint' AS how FROM eq UNION ALL SELECT x, y, 'title' FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY similarity DESC, y) AS r FROM sm WHERE similarity > 0.6) WHERE r = 1""")
 def j3_backfill_sources(spark, d):
     s = V.stories(spark, d).filter("source_count = 1").select("story_id", F.when(F.col("story_id") % 2 == 0, X.title_fp(F.col("title"))).otherwise("-").alias("fp"), "title", "category")
-    a = V.articles(spark, d).select(X.title_fp(F.concat("headline", F.col("doc_id").cast("string"))).alias("fp"), "doc_id", "headline", "category", "published_at")
+    a = V.articles(spark, d).select(F.when(F.col("doc_id") % 3 == 0, X.title_fp(F.col("headline"))).otherwise(F.col("doc_id").cast("string")).alias("fp"), "doc_id", "headline", "category", "published_at")
     return J.backfill_sources(s, a)
 
 
@@ -79,19 +81,32 @@ def j5_membership(spark, d):
     return J.membership(_with_members(spark, d))
 
 
-@query("SELECT a.doc_id AS a, b.doc_id AS b, 1::int AS label FROM articles a JOIN articles b ON a.story_id = b.story_id AND a.doc_id < b.doc_id ORDER BY md5('42:' || a.doc_id || ':' || b.doc_id) LIMIT 300")
+_SLOT = "('0x' || md5('42:' || {0} || ':' || doc_id)[1:8])::bigint"
+_POSITIVE = f""", mn AS (SELECT story_id, count(*) AS n FROM articles GROUP BY 1 HAVING count(*) > 1), mr AS (SELECT story_id, n, doc_id, unnest(range(1, 6)) AS r FROM articles JOIN mn USING (story_id)), mslot AS (SELECT *, {_SLOT.format('r')} % greatest(n // 2, 1) AS slot FROM mr),
+ pos AS (SELECT a, b, 1::int AS label FROM (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM mslot x JOIN mslot y ON x.story_id = y.story_id AND x.r = y.r AND x.slot = y.slot AND x.doc_id < y.doc_id) ORDER BY md5('42:' || a || ':' || b) LIMIT 300)"""
+
+
+@query(f"{_POSITIVE} SELECT * FROM pos")
 def j6_positive_pairs(spark, d):
     return J.positive_pairs(V.members(spark, d), 300)
 
 
-@query(f""", w AS (SELECT doc_id, story_id, list_distinct({WORDS.format('lower(headline)')}) AS w FROM articles), p AS (SELECT doc_id, unnest(w) AS t FROM w), r AS (SELECT t FROM p GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40),
- c AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM p x JOIN r USING (t) JOIN p y USING (t) WHERE x.doc_id < y.doc_id)
- SELECT a, b, round(j, 6) AS jaccard, 0::int AS label FROM (SELECT a, b, len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) AS j FROM c JOIN w x ON x.doc_id = a JOIN w y ON y.doc_id = b WHERE x.story_id <> y.story_id) WHERE j > 0.1 AND j < 0.6 ORDER BY md5('42:' || a || ':' || b) LIMIT 300""")
+_HARD = f"""{ENTITIES}, dn AS (SELECT count(*) AS n, least(count(*), 6000) AS drawn FROM articles), pl AS (SELECT doc_id, unnest(range(1, (SELECT (6000 + drawn - 1) // drawn FROM dn) + 1)) AS r FROM articles, dn WHERE {_SLOT.format("'pool'")} * n < 6000 * 4294967296),
+ ps AS (SELECT *, {_SLOT.format('r')} % (SELECT greatest(drawn // 2, 1) FROM dn) AS slot FROM pl), rp AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM ps x JOIN ps y ON x.r = y.r AND x.slot = y.slot AND x.doc_id < y.doc_id),
+ en AS (SELECT doc_id, list(DISTINCT lower(w)) AS e FROM ents GROUP BY 1), ab AS (SELECT doc_id, story_id, list_distinct({WORDS.format('lower(headline)')}) AS t, coalesce(e, []) AS e FROM articles LEFT JOIN en USING (doc_id)),
+ hard AS (SELECT a, b, round(j, 6)::double AS jaccard, round(k, 6)::double AS entities, 0::int AS label FROM (SELECT a, b, {JAC.format('x.t', 'y.t')} AS j, {JAC.format('x.e', 'y.e')} AS k FROM rp JOIN ab x ON x.doc_id = a JOIN ab y ON y.doc_id = b WHERE x.story_id <> y.story_id)
+ WHERE (j > 0.1 AND j < 0.6) OR (k > 0.2 AND k < 0.8) ORDER BY md5('42:' || a || ':' || b) LIMIT 300)"""
+
+
+@query(f"{_HARD} SELECT * FROM hard")
 def j7_hard_negatives(spark, d):
-    return J.hard_negatives(V.articles(spark, d), 300, most_df=40)
+    return J.hard_negatives(V.with_entities(V.articles(spark, d)), 300)
 
 
-@query(""", s AS (SELECT doc_id, category, row_number() OVER (PARTITION BY category ORDER BY md5('42:' || doc_id)) AS r FROM articles) SELECT x.doc_id AS a, y.doc_id AS b, 0::int AS label FROM s x JOIN s y ON x.r = y.r AND x.category < y.category WHERE x.r <= 20 ORDER BY md5('42:' || x.doc_id || ':' || y.doc_id) LIMIT 200""")
+_EASY = """, sc8 AS (SELECT doc_id, category, row_number() OVER (PARTITION BY category ORDER BY md5('42:' || doc_id)) AS r FROM articles), easy AS (SELECT x.doc_id AS a, y.doc_id AS b, 0::int AS label FROM sc8 x JOIN sc8 y ON x.r = y.r AND x.category < y.category WHERE x.r <= 20 ORDER BY md5('42:' || x.doc_id || ':' || y.doc_id) LIMIT 200)"""
+
+
+@query(f"{_EASY} SELECT * FROM easy")
 def j8_easy_negatives(spark, d):
     return J.easy_negatives(V.articles(spark, d), 20, 200)
 
@@ -120,16 +135,44 @@ def j13_read_state(spark, d):
     return J.with_read_state(V.stories(spark, d), reads).select("story_id", "read")
 
 
-@query(f"""{ENTITIES} SELECT mention, qid, score FROM (SELECT w AS mention, n_nationkey AS qid, round(0.7 + least(n_nationkey * 10 / 100, 0.3), 6)::double AS score FROM (SELECT DISTINCT w FROM ents) m JOIN nation n ON lower(m.w) = lower({('list_extract([' + ', '.join(repr(c) for c in vocab.COUNTRIES) + '], n_nationkey % 15 + 1)')})
- QUALIFY row_number() OVER (PARTITION BY w ORDER BY score DESC, n_nationkey) = 1)""")
-def j14_link_entities(spark, d):
+_CLUES = "|".join(vocab.PLACE_CLUES)
+_TOKENS = "list_distinct(list_filter(regexp_split_to_array({0}, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> ''))"
+_LINKS = f"""{ENTITIES}, kb AS (SELECT n_nationkey AS qid, lower({'list_extract([' + ', '.join(repr(c) for c in vocab.COUNTRIES) + '], n_nationkey % 15 + 1)'}) AS label, lower(n_name) AS alias, n_nationkey * 10 AS sitelinks, CASE WHEN n_nationkey % 4 = 0 THEN 'entity' ELSE 'country' END AS kind, 'country based in region ' || n_regionkey AS d FROM nation),
+ lk AS (SELECT e.doc_id, e.w AS mention, qid, lower(e.w) AS q, lower(a.headline) AS c, label, alias, sitelinks, kind, d, e.type FROM ents e JOIN articles a USING (doc_id) JOIN kb ON list_has_any({WORDS.format('lower(e.w)')}, list_concat({WORDS.format('label')}, {WORDS.format('alias')}))),
+ ls AS (SELECT doc_id, mention, qid, round(0.3 * least(sitelinks / 100, 1.0) + CASE WHEN q = label THEN 0.4 WHEN contains(label, q) THEN 0.2 ELSE 0 END + CASE WHEN q = alias THEN 0.3 WHEN contains(alias, q) THEN 0.15 ELSE 0 END + 0.2 * CASE WHEN type = 'LOCATION' AND kind = 'country' THEN 1.0 WHEN kind = 'entity' THEN 0.5 ELSE 0 END
+ + 0.2 * least(0.5 * len(list_intersect({_TOKENS.format('d')}, {_TOKENS.format('c')})) / len({_TOKENS.format('d')}) + CASE WHEN contains(c, label) THEN 0.3 ELSE 0 END + CASE WHEN kind = 'country' AND regexp_matches(c, '{_CLUES}') THEN 0.2 ELSE 0 END, 1.0), 6)::double AS score FROM lk),
+ links AS (SELECT doc_id, mention, qid, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, mention ORDER BY score DESC, qid) AS place FROM ls WHERE score > 0.6) WHERE place = 1)"""
+
+
+def _links(spark, d):
     label = F.element_at(F.array(*[F.lit(c) for c in vocab.COUNTRIES]), (F.col("n_nationkey") % 15 + 1).cast("int"))
-    kb = V.table(spark, d, "nation").select(F.col("n_nationkey").alias("qid"), label.alias("label"), F.array(F.lower("n_name")).alias("aliases"), (F.col("n_nationkey") * 10).alias("sitelinks"))
-    m = V.with_entities(V.articles(spark, d)).select(F.explode("entities.text").alias("mention"))
+    kind = F.when(F.col("n_nationkey") % 4 == 0, "entity").otherwise("country")
+    told = F.concat(F.lit("Country based in region "), F.col("n_regionkey").cast("string"))
+    kb = V.table(spark, d, "nation").select(F.col("n_nationkey").alias("qid"), label.alias("label"), F.array("n_name").alias("aliases"), (F.col("n_nationkey") * 10).alias("sitelinks"), kind.alias("type"), told.alias("description"))
+    m = V.with_entities(V.articles(spark, d)).select("doc_id", F.col("headline").alias("context"), F.explode("entities").alias("e")).select("doc_id", "context", F.col("e.text").alias("mention"), F.col("e.type").alias("type"))
     return J.link_entities(m, kb)
 
 
-@query()
+@query(f"{_LINKS} SELECT doc_id, mention, qid, score FROM links")
+def j14_link_entities(spark, d):
+    return _links(spark, d)
+
+
+def _bits(half):
+    return " + ".join(f"CASE WHEN 2 * sum(({half} >> {i}) & 1) > count(*) THEN {1 << i} ELSE 0 END" for i in range(32))
+
+
+_WEEK = "604800"
+_J15 = f""", xa AS (SELECT doc_id, epoch(published_at) AS t, lower(trim(headline)) AS k, lower(headline || description) AS txt FROM articles), xb AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY k ORDER BY t, doc_id) <= {_WEEK} THEN 0 ELSE 1 END AS new FROM xa),
+ xc AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY t, doc_id) AS s FROM xb), xd AS (SELECT *, first_value(doc_id) OVER (PARTITION BY k, s ORDER BY t, doc_id) AS f FROM xc),
+ xg AS (SELECT doc_id, t, unnest(CASE WHEN len(w) < 3 THEN [txt] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM (SELECT *, {WORDS.format('txt')} AS w FROM xd WHERE doc_id = f)),
+ xh AS (SELECT doc_id, t, ('0x' || md5(g)[17:24])::bigint AS hi, ('0x' || md5(g)[25:32])::bigint AS lo FROM xg), xs AS (SELECT doc_id, t, ({_bits('hi')})::bigint AS hi, ({_bits('lo')})::bigint AS lo FROM xh GROUP BY doc_id, t),
+ ya AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY hi, lo ORDER BY t, doc_id) <= {_WEEK} THEN 0 ELSE 1 END AS new FROM xs), yb AS (SELECT *, sum(new) OVER (PARTITION BY hi, lo ORDER BY t, doc_id) AS s FROM ya),
+ yc AS (SELECT doc_id, hi, lo, t, first_value(doc_id) OVER w AS f, min(t) OVER (PARTITION BY hi, lo, s) AS since, max(t) OVER (PARTITION BY hi, lo, s) AS until FROM yb WINDOW w AS (PARTITION BY hi, lo, s ORDER BY t, doc_id)), yr AS (SELECT * FROM yc WHERE doc_id = f)"""
+
+
+@query(f"""{_J15} SELECT f AS a, doc_id AS b, 0::int AS distance, 'exact' AS kind FROM xd WHERE doc_id <> f UNION ALL SELECT f, doc_id, 0, 'near' FROM yc WHERE doc_id <> f
+ UNION ALL SELECT x.doc_id, y.doc_id, (bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)))::int, 'near' FROM yr x JOIN yr y ON (x.since < y.since OR x.since = y.since AND x.doc_id < y.doc_id) AND bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) BETWEEN 1 AND 3 AND y.since - x.until <= {_WEEK}""")
 def j15_near_duplicates(spark, d):
     return J.near_duplicates(V.articles(spark, d))
 
@@ -144,19 +187,23 @@ def j17_category_affinity(spark, d):
     return J.category_affinity(V.interactions(spark, d), V.stories(spark, d), vocab.AFFINITY)
 
 
-def _bm25(spark, d, k=50):
-    q = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return J.bm25(q, V.articles(spark, d).select("doc_id", F.concat_ws(" ", "title", "description").alias("text")), k)
+def _corpus(spark, d):
+    return V.articles(spark, d).select("doc_id", F.concat_ws(" ", "title", "description").alias("text"))
+
 
+_TOK = "list_filter(" + WORDS.format("lower({0})") + ", lambda w: length(w) > 2 AND w NOT IN {1})"
 
-_TOK = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 2)"
-_BM = f""", dd AS (SELECT doc_id, {_TOK.format("title || ' ' || description")} AS w FROM articles), nn AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM dd), pp AS (SELECT doc_id, len(w) AS l, unnest(w) AS t FROM dd), tf AS (SELECT t, doc_id, l, count(*) AS tf FROM pp GROUP BY 1, 2, 3),
- df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1), qq AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK.format('text')}) AS t FROM benchmark), sc AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * l / mean))), 4) AS score FROM qq JOIN df USING (t) JOIN tf USING (t), nn GROUP BY 1, 2)"""
 
+def _bm(queries):
+    """SQL of sc (query_id, doc_id, score) for queries (query_id, text)."""
+    return f""", dd AS (SELECT doc_id, {_TOK.format("title || ' ' || description", vocab.STOP_RETRIEVAL)} AS w FROM articles), dl AS (SELECT * FROM dd WHERE len(w) > 0), nn AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM dl), pp AS (SELECT doc_id, len(w) AS l, unnest(w) AS t FROM dl), tf AS (SELECT t, doc_id, l, count(*) AS tf FROM pp GROUP BY 1, 2, 3),
+ df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1), qq AS (SELECT DISTINCT query_id, unnest({_TOK.format('text', vocab.STOP_QUERY)}) AS t FROM ({queries})), sc AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * l / mean))), 4) AS score FROM qq JOIN df USING (t) JOIN tf USING (t), nn GROUP BY 1, 2)"""
 
-@query(f"{_BM} SELECT query_id, count(*) AS n, round(max(score), 3) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r <= 50 GROUP BY 1")
+
+@query(f"{_bm('SELECT item_id AS query_id, text FROM benchmark')} SELECT query_id, count(*) AS n, round(max(score), 3) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r <= 50 GROUP BY 1")
 def e5_bm25(spark, d):
-    return _bm25(spark, d).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 3).alias("best"))
+    q = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return J.bm25(q, _corpus(spark, d), 50).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 3).alias("best"))
 
 
 _L2 = "round(list_sum(list_transform(list_zip(q.embedding::double[], c.embedding::double[]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6)"
@@ -173,11 +220,36 @@ def e6_vector_topk(spark, d):
     return _topk(spark, d, 10).withColumn("distance", F.round("distance", 4))
 
 
-@query(f"""{_BM}, kk AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc), u AS (SELECT query_id, doc_id, min(rank) AS best FROM (SELECT query_id, doc_id, rank FROM kk WHERE rank <= 50 UNION ALL SELECT item_id, item_id, 1 FROM benchmark) GROUP BY 1, 2)
- SELECT query_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best, doc_id) AS r FROM u) WHERE r <= 30 GROUP BY 1""")
+_TOPF = f""", ev AS (SELECT vec_id, embedding, category, published_at, source FROM embeddings JOIN articles ON vec_id = doc_id), tf6 AS (SELECT q.vec_id AS query_id, c.vec_id, {_L2} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_L2}, c.vec_id) AS rank FROM ev q JOIN ev c
+ ON q.category = c.category AND q.source <> c.source AND c.published_at >= q.published_at - INTERVAL 7 DAY AND c.published_at <= q.published_at + INTERVAL 6 HOUR WHERE q.vec_id % 50 = 0)"""
+
+
+def _topk_near(spark, d, k):
+    """Of other sources, of one category, published from a week before to six hours after the query's article."""
+    about = ("category", "published_at", "source")
+    v = V.vectors(spark, d).join(V.articles(spark, d).select(F.col("doc_id").alias("vec_id"), *about), "vec_id")
+    when = (F.col("published_at") >= F.col("q_published_at") - F.expr("interval 7 days")) & (F.col("published_at") <= F.col("q_published_at") + F.expr("interval 6 hours"))
+    q = v.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return J.vector_topk(q, v, k, where=(F.col("category") == F.col("q_category")) & (F.col("source") != F.col("q_source")) & when, about=about)
+
+
+@query(f"{_TOPF} SELECT query_id, vec_id, round(distance, 4) AS distance, rank::int AS rank FROM tf6 WHERE rank <= 10")
+def e6_vector_topk_filtered(spark, d):
+    return _topk_near(spark, d, 10).withColumn("distance", F.round("distance", 4))
+
+
+_ARMS = f"{_TOPF}{_bm('SELECT doc_id AS query_id, headline AS text FROM articles WHERE doc_id % 50 = 0')}, kw AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc), arms AS (SELECT query_id, vec_id AS doc_id, rank FROM tf6 WHERE rank <= 15 UNION ALL SELECT query_id, doc_id, rank FROM kw WHERE rank <= 15)"
+
+
+def _arms(spark, d, k=15):
+    """The vector hits and the keyword hits of the articles whose number is divisible by 50."""
+    q = V.articles(spark, d).filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("headline").alias("text"))
+    return _topk_near(spark, d, k).select("query_id", F.col("vec_id").alias("doc_id"), "rank"), J.bm25(q, _corpus(spark, d), k).select("query_id", "doc_id", "rank")
+
+
+@query(f"{_ARMS} SELECT query_id, doc_id, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best, doc_id) AS rank FROM (SELECT query_id, doc_id, min(rank) AS best FROM arms GROUP BY 1, 2)) WHERE rank <= 30")
 def r5_hybrid(spark, d):
-    own = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("doc_id"), F.lit(1).alias("rank"))
-    return J.hybrid_candidates(own, _bm25(spark, d), 30).groupBy("query_id").agg(F.count("*").alias("n"))
+    return J.hybrid_candidates(*_arms(spark, d), 30).select("query_id", "doc_id", "rank")
 
 
 @query(f"{_TOP} SELECT query_id, vec_id AS doc_id, round(1 - distance / 2, 3) AS score FROM tk WHERE rank <= 20 AND query_id <> vec_id AND 1 - distance / 2 >= 0.35")
@@ -186,11 +258,16 @@ def r6_similar_articles(spark, d):
     return J.similar_articles(c, V.vectors(spark, d), 0.35, 20).select("query_id", "doc_id", F.round("score", 3).alias("score"))
 
 
+def _pairs(spark, d):
+    return J.pair_dataset(J.positive_pairs(V.members(spark, d), 300), J.hard_negatives(V.with_entities(V.articles(spark, d)), 300), J.easy_negatives(V.articles(spark, d), 20, 200))
+
+
 def _features(spark, d):
     a = V.with_entities(V.articles(spark, d))
     a = a.withColumn("signature", X.event_signature(F.col("headline"), F.col("description"), F.col("entities")))
-    p = J.pair_dataset(J.positive_pairs(V.members(spark, d), 300), J.hard_negatives(a, 300), J.easy_negatives(a, 20, 200))
-    return J.pair_features(p, a, V.vectors(spark, d))
+    qids = _links(spark, d).groupBy("doc_id").agg(F.collect_set("qid").alias("qids"))
+    a = a.join(qids, "doc_id", "left").withColumn("qids", F.coalesce("qids", F.array().cast("array<int>")))
+    return J.pair_features(_pairs(spark, d), a, V.vectors(spark, d))
 
 
 @query()
@@ -205,34 +282,56 @@ def e8_rule_score(spark, d):
 
 @query()
 def e9_learned_scorer(spark, d):
-    model, rest = J.train_scorer(_features(spark, d).cache())
+    """The held-back pairs' figures of a model of 100 trees of depth 6."""
+    model, rest = J.train_scorer(_features(spark, d).coalesce(2).cache())
     return M.pair_metrics(J.score_pairs(model, rest), 0.5)
 
 
-@query()
+_FACTORS = f"""{ENTITIES}, fa AS (SELECT a.doc_id, a.story_id, a.headline, a.published_at, a.category, coalesce(names, []) AS names, place FROM articles a LEFT JOIN (SELECT doc_id, list(DISTINCT lower(w)) AS names, lower(arg_min(w, r) FILTER (type = 'LOCATION')) AS place FROM ents GROUP BY 1) n ON n.doc_id = a.doc_id),
+ fn AS (SELECT story_id, list(DISTINCT lower(w)) AS names FROM ents JOIN articles USING (doc_id) GROUP BY 1), fp AS (SELECT story_id, arg_min_null(place, doc_id) AS place FROM fa GROUP BY 1),
+ sd AS (SELECT a.story_id, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS i FROM embeddings JOIN articles a ON a.doc_id = vec_id), sm0 AS (SELECT story_id, i, avg(x) AS m FROM sd GROUP BY 1, 2), sr AS (SELECT story_id, list(m ORDER BY i) AS c, sqrt(sum(m * m)) AS n FROM sm0 GROUP BY 1), sct AS (SELECT story_id, list_transform(c, lambda x: x / n) AS centroid FROM sr),
+ fc AS (SELECT a.doc_id, s.story_id, a.published_at, CASE WHEN embedding IS NULL OR centroid IS NULL THEN 0.0 ELSE round({COS.format('embedding', 'centroid')}, 6) END AS cosine, {JAC.format('a.names', 'coalesce(n.names, [])')} AS entities, list_distinct({WORDS.format('lower(a.headline)')}) AS u, list_distinct({WORDS.format('lower(s.title)')}) AS v,
+ abs(epoch(a.published_at) - epoch(s.last_updated)) / 3600 / CASE WHEN s.breaking THEN 24.0 ELSE 72.0 END AS far, coalesce(a.place = p.place, false) AS same FROM fa a JOIN stories s ON a.category = s.category AND s.first_seen >= a.published_at - INTERVAL 7 DAY AND s.first_seen <= a.published_at + INTERVAL 6 HOUR
+ LEFT JOIN fn n ON n.story_id = s.story_id LEFT JOIN fp p ON p.story_id = s.story_id LEFT JOIN embeddings e ON e.vec_id = a.doc_id LEFT JOIN sct c ON c.story_id = s.story_id WHERE a.doc_id % 50 = 0),
+ fs AS (SELECT doc_id, story_id, published_at, round(0.55 * cosine + 0.20 * entities + 0.10 * ({JAC.format('u', 'v')}) + 0.10 * exp(-(far * far)) + 0.05 * same::int, 6)::double AS score FROM fc)"""
+
+
+def _scored(spark, d):
+    """The articles whose number is divisible by 50, against all stories of their window."""
+    a = V.with_entities(V.articles(spark, d))
+    names = F.array_distinct(F.transform("entities", lambda e: F.lower(e["text"])))
+    place = F.lower(F.get(F.filter("entities", lambda e: e["type"] == "LOCATION"), F.lit(0))["text"])
+    a = a.withColumns({"names": names, "place": place})
+    v = V.vectors(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    centres = J.centroids(v.join(a.select("doc_id", "story_id"), "doc_id"), vector="vector")
+    known = a.select("story_id", F.explode("names").alias("n")).groupBy("story_id").agg(F.collect_set("n").alias("names"))
+    s = V.stories(spark, d).join(a.groupBy("story_id").agg(F.min_by("place", "doc_id").alias("place")), "story_id").join(known, "story_id", "left").join(centres, "story_id", "left")
+    s = s.withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    mine = a.filter("doc_id % 50 = 0").join(v, "doc_id", "left")
+    return J.multi_factor_score(J.story_factors(J.candidate_window(mine, s), mine, s))
+
+
+@query(f"{_FACTORS} SELECT doc_id, story_id, score FROM fs")
 def e10_multi_factor(spark, d):
-    return J.multi_factor_score(_features(spark, d)).select("a", "b", "score")
+    return _scored(spark, d).select("doc_id", "story_id", "score")
 
 
-@query(""", s AS (SELECT a.doc_id, s.story_id, round(((a.doc_id * 37 + s.story_id * 11) % 100) / 100, 6)::double AS score, (a.doc_id % 100)::double AS age FROM articles a JOIN stories s ON s.category = a.category AND s.story_id % 40 = 0),
- m AS (SELECT doc_id, avg(score) AS m, stddev_pop(score) AS d FROM s GROUP BY 1), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, story_id) AS r FROM s) WHERE r = 1)
- SELECT doc_id, story_id, score FROM b JOIN m USING (doc_id) WHERE score >= least(CASE WHEN age < 24 THEN 0.62 WHEN age < 72 THEN 0.58 ELSE 0.52 END, m + 2 * d)""")
+@query(f"""{_FACTORS}, ag AS (SELECT doc_id, avg(score) AS m, stddev_pop(score) AS d, count(*) AS n FROM fs GROUP BY 1), bs AS (SELECT *, (epoch({T}) - epoch(published_at)) / 3600 AS age FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, story_id) AS r FROM fs) WHERE r = 1)
+ SELECT doc_id, story_id, score FROM bs JOIN ag USING (doc_id) WHERE score >= CASE WHEN age < 12 THEN 0.62 WHEN age < 72 THEN 0.58 ELSE 0.52 END OR (n > 1 AND score >= round(m + 2 * d, 6))""")
 def e11_assign_clusters(spark, d):
-    a, s = V.articles(spark, d).select("doc_id", "category"), V.stories(spark, d).filter("story_id % 40 = 0").select("story_id", "category")
-    scored = a.join(s, "category").select("doc_id", "story_id", F.round(((F.col("doc_id") * 37 + F.col("story_id") * 11) % 100) / 100, 6).alias("score"), (F.col("doc_id") % 100).cast("double").alias("age_hours"))
-    return J.assign_clusters(scored)
+    age = (V.asof().cast("double") - F.col("published_at").cast("double")) / 3600
+    return J.assign_clusters(_scored(spark, d).join(V.articles(spark, d).select("doc_id", age.alias("age_hours")), "doc_id"))
 
 
-@query("SELECT query_id, doc_id FROM (SELECT item_id AS query_id, item_id % 7 AS doc_id FROM benchmark UNION SELECT item_id, item_id % 5 FROM benchmark)")
+@query(f"{_ARMS} SELECT DISTINCT query_id, doc_id FROM arms")
 def u1_union_hits(spark, d):
-    b = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
-    return b.withColumn("doc_id", F.col("query_id") % 7).union(b.withColumn("doc_id", F.col("query_id") % 5)).distinct()
+    x, y = _arms(spark, d)
+    return x.select("query_id", "doc_id").union(y.select("query_id", "doc_id")).distinct()
 
 
-@query()
+@query(f"{_POSITIVE}{_HARD}{_EASY} SELECT a, b, label FROM pos UNION ALL SELECT a, b, label FROM hard UNION ALL SELECT a, b, label FROM easy")
 def u2_pair_dataset(spark, d):
-    a = V.articles(spark, d)
-    return J.pair_dataset(J.positive_pairs(V.members(spark, d), 300), J.hard_negatives(a, 300), J.easy_negatives(a, 20, 200))
+    return _pairs(spark, d)
 
 
 @query("SELECT 'src' || feed AS source FROM feeds EXCEPT SELECT DISTINCT source FROM articles")

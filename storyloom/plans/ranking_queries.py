@@ -104,6 +104,12 @@ def r2_default_feed(spark, d):
     return R.default_feed(V.stories(spark, d), 30).select("story_id")
 
 
+@query(f"""SELECT story_id, round(CASE WHEN contains(lower(title), 'health') THEN 100.0 ELSE 0 END + CASE WHEN regexp_matches(lower(title), '(?:health)') THEN 50.0 ELSE 0 END + CASE WHEN contains(lower(coalesce(summary, '')), 'health') THEN 25.0 ELSE 0 END + greatest(0, 20 - (epoch({T}) - epoch(last_updated)) / 3600), 6)::double AS score
+ FROM stories WHERE contains(lower(title), 'health') OR contains(lower(coalesce(summary, '')), 'health') OR category = 'health' ORDER BY score DESC, story_id LIMIT 50""")
+def r3_search_tags(spark, d):
+    return R.search(V.stories(spark, d).withColumn("tags", F.array("category")), "health", None, 50, V.asof()).select("story_id", "score")
+
+
 @query(f"""SELECT story_id, round(CASE WHEN contains(lower(title), 'in') THEN 100.0 ELSE 0 END + CASE WHEN regexp_matches(lower(title), '(?:in)') THEN 50.0 ELSE 0 END + CASE WHEN contains(lower(coalesce(summary, '')), 'in') THEN 25.0 ELSE 0 END + greatest(0, 20 - (epoch({T}) - epoch(last_updated)) / 3600), 6)::double AS score
  FROM stories WHERE contains(lower(title), 'in') OR contains(lower(coalesce(summary, '')), 'in') ORDER BY score DESC, story_id LIMIT 50""")
 def r3_search(spark, d):
@@ -118,3 +124,9 @@ def r4_breaking(spark, d):
 @query(f"SELECT count(*) AS n FROM (SELECT story_id FROM stories WHERE source_count = 1 AND length(coalesce(summary, '')) > 0)")
 def f6_with_fallback(spark, d):
     return R.with_fallback(V.stories(spark, d).filter("source_count = 1"), 20).agg(F.count("*").alias("n"))
+
+
+@query("SELECT story_id FROM stories WHERE length(coalesce(summary, '')) = 0 ORDER BY last_updated DESC, story_id LIMIT 20")
+def f6_falls_back(spark, d):
+    """Where no story has a summary, the latest ones are shown."""
+    return R.with_fallback(V.stories(spark, d).filter(F.length(F.coalesce("summary", F.lit(""))) == 0), 20).select("story_id")

@@ -2,24 +2,32 @@
 
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..functions import text as X
+from ..functions.text import entities
+from ..operators import articles as A
 from ..operators import clusters as C
 from ..operators import joins as J
 from ..sources import io as S
 from ..streaming import streams as K
 from . import views as V
 from .join_queries import CENT, COS, _vector_stories
-from .views_sql import T, query
+from .text_queries import _FALLBACK, JAC, WORDS
+from .text_queries import _any as any_list
+from .views_sql import T, any_of, lst, query
 
 
 def _tmp(spark, name: str) -> str:
-    """A new folder in the shared checkpoint folder."""
+    """A new folder in the shared checkpoint folder; one of this machine's only where Spark runs on it alone."""
     import tempfile
     import uuid
 
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="storyloom-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="storyloom-"))
     return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4()}"
 
 
@@ -138,9 +146,9 @@ def k1_cluster_stream(spark, d):
     return spark.read.parquet(f"{out}/members").select("doc_id", "story_id", "created")
 
 
-def _land(a, path, slices=4, files=2):
-    """Articles as change files of equal spans of time, one span after the other, so that a stream reads them in that order."""
-    at = F.col("published_at").cast("long")
+def _land(a, path, slices=4, files=2, at="published_at"):
+    """Rows as change files of equal spans of time, one span after the other, so that a stream reads them in that order."""
+    at = F.col(at).cast("long")
     lo, hi = a.agg(F.min(at), F.max(at)).first()
     for i in range(slices if lo is not None else 0):
         part = a.filter(F.floor((at - lo) * slices / (hi - lo + 1)) == i)
@@ -167,23 +175,26 @@ def k4_notify_stream(spark, d):
     return spark.read.parquet(out).select("story_id")
 
 
-@query()
+@query("""SELECT feed, event_id FROM (WITH RECURSIVE l AS (SELECT feed, event_id, cast(floor(epoch(ts)) AS bigint) AS t FROM fetch_log), c(feed, event_id, t) AS (SELECT feed, arg_min(event_id, (t, event_id)), min(t) FROM l GROUP BY 1
+ UNION ALL SELECT feed, event_id, t FROM (SELECT l.feed, l.event_id, l.t, row_number() OVER (PARTITION BY l.feed ORDER BY l.t, l.event_id) AS r FROM c JOIN l ON l.feed = c.feed AND l.t >= c.t + 86400) WHERE r = 1) SELECT * FROM c)""")
 def k5_cooldown(spark, d):
+    """Requests let through a day's cooldown, over several micro-batches."""
     path, out = _tmp(spark, "in"), _tmp(spark, "out")
     log = V.fetch_log(spark, d).select("feed", "ts", "event_id")
-    log.coalesce(1).write.parquet(path)
-    K.drain(K.cooldown(S.article_changes(spark, path, log.schema), 86400), _tmp(spark, "state"), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    _land(log, path, at="ts")
+    K.drain(K.cooldown(S.article_changes(spark, path, log.schema, files=2), 86400), _tmp(spark, "state"), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
     return spark.read.parquet(out).select("feed", "event_id")
 
 
-@query("""SELECT feed, count(*) FILTER (late) AS consecutive, CASE WHEN count(*) FILTER (late) >= 3 THEN 'open' ELSE 'closed' END AS state FROM (SELECT *, NOT ok AND sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY feed ORDER BY ts DESC, event_id DESC) = 0 AS late FROM fetch_log) GROUP BY 1""")
+@query("""SELECT feed, count(*) FILTER (late) AS consecutive, CASE WHEN count(*) FILTER (late) >= 3 AND floor(epoch(TIMESTAMP '2024-01-30')) - floor(epoch(max(ts) FILTER (late))) > 1800 THEN 'half_open' WHEN count(*) FILTER (late) >= 3 THEN 'open' ELSE 'closed' END AS state
+ FROM (SELECT *, NOT ok AND sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY feed ORDER BY ts DESC, event_id DESC) = 0 AS late FROM fetch_log) GROUP BY 1""")
 def k6_breaker_stream(spark, d):
+    """The breakers after all micro-batches, as of the end of January."""
     path, out = _tmp(spark, "in"), _tmp(spark, "out")
     log = V.fetch_log(spark, d).select("feed", "ts", "event_id", "ok")
-    log.coalesce(1).write.parquet(path)
-    K.drain(K.breaker_stream(S.article_changes(spark, path, log.schema)), _tmp(spark, "state"), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), "update")
-    every = spark.read.parquet(out)
-    return every.groupBy("feed").agg(F.max_by("consecutive", "batch").alias("consecutive"), F.max_by("state", "batch").alias("state"))
+    _land(log, path, at="ts")
+    K.drain(K.breaker_stream(S.article_changes(spark, path, log.schema, files=2)), _tmp(spark, "state"), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), "update")
+    return K.breakers_at(spark.read.parquet(out), F.lit("2024-01-30 00:00:00").cast("timestamp")).select("feed", "consecutive", "state")
 
 
 @query("SELECT cast(epoch(time_bucket(INTERVAL 5 MINUTE, fetched_at, TIMESTAMP '1970-01-01')) AS bigint) AS start, count(*) AS n FROM articles GROUP BY 1")
@@ -206,34 +217,60 @@ def k9_status_history(spark, d):
     return C.status_history(V.members(spark, d))
 
 
-@query("SELECT conv_id AS batch_id, count(*) AS requests, count(*) FILTER (turn % 4 < 2) AS succeeded, count(*) FILTER (turn % 4 = 2) AS errored, count(*) FILTER (turn % 4 = 3) AS expired FROM conversations GROUP BY 1")
+@query("SELECT conv_id AS batch_id, count(*) AS requests, count(*) FILTER (turn % 4 < 2) AS succeeded, count(*) FILTER (turn % 4 = 2) AS errored, count(*) FILTER (turn % 4 = 3) AS expired, 'completed' AS status FROM conversations GROUP BY 1")
 def k10_batch_results(spark, d):
+    return C.ingest_batch_results(_results(spark, d), V.stories(spark, d))[0]
+
+
+def _results(spark, d):
+    """Answers of batches: a turn of a conversation each, one in seven conversations refused."""
     kind = F.when(F.col("turn") % 4 < 2, "succeeded").when(F.col("turn") % 4 == 2, "errored").otherwise("expired")
-    r = V.table(spark, d, "conversations").select(F.col("conv_id").alias("batch_id"), (F.col("conv_id") * 12).alias("story_id"), kind.alias("type"), "text")
-    return C.ingest_batch_results(r, V.stories(spark, d))[0]
+    text = F.when(F.col("conv_id") % 7 == 0, F.concat(F.lit("I cannot say. "), F.col("text"))).otherwise(F.concat(F.lit(" "), F.col("text"), F.lit(" ")))
+    return V.table(spark, d, "conversations").select(F.col("conv_id").alias("batch_id"), (F.col("conv_id") * 12 + F.col("turn")).alias("story_id"), kind.alias("type"), text.alias("text"))
+
+
+@query(f""", fb AS ({_FALLBACK}), rs AS (SELECT conv_id AS batch_id, conv_id * 12 + turn AS story_id, trim(CASE WHEN conv_id % 7 = 0 THEN 'I cannot say. ' || text ELSE ' ' || text || ' ' END, ' ') AS text FROM conversations WHERE turn % 4 < 2),
+ fd AS (SELECT batch_id, rs.story_id, CASE WHEN regexp_matches(lower(text), '{any_of(vocab.REFUSALS_LIVE)}') THEN fb.summary ELSE text END AS summary FROM rs JOIN stories s ON s.story_id = rs.story_id LEFT JOIN fb ON fb.story_id = rs.story_id)
+ SELECT batch_id, story_id, summary, len({WORDS.format('summary')})::int AS words FROM fd WHERE summary IS NOT NULL""")
+def k10_batch_summaries(spark, d):
+    s = V.stories(spark, d)
+    return C.ingest_batch_results(_results(spark, d), s, A.fallback_summary(s, V.articles(spark, d)))[1]
 
 
-def _terms(spark, d):
-    words = F.filter(X.words(F.lower("title")), lambda w: F.length(w) > 3)
-    return V.stories(spark, d).withColumn("terms", F.array_distinct(words))
+def _merging(spark, d):
+    """Stories of two members and more that stay active for half a day to a day and a half, with what their titles name."""
+    s = V.stories(spark, d)
+    found = entities(F.col("title"))
+    low = lambda x: F.array_distinct(F.transform(x, lambda e: F.lower(e["text"])))
+    places = low(F.filter(found, lambda e: e["type"] == "LOCATION"))
+    last = F.timestamp_seconds(F.col("last_updated").cast("long") + 43200 * (F.col("story_id") % 3 + 1))
+    return s.withColumns({"last_updated": last, "names": low(found), "places": places, "signature": X.event_signature(F.col("title"), F.lit(""), found)})
 
 
-_TERMS = "list_distinct(list_filter(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> ''), lambda w: length(w) > 3))"
-_MC = f""", ms AS (SELECT *, {_TERMS.format('title')} AS terms FROM stories WHERE n_articles >= 2 AND last_updated >= TIMESTAMP '2024-01-03' - INTERVAL 7 DAY AND last_updated <= TIMESTAMP '2024-01-03'),
- mc AS (SELECT a.story_id AS a, b.story_id AS b, a.n_articles AS na, b.n_articles AS nb, round(len(list_intersect(a.terms, b.terms)) / len(list_distinct(list_concat(a.terms, b.terms))), 6) AS jaccard FROM ms a JOIN ms b ON a.category = b.category AND a.story_id < b.story_id
- WHERE len(list_intersect(a.terms, b.terms)) > 0 AND len(list_intersect(a.terms, b.terms)) / len(list_distinct(list_concat(a.terms, b.terms))) >= 0.1)"""
+_MCAP = f"list_filter({WORDS.format('title')}, lambda w: regexp_matches(w, '^\\p{{Lu}}') AND length(w) > 2)"
+_MC = f""", mw AS (SELECT story_id, category, n_articles, epoch(first_seen) AS s, epoch(last_updated) + 43200 * (story_id % 3 + 1) AS e, title, list_transform({_MCAP}, lambda w: regexp_replace(w, '^[.,!?;:]+|[.,!?;:]+$', '', 'g')) AS ws FROM stories WHERE n_articles >= 2),
+ mx AS (SELECT *, list_distinct(list_transform(ws, lambda w: lower(w))) AS names, list_transform(list_filter(ws, lambda w: w IN {vocab.COUNTRIES} OR ends_with(w, 'land') OR ends_with(w, 'stan')), lambda w: lower(w)) AS places, lower(title || ' ') AS t FROM mw),
+ my AS (SELECT *, {any_list(vocab.EVENT_TYPES)} AS types, list_sort(list_filter(list_transform({lst(vocab.ACTIONS)}, lambda v: {{'p': coalesce(list_position(toks, v), 0), 'v': v}}), lambda x: x.p > 0))[1:3] AS v FROM (SELECT *, list_filter(regexp_split_to_array(t, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '') AS toks FROM mx)),
+ ms AS (SELECT *, list_transform(v, lambda x: x.v) AS verbs, list_distinct(list_transform(ws, lambda w: lower(w))[1:5]) AS five FROM my WHERE floor((epoch(TIMESTAMP '2024-01-03') - e) / 86400) BETWEEN 0 AND 7 AND len(names) > 0),
+ mc AS (SELECT a.story_id AS a, b.story_id AS b, a.n_articles AS na, b.n_articles AS nb, round({JAC.format('a.names', 'b.names')}, 6)::double AS jaccard FROM ms a JOIN ms b ON a.category = b.category AND a.story_id < b.story_id AND least(a.e, b.e) > greatest(a.s, b.s)
+ WHERE {JAC.format('a.names', 'b.names')} >= 0.6 AND (least(a.e, b.e) - greatest(a.s, b.s)) / greatest(a.e - a.s, b.e - b.s) >= 0.5 AND CASE WHEN len(a.places) > 0 AND len(b.places) > 0 THEN {JAC.format('list_distinct(a.places)', 'list_distinct(b.places)')} ELSE 0.5 END >= 0.7
+ AND round(0.4 * ({JAC.format('a.verbs', 'b.verbs')}) + 0.3 * ({JAC.format('a.types', 'b.types')}) + 0.3 * ({JAC.format('a.five', 'b.five')}), 9) >= 0.8)"""
 
 
 @query(f"{_MC} SELECT a, b, jaccard FROM mc")
 def m1_merge_candidates(spark, d):
-    return C.merge_candidates(_terms(spark, d), F.lit("2024-01-03 00:00:00").cast("timestamp"), 0.1, 0.0)
+    return C.merge_candidates(_merging(spark, d), F.lit("2024-01-03 00:00:00").cast("timestamp"))
 
 
-@query(f"""{_MC}, mv AS (SELECT CASE WHEN nb > na THEN a ELSE b END AS s, CASE WHEN nb > na THEN b ELSE a END AS t, greatest(na, nb) AS n FROM mc), b AS (SELECT s, t FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY n DESC, t) AS r FROM mv) WHERE r = 1), st AS (SELECT * FROM b WHERE t NOT IN (SELECT s FROM b))
- SELECT coalesce(t, story_id) AS story_id, count(*) AS n FROM articles LEFT JOIN st ON s = story_id GROUP BY 1""")
+@query(f"""{_MC}, mv AS (SELECT CASE WHEN nb > na THEN a ELSE b END AS s, CASE WHEN nb > na THEN b ELSE a END AS t, greatest(na, nb) AS n FROM mc), b AS (SELECT s, t FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY n DESC, t) AS r FROM mv) WHERE r = 1), st AS (SELECT * FROM b WHERE t NOT IN (SELECT s FROM b)),
+ mm AS (SELECT coalesce(t, story_id) AS story_id, doc_id FROM articles LEFT JOIN st ON s = story_id), mh AS (SELECT story_id, name, count(*) AS n FROM mm JOIN (SELECT doc_id, unnest(list_distinct({WORDS.format('lower(headline)')})) AS name FROM articles) USING (doc_id) GROUP BY 1, 2)
+ SELECT l.story_id, level, names, most, vectors FROM (SELECT story_id, count(*) AS level, count(vec_id) > 0 AS vectors FROM mm LEFT JOIN embeddings ON vec_id = doc_id GROUP BY 1) l LEFT JOIN (SELECT story_id, count(*)::int AS names, max(n) AS most FROM mh GROUP BY 1) h ON h.story_id = l.story_id""")
 def m2_merge_clusters(spark, d):
-    pairs = C.merge_candidates(_terms(spark, d), F.lit("2024-01-03 00:00:00").cast("timestamp"), 0.1, 0.0)
-    return C.merge_clusters(V.members(spark, d).select("story_id", "doc_id"), pairs).groupBy("story_id").agg(F.count("*").alias("n"))
+    """Stories after a run of merging, with their level, their histogram's size and largest count, and whether they have a centroid."""
+    merged = C.merge_clusters(V.members(spark, d).select("story_id", "doc_id"), C.merge_candidates(_merging(spark, d), F.lit("2024-01-03 00:00:00").cast("timestamp")))
+    names = V.articles(spark, d).select("doc_id", F.explode(F.array_distinct(X.words(F.lower("headline")))).alias("name"))
+    p = C.merged_profiles(merged, names, V.vectors(spark, d))
+    return p.select("story_id", "level", F.size("histogram").alias("names"), F.array_max(F.map_values("histogram")).alias("most"), F.col("centroid").isNotNull().alias("vectors"))
 
 
 @query(""", m AS (SELECT doc_id % 20 AS story_id, doc_id, published_at FROM articles), n AS (SELECT story_id, count(*) AS n, epoch(max(published_at)) - epoch(min(published_at)) AS s FROM m GROUP BY 1),

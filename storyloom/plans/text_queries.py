@@ -166,8 +166,11 @@ def p19_refusals(spark, d):
     return V.table(spark, d, "conversations").select("conv_id", "turn", X.refusal(t).alias("refused"))
 
 
-@query(f"""SELECT story_id, array_to_string({WORDS.format('s')}[1:100], ' ') AS summary FROM (SELECT story_id, CASE WHEN count(*) = 1 THEN arg_min(headline, doc_id) || '. According to ' || min(source) || ', ' || substr(arg_min(description, doc_id), 1, 300)
- ELSE arg_min(headline, doc_id) || '. Multiple sources including ' || array_to_string(list(source ORDER BY doc_id)[1:3], ', ') || ' are reporting on this story. ' || substr(arg_min(description, doc_id), 1, 300) END AS s FROM articles GROUP BY 1)""")
+_FALLBACK = f"""SELECT story_id, array_to_string({WORDS.format('s')}[1:100], ' ') AS summary FROM (SELECT story_id, CASE WHEN count(*) = 1 THEN arg_min(headline, doc_id) || '. According to ' || min(source) || ', ' || substr(arg_min(description, doc_id), 1, 300)
+ ELSE arg_min(headline, doc_id) || '. Multiple sources including ' || array_to_string(list(source ORDER BY doc_id)[1:3], ', ') || ' are reporting on this story. ' || substr(arg_min(description, doc_id), 1, 300) END AS s FROM articles GROUP BY 1)"""
+
+
+@query(f" {_FALLBACK}")
 def p20_fallback_summary(spark, d):
     return A.fallback_summary(V.stories(spark, d), V.articles(spark, d))
 
@@ -335,10 +338,14 @@ def _prop(c):
     return f"list_distinct(list_filter({WORDS.format(c)}, lambda w: length(w) > 3 AND regexp_matches(w, '^\\p{{Lu}}')))"
 
 
-@query(f"""{_P} SELECT x, y, round(CASE WHEN len(kh) = 0 OR len(kg) = 0 THEN jac ELSE 0.40 * len(list_filter(kh, lambda w: list_contains(kg, w))) / least(len(kh), len(kg))
+#: sm (x, y, similarity) of prs (x, y, h, g).
+SIM = f""", sm AS (SELECT x, y, round(CASE WHEN len(kh) = 0 OR len(kg) = 0 THEN jac ELSE 0.40 * len(list_filter(kh, lambda w: list_contains(kg, w))) / least(len(kh), len(kg))
  + CASE WHEN len(ph) > 0 AND len(pg) > 0 THEN 0.40 * len(list_intersect(ph, pg)) / least(len(ph), len(pg)) ELSE 0 END
  + 0.15 * (len(list_filter(kh, lambda w: length(w) > 4 AND contains(lower(g), w))) + len(list_filter(kg, lambda w: length(w) > 4 AND contains(lower(h), w)))) / (len(kh) + len(kg)) + 0.05 * jac END, 6) AS similarity
- FROM (SELECT *, {_key('h')} AS kh, {_key('g')} AS kg, {_prop('h')} AS ph, {_prop('g')} AS pg, len(list_intersect(th, tg)) / len(list_distinct(list_concat(th, tg))) AS jac FROM (SELECT *, list_distinct({WORDS.format('lower(h)')}) AS th, list_distinct({WORDS.format('lower(g)')}) AS tg FROM prs))""")
+ FROM (SELECT *, {_key('h')} AS kh, {_key('g')} AS kg, {_prop('h')} AS ph, {_prop('g')} AS pg, len(list_intersect(th, tg)) / len(list_distinct(list_concat(th, tg))) AS jac FROM (SELECT *, list_distinct({WORDS.format('lower(h)')}) AS th, list_distinct({WORDS.format('lower(g)')}) AS tg FROM prs)))"""
+
+
+@query(f"{_P}{SIM} SELECT x, y, similarity FROM sm")
 def e3_title_similarity(spark, d):
     return pairs(spark, d).select("x", "y", F.round(Z.title_similarity(F.col("h"), F.col("g")), 6).alias("similarity"))
 
@@ -349,10 +356,10 @@ def e4_topic_conflict(spark, d):
     return pairs(spark, d).select("x", "y", Z.topic_conflict(F.col("h"), F.col("g")).alias("conflict"))
 
 
-_JAC = "CASE WHEN len({0}) + len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) END"
+JAC = "CASE WHEN len({0}) + len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) END"
 
 
-@query(f"{_SIG} SELECT a.doc_id, round(0.4 * ({_JAC.format('a.verbs', 'b.verbs')}) + 0.3 * ({_JAC.format('a.types', 'b.types')}) + 0.3 * ({_JAC.format('list_distinct(a.names)', 'list_distinct(b.names)')}), 6)::double AS similarity FROM sig a JOIN sig b ON b.doc_id = a.doc_id + 7")
+@query(f"{_SIG} SELECT a.doc_id, round(0.4 * ({JAC.format('a.verbs', 'b.verbs')}) + 0.3 * ({JAC.format('a.types', 'b.types')}) + 0.3 * ({JAC.format('list_distinct(a.names)', 'list_distinct(b.names)')}), 6)::double AS similarity FROM sig a JOIN sig b ON b.doc_id = a.doc_id + 7")
 def e12_signature_similarity(spark, d):
     a = V.with_entities(V.articles(spark, d)).select("doc_id", X.event_signature(F.col("headline"), F.col("description"), F.col("entities")).alias("s"))
     b = a.select((F.col("doc_id") - 7).alias("doc_id"), F.col("s").alias("t"))

@@ -72,19 +72,30 @@ def dedup_stream(articles: DataFrame, memory: str = "7 days") -> DataFrame:
 
 def _breaker(failures: int):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count = state.get[0] if state.exists else 0
+        count, last = state.get if state.exists else (0, None)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for ok in rows["ok"]:
-            count = 0 if ok else count + 1
-        state.update((count,))
-        yield pd.DataFrame({"feed": [key[0]], "consecutive": [count], "state": ["open" if count >= failures else "closed"]})
+        for ok, at in zip(rows["ok"], rows["ts"], strict=True):
+            count, last = (0, None) if ok else (count + 1, int(at.timestamp()))
+        state.update((count, last))
+        yield pd.DataFrame({"feed": [key[0]], "consecutive": [count], "last_failure": pd.array([last], dtype="Int64"), "open": [count >= failures]})
 
     return step
 
 
 def breaker_stream(outcomes: DataFrame, failures: int = 3) -> DataFrame:
-    """(feed, consecutive, state) after each micro-batch of outcomes (feed, ts, event_id, ok); the count is keyed state."""
-    return outcomes.groupBy("feed").applyInPandasWithState(_breaker(failures), "feed long, consecutive long, state string", "consecutive long", "update", GroupStateTimeout.NoTimeout)
+    """(feed, consecutive, last_failure, open) after each micro-batch of outcomes (feed, ts, event_id, ok).
+
+    Count and time are keyed state, read in order of time within a micro-batch; the source's files a trigger bound what a
+    feed brings at once. An open breaker lets a trial through half an hour after its last failure: see breakers_at.
+    """
+    return outcomes.groupBy("feed").applyInPandasWithState(_breaker(failures), "feed long, consecutive long, last_failure long, open boolean", "consecutive long, last long", "update", GroupStateTimeout.NoTimeout)
+
+
+def breakers_at(written: DataFrame, asof: Column, seconds: int = 1800) -> DataFrame:
+    """(feed, consecutive, state) at a time, of breaker_stream's rows as written with their batch: closed, open, or half_open for a trial."""
+    last = written.groupBy("feed").agg(F.max_by(F.struct("consecutive", "last_failure", "open"), "batch").alias("l")).select("feed", "l.*")
+    waited = asof.cast("long") - F.col("last_failure") > seconds
+    return last.select("feed", "consecutive", F.when(~F.col("open"), "closed").when(waited, "half_open").otherwise("open").alias("state"))
 
 
 def _cooldown(seconds: int):

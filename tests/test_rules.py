@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from storyloom.functions import similarity as Z
@@ -117,11 +118,72 @@ def test_xml_items(spark, tmp_path):
     assert [(r["title"], r["description"], str(r["published_at"])) for r in got] == [("A & B", "Hi", "2024-01-01 10:00:00")]
 
 
-def test_near_duplicates_share_no_bit_lost(spark):
-    words = [f"w{i}" for i in range(200)]
-    a = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words)), (3, " ".join([*words[:-1], "other"])), (4, "something else entirely here")], "doc_id long, text string")
-    got = {(r["a"], r["b"]) for r in J.near_duplicates(a, bits=6).collect()}
-    assert (1, 2) in got and not any(4 in x for x in got)
+def simhash(text):
+    """The definition, word for word."""
+    import hashlib
+
+    w = text.lower().split()
+    grams = [text.lower()] if len(w) < 3 else [" ".join(w[i : i + 3]) for i in range(len(w) - 2)]
+    sums = [int(hashlib.md5(g.encode()).hexdigest(), 16) for g in grams]
+    return sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in sums) > len(sums))
+
+
+def test_near_duplicates(spark):
+    """Against the definition: exact copies, near copies, other texts, and copies more than a week apart."""
+    import random
+
+    rng = random.Random(4)
+    words = lambda n: [rng.choice("alpha beta gamma delta storm river market vote 日本 été".split()) + str(rng.randint(0, 30)) for _ in range(n)]
+    base = words(300)
+    rows, t0 = [], dt.datetime(2024, 1, 1)
+
+    def add(title, text, host="a.com", day=0.0):
+        rows.append((len(rows), title, text, f"https://{host}/x/{len(rows)}", t0 + dt.timedelta(days=day)))
+
+    for k in range(30):
+        w = list(base)
+        for _ in range(k % 4):
+            w[rng.randrange(300)] = "changed"
+        add("One title", " ".join(w), host=f"h{k}.com", day=k / 4)
+    add("Same Title ", "x y z", day=0), add("same title", "something else", day=6), add("same title", "third", day=12.5), add("same title", "late", day=30), add("same title", "other host", host="b.com")
+    for day in (0, 5, 20, 26, 27):
+        add(f"t{day}", "", host="e.com", day=day)
+    add("", "copy of a text", host="c.com"), add("", "copy of a text", host="d.com", day=7), add("", "copy of a text", host="f.com", day=15)
+    a = spark.createDataFrame(rows, "doc_id long, headline string, description string, url string, published_at timestamp").repartition(4)
+    got = {tuple(r) for r in J.near_duplicates(a).collect()}
+    week, want = 7 * 86400, set()
+    at = {r[0]: r[4].timestamp() for r in rows}
+
+    def spells(keyed):
+        """{doc_id: (first, since, until)} of rows of one key."""
+        out = {}
+        for ids in keyed.values():
+            ids.sort(key=lambda i: (at[i], i))
+            run = [ids[0]]
+            for i in [*ids[1:], None]:
+                if i is None or at[i] - at[run[-1]] > week:
+                    out |= {j: (run[0], at[run[0]], at[run[-1]]) for j in run}
+                    run = []
+                run.append(i)
+        return out
+
+    keyed, hashed = {}, {}
+    for i, h, _, u, _ in rows:
+        keyed.setdefault((h.strip().lower(), u.split("/")[2]), []).append(i)
+    exact = spells(keyed)
+    want |= {(f, i, 0, "exact") for i, (f, _, _) in exact.items() if f != i}
+    h = {r[0]: simhash(r[1] + r[2]) for r in rows if exact[r[0]][0] == r[0]}
+    for i, x in h.items():
+        hashed.setdefault(x, []).append(i)
+    near = spells(hashed)
+    want |= {(f, i, 0, "near") for i, (f, _, _) in near.items() if f != i}
+    reps = [i for i, (f, _, _) in near.items() if f == i]
+    for i in reps:
+        for j in reps:
+            if (near[i][1], i) < (near[j][1], j) and 0 < (h[i] ^ h[j]).bit_count() <= 3 and near[j][1] - near[i][2] <= week:
+                want.add((i, j, (h[i] ^ h[j]).bit_count(), "near"))
+    assert got == want
+    assert {k for *_, k in want} == {"exact", "near"} and any(x[2] for x in want) and (30, 31, 0, "exact") in want and not any(33 in x[:2] for x in want)
 
 
 def test_streams_and_batch_agree(spark, tmp_path):
@@ -132,31 +194,150 @@ def test_streams_and_batch_agree(spark, tmp_path):
     stream = {r["feed"]: r["consecutive"] for r in spark.read.parquet(out).collect()}
     batch = {r["feed"]: r["consecutive"] for r in R.breaker_state(log, F.lit("2024-01-02 00:00:00").cast("timestamp")).collect()}
     assert stream == batch
+    at = lambda m: {r["feed"]: r["state"] for r in K.breakers_at(spark.createDataFrame([(0, 1, 3, 100, True), (1, 1, 4, 1000, True), (0, 2, 1, 10, False)], "batch long, feed long, consecutive long, last_failure long, open boolean"), F.timestamp_seconds(F.lit(m))).collect()}
+    assert at(2800) == {1: "open", 2: "closed"} and at(2801) == {1: "half_open", 2: "closed"}
+
+
+def test_hard_negatives(spark):
+    """Random pairs of different stories that look alike by titles or by entities, as many as asked for at any size."""
+    e = lambda *x: [(i, "ORGANIZATION") for i in x]
+    rows = [(i, i // 2, "alpha beta common" if i % 2 else "gamma delta common", e("Same")) for i in range(200)]
+    schema = "doc_id long, story_id long, headline string, entities array<struct<text:string,type:string>>"
+    got = J.hard_negatives(spark.createDataFrame(rows, schema), 50).collect()
+    assert len(got) == 50 and all(r["jaccard"] == 0.2 and (r["a"] + r["b"]) % 2 and r["a"] // 2 != r["b"] // 2 for r in got)
+    rows = [(i, i, f"title{i} only{i}", e("A", "B", "C") if i % 2 else e("B", "C", "D")) for i in range(100)]
+    got = J.hard_negatives(spark.createDataFrame(rows, schema), 30).collect()
+    assert len(got) == 30 and all(r["jaccard"] == 0 and r["entities"] == 0.5 and (r["a"] + r["b"]) % 2 for r in got)
+    assert J.hard_negatives(spark.createDataFrame([], schema), 30).count() == 0
+
+
+def test_random_pairs_grow_with_attempts_alone(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    n = J.random_pairs(df, 1000).count()
+    assert 700 < n < 1300
+    assert 4000 < J.random_pairs(df.limit(100), 10_000).count() <= 4950
 
 
-def test_hard_negatives_meet_on_common_words(spark):
-    """Two headlines of 50 titles each share one word of 100 titles: all their pairs count, whatever the frequency and the cells."""
-    rows = [(i, i, "alpha beta common" if i % 2 else "gamma delta common") for i in range(100)]
-    a = spark.createDataFrame(rows, "doc_id long, story_id long, headline string")
-    for cell in (1024, 7):
-        got = [(r["a"], r["b"], r["jaccard"]) for r in J.hard_negatives(a, 10_000, cell=cell).collect()]
-        assert sorted(got) == [(x, y, 0.2) for x in range(100) for y in range(x + 1, 100) if (x + y) % 2]
+@pytest.mark.parametrize("d", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_hard_negatives_are_there_at_every_size(spark, d):
+    from storyloom.plans import QUERIES
+
+    assert QUERIES["j7_hard_negatives"](spark, d).count() == 300
 
 
-def test_hard_negatives_at_a_thousand_documents(spark):
-    """As many pairs as asked for, where the cap of 40 titles a word left none; against the SQL's first pairs without its cap."""
-    import duckdb
+def test_positive_pairs(spark):
+    m = spark.createDataFrame([(1, 1), (1, 2), (2, 3), *[(3, i) for i in range(10, 30)]], "story_id long, doc_id long")
+    got = [(r["a"], r["b"]) for r in J.positive_pairs(m, 1000).collect()]
+    assert (1, 2) in got and all(3 not in x for x in got) and len(set(got)) == len(got) > 30
 
-    from storyloom.plans import ORACLE_SQL
-    from storyloom.plans import views as V
 
-    d = "/root/testdata/sf0.01"
-    con = duckdb.connect()
-    for t in ("documents", "events", "supplier", "nation", "region"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
-    want = con.execute(ORACLE_SQL["j7_hard_negatives"].replace("BETWEEN 2 AND 40", ">= 2")).fetchall()
-    got = [(r["a"], r["b"], r["jaccard"], r["label"]) for r in J.hard_negatives(V.articles(spark, d), 300).collect()]
-    assert len(want) == 300 and got == want
+def test_pair_scores(spark):
+    """Rows worked out by hand."""
+    t = dt.datetime(2024, 1, 1)
+    ent = "array<struct<text:string,type:string>>"
+    rows = [
+        (1, "Storm hits Texas", "a b", "bbc.com", "world", t, [("Storm", "ORGANIZATION"), ("Texas", "LOCATION"), ("Ann", "PERSON")], [7, 8]),
+        (2, "Storm leaves Texas", "a b c", "bbc.co.uk", "world", t + dt.timedelta(hours=10), [("storm", "ORGANIZATION"), ("Ohio", "LOCATION"), ("Ann", "PERSON")], [8]),
+        (3, "Storm", None, "x", None, None, [], []),
+    ]
+    a = spark.createDataFrame(rows, f"doc_id long, headline string, description string, source string, category string, published_at timestamp, entities {ent}, qids array<int>")
+    a = a.withColumn("signature", X.event_signature(F.col("headline"), F.col("description"), F.col("entities")))
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8])], "vec_id long, embedding array<float>")
+    p = spark.createDataFrame([(1, 2, 1), (1, 3, 0)], "a long, b long, label int")
+    got = {(r["a"], r["b"]): r for r in J.pair_features(p, a, v).collect()}
+    x = got[1, 2]  # the signatures' hashes hold two entities each, and these are the same
+    assert [round(x[c], 4) for c in J.FEATURES] == [0.6, round(4 / 7, 4), 0.5, 1.0, 1.0, 0.0, 0.5, round(2.718281828 ** -0.1, 4), 0.25, 1.0, 1.0, 0.0, 0.5, round(20 / 24, 4), 0.5]
+    y = got[1, 3]
+    assert y["temporal_proximity"] == 0.5 and y["entity_overlap_jaccard"] == 0 and y["embedding_similarity"] == 0 and y["category_match"] == 0
+    score = 0.4 * 0.6 + 0.2 * 0.5 + 0.15 * 2.718281828 ** -0.1 + 0.1 + 0.05 * 0.5
+    assert abs(J.rule_score(J.pair_features(p, a, v)).filter("b = 2").first()["score"] - score) < 1e-5
+    f = spark.createDataFrame([(1, 9, 0.8, 0.5, 0.25, 36.0, True, False), (1, 8, 0.8, 0.5, 0.25, 36.0, False, True)], "doc_id long, story_id long, cosine double, entities double, title double, hours double, same_place boolean, breaking boolean")
+    got = {r["story_id"]: r["score"] for r in J.multi_factor_score(f).collect()}
+    assert abs(got[9] - (0.44 + 0.1 + 0.025 + 0.1 * 2.718281828 ** -0.25 + 0.05)) < 1e-5 and abs(got[8] - (0.565 + 0.1 * 2.718281828 ** -2.25)) < 1e-5
+
+
+def test_assignment_thresholds(spark):
+    """Alone, only the threshold counts; among others, standing out two deviations is enough."""
+    rows = [(1, 1, 0.61, 11.0), (2, 1, 0.62, 11.0), (3, 1, 0.58, 12.0), (4, 1, 0.57, 71.0), (5, 1, 0.52, 72.0), *[(6, i, 0.1, 1.0) for i in range(9)], (6, 50, 0.4, 1.0), (7, 1, 0.5, 1.0), (7, 2, 0.5, 1.0)]
+    got = J.assign_clusters(spark.createDataFrame(rows, "doc_id long, story_id long, score double, age_hours double"))
+    assert {(r["doc_id"], r["story_id"]) for r in got.collect()} == {(2, 1), (3, 1), (5, 1), (6, 50), (7, 1)}
+
+
+def test_entity_links(spark):
+    kb = [(1, "Japan", ["Nippon"], 200, "country", "country in Asia"), (2, "Japan", ["Japan Inc"], 10, "company", "record company"), (3, "Paris", [], 50, "city", "capital of France"), (4, "Paris", ["Paris"], 0, "entity", "")]
+    k = spark.createDataFrame(kb, "qid long, label string, aliases array<string>, sitelinks int, type string, description string")
+    m = spark.createDataFrame([(1, "Japan", "LOCATION", "storm in Japan, a country"), (2, "Japan", "ORGANIZATION", "x"), (3, "Paris", "PERSON", "y"), (4, "Ohio", "LOCATION", "")], "doc_id long, mention string, type string, context string")
+    got = {(r["doc_id"], r["mention"]): (r["qid"], r["score"]) for r in J.link_entities(m, k).collect()}
+    # .3 + .4 + .2 + .2 * (.5 * 2 / 3 + .3 + .2); for the company .03 + .4 + .15 + .2; for Paris .3 * .5 + .4 falls short, and the other has .4 + .3 + .1
+    assert got == {(1, "Japan"): (1, 1.066667), (2, "Japan"): (2, 0.78), (3, "Paris"): (4, 0.8)}
+
+
+def test_labels_of_metrics(spark):
+    """Each threshold from both sides."""
+    from storyloom.operators import metrics as M
+
+    t = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    now = dt.datetime(2024, 1, 2)
+
+    def lag(*seconds):
+        a = spark.createDataFrame([(False, now - dt.timedelta(seconds=x)) for x in seconds] + [(True, now)], "processed boolean, fetched_at timestamp")
+        return M.processing_lag(a, t).first()["label"]
+
+    assert [lag(), lag(59), lag(60, 5), lag(299), lag(300)] == ["none", "minimal", "moderate", "moderate", "high"]
+
+    def feeds(multi, of, sources, n):
+        s = spark.createDataFrame([(2 if i < multi else 1,) for i in range(of)], "source_count int")
+        return M.feed_quality(s, spark.createDataFrame([(f"s{i}",) for i in range(sources)], "source string"), spark.range(n)).first()["label"]
+
+    assert [feeds(71, 100, 51, 100), feeds(70, 100, 99, 100), feeds(71, 100, 31, 100), feeds(51, 100, 30, 100), feeds(31, 100, 0 + 1, 100), feeds(30, 100, 99, 100)] == ["Excellent", "Good", "Good", "Fair", "Fair", "Needs Improvement"]
+
+    def repeats(bad, of):
+        rows = [(i, "a") for i in range(of)] + [(i, "a" if i < bad else "b") for i in range(of)] + [(1000, "a")]
+        return M.duplicate_sources(spark.createDataFrame(rows, "story_id long, source string")).first()["label"]
+
+    assert [repeats(5, 100), repeats(6, 100), repeats(10, 100), repeats(11, 100)] == ["working", "partial", "partial", "failing"]
+    pairs = [(1, 1, "Storm hits Texas coast"), (1, 2, "Storm hits Texas coast"), (2, 3, "Storm hits Texas coast"), (2, 4, "Vote on budget"), (3, 5, "x")]
+    got = {r["story_id"]: r["label"] for r in M.accuracy_sample(spark.createDataFrame(pairs, "story_id long, doc_id long, headline string"), 10).collect()}
+    assert got == {1: "good", 2: "poor"}
+    view = A.client_view(spark.createDataFrame([(1, "t", "Tech", 3, None, False, 57), (2, "t", "x", 30, "s", True, 57)], "story_id long, title string, category string, source_count int, summary string, breaking boolean, importance int"))
+    assert {r["story_id"]: (r["trending"], r["credibility"], r["status"]) for r in view.collect()} == {1: (5.7, 0.3, "VERIFIED"), 2: (0.9, 1.0, "TOP_STORY")}
+
+
+def test_ranked_entities(spark):
+    """In the title 1, half of the earliness out of 5000 characters, .3 of a confidence of .5, and of .6 for capitals."""
+    df = spark.createDataFrame([("NASA found Ice", "at the Moon", [("Moon", "LOCATION"), ("NASA", "ORGANIZATION")])], "headline string, description string, entities array<struct<text:string,type:string>>")
+    got = [(r["text"], r["salience"]) for r in A.rank_entities(df).first()["ranked"]]
+    assert got == [("NASA", round(1 + 0.5 + 0.18, 6)), ("Moon", round(0.5 * (1 - 22 / 5000) + 0.15, 6))]
+
+
+def test_signature_entities_by_priority(spark):
+    found = spark.createDataFrame([([("A", "LOCATION"), ("B", "EVENT"), ("C", "PERSON"), ("D", "ORGANIZATION"), ("E", "OTHER"), ("F", "PERSON"), ("G", "LOCATION")],)], "e array<struct<text:string,type:string>>")
+    r = found.select(X.event_signature(F.lit("Police arrested a man"), F.lit("as storm struck, killed two"), F.col("e")).alias("s")).first()["s"]
+    assert [(x["text"], x["priority"]) for x in r["entities"]] == [("C", 3), ("F", 3), ("A", 2), ("D", 2), ("G", 2)]
+    assert [(x["verb"], x["context"], x["position"]) for x in r["actions"]] == [("arrested", "police arrested a man", 1), ("struck", "as storm struck killed two", 6), ("killed", "storm struck killed two", 7)]
+
+
+def test_venue_urls(spark):
+    p = lambda t, u: one(spark, X.promotional(lit(t), lit(""), lit(u)))
+    assert p("Luna Verde", "http://x/eating-out/1") and not p("Luna Verde Fire", "http://x/eating-out/1") and not p("Luna Verde", "http://x/news/1")
+
+
+def test_merge_gates(spark):
+    """A pair that passes, and one that fails at each gate."""
+    t0 = dt.datetime(2024, 1, 1)
+    sig = "struct<actions:array<struct<verb:string>>,event_types:array<string>,entities:array<struct<text:string,type:string,priority:int>>>"
+    good = ([("struck",)], ["war"], [("A", "PERSON", 3)])
+    other = ([("won",)], ["war"], [("A", "PERSON", 3)])
+
+    def rows(i, category="c", n=2, start=0.0, hours=24.0, names=("a", "b", "c"), places=("p",), s=good):
+        return (i, category, n, t0 + dt.timedelta(hours=start), t0 + dt.timedelta(hours=start + hours), list(names), list(places), s)
+
+    made = [rows(1), rows(2, start=12.0), rows(3, category="d"), rows(4, n=1), rows(5, start=12.5), rows(6, names=("a", "b", "x", "y")), rows(7, places=("q",)), rows(8, s=other), rows(9, hours=49.0), rows(10, places=())]
+    df = spark.createDataFrame(made, f"story_id long, category string, n_articles int, first_seen timestamp, last_updated timestamp, names array<string>, places array<string>, signature {sig}")
+    got = {(r["a"], r["b"]) for r in C.merge_candidates(df, F.lit("2024-01-09 00:00:00").cast("timestamp")).collect()}
+    assert (1, 2) in got and not any({3, 4, 6, 7, 8, 10} & set(x) for x in got) and (1, 5) not in got and (1, 9) not in got
+    late = C.merge_candidates(df, F.lit("2024-01-10 12:00:00").cast("timestamp"))
+    assert (1, 2) not in {(r["a"], r["b"]) for r in late.collect()}
 
 
 def test_cluster_stream_goes_on_from_earlier_batches(spark, tmp_path):
