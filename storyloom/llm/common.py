@@ -6,9 +6,7 @@ them is a few vector operations over a slice of a few megabytes. A slice always
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,15 +26,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches are cut by bytes too: ten thousand long texts at once would not fit in a worker."""
+    """Arrow batches are cut by bytes too: ten thousand long texts at once would not fit in a worker. Spark reads the setting when a
+    query runs, so it stays set for the session."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a temporary one only where it names none."""
+    """The shared folder that the session names in spark.checkpoint.dir; where it names none, one of this machine's if Spark runs on it alone."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="storyloom-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="storyloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -46,20 +48,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """See to it that the shuffle files behind dropped lineages go before the next large job.
-
-    They do when the driver has collected its garbage. Python's side lets go of its objects in the background, within a
-    second, and the listeners of the last job do so with the next one.
-    """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(1.2)
-        spark.range(1).count()
-        spark._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores before it, so that no column of df has it."""
     taken = {c.lower() for c in df.columns}
