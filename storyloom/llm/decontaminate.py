@@ -5,8 +5,9 @@ match, so the shard's suffix array is built over these runs, end to end with sep
 benchmark item is then looked up by binary search, one word of depth after the other, all suffixes together: the last
 depth at which the range isn't empty is the longest verbatim match, and the range at window depth holds its places.
 
-Documents stay where they are: the benchmark travels, in blocks of BLOCK_WORDS words, so what a task holds is bounded
-whatever the benchmark's size. With more blocks than one each adds a pass over the documents, and spans are united by key.
+Documents stay where they are: the benchmark travels, in blocks of BLOCK_WORDS words, so what a task or the driver holds is
+bounded whatever the benchmark's size. With more blocks than one each is a pass over the documents of its own, written to the
+checkpoint folder before the next block is fetched, and the passes' spans are united row by row.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, raw, with_struct
+from .common import durable, free_name, raw, with_struct
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -57,7 +58,7 @@ class Block:
             whole += [i + min(window, n) <= n for i in range(n)]
             words += [*own, 0]
         as_array = lambda x: np.array(x, dtype=np.int64)
-        return Block(vocabulary, [str(i) for i, _ in items], as_array(words), as_array(starts), as_array(item), as_array(left), as_array(depth), np.array(whole, dtype=bool))
+        return Block(vocabulary, ["" if i is None else str(i) for i, _ in items], as_array(words), as_array(starts), as_array(item), as_array(left), as_array(depth), np.array(whole, dtype=bool))
 
     @property
     def shortest(self) -> int:
@@ -120,7 +121,12 @@ def search(block: Block, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     low, high = np.zeros(q, np.int64), np.full(q, len(order), np.int64)
     longest = np.zeros(len(text), np.int64)
     wlow, whigh = np.zeros(q, np.int64), np.zeros(q, np.int64)
-    alive = np.arange(q) if len(order) else np.zeros(0, np.int64)
+    # Only suffixes whose first two words both occur can match by more than a word.
+    known = np.zeros(int(max(text.max(initial=0), block.words.max(initial=0))) + 1, dtype=bool)
+    known[text] = True
+    known[0] = True
+    second = np.minimum(block.starts + 1, max(len(block.words) - 1, 0))
+    alive = np.flatnonzero(known[block.words[block.starts]] & known[block.words[second]]) if len(order) and q else np.zeros(0, np.int64)
     d = 0
     while len(alive):
         a, b = narrow(text, order, low[alive], high[alive], d, block.words[block.starts[alive] + d])
@@ -217,7 +223,7 @@ def find(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "ite
 
     A document word is hit inside any occurrence of a window, that is `window` consecutive words of an item, or a shorter
     item whole. Null and wordless texts have no words; null and wordless items have no window. Items of one id are one
-    item. longest is the longest verbatim match with any benchmark suffix, in words, and
+    item; a null id is the id of no characters. No document or no item: no row or no hit. longest is the longest verbatim match with any benchmark suffix, in words, and
     longest_at where its first one starts (null where there is none). Repeated rows are answered alike. With one block there is no shuffle.
     """
     sc = docs.sparkSession.sparkContext
@@ -230,6 +236,9 @@ def find(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "ite
         rows = with_struct(rows, text, name if p else out, FIELDS, lambda h=held: _matcher(h.value), [c for c in dict.fromkeys(needed) if c != out] + [out] * (p > 0))
         if p:
             rows = rows.withColumn(out, _unite(F.col(out), F.col(name))).drop(name)
+        if p < parts - 1:  # this block must go before the next one comes
+            rows = durable(rows)
+            held.destroy()
     return rows.select(*[F.col(f"`{c}`") for c in keep if c != out], out)
 
 
