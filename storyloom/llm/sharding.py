@@ -4,8 +4,8 @@ Each row gets a cell from a few quantised metadata dimensions; cells are walked
 walk are the shards, so that a file holds a small box of the metadata space and readers prune files on any dimension.
 
 The global rank needs no global sort. A row's place is the rows in earlier cells (a fixed number of cells), plus the
-rows in earlier salts of its cell (a fixed number), plus its place in its own cell and salt. Only these three counts move
-between tasks, so a third of all rows in one cell spreads over all its salts.
+rows in earlier salts of its cell (one for each ROWS_A_SALT rows of the table), plus its place in its own cell and salt. Only
+these three counts move between tasks, so a third of all rows in one cell spreads over its salts, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 BITS = 4
-SALTS = 256
+#: Salts of a cell: this many at least, one for so many rows at least.
+SALTS, ROWS_A_SALT = 256, 500_000
 
 
 def hilbert(coords: np.ndarray, bits: int) -> np.ndarray:
@@ -66,7 +67,7 @@ def document_dims(size: str, lang: str, source: str) -> list[Column]:
     return [F.floor(F.log2(F.greatest(F.col(size), F.lit(1)))) - 4, F.pmod(F.xxhash64(F.col(lang)), F.lit(16)), F.pmod(F.xxhash64(F.col(source)), F.lit(16))]
 
 
-def shard(df: DataFrame, dims: list[Column], order: list[str], shards: int, bits: int = BITS, salts: int = SALTS) -> DataFrame:
+def shard(df: DataFrame, dims: list[Column], order: list[str], shards: int, bits: int = BITS) -> DataFrame:
     """df with `cell`, `shard` (0 .. shards - 1) and `slot` (gapless from 0 in each shard); row counts differ by one at most.
 
     Within a cell rows run by a hash of order's columns and then by these columns; rows equal in all of them are
@@ -74,6 +75,7 @@ def shard(df: DataFrame, dims: list[Column], order: list[str], shards: int, bits
     stays empty; with fewer rows than shards, some shards stay empty.
     """
     df = df.drop("cell", "shard", "slot")
+    salts = max(SALTS, df.count() // ROWS_A_SALT)
     salt = F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
     rows = df.withColumns({"cell": cell_of(dims, bits), "__salt": salt})
     counts = rows.groupBy("cell", "__salt").agg(F.count("*").alias("__n"))
@@ -90,3 +92,8 @@ def shard(df: DataFrame, dims: list[Column], order: list[str], shards: int, bits
     rows = rows.withColumn("shard", cut)
     first = F.expr(f"(shard * __total + {shards - 1}) div {shards}")
     return rows.withColumn("slot", (rank - first).cast("long")).select(*df.columns, "cell", "shard", "slot")
+
+
+def ranges(cut: DataFrame, cols: list[str]) -> DataFrame:
+    """(shard, rows, low_c and high_c of each of cols): what a reader needs to skip shards that a filter can't touch."""
+    return cut.groupBy("shard").agg(F.count("*").alias("rows"), *[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("low", F.min), ("high", F.max))])
