@@ -1,8 +1,8 @@
 """WARC archives in Zstandard: one frame a record, the dictionary in a leading skippable frame.
 
 An archive starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary, plain or itself compressed;
-every record is one frame of its own. The reader takes (path, content) rows, which is what Spark's binaryFile source
-gives, loads the dictionary, decodes frame by frame, and checks the record's version line, its headers, that the block
+every record is one frame of its own. Archives are files, which tasks write and Spark's binaryFile source reads. The reader
+takes its (path, content) rows, loads the dictionary, decodes frame by frame, and checks the record's version line, its headers, that the block
 has Content-Length bytes, and the digest of its payload. A bad record is reported with its error and reading goes on
 at the next frame.
 """
@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, durable, slices
+from .common import bound_batches, checkpoint_dir, durable, slices
 
 SKIPPABLE = 0x184D2A5D
 FRAME = 0xFD2FB528
@@ -30,8 +31,10 @@ LEAST = 100
 #: Bytes of payload in an archive (one longer payload is an archive of its own), and of its dictionary.
 ARCHIVE_BYTES = 4 << 20
 DICTIONARY_BYTES = 8 << 10
-#: A frame that says it holds more is rejected, so that a bad length can't take a task's memory.
-MOST_BYTES = 1 << 30
+#: A value in Spark holds no more; a frame that says it does is rejected, so that a bad length can't take a task's memory.
+MOST_BYTES = (1 << 31) - 1
+#: Repeated payloads whose digests are sent to all tasks at once (about 100 bytes each); and the salts of a payload beyond.
+SENT, SALTS = 500_000, 64
 
 
 def dictionary_of(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
@@ -129,9 +132,16 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", bod
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{body}`"), F.lit("")).alias("body"))
     digest = F.sha2(F.encode("body", "UTF-8"), 256)
     rows = rows.withColumns({"digest": digest, "n": F.octet_length("body").cast("long")})
-    # Only payloads that occur under two keys or more need the join; a short one never does.
+    # Bodies stay where they are: what moves is a row for each payload that occurs under two keys or more. While these are
+    # few they are sent to all tasks; else bodies move by digest and a salt, so that no payload's rows meet in one task.
     again = rows.filter(F.col("n") >= LEAST).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("times")).filter("times > 1 and first is not null").drop("times")
-    rows = rows.join(again, "digest", "left").select("key", "url", "body", "digest", "n", "first")
+    again = durable(again)
+    if again.count() <= SENT:
+        rows = rows.join(F.broadcast(again), "digest", "left")
+    else:
+        salted = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
+    rows = rows.select("key", "url", "body", "digest", "n", "first")
 
     def run(batches):
         for batch in batches:
@@ -211,8 +221,40 @@ def read_archives(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """What read_archives gives for write_archives, through the shared checkpoint folder."""
-    return read_archives(durable(write_archives(pages, key, url, body)))
+def save(archives: DataFrame, folder: str) -> None:
+    """Write archives (path, content) as files under folder, a place that all tasks and the driver reach by one address.
+
+    Names come from the task's number and its count of files, so a task that runs again replaces its own files.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, base = fs.FileSystem.from_uri(folder)
+        number, k = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for content in batch.column(batch.schema.get_field_index("content")):
+                with store.open_output_stream(f"{base}/part-{number:06d}-{k:06d}.warc.zst", compression=None) as f:  # it is compressed as it is
+                    f.write(content.as_py())
+                k += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([k], pa.int64())})
+
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(folder)
+    store.create_dir(base, recursive=True)  # there without any archive, too
+    archives.mapInArrow(run, "files long").agg(F.sum("files")).collect()
 
 
+def load(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content) of the archives under folder, by Spark's own source of binary files; no row where there are none."""
+    return spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
+
+
+def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
+    """What read_archives gives for the files of write_archives, in a new folder of the shared checkpoint folder."""
+    spark = pages.sparkSession
+    folder = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4()}"
+    save(write_archives(pages, key, url, body), folder)
+    return read_archives(load(spark, folder))
