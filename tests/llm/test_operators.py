@@ -85,6 +85,62 @@ def test_sharding_law(spark, n):
     assert not n or max(count.values()) - min([*count.values()] + [0] * (40 > len(count))) <= 1
 
 
+def test_sharding_query(spark):
+    """The query against plain Python: sizes and sums of texts, the law, gapless slots, and shards along the curve."""
+    import zlib
+
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.op5_hilbert_shards(spark, SF).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {d: (len(t) + 16, zlib.crc32(t)) for d, t in docs.items()}
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)} and {r["shard"] for r in got} == set(range(40))
+    count = Counter(r["shard"] for r in got)
+    assert max(count.values()) - min(count.values()) <= 1
+    assert {(r["shard"], r["slot"]) for r in got} == {(s, k) for s, n in count.items() for k in range(n)}
+    cells = [r["cell"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    assert cells == sorted(cells)
+
+
+def test_hilbert_shards_are_pruned(spark):
+    """A filter on any of three dimensions touches far fewer shards than without the order."""
+    rng = np.random.default_rng(3)
+    rows = [(i, *map(int, rng.integers(0, 16, 3))) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, a int, b int, c int")
+    cut = sharding.shard(df, [F.col(x) for x in "abc"], ["doc_id"], 64)
+    about = sharding.ranges(cut, ["a", "b", "c"]).collect()
+    assert len(about) == 64 and sum(r["rows"] for r in about) == 20_000
+    for x in "abc":
+        touched = sum(r[f"low_{x}"] <= 5 <= r[f"high_{x}"] for r in about)
+        assert touched <= 24, (x, touched)  # without the order all 64; along one dimension alone 4, but 64 on the others
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None)] * 5 + [(2, "x", "en", None)]])
+def test_sharding_edges(spark, rows):
+    """Nulls in dimensions and order, and rows that are wholly alike."""
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("size", F.octet_length("text"))
+    got = sharding.shard(df, sharding.document_dims("size", "lang", "source"), ["doc_id", "size"], 3).collect()
+    assert sorted(Counter(r["shard"] for r in got).values()) == ([2, 2, 2] if rows else [])
+
+
+def test_warc_files(spark, tmp_path, monkeypatch):
+    """Files that other readers know: a skippable frame, then frames that the dictionary opens; and payloads beyond what is sent."""
+    import zstandard
+
+    body = "<p>" + "x" * 200
+    p = spark.createDataFrame([(i, f"http://h/{i}", body if i % 3 else f"{body}{i}", "clash") for i in range(1, 40)], "page_id long, url string, html string, digest string").repartition(3)
+    warc.save(warc.write_archives(p), f"file://{tmp_path}/w")
+    files = sorted((tmp_path / "w").glob("*.warc.zst"))
+    found = []
+    for f in files:
+        data = f.read_bytes()
+        words = warc.dictionary_in(data)
+        for a, b in warc.frames(data):
+            found.append(warc.parse(zstandard.ZstdDecompressor(dict_data=words).decompress(data[a:b]))[0]["WARC-Type"])
+    assert Counter(found) == {"response": 14, "revisit": 25} and len(files) == 3
+    assert warc.read_archives(warc.load(spark, f"file://{tmp_path}/w")).filter("error is null").count() == 39
+    monkeypatch.setattr(warc, "SENT", 0)
+    assert sorted(map(str, warc.round_trip(p).select("page_id", "record_type", "refers_to").collect())) == sorted(map(str, warc.read_archives(warc.load(spark, f"file://{tmp_path}/w")).select("page_id", "record_type", "refers_to").collect()))
+
+
 def test_warc_round_trip(spark):
     body = "<p>" + "x" * 200
     made = [(3, "http://a/é b", body), (1, "http://b", body), (2, None, body), (2, None, body), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (None, "u", body), (7, "u", "y" * 100)]
@@ -339,7 +395,9 @@ def test_min_max_null_keys_and_repeats(spark):
     assert minhash.link(d.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     rng = random.Random(8)
     links = [(i, i + 1) for i in range(0, 40) if i != 20] + [(100, x) for x in range(101, 140)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(30)] + [(7, 7), (None, 1)]
     up = {}
@@ -357,6 +415,41 @@ def test_components(spark):
     assert got == {x: root(x) for x in up}
 
 
+def test_empty_tables_and_clashing_columns(spark):
+    """No row, and columns that are called what operators might call theirs: the same columns come back, and no row fails."""
+    names = "id body n hashes spans kept __text __body __found same component bucket rep s words secrets m failed judged language bpe first digest".split()
+    some = spark.createDataFrame([(1, "a b c d e f", "en", "s"), (2, None, None, None), (3, "", "en", "s")], "doc_id long, text string, lang string, source string").withColumns({c: F.lit("x") for c in names})
+    bench = spark.createDataFrame([(None, "b c d"), (5, None)], "item_id long, text string")
+    for d in (some, some.limit(0)):
+        n = d.count()
+        assert minhash.dedup(d).columns == d.columns and minhash.dedup(d).count() == n
+        assert decontaminate.decontaminate(d, bench).columns == d.columns and decontaminate.decontaminate(d, bench).count() == max(0, n - 1)
+        assert secrets.redact(d).columns == d.columns and secrets.redact(d).count() == n
+        assert langid.accept(d).columns == d.columns
+        assert suffix_dedup.dedup(d).count() == bpe.encode(d, BPE, out="ids").count() == n
+        assert quality.ledger(quality.measure(d.select("doc_id", "text"))).count() == n
+    found = decontaminate.find(some, bench, keep=["doc_id"], out="c").filter("doc_id = 1").first()["c"]
+    assert (found["n_hit"], found["item_ids"]) == (3, [""])
+
+
+def test_long_text(spark):
+    """One text of some megabytes among short ones, through every operator that reads texts row by row."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    long = " ".join(rng.choices(words, k=500_000)) + " password=hunter2hunter2"
+    rows = [(1, long, "en", "a"), (2, "short text of six words here", "en", "b"), (3, long[:-1], "en", "c")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    item = " ".join(long.split()[1000:1020])
+    got = decontaminate.find(d, spark.createDataFrame([(1, item)], "item_id long, text string"), keep=["doc_id"], out="c").collect()
+    assert {r["doc_id"]: (r["c"]["n_words"], r["c"]["n_hit"]) for r in got} == {1: (500_002, 20), 2: (6, 0), 3: (500_002, 20)}
+    assert {r["doc_id"]: r["component_id"] for r in minhash.link(d).collect()} == {1: 1, 2: 2, 3: 1}
+    n = by_key(bpe.encode(d, BPE, keep=["doc_id"]).select("doc_id", "bpe.n_tokens"), ["n_tokens"])
+    assert n[1][0] == len(bpe.tokenizer(BPE).encode(long, add_special_tokens=False).ids)
+    assert {r["doc_id"]: len(r["secrets"]["base"]) for r in secrets.scan(d, keep=["doc_id"]).collect()} == {1: 1, 2: 0, 3: 1}
+    assert by_key(quality.measure(d).select("doc_id", "m.n_words"), ["n_words"]) == {1: (500_001,), 2: (6,), 3: (500_001,)}
+    assert {r["doc_id"]: r["language"]["lang"] for r in langid.identify(d, langid.fit(d), keep=["doc_id"]).collect()} == {1: "en", 2: "en", 3: "en"}
+
+
 def test_language_id(spark):
     got = queries.op1_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text"), "doc_id")
     held = [r for r in got.collect() if r["held_out"] and r["lang_pred"] != "und"]
