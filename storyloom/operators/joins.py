@@ -366,7 +366,7 @@ def pair_features(pairs: DataFrame, articles: DataFrame, vectors: DataFrame) ->
     signature = F.when(sp.isNull() | sq.isNull(), 0.0).when(sp["hash"] == sq["hash"], 1.0).otherwise(parts)
     cols = [
         Z.cosine(p["embedding"], q["embedding"]), Z.jaccard(Z.token_set(text(p)), Z.token_set(text(q))), ratio(names(p), names(q)), ratio(names(p, "PERSON"), names(q, "PERSON")), ratio(names(p, "ORGANIZATION"), names(q, "ORGANIZATION")),
-        ratio(names(p, "LOCATION"), names(q, "LOCATION")), linked, F.coalesce(F.greatest(F.lit(0.1), F.exp(-0.01 * hours)), F.lit(0.5)), source, num(p["category"].eqNullSafe(q["category"])), signature,
+        ratio(names(p, "LOCATION"), names(q, "LOCATION")), linked, F.when(hours.isNull(), 0.5).otherwise(F.greatest(F.lit(0.1), F.exp(-0.01 * hours))), source, num(p["category"].eqNullSafe(q["category"])), signature,
         Z.geo_similarity(p["entities"], q["entities"]), linked, F.when(F.greatest(*lens) > 0, F.least(*lens) / F.greatest(*lens)).otherwise(F.lit(0.0)), Z.jaccard(Z.token_set(p["headline"]), Z.token_set(q["headline"])),
     ]
     return j.select("a", "b", "label", *[F.round(c, 6).alias(n) for c, n in zip(cols, FEATURES, strict=True)])

@@ -188,9 +188,11 @@ def a27_experiment_stats(spark, d):
     return M.experiment_stats(e.select(F.when(F.col("user_id") % 2 == 0, "control").otherwise("treatment").alias("variant"), F.col("event_type").alias("metric"), text.alias("value")))
 
 
-@query("SELECT story_id, n_articles AS stated, source_count AS actual FROM stories WHERE n_articles <> source_count")
+@query("SELECT story_id, stated, actual FROM (SELECT story_id, (n_articles + CASE WHEN story_id % 6 = 0 THEN 1 ELSE 0 END)::int AS stated FROM stories) JOIN (SELECT story_id, count(DISTINCT source)::int AS actual FROM articles GROUP BY 1) USING (story_id) WHERE stated <> actual")
 def a28_source_count_fixups(spark, d):
-    return M.source_count_fixups(V.stories(spark, d), V.members(spark, d))
+    """One story in six states a source too many."""
+    s = V.stories(spark, d).withColumn("n_articles", (F.col("n_articles") + F.when(F.col("story_id") % 6 == 0, 1).otherwise(0)).cast("int"))
+    return M.source_count_fixups(s, V.members(spark, d))
 
 
 @query("SELECT region, count(*) AS feeds, sum(found)::bigint AS found FROM (SELECT feed, sum(found) AS found FROM fetch_log GROUP BY 1) JOIN feeds USING (feed) GROUP BY 1")
