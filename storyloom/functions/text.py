@@ -172,12 +172,15 @@ def event_signature(title: Column, description: Column, found: Column) -> Column
     """struct: up to three verbs by first place with their context, event types, scale, temporal, key entities, confidence, hash."""
     verbs = _lits(vocab.ACTIONS)
 
+    def found_in(x: Column) -> Column:
+        text = x["text"]
+        three = F.slice(F.array_intersect(x["toks"], verbs), 1, 3)  # in order of their first place
+        return F.struct(x["toks"].alias("toks"), x["five"].alias("five"), three.alias("three"), _names(text, vocab.EVENT_TYPES).alias("types"), _names(text, vocab.SCALES).alias("scale"), _names(text, vocab.TEMPORAL).alias("when"))
+
     def made(x: Column) -> Column:
-        text, toks, five = x["text"], x["toks"], x["five"]
-        three = F.slice(F.array_intersect(toks, verbs), 1, 3)  # in order of their first place
+        toks, five, three, types, scale, when = (x[c] for c in ("toks", "five", "three", "types", "scale", "when"))
         at = lambda v: F.array_position(toks, v).cast("int")
         actions = F.transform(three, lambda v: F.struct(v.alias("verb"), F.array_join(F.slice(toks, F.greatest(at(v) - 2, F.lit(1)), at(v) + 3 - F.greatest(at(v) - 2, F.lit(1))), " ").alias("context"), (at(v) - 1).cast("long").alias("position")))
-        types, scale, when = _names(text, vocab.EVENT_TYPES), _names(text, vocab.SCALES), _names(text, vocab.TEMPORAL)
         sure = 0.4 * F.size(three) / 3 + 0.3 * F.least(F.size(types), F.lit(2)) / 2 + 0.2 * F.least(F.size(scale), F.lit(2)) / 2
         part = lambda name, xs: F.when(F.size(xs) > 0, F.concat(F.lit(name + ":"), F.array_join(F.array_sort(xs), ",")))
         joined = F.concat_ws("|", part("actions", three), part("types", types), part("entities", key_names(F.slice(five, 1, 2))))
@@ -186,7 +189,7 @@ def event_signature(title: Column, description: Column, found: Column) -> Column
 
     text = F.lower(F.concat_ws(" ", title, description))
     with_words = lambda t: F.struct(t.alias("text"), F.filter(F.split(t, r"[^\p{L}\p{N}_]+"), lambda w: w != "").alias("toks"), key_entities(found).alias("five"))
-    return let(let(text, with_words), made)
+    return let(let(let(text, with_words), found_in), made)
 
 
 def _fold(c: Column, patterns: Iterable[str]) -> Column:

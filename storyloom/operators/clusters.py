@@ -237,6 +237,12 @@ def status_history(members: DataFrame) -> DataFrame:
     return rows.withColumn("before", F.lag("status").over(w)).filter("before is null or before <> status").select("story_id", "doc_id", "status")
 
 
+def eligibility(stories: DataFrame, asof: Column) -> DataFrame:
+    """(story_id, demote, archive): not updated for more than an hour, or for more than seven days."""
+    age = asof.cast("double") - F.col("last_updated").cast("double")
+    return stories.select("story_id", (age > 3600).alias("demote"), (age > 7 * 86400).alias("archive"))
+
+
 def ingest_batch_results(results: DataFrame, stories: DataFrame, fallback: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(counts by batch, summaries by story) of results (batch_id, story_id, type, text).
 

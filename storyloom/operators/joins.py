@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from .. import vocab
 from ..functions import similarity as Z
 from ..functions import text as X
+from ..sources.io import durable
 
 #: The candidate stories of a match are the most recent ones up to this many: the bound that allows their broadcast.
 RECENT = 200
@@ -240,7 +241,7 @@ def near_duplicates(articles: DataFrame, bits: int = 3, days: int = 7) -> DataFr
     exact = spells.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("distance"), F.lit("exact").alias("kind"))
     kept = spells.filter("doc_id = first").drop("first", "since", "until")
     hashed = with_simhash(kept, F.concat(F.coalesce("headline", F.lit("")), F.coalesce("description", F.lit(""))))
-    classes = _spells(kept.select("doc_id", "published_at").join(hashed, "doc_id"), ["hi", "lo"], days)
+    classes = _spells(durable(kept.select("doc_id", "published_at").join(hashed, "doc_id")), ["hi", "lo"], days)  # texts are hashed once
     same = classes.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("distance"), F.lit("near").alias("kind"))
     reps = classes.filter("doc_id = first").select("doc_id", "hi", "lo", "since", "until")
     block = lambda x: F.shiftright(F.col(x[0]), x[1]).bitwiseAND(F.lit((1 << x[2]) - 1))

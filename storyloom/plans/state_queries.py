@@ -11,24 +11,17 @@ from ..operators import joins as J
 from ..sources import io as S
 from ..streaming import streams as K
 from . import views as V
-from .join_queries import CENT, COS, _vector_stories
-from .text_queries import _FALLBACK, JAC, WORDS
+from .join_queries import _J15, _LINKS, _WEEK, CENT, COS, _links, _vector_stories
+from .text_queries import _FALLBACK, _SIG, ENTITIES, JAC, WORDS
 from .text_queries import _any as any_list
 from .views_sql import T, any_of, lst, query
 
 
 def _tmp(spark, name: str) -> str:
-    """A new folder in the shared checkpoint folder; one of this machine's only where Spark runs on it alone."""
-    import tempfile
+    """A new folder in the shared checkpoint folder."""
     import uuid
 
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="storyloom-"))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4()}"
+    return f"{S.shared_folder(spark)}/{name}-{uuid.uuid4()}"
 
 
 @query("SELECT feed, name FROM feeds WHERE tier = 1 AND contains(upper(region), 'AM')")
@@ -202,6 +195,21 @@ def k7_ingest_windows(spark, d):
     return K.ingest_windows(V.articles(spark, d))
 
 
+@query(f"SELECT count(*) FILTER (fetched_at > {T} - INTERVAL 5 MINUTE AND fetched_at <= {T}) AS n, count(*) FILTER (fetched_at > {T} - INTERVAL 5 MINUTE AND fetched_at <= {T}) > 0 AS active FROM articles")
+def k7_ingest_active(spark, d):
+    return K.ingest_active(V.articles(spark, d), V.asof())
+
+
+@query(f"{_J15} SELECT doc_id FROM xd WHERE doc_id = f AND doc_id NOT IN (SELECT doc_id FROM yc WHERE doc_id <> f) AND doc_id NOT IN (SELECT y.doc_id FROM yr x JOIN yr y ON (x.since < y.since OR x.since = y.since AND x.doc_id < y.doc_id) AND bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) BETWEEN 1 AND 3 AND y.since - x.until <= {_WEEK})")
+def k8_near_dedup_stream(spark, d):
+    """What is left of the articles, over several micro-batches."""
+    path, out = _tmp(spark, "in"), _tmp(spark, "out")
+    a = V.articles(spark, d).select("doc_id", "headline", "description", "url", "published_at")
+    _land(a, path)
+    K.near_dedup_stream(S.article_changes(spark, path, a.schema, files=2), _tmp(spark, "state"), out)
+    return spark.read.parquet(f"{out}/kept").select("doc_id")
+
+
 @query("SELECT count(DISTINCT md5(lower(title) || '|' || 'news.example')) AS n FROM articles")
 def k8_dedup_stream(spark, d):
     path, out = _tmp(spark, "in"), _tmp(spark, "out")
@@ -217,6 +225,11 @@ def k9_status_history(spark, d):
     return C.status_history(V.members(spark, d))
 
 
+@query(f"SELECT story_id, epoch({T}) - epoch(last_updated) > 3600 AS demote, epoch({T}) - epoch(last_updated) > 604800 AS archive FROM stories")
+def k9_eligibility(spark, d):
+    return C.eligibility(V.stories(spark, d), V.asof())
+
+
 @query("SELECT conv_id AS batch_id, count(*) AS requests, count(*) FILTER (turn % 4 < 2) AS succeeded, count(*) FILTER (turn % 4 = 2) AS errored, count(*) FILTER (turn % 4 = 3) AS expired, 'completed' AS status FROM conversations GROUP BY 1")
 def k10_batch_results(spark, d):
     return C.ingest_batch_results(_results(spark, d), V.stories(spark, d))[0]
@@ -302,10 +315,14 @@ def m6_rollout_plan(spark, d):
     return C.rollout_plan(r.select(F.col("r_name").alias("variant"), F.lit(0.2).alias("share")), r.select(F.col("r_name").alias("variant"), (F.col("r_regionkey") / 10).alias("share")), 4)
 
 
-@query()
+@query(f"""{_SIG}, ne AS (SELECT doc_id, count(*)::int AS n FROM ents GROUP BY 1){_LINKS.removeprefix(ENTITIES)}, nl AS (SELECT doc_id, count(*)::int AS n FROM links GROUP BY 1)
+ SELECT a.doc_id, coalesce(ne.n, 0) AS n_entities, coalesce(nl.n, 0) AS n_links, CASE WHEN confidence >= 0.3 THEN md5(CASE WHEN parts = '' THEN 'none' ELSE parts END)[1:12] END AS signature, vec_id IS NOT NULL AS has_vector
+ FROM articles a JOIN sh ON sh.doc_id = a.doc_id LEFT JOIN ne ON ne.doc_id = a.doc_id LEFT JOIN nl ON nl.doc_id = a.doc_id LEFT JOIN embeddings ON vec_id = a.doc_id WHERE processed""")
 def m7_enrich(spark, d):
+    """Processed articles with their entities, linked ones, a signature of some confidence, and a vector if there is one."""
     a = V.with_entities(V.articles(spark, d).filter("processed"))
     s = a.withColumn("signature", X.event_signature(F.col("headline"), F.col("description"), F.col("entities")))
     v = V.vectors(spark, d).select(F.col("vec_id").alias("doc_id"), "embedding")
-    rows = s.join(v, "doc_id", "left")
-    return rows.select("doc_id", F.size("entities").alias("n_entities"), F.when(F.col("signature.confidence") >= 0.3, F.col("signature.hash")).alias("signature"), F.col("embedding").isNotNull().alias("has_vector"))
+    linked = _links(spark, d).groupBy("doc_id").agg(F.count("*").cast("int").alias("n_links"))
+    rows = s.join(v, "doc_id", "left").join(linked, "doc_id", "left")
+    return rows.select("doc_id", F.size("entities").alias("n_entities"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("signature.confidence") >= 0.3, F.col("signature.hash")).alias("signature"), F.col("embedding").isNotNull().alias("has_vector"))

@@ -60,7 +60,12 @@ def p14_rank_entities(spark, d):
     return rows.select("doc_id", F.posexplode("ranked").alias("i", "e")).select("doc_id", (F.col("i") + 1).alias("place"), F.col("e.text").alias("entity"), F.col("e.salience").alias("salience"))
 
 
-@query()
+_CONTENT = f"list_filter(list_filter(regexp_split_to_array(trim({BARE.format('headline')}, ' '), '\\s+'), lambda w: length(w) > 3), lambda w: w NOT IN {vocab.STOP_FINGERPRINT})"
+
+
+@query(f"""{ENTITIES}, el AS (SELECT doc_id, list(lower(w) ORDER BY r DESC) FILTER (type <> 'LOCATION') AS people, list(lower(w) ORDER BY r) FILTER (type = 'LOCATION') AS places, list(lower(w) ORDER BY r) AS every FROM ents GROUP BY 1),
+ fk AS (SELECT a.doc_id, {_CONTENT} AS content, list_filter({_CONTENT}, lambda w: w NOT IN {vocab.GENERIC_VERBS})[1:6] AS key, list_concat(list_concat(coalesce(people, []), coalesce(places, [])), coalesce(every, []))[1:3] AS three FROM articles a LEFT JOIN el ON el.doc_id = a.doc_id),
+ ft AS (SELECT doc_id, CASE WHEN len(list_distinct(list_concat(key, three))) < 3 THEN list_distinct(list_concat(content[1:5], three)) ELSE list_distinct(list_concat(key, three)) END AS terms FROM fk) SELECT doc_id, md5(array_to_string(list_sort(terms), '_'))[1:8] AS fp FROM ft""")
 def p7_story_fp(spark, d):
     return V.with_entities(V.articles(spark, d)).select("doc_id", X.story_fp(F.col("headline"), F.col("entities")).alias("fp"))
 

@@ -11,6 +11,25 @@ from ..functions import text as X
 ITEM = "STRUCT<title: STRING, link: STRING, description: STRING, pubDate: STRING, updated: STRING, author: STRING, content: STRING>"
 
 
+def shared_folder(spark) -> str:
+    """The folder that the session names in spark.checkpoint.dir; where it names none, one of this machine's if Spark runs on it alone."""
+    import tempfile
+
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="storyloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back, with its lineage cut."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def feeds(registry: DataFrame, category: str | None = None, tier: int | None = None, region: str | None = None) -> DataFrame:
     """The feed registry, by category, tier, or a part of the region's name in any case."""
     for where in ((F.col("category") == category) if category else None, (F.col("tier") == tier) if tier else None, F.upper("region").contains(region.upper()) if region else None):

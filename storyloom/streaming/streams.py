@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.clusters import assign_batch, refresh_stories
-from ..operators.joins import match_stories
+from ..operators.joins import match_stories, near_duplicates
 
 
 def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
@@ -70,6 +70,34 @@ def dedup_stream(articles: DataFrame, memory: str = "7 days") -> DataFrame:
     return keyed.withWatermark("published_at", memory).dropDuplicatesWithinWatermark(["digest"]) if articles.isStreaming else keyed.dropDuplicates(["digest"])
 
 
+def ingest_active(articles: DataFrame, asof: Column, minutes: int = 5) -> DataFrame:
+    """One row: the articles fetched in the minutes before asof, and whether there are any."""
+    recent = (F.col("fetched_at") > asof - F.expr(f"interval {minutes} minutes")) & (F.col("fetched_at") <= asof)
+    return articles.agg(F.count_if(recent).alias("n")).withColumn("active", F.col("n") > 0)
+
+
+def near_dedup_stream(articles: DataFrame, checkpoint: str, out: str, days: int = 7) -> None:
+    """Each micro-batch without the articles that are exact or near copies of earlier ones, under its batch id in out/kept.
+
+    The memory is the articles of the week before, under out/seen; a batch reads smaller ids alone, so one that runs again
+    replaces itself. An article is suppressed where near_duplicates links it to an earlier one, suppressed or not.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        cols = ["doc_id", "headline", "description", "url", "published_at"]
+        batch.select(cols).write.mode("overwrite").parquet(f"{out}/seen/batch={number}")
+        new = batch.sparkSession.read.parquet(f"{out}/seen/batch={number}").select(cols)
+        rows = new
+        if number:
+            first = new.agg(F.min("published_at").alias("t")).first()["t"]
+            old = batch.sparkSession.read.option("basePath", f"{out}/seen").parquet(*[f"{out}/seen/batch={i}" for i in range(number)]).select(cols)
+            rows = new.unionByName(old.filter(F.col("published_at") >= F.lit(first) - F.expr(f"interval {days} days")))
+        gone = near_duplicates(rows, days=days).select(F.col("b").alias("doc_id")).distinct()
+        new.select("doc_id").join(gone, "doc_id", "left_anti").write.mode("overwrite").parquet(f"{out}/kept/batch={number}")
+
+    drain(articles, checkpoint, each)
+
+
 def _breaker(failures: int):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         count, last = state.get if state.exists else (0, None)
