@@ -42,9 +42,9 @@ MEAN_CHUNK, LEAST_CHUNK = 2048, 256
 #: Characters on either side of a cut that a window covers at least, beyond the longest added token.
 MARGIN = 12
 #: Characters of chunks in one generation of a worker's cache (there are two), and in one call of the tokenizer.
-CACHE_CHARS, CALL_CHARS = 24_000_000, 1_000_000
+CACHE_CHARS, CALL_CHARS = 6_000_000, 400_000
 #: Pieces between spaces in one of two generations of a worker's cache.
-PIECES = 400_000
+PIECES = 150_000
 
 
 @lru_cache(maxsize=4)
@@ -160,8 +160,8 @@ class Pieces:
         new = list(pieces - young.keys())
         # Many in one text, told apart by their places, unless the normaliser may move places.
         still = [x for x in new if x.isprintable() and (x.isascii() or unicodedata.is_normalized("NFC", x) and len(x.lower()) == len(x))]
-        for a in range(0, len(still), 50_000):
-            some = still[a : a + 50_000]
+        for a in range(0, len(still), 20_000):
+            some = still[a : a + 20_000]
             enc = self.tok.encode_batch([" ".join(some)], add_special_tokens=False)[0]
             ids = np.array(enc.ids, dtype="<u4").tobytes()
             ends = np.cumsum([len(x) + 1 for x in some])
