@@ -497,3 +497,24 @@ def test_pipeline(spark):
             assert out.columns == docs.columns
         docs = out
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == kept["bpe_encode_decode"]
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in any column, repeated rows, empty texts and tables, columns with clashing names: what the pipeline's docstring states."""
+    rng = random.Random(8)
+    prose = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60))
+    copy, passage = prose(), prose()
+    rows = [
+        (1, copy, "en", "s"), (1, copy, "en", "s"), (2, copy, None, None), (3, None, "en", "s"), (4, "", "en", "s"), (5, "123 ###", "en", "s"),
+        (6, prose() + " " + passage, "en", None), (7, prose() + " password=hunter2hunter2", "en", "s"), (None, prose(), "en", "s"), (8, "a b", None, "s"),
+    ]
+    some = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    some = some.withColumns({"n_chars": F.length("text").cast("long"), "language": F.lit("x"), "bpe": F.lit(1), "component": F.lit("x"), "spans": F.lit("x")})
+    bench = spark.createDataFrame([(1, passage), (2, None), (None, "one two three")], "item_id long, text string")
+    for name, d, b in (("some", some, bench), ("no_item", some, bench.limit(0)), ("none", some.limit(0), bench)):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        b.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    run = lambda name: [r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()]
+    assert sorted(run("some"), key=str) == sorted([1, 1, 7, 8, None], key=str)  # rows equal in key are one document: both stay
+    assert sorted(run("no_item"), key=str) == sorted([1, 1, 6, 7, 8, None], key=str)
+    assert run("none") == []
