@@ -1,6 +1,8 @@
 """Boundary rows of the rules, written by hand."""
 
 import datetime as dt
+import html
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,8 +13,10 @@ from storyloom.operators import articles as A
 from storyloom.operators import clusters as C
 from storyloom.operators import joins as J
 from storyloom.operators import ranking as R
+from storyloom.plans import QUERIES
 from storyloom.sources import io as S
 from storyloom.streaming import streams as K
+from tests.oracle import SF
 
 
 def one(spark, column):
@@ -30,6 +34,15 @@ def test_clean_text(spark):
     assert one(spark, X.truncate_words(lit("short"), 12)) == "short"
 
 
+def test_clean_entities_query(spark):
+    """The registered query over all pages against the standard library."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").collect()
+    clean = lambda t: re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", "", t or "")), flags=re.ASCII).strip(" ")
+    got = {r["page_id"]: r["n_clean"] for r in QUERIES["p1_clean_entities"](spark, SF).collect()}
+    assert got == {p["page_id"]: len(clean(p["html"])) for p in pages}
+    assert any("&" in (p["html"] or "") for p in pages)
+
+
 def test_article_id(spark):
     x = one(spark, X.article_id(lit("src"), lit("http://a/b"), lit("2024-03-05 10:00:00").cast("timestamp")))
     assert x.startswith("src_20240305_") and len(x) == 21
