@@ -65,3 +65,21 @@ OP10 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_W10} AS w FROM documents), s AS
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)), c(doc_id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, c.m FROM c JOIN e ON e.a = c.doc_id WHERE c.m < e.b)
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c.m) AS component_id, min(c.m) = d.doc_id AS kept FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+_H11 = "('0x' || sha256('1:' || doc_id)[{0}:{1}])::bigint"
+OP11 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '(?s)[A-Za-z]+|[^A-Za-z]') AS w, {", ".join(f"{_H11.format(8 * i + 1, 8 * i + 8)} AS h{i + 1}" for i in range(4))} FROM documents),
+c AS (SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+e AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:n], '') AS s FROM c)
+SELECT doc_id, n::bigint AS n, form, CASE WHEN form <> 'plain' THEN length(p)::bigint END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::bigint END AS middle_chars, sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM e"""
+
+_CRC = "list_reduce(list_transform(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::bigint)), lambda x: x::bigint), lambda c, x: {0})"
+_STEP = "xor(c, x)"
+for _ in range(8):
+    _STEP = f"list_transform([{_STEP}], lambda y: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)[1]"
+OP13 = f"""WITH d AS (SELECT doc_id, {_W8} AS w, xor({_CRC.format(_STEP)}, 4294967295) AS h FROM documents), g AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM d), a AS (SELECT *, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a FROM g), p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(w[1:a], list_transform(range(a, n), lambda i: w[a + (i - a) % p + 1])) ELSE w END AS w FROM p),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 6], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(0, n - 5)) AS i FROM t WHERE n >= 12)), y AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.k = b.k AND a.i < b.i),
+z AS (SELECT doc_id, q, min(i) AS s, max(i) + 6 + q AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS o FROM y) GROUP BY doc_id, q, o), r AS (SELECT doc_id, s, e, min(q) AS q FROM z WHERE e - s >= greatest(12, 2 * q) GROUP BY 1, 2, 3),
+l AS (SELECT doc_id, count(*) AS n_runs, max({{'l': e - s, 's': -s, 'q': -q}}) AS b, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS v FROM r GROUP BY 1), f AS (SELECT DISTINCT doc_id, unnest(range(s + q, e)) AS i FROM r), c AS (SELECT doc_id, list(i) AS gone FROM f GROUP BY 1)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, -(b.s) AS start, b.l AS length, -(b.q) AS period, 1000 * b.l // -(b.q) AS exponent_milli, sha256(coalesce(v, '')) AS runs_sha256, sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i - 1)) END, ' ')) AS collapsed_sha256
+FROM t LEFT JOIN l ON l.doc_id = t.doc_id LEFT JOIN c ON c.doc_id = t.doc_id"""

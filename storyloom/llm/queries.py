@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, minhash, oracle, quality, secrets, sharding, suffix_dedup, url_filter, warc
+from . import bpe, decontaminate, fim, langid, minhash, oracle, quality, runs, secrets, sharding, suffix_dedup, token_files, url_filter, warc
 from .common import read
 
 
@@ -76,5 +76,26 @@ def op10_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(read(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_suffix_dedup, op4_url_filter, op5_hilbert_shards, op6_bpe, op7_warc, op8_quality, op9_secrets, op10_minmax_dedup)}
-ORACLE_SQL = {"op2_decontaminate": oracle.OP2, "op3_suffix_dedup": oracle.OP3, "op4_url_filter": oracle.OP4, "op7_warc": oracle.OP7, "op8_quality": oracle.OP8, "op9_secrets": oracle.OP9, "op10_minmax_dedup": oracle.OP10}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    rows = fim.restore(made, F.col("fim.output"), F.col("fim.form"))
+    return rows.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", F.sha2("fim.output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    rows = token_files.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.detect(runs.repeat_tails(read(spark, sf_dir, "documents").select("doc_id", "text")), keep=["doc_id"])
+    listed = F.array_join(F.transform("periodic.runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    every = F.when(F.size("periodic.runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    rows = found.select("doc_id", F.size("periodic.runs").cast("long").alias("n_runs"), runs.longest(F.col("periodic.runs")).alias("l"), F.sha2(every, 256).alias("runs_sha256"), F.sha2("periodic.collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "l.start", "l.length", "l.period", F.expr("1000 * l.length div l.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_suffix_dedup, op4_url_filter, op5_hilbert_shards, op6_bpe, op7_warc, op8_quality, op9_secrets, op10_minmax_dedup, op11_fim, op12_token_files, op13_runs)}
+ORACLE_SQL = {"op2_decontaminate": oracle.OP2, "op3_suffix_dedup": oracle.OP3, "op4_url_filter": oracle.OP4, "op7_warc": oracle.OP7, "op8_quality": oracle.OP8, "op9_secrets": oracle.OP9, "op10_minmax_dedup": oracle.OP10, "op11_fim": oracle.OP11, "op13_runs": oracle.OP13}
