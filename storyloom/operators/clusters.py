@@ -11,14 +11,37 @@ from .articles import with_status
 from .joins import centroids
 
 
+def fresh_articles(articles: DataFrame, asof: Column) -> DataFrame:
+    """Those that aren't processed yet and no older than seven whole days."""
+    return articles.filter(~F.col("processed") & (F.floor((asof.cast("long") - F.col("published_at").cast("long")) / 86400) <= 7))
+
+
+def start_story(tier: Column) -> dict[str, Column]:
+    """What a story starts with: importance 50, and 20 more from a first-tier source, which also makes it breaking news; confidence 40."""
+    first = F.coalesce(tier == 1, F.lit(False))
+    return {"importance": F.when(first, 70).otherwise(50), "confidence": F.lit(40), "breaking": first}
+
+
+def new_stories(articles: DataFrame) -> DataFrame:
+    """The stories that unmatched articles (doc_id, headline, category, source, tier, published_at) start, one each."""
+    start = start_story(F.col("tier"))
+    return articles.select((-F.col("doc_id") - 1).alias("story_id"), F.col("headline").alias("title"), "category", F.lit("NEW").alias("status"), F.lit(1).alias("verification_level"), F.lit(1).alias("source_count"), F.col("published_at").alias("first_seen"), *[c.alias(n) for n, c in start.items()])
+
+
+def mark_processed(articles: DataFrame, looked: DataFrame) -> DataFrame:
+    """articles with processed and story_id of looked (doc_id, story_id), the articles that a run looked at; the next run leaves these out."""
+    seen = looked.select("doc_id", F.col("story_id").alias("__s"))
+    j = articles.join(seen, "doc_id", "left")
+    return j.withColumns({"processed": F.col("processed") | F.col("__s").isNotNull(), "story_id": F.coalesce("__s", "story_id")}).select(articles.columns)
+
+
 def assign_batch(articles: DataFrame, matches: DataFrame, members: DataFrame, asof: Column) -> DataFrame:
     """(doc_id, story_id, created): one micro-batch against a snapshot.
 
     Only unprocessed articles no older than seven days. A matched story takes one article of each source that it hasn't got, the first
     published; other matched articles are dropped; each unmatched one starts a story of its own id.
     """
-    fresh = articles.filter(~F.col("processed") & (F.floor((asof.cast("long") - F.col("published_at").cast("long")) / 86400) <= 7))
-    j = fresh.join(matches.select("doc_id", F.col("story_id").alias("match")), "doc_id", "left")
+    j = fresh_articles(articles, asof).join(matches.select("doc_id", F.col("story_id").alias("match")), "doc_id", "left")
     hit = j.filter("match is not null")
     new = hit.join(members.select(F.col("story_id").alias("match"), "source").distinct(), ["match", "source"], "left_anti")
     first = new.groupBy("match", "source").agg(F.min_by("doc_id", F.struct("published_at", "doc_id")).alias("doc_id"))

@@ -75,17 +75,49 @@ def _slot(key: str, round_: Column, slots: Column, seed: int) -> Column:
     return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), slots)
 
 
-def positive_pairs(members: DataFrame, n: int, seed: int = 42, rounds: int = 5) -> DataFrame:
-    """n pairs of articles of one story, in a seeded order.
+#: Cells of a story's members, so that a large story's members are not numbered in one task.
+CELLS = 1024
 
-    Articles of a story are dealt into half as many slots as it has members, `rounds` times over; those in one slot are a
-    pair. So a story gives pairs in proportion to its members, and a large one is spread over its slots.
+
+def _numbered(members: DataFrame, seed: int) -> DataFrame:
+    """(story_id, doc_id, i, m): distinct members numbered from 0 in a seeded order, and how many their story has. Stories of one are left out."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
+    rows = members.select("story_id", "doc_id").filter("story_id is not null and doc_id is not null").distinct()
+    rows = rows.withColumn("cell", (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % CELLS).cast("int"))
+    cells = rows.groupBy("story_id", "cell").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("story_id")
+    before = F.sum("n").over(w.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select("story_id", "cell", F.coalesce(before, F.lit(0)).alias("before"), F.sum("n").over(w).alias("m")).filter("m > 1")
+    nth = F.row_number().over(Window.partitionBy("story_id", "cell").orderBy("doc_id")) - 1
+    return rows.join(cells, ["story_id", "cell"]).select("story_id", "doc_id", (F.col("before") + nth).alias("i"), "m")
+
+
+def positive_pairs(members: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n pairs (a, b, label) of articles of one story, a < b, in a seeded order; all there are where these are fewer.
+
+    A story of m members has m (m - 1) / 2 pairs, which are numbered. One of n pairs or fewer gives all of them; a larger one is cut into n spans of
+    numbers, from each of which a hash draws one. So no story makes more than n rows, and only members that are drawn meet.
     """
-    size = members.groupBy("story_id").agg(F.count("*").alias("n")).filter("n > 1")
-    m = members.select("story_id", "doc_id").join(size, "story_id").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    m = m.select("story_id", "r", "doc_id", _slot("doc_id", F.col("r"), F.greatest(F.expr("n div 2"), F.lit(1)), seed).alias("slot"))
-    j = m.withColumnRenamed("doc_id", "a").join(m.withColumnRenamed("doc_id", "b"), ["story_id", "r", "slot"]).filter("a < b")
-    return j.select("a", "b", F.lit(1).alias("label")).distinct().orderBy(hashed_order("a", "b", seed=seed)).limit(n)
+    own = _numbered(members, seed)
+    total = F.col("m") * (F.col("m") - 1) / 2
+    stories = own.filter("i = 0").select("story_id", F.col("m"), total.cast("long").alias("total"))
+    k = stories.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.least("total", F.lit(n)) - 1)))
+    span = F.expr(f"cast(cast(t + 1 as decimal(20)) * total div least(total, {n}) as long)") - F.expr(f"cast(cast(t as decimal(20)) * total div least(total, {n}) as long)")
+    first = F.expr(f"cast(cast(t as decimal(20)) * total div least(total, {n}) as long)")
+    k = k.select("story_id", (first + F.pmod(F.xxhash64(F.lit(seed), "story_id", "t"), span)).alias("p"))
+    # Pair p is (i, j), i < j, with j (j - 1) / 2 <= p; the root may be off by one.
+    j = F.floor((1 + F.sqrt(1 + 8 * F.col("p").cast("double"))) / 2)
+    k = k.withColumn("j", j).withColumn("j", F.expr("case when j * (j - 1) div 2 > p then j - 1 when j * (j + 1) div 2 <= p then j + 1 else j end"))
+    k = k.select("story_id", "j", F.expr("p - j * (j - 1) div 2").alias("i"))
+    x, y = own.select("story_id", "i", F.col("doc_id").alias("x")), own.select("story_id", F.col("i").alias("j"), F.col("doc_id").alias("y"))
+    met = k.join(x, ["story_id", "i"]).join(y, ["story_id", "j"])
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(1).alias("label")).distinct().orderBy(hashed_order("a", "b", seed=seed)).limit(n)
+
+
+def drawn_share(key: Column, share: float, seed: int) -> Column:
+    """Is a key among this share of all keys, by a seeded hash of 32 bits?"""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("pool"), key.cast("string")).cast("binary"))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") < share * float(1 << 32)
 
 
 def random_pairs(rows: DataFrame, attempts: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
@@ -96,8 +128,7 @@ def random_pairs(rows: DataFrame, attempts: int, seed: int = 42, key: str = "doc
     """
     total = rows.count()
     drawn = max(1, min(total, attempts))
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("pool"), F.col(key).cast("string")).cast("binary"))
-    pool = rows.select(key).filter(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") * total < attempts * (1 << 32))
+    pool = rows.select(key).filter(drawn_share(F.col(key), attempts / max(total, 1), seed))
     pool = pool.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(-(-attempts // drawn)))))
     pool = pool.select("r", key, _slot(key, F.col("r"), F.lit(max(drawn // 2, 1)), seed).alias("slot"))
     j = pool.withColumnRenamed(key, "a").join(pool.withColumnRenamed(key, "b"), ["r", "slot"]).filter("a < b")
@@ -206,6 +237,22 @@ def with_simhash(df: DataFrame, text: Column, key: str = "doc_id") -> DataFrame:
     return sums.select(key, whole("hi").alias("hi"), whole("lo").alias("lo"))
 
 
+def simhash(df: DataFrame, text: str) -> DataFrame:
+    """df with hi and lo, the halves of text's SimHash as in with_simhash, row by row: for streams, and where rows can't be grouped.
+
+    A 64-bit number holds two counters, one a half, so 32 sums over the shingles count all bits.
+    """
+    low = df.withColumn("__t", F.lower(F.coalesce(text, F.lit("")))).withColumn("__w", X.words(F.col("__t")))
+    grams = F.when(F.size("__w") < 3, F.array("__t")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("__w", i, 3), " ")))
+    half = lambda m, a: F.conv(F.substring(m, a, 8), 16, 10).cast("long")
+    sums = low.withColumn("__m", F.transform(grams, lambda g: F.md5(g.cast("binary")))).withColumn("__x", F.transform("__m", lambda m: F.shiftleft(half(m, 17), 32).bitwiseOR(half(m, 25))))
+    count = lambda i: F.aggregate("__x", F.lit(0).cast("long"), lambda s, x: s + F.shiftright(x, i).bitwiseAND(F.lit((1 << 32) + 1)))
+    sums = sums.withColumn("__c", F.array(*[count(i) for i in range(32)])).withColumn("__n", F.size("__x"))
+    bit = lambda i, part: F.when(2 * part(F.col("__c")[i]) > F.col("__n"), F.lit(1 << i)).otherwise(F.lit(0))
+    whole = lambda part: reduce(lambda x, y: x + y, [bit(i, part) for i in range(32)]).cast("long")
+    return sums.withColumns({"hi": whole(lambda c: F.shiftright(c, 32)), "lo": whole(lambda c: c.bitwiseAND(F.lit((1 << 32) - 1)))}).drop("__t", "__w", "__m", "__x", "__c", "__n")
+
+
 def _spells(rows: DataFrame, cols: list[str], days: int) -> DataFrame:
     """rows with the spell of equal cols that each is in: a spell ends where the next row is more than `days` later.
 
@@ -225,6 +272,12 @@ def _spells(rows: DataFrame, cols: list[str], days: int) -> DataFrame:
 _BLOCKS = (("hi", 0, 11), ("hi", 11, 11), ("hi", 22, 10), ("lo", 0, 11), ("lo", 11, 11), ("lo", 22, 10))
 
 
+def block_keys() -> list[Column]:
+    """(i, k) for each three of the six blocks of hi and lo: hashes within three bits have one of the twenty in common."""
+    block = lambda x: F.shiftright(F.col(x[0]), x[1]).bitwiseAND(F.lit((1 << x[2]) - 1))
+    return [F.struct(F.lit(i).alias("i"), reduce(lambda u, v: u * (1 << 11) + v, [block(x) for x in three]).alias("k")) for i, three in enumerate(itertools.combinations(_BLOCKS, 3))]
+
+
 def near_duplicates(articles: DataFrame, bits: int = 3, days: int = 7) -> DataFrame:
     """(a, b, distance, kind): copies within a week, from the first article of a class to the others and between classes.
 
@@ -244,9 +297,7 @@ def near_duplicates(articles: DataFrame, bits: int = 3, days: int = 7) -> DataFr
     classes = _spells(durable(kept.select("doc_id", "published_at").join(hashed, "doc_id")), ["hi", "lo"], days)  # texts are hashed once
     same = classes.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("distance"), F.lit("near").alias("kind"))
     reps = classes.filter("doc_id = first").select("doc_id", "hi", "lo", "since", "until")
-    block = lambda x: F.shiftright(F.col(x[0]), x[1]).bitwiseAND(F.lit((1 << x[2]) - 1))
-    keys = [F.struct(F.lit(i).alias("i"), reduce(lambda u, v: u * (1 << 11) + v, [block(x) for x in three]).alias("k")) for i, three in enumerate(itertools.combinations(_BLOCKS, 3))]
-    met = reps.select("*", F.explode(F.array(*keys)).alias("x")).select("*", "x.i", "x.k").drop("x")
+    met = reps.select("*", F.explode(F.array(*block_keys())).alias("x")).select("*", "x.i", "x.k").drop("x")
     x, y = (met.select("i", "k", *[F.col(c).alias(f"{c}_{n}") for c in ("doc_id", "hi", "lo", "since", "until")]) for n in "ab")
     far = F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b")))
     j = x.join(y, ["i", "k"]).filter("(since_a, doc_id_a) < (since_b, doc_id_b)").filter((F.col("hi_a") != F.col("hi_b")) | (F.col("lo_a") != F.col("lo_b")))
@@ -273,6 +324,13 @@ def category_affinity(inter: DataFrame, stories: DataFrame, weights: dict[str, i
     return by.withColumn("affinity", F.round(F.col("w") / F.max("w").over(Window.partitionBy("user_id")), 6)).drop("w")
 
 
+def vector_sums(members: DataFrame, key: str = "story_id", vector: str = "embedding") -> DataFrame:
+    """(key, total, n): the sum of the member vectors, by dimension, and their number."""
+    some = members.filter(F.col(vector).isNotNull())
+    by = some.select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(F.sum(F.col("x").cast("double")).alias("t"), F.count("*").alias("n"))
+    return by.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]).alias("total"), F.max("n").alias("n"))
+
+
 def centroids(members: DataFrame, key: str = "story_id", vector: str = "embedding") -> DataFrame:
     """(key, centroid): unit-length mean of the member vectors. Sums are made by dimension before the shuffle, so hot keys are cheap."""
     mean = members.filter(F.col(vector).isNotNull()).select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))

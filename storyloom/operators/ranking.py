@@ -48,7 +48,7 @@ def recent_stories(stories: DataFrame, n: int, category: str | None = None, stat
 
 
 def breaker_state(log: DataFrame, asof: Column, failures: int = 3, minutes: int = 30) -> DataFrame:
-    """(feed, consecutive, state): failures since the last success; open from `failures` on, half-open after some minutes.
+    """(feed, consecutive, state): failures since the last success; open from `failures` on, half-open when more than some minutes have passed.
 
     Only two aggregates of each feed: its last success, and the failures after it. No feed's log is sorted in one task.
     """
@@ -56,7 +56,7 @@ def breaker_state(log: DataFrame, asof: Column, failures: int = 3, minutes: int
     j = log.join(good, "feed", "left").withColumn("late", ~F.col("ok") & (F.col("s").isNull() | (F.struct("ts", "event_id") > F.col("s"))))
     out = j.groupBy("feed").agg(F.count_if("late").alias("consecutive"), F.max(F.when(F.col("late"), F.col("ts"))).alias("last_failure"))
     open_ = F.col("consecutive") >= failures
-    rested = asof.cast("long") - F.col("last_failure").cast("long") >= minutes * 60
+    rested = asof.cast("long") - F.col("last_failure").cast("long") > minutes * 60
     return out.select("feed", "consecutive", F.when(open_ & rested, "half_open").when(open_, "open").otherwise("closed").alias("state"))
 
 

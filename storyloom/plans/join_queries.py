@@ -82,8 +82,7 @@ def j5_membership(spark, d):
 
 
 _SLOT = "('0x' || md5('42:' || {0} || ':' || doc_id)[1:8])::bigint"
-_POSITIVE = f""", mn AS (SELECT story_id, count(*) AS n FROM articles GROUP BY 1 HAVING count(*) > 1), mr AS (SELECT story_id, n, doc_id, unnest(range(1, 6)) AS r FROM articles JOIN mn USING (story_id)), mslot AS (SELECT *, {_SLOT.format('r')} % greatest(n // 2, 1) AS slot FROM mr),
- pos AS (SELECT a, b, 1::int AS label FROM (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM mslot x JOIN mslot y ON x.story_id = y.story_id AND x.r = y.r AND x.slot = y.slot AND x.doc_id < y.doc_id) ORDER BY md5('42:' || a || ':' || b) LIMIT 300)"""
+_POSITIVE = """, pos AS (SELECT x.doc_id AS a, y.doc_id AS b, 1::int AS label FROM articles x JOIN articles y ON x.story_id = y.story_id AND x.doc_id < y.doc_id ORDER BY md5('42:' || x.doc_id || ':' || y.doc_id) LIMIT 300)"""
 
 
 @query(f"{_POSITIVE} SELECT * FROM pos")

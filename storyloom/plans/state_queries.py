@@ -179,15 +179,30 @@ def k5_cooldown(spark, d):
     return spark.read.parquet(out).select("feed", "event_id")
 
 
-@query("""SELECT feed, count(*) FILTER (late) AS consecutive, CASE WHEN count(*) FILTER (late) >= 3 AND floor(epoch(TIMESTAMP '2024-01-30')) - floor(epoch(max(ts) FILTER (late))) > 1800 THEN 'half_open' WHEN count(*) FILTER (late) >= 3 THEN 'open' ELSE 'closed' END AS state
- FROM (SELECT *, NOT ok AND sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY feed ORDER BY ts DESC, event_id DESC) = 0 AS late FROM fetch_log) GROUP BY 1""")
-def k6_breaker_stream(spark, d):
-    """The breakers after all micro-batches, as of the end of January."""
+_BREAKER = """, lg AS (SELECT *, epoch_us(ts) AS us, sum(ok::int) OVER w AS island, lead(epoch_us(ts)) OVER w AS nxt, max(epoch_us(ts)) OVER () AS wm FROM fetch_log WINDOW w AS (PARTITION BY feed ORDER BY ts, event_id)),
+ ct AS (SELECT *, CASE WHEN ok THEN 0 ELSE row_number() OVER (PARTITION BY feed, island, ok ORDER BY ts, event_id) END AS c FROM lg), st AS (SELECT *, lag(c, 1, 0) OVER w AS pc, us - lag(us) OVER w AS gap FROM ct WINDOW w AS (PARTITION BY feed ORDER BY ts, event_id)),
+ ch AS (SELECT feed, us, 'open' AS state, c AS consecutive FROM st WHERE c >= 3 AND (pc < 3 OR gap > 1800000000) UNION ALL SELECT feed, us, 'closed', c FROM st WHERE c < 3 AND pc >= 3
+ UNION ALL SELECT feed, us + 1800000000, 'half_open', c FROM st WHERE c >= 3 AND coalesce(nxt - us > 1800000000, us + 1800000000 < wm))"""
+
+
+def _breakers(spark, d):
     path, out = _tmp(spark, "in"), _tmp(spark, "out")
     log = V.fetch_log(spark, d).select("feed", "ts", "event_id", "ok")
     _land(log, path, at="ts")
-    K.drain(K.breaker_stream(S.article_changes(spark, path, log.schema, files=2)), _tmp(spark, "state"), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), "update")
-    return K.breakers_at(spark.read.parquet(out), F.lit("2024-01-30 00:00:00").cast("timestamp")).select("feed", "consecutive", "state")
+    K.drain(K.breaker_stream(S.article_changes(spark, path, log.schema, files=2)), _tmp(spark, "state"), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    return spark.read.schema("feed long, at timestamp, state string, consecutive long").parquet(out)
+
+
+@query(f"{_BREAKER} SELECT feed, us, state, consecutive FROM ch")
+def k6_breaker_stream(spark, d):
+    """All changes of the breakers over several micro-batches; what is half open by a timer or by a later outcome."""
+    return _breakers(spark, d).select("feed", F.unix_micros("at").alias("us"), "state", "consecutive")
+
+
+@query(f"{_BREAKER} SELECT feed, state, consecutive FROM (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY us DESC, state = 'half_open') AS r FROM ch WHERE us <= epoch_us(TIMESTAMP '2024-01-30')) WHERE r = 1")
+def k6_breakers_at(spark, d):
+    """The breakers as of the end of January."""
+    return K.breakers_at(_breakers(spark, d), F.lit("2024-01-30 00:00:00").cast("timestamp")).select("feed", "state", "consecutive")
 
 
 @query("SELECT cast(epoch(time_bucket(INTERVAL 5 MINUTE, fetched_at, TIMESTAMP '1970-01-01')) AS bigint) AS start, count(*) AS n FROM articles GROUP BY 1")

@@ -3,6 +3,7 @@
 import datetime as dt
 import html
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,8 @@ def test_breaker(spark):
     got = {r["feed"]: (r["consecutive"], r["state"]) for r in R.breaker_state(log, F.lit("2024-01-01 00:10:00").cast("timestamp")).collect()}
     assert got == {1: (3, "open"), 2: (2, "closed")}
     late = {r["feed"]: r["state"] for r in R.breaker_state(log, F.lit("2024-01-01 00:32:00").cast("timestamp")).collect()}
+    assert late[1] == "open"  # just thirty minutes after its last failure
+    late = {r["feed"]: r["state"] for r in R.breaker_state(log, F.lit("2024-01-01 00:32:01").cast("timestamp")).collect()}
     assert late[1] == "half_open"
 
 
@@ -199,16 +202,78 @@ def test_near_duplicates(spark):
     assert {k for *_, k in want} == {"exact", "near"} and any(x[2] for x in want) and (30, 31, 0, "exact") in want and not any(33 in x[:2] for x in want)
 
 
-def test_streams_and_batch_agree(spark, tmp_path):
-    log = spark.createDataFrame([(f, i, dt.datetime(2024, 1, 1, 0, i), (i * f) % 3 == 0) for f in (1, 2) for i in range(9)], "feed long, event_id long, ts timestamp, ok boolean")
-    log.coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = str(tmp_path / "out")
-    K.drain(K.breaker_stream(S.article_changes(spark, str(tmp_path / "in"), log.schema)), str(tmp_path / "ck"), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), "update")
-    stream = {r["feed"]: r["consecutive"] for r in spark.read.parquet(out).collect()}
-    batch = {r["feed"]: r["consecutive"] for r in R.breaker_state(log, F.lit("2024-01-02 00:00:00").cast("timestamp")).collect()}
-    assert stream == batch
-    at = lambda m: {r["feed"]: r["state"] for r in K.breakers_at(spark.createDataFrame([(0, 1, 3, 100, True), (1, 1, 4, 1000, True), (0, 2, 1, 10, False)], "batch long, feed long, consecutive long, last_failure long, open boolean"), F.timestamp_seconds(F.lit(m))).collect()}
-    assert at(2800) == {1: "open", 2: "closed"} and at(2801) == {1: "half_open", 2: "closed"}
+def _stream(spark, folder, rows, schema, slices, make):
+    """What make of a stream over slices of rows writes, one file a slice and batch: (batch, ...) rows."""
+    out = f"{folder}/out"
+    for k, part in enumerate(slices):
+        spark.createDataFrame([rows[i] for i in part], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(0.02)  # files are read in order of their times
+    stream = make(S.article_changes(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema))
+    K.drain(stream, f"{folder}/state", lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    return spark.read.schema(stream.schema.add("batch", "integer")).parquet(out)
+
+
+_MINUTES = [(1, 0, False), (1, 1, False), (2, 1, False), (1, 2, False), (2, 3, True), (1, 40, False), (2, 41, False), (1, 45, True), (2, 50, False), (2, 51, False), (3, 52, True), (3, 90, True), (4, 91, False)]
+
+
+@pytest.mark.parametrize("cuts", [[13], [3, 6, 9, 13], list(range(1, 14))])
+def test_breaker_stream(spark, tmp_path, cuts):
+    """Changes by hand, wherever batches are cut: three failures open, a timer half opens after thirty minutes, a failure opens again, a success closes."""
+    rows = [(f, i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m), ok) for i, (f, m, ok) in enumerate(_MINUTES)]
+    slices = [range(a, b) for a, b in zip([0, *cuts], cuts)]
+    got = _stream(spark, str(tmp_path), rows, "feed long, event_id long, ts timestamp, ok boolean", slices, K.breaker_stream)
+    at = lambda r: int((r["at"] - dt.datetime(2024, 1, 1)).total_seconds() // 60)
+    assert sorted((r["feed"], at(r), r["state"], r["consecutive"]) for r in got.collect()) == [(1, 2, "open", 3), (1, 32, "half_open", 3), (1, 40, "open", 4), (1, 45, "closed", 0), (2, 51, "open", 3), (2, 81, "half_open", 3)]
+    state = lambda m: {r["feed"]: r["state"] for r in K.breakers_at(got, F.lit(f"2024-01-01 {m}").cast("timestamp")).collect()}
+    assert state("00:31:59") == {1: "open"} and state("00:32:00") == {1: "half_open"} and state("00:40:00") == {1: "open"} and state("01:30:00") == {1: "closed", 2: "half_open"}
+
+
+def test_breaker_forgets_silent_feeds(spark, tmp_path):
+    """Two failures, an hour of silence in which the state expires by its timer, one more failure: no three in a row."""
+    t = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    rows = [(1, 0, t(0), False), (1, 1, t(1), False), (2, 2, t(70), True), (1, 3, t(71), False)]
+    run = lambda name, forget: [r["state"] for r in _stream(spark, str(tmp_path / name), rows, "feed long, event_id long, ts timestamp, ok boolean", [[0, 1], [2], [3]], lambda df: K.breaker_stream(df, forget=forget)).collect()]
+    assert run("a", 3600) == [] and run("b", 7200) == ["open"]
+
+
+@pytest.mark.parametrize("cuts", [[7], [2, 4, 7], list(range(1, 8))])
+def test_cooldown_stream(spark, tmp_path, cuts):
+    rows = [(f, i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=m)) for i, (f, m) in enumerate([(1, 0), (2, 100), (1, 299), (1, 300), (1, 301), (2, 500), (1, 1000)])]
+    got = _stream(spark, str(tmp_path), rows, "feed long, event_id long, ts timestamp", [range(a, b) for a, b in zip([0, *cuts], cuts)], lambda df: K.cooldown(df, 300))
+    assert sorted(r["event_id"] for r in got.collect()) == [0, 1, 3, 5, 6]
+
+
+def test_simhash_by_row_is_simhash_by_group(spark):
+    texts = [None, "", "One two", "a b c d e f g", "Fire in the old mill, police say; nobody was hurt in it " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {r["doc_id"]: (r["hi"], r["lo"]) for r in J.with_simhash(df, F.col("text")).collect()}
+    assert {r["doc_id"]: (r["hi"], r["lo"]) for r in J.simhash(df, "text").collect()} == by and len(set(by.values())) == 4
+
+
+def test_near_dedup_stream_forgets(spark, tmp_path):
+    """A copy within the week before goes, exact or near; one eight days later stays; suppressed articles are remembered, too."""
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    long = "the quick brown fox jumps over the lazy dog near the river bank on a sunny day in may " * 3
+    rows = [
+        (1, "Title", long, "http://a.x/1", day(0)), (2, "title ", "other words here", "http://a.x/2", day(1)), (3, "Else", "no such thing at all", "http://a.x/3", day(2)),
+        (4, "Title", long, "http://b.x/4", day(6)), (5, "Title", long, "http://c.x/5", day(12)), (6, "TITLE", "again", "http://a.x/6", day(9)), (7, "Title", long, "http://d.x/7", day(20)),
+    ]
+    schema = "doc_id long, headline string, description string, url string, published_at timestamp"
+    for part in ([0], [1, 2], [3], [5], [4, 6]):
+        spark.createDataFrame([rows[i] for i in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    K.near_dedup_stream(S.article_changes(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema), str(tmp_path / "state"), str(tmp_path / "out"))
+    # 2: title and domain of 1; 4: text of 1; 5: text of 4, which was suppressed itself; 6: eight days after 2; 7: eight days after 5
+    assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out/kept")).collect()) == [1, 3, 6, 7]
+
+
+def test_stories_start_and_articles_are_marked(spark):
+    t = dt.datetime(2024, 1, 1)
+    a = spark.createDataFrame([(1, "h", "us", "s", 1, t, False, None), (2, "h", "us", "s", 2, t, False, None), (3, "h", "us", "s", None, t, True, 9)], "doc_id long, headline string, category string, source string, tier int, published_at timestamp, processed boolean, story_id long")
+    got = {r["story_id"]: (r["importance"], r["confidence"], r["breaking"], r["status"], r["verification_level"]) for r in C.new_stories(a).collect()}
+    assert got == {-2: (70, 40, True, "NEW", 1), -3: (50, 40, False, "NEW", 1), -4: (50, 40, False, "NEW", 1)}
+    marked = C.mark_processed(a, spark.createDataFrame([(1, 77)], "doc_id long, story_id long"))
+    assert sorted((r["doc_id"], r["processed"], r["story_id"]) for r in marked.collect()) == [(1, True, 77), (2, False, None), (3, True, 9)]
 
 
 def test_hard_negatives(spark):
@@ -231,6 +296,12 @@ def test_random_pairs_grow_with_attempts_alone(spark):
     assert 4000 < J.random_pairs(df.limit(100), 10_000).count() <= 4950
 
 
+def test_random_pairs_of_very_many_rows(spark):
+    """The share of rows that is drawn holds beyond the range of whole numbers: 3 of 100 stand for 3e9 of 1e11 rows."""
+    n = spark.range(100_000).filter(J.drawn_share(F.col("id"), 3e9 / 1e11, 42)).count()
+    assert 2_700 < n < 3_300
+
+
 @pytest.mark.parametrize("d", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_hard_negatives_are_there_at_every_size(spark, d):
     from storyloom.plans import QUERIES
@@ -239,9 +310,22 @@ def test_hard_negatives_are_there_at_every_size(spark, d):
 
 
 def test_positive_pairs(spark):
-    m = spark.createDataFrame([(1, 1), (1, 2), (2, 3), *[(3, i) for i in range(10, 30)]], "story_id long, doc_id long")
-    got = [(r["a"], r["b"]) for r in J.positive_pairs(m, 1000).collect()]
-    assert (1, 2) in got and all(3 not in x for x in got) and len(set(got)) == len(got) > 30
+    """All pairs where fewer than n are to be had, whatever the story's size; rows that repeat or lack a key make none."""
+    sizes = {1: 2, 2: 1, 3: 20, 4: 50}
+    rows = [(s, 100 * s + i) for s, m in sizes.items() for i in range(m)]
+    m = spark.createDataFrame([*rows, *rows[:30], (None, 7), (3, None)], "story_id long, doc_id long")
+    got = [(r["a"], r["b"]) for r in J.positive_pairs(m, 10_000).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for s, a in rows for t, b in rows if s == t and a < b}
+    few = [(r["a"], r["b"]) for r in J.positive_pairs(m, 40).collect()]
+    assert len(few) == len(set(few)) == 40 and set(few) <= set(got)
+    assert J.positive_pairs(m.limit(0), 5).count() == 0
+
+
+def test_positive_pairs_of_one_large_story(spark):
+    """n of two hundred million pairs, without making them; all of the story's parts give some."""
+    m = spark.range(20_000).select(F.lit(1).alias("story_id"), F.col("id").alias("doc_id"))
+    got = [(r["a"], r["b"]) for r in J.positive_pairs(m, 300).collect()]
+    assert len(set(got)) == 300 and all(a < b for a, b in got) and len({x // 2000 for p in got for x in p}) == 10
 
 
 def test_pair_scores(spark):
@@ -375,6 +459,29 @@ def test_cluster_stream_goes_on_from_earlier_batches(spark, tmp_path):
     assert got == {(0, 1, 50, False), (0, 2, -3, True), (1, 4, -3, False), (1, 5, 50, False), (2, 7, -3, False), (2, 8, -9, True)}
     last = {r["story_id"]: r for r in spark.read.parquet(f"{out}/stories").filter("batch = 1").collect()}
     assert last[50]["source_count"] == 3 and last[50]["last_updated"] == at(5) and 0.9 < last[50]["centroid"][0] < 1
+    # Every article that was looked at has its story, also where that had its source.
+    assert {(r["doc_id"], r["story_id"]) for r in spark.read.parquet(f"{out}/processed").collect()} == {(1, 50), (2, -3), (3, 50), (4, -3), (5, 50), (6, -3), (7, -3), (8, -9)}
+    end = {r["story_id"]: (r["source_count"], r["status"], r["breaking"], r["importance"], r["confidence"]) for r in K.stories_at(spark, out).collect()}
+    assert end == {50: (3, "VERIFIED", True, None, None), -3: (3, "VERIFIED", True, 70, 40), -9: (1, "NEW", True, 70, 40)}
+    assert {r["story_id"] for r in K.stories_at(spark, out, 0).collect()} == {50, -3}
+
+
+def test_cluster_stream_state_is_bounded(spark, tmp_path):
+    """Six batches of new stories with a bound of three: the state has three rows after each, and batch n needs no folder before n - 1."""
+    t0 = dt.datetime(2024, 1, 1)
+    a = spark.createDataFrame([(i, f"s{i}", 2, t0 + dt.timedelta(minutes=i), f"title {i}", False) for i in range(12)], "doc_id long, source string, tier int, published_at timestamp, headline string, processed boolean")
+    v = spark.createDataFrame([(i, [float(k == i) for k in range(12)]) for i in range(12)], "vec_id long, embedding array<float>")
+    none = spark.createDataFrame([], "story_id long, title string, centroid array<double>, last_updated timestamp")
+    members = spark.createDataFrame([], "story_id long, doc_id long, source string, tier int, published_at timestamp")
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for b in range(6):
+        a.filter(F.col("doc_id").between(2 * b, 2 * b + 1)).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.02)
+    K.cluster_stream(S.article_changes(spark, path, a.schema), str(tmp_path / "state"), none, members, v, F.lit("2024-01-02").cast("timestamp"), out, recent=3)
+    live = {}
+    for r in spark.read.parquet(f"{out}/live").collect():
+        live.setdefault(r["batch"], set()).add(r["story_id"])
+    assert live == {0: {-1, -2}, **{b: {-2 * b - 2, -2 * b - 1, -2 * b} for b in range(1, 6)}}
 
 
 def test_cluster_stream_query_is_the_batch_form_slice_by_slice(spark, tmp_path):
