@@ -395,6 +395,26 @@ def test_min_max_null_keys_and_repeats(spark):
     assert minhash.link(d.limit(0)).count() == 0
 
 
+def test_min_max_keys_with_other_texts(spark):
+    """Rows that share a key and not their text are documents of their own: the key links nothing, and only the near copy goes."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    d = spark.createDataFrame([(1, b), (5, a), (5, b), (7, a), (9, "c d e f g h")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in minhash.link(d).collect()) == [(1, 36, 1, True), (5, 36, 1, False), (5, 36, 5, True), (7, 36, 5, False), (9, 2, 9, True)]
+    assert sorted(tuple(r) for r in minhash.dedup(d).collect()) == [(1, b), (5, a), (9, "c d e f g h")]
+
+
+@pytest.mark.parametrize("small", [400, 20])
+def test_min_max_template_in_a_third_of_all_rows(spark, monkeypatch, small):
+    """One template with another word in each text, so that its texts' sets differ and share most buckets, which are hot ones."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "CHUNK", 16)
+    rng = random.Random(6)
+    base = [f"t{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:30], f"x{i}", *base[30:]]) if i % 3 == 0 else " ".join(f"w{rng.randint(0, 3000)}" for _ in range(50))) for i in range(600)]
+    got = by_key(minhash.link(spark.createDataFrame(rows, "doc_id long, text string"), size=2), ["n_shingles", "component_id", "kept"])
+    assert got == brute.near(rows) and sum(c == 0 for _, c, _ in got.values()) == 200
+
+
 @pytest.mark.parametrize("few", [1_000_000, 0])
 def test_components(spark, monkeypatch, few):
     monkeypatch.setattr(components, "FEW", few)
