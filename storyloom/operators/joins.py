@@ -338,24 +338,6 @@ def centroids(members: DataFrame, key: str = "story_id", vector: str = "embeddin
     return rows.select(key, Z.unit(F.col("c")).alias("centroid"))
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k best documents (doc_id, text) for each query (query_id, text), Okapi weights.
-
-    Words are what stands between white space, in lower case, of three characters and more, without stop words. Postings are
-    joined by term, so only documents that share a term with a query move; document lengths ride along.
-    """
-    toks = lambda c, stop: F.filter(X.words(F.lower(c)), lambda w: (F.length(w) > 2) & ~w.isin(*stop))
-    d = corpus.select("doc_id", toks(F.col("text"), vocab.STOP_RETRIEVAL).alias("w")).withColumn("len", F.size("w")).filter("len > 0")
-    about = d.agg(F.count("*").alias("N"), F.avg("len").alias("mean"))
-    q = queries.select("query_id", F.explode(F.array_distinct(toks(F.col("text"), vocab.STOP_QUERY))).alias("t"))
-    post = d.select("doc_id", "len", F.explode("w").alias("t")).join(q.select("t").distinct(), "t", "left_semi").groupBy("t", "doc_id", "len").agg(F.count("*").alias("tf"))
-    idf = post.groupBy("t").agg(F.count("*").alias("df")).join(F.broadcast(about)).withColumn("idf", F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    hits = q.join(idf, "t").join(post, "t").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 4).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1000, where: Column | None = None, about: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, vec_id, distance, rank): the k nearest of corpus by squared L2 for each query, filters applied beforehand.
 

@@ -7,6 +7,7 @@ from ..functions import similarity as Z
 from ..functions import text as X
 from ..operators import joins as J
 from ..operators import metrics as M
+from ..operators import retrieval as R
 from . import views as V
 from .text_queries import BARE, ENTITIES, JAC, SIM, WORDS
 from .views_sql import T, query
@@ -181,6 +182,11 @@ def j16_candidate_window(spark, d):
     return J.candidate_window(V.articles(spark, d), V.stories(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("story_id").alias("first"))
 
 
+@query("SELECT doc_id, story_id, place::int AS place FROM (SELECT doc_id, s.story_id, row_number() OVER (PARTITION BY doc_id ORDER BY s.first_seen DESC, s.story_id DESC) AS place FROM articles a JOIN stories s ON a.category = s.category AND s.first_seen >= a.published_at - INTERVAL 7 DAY AND s.first_seen <= a.published_at + INTERVAL 6 HOUR) WHERE place <= 20")
+def j16_latest_in_window(spark, d):
+    return R.latest_in_window(V.articles(spark, d), V.stories(spark, d), 20)
+
+
 @query(", b AS (SELECT user_id, category, sum(CASE kind WHEN 'view' THEN 1 WHEN 'like' THEN 3 WHEN 'save' THEN 5 END) AS w FROM interactions JOIN stories USING (story_id) WHERE kind IN ('view', 'like', 'share', 'save') GROUP BY 1, 2) SELECT user_id, category, round(w / max(w) OVER (PARTITION BY user_id), 6) AS affinity FROM b")
 def j17_category_affinity(spark, d):
     return J.category_affinity(V.interactions(spark, d), V.stories(spark, d), vocab.AFFINITY)
@@ -202,7 +208,7 @@ def _bm(queries):
 @query(f"{_bm('SELECT item_id AS query_id, text FROM benchmark')} SELECT query_id, count(*) AS n, round(max(score), 3) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r <= 50 GROUP BY 1")
 def e5_bm25(spark, d):
     q = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return J.bm25(q, _corpus(spark, d), 50).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 3).alias("best"))
+    return R.search_postings(q, R.build_postings(_corpus(spark, d)), 50).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 3).alias("best"))
 
 
 _L2 = "round(list_sum(list_transform(list_zip(q.embedding::double[], c.embedding::double[]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6)"
@@ -219,6 +225,15 @@ def e6_vector_topk(spark, d):
     return _topk(spark, d, 10).withColumn("distance", F.round("distance", 4))
 
 
+@query()
+def e6_vector_index(spark, d):
+    """The vectors whose number is divisible by 50 against all, by an index of cells; as many are looked at as hold 95 % of a draw's exact neighbours."""
+    v = V.vectors(spark, d)
+    index = R.build_cells(v)
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.search_cells(q, index, 10, R.probes_for(index, 10))
+
+
 _TOPF = f""", ev AS (SELECT vec_id, embedding, category, published_at, source FROM embeddings JOIN articles ON vec_id = doc_id), tf6 AS (SELECT q.vec_id AS query_id, c.vec_id, {_L2} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_L2}, c.vec_id) AS rank FROM ev q JOIN ev c
  ON q.category = c.category AND q.source <> c.source AND c.published_at >= q.published_at - INTERVAL 7 DAY AND c.published_at <= q.published_at + INTERVAL 6 HOUR WHERE q.vec_id % 50 = 0)"""
 
@@ -243,7 +258,7 @@ _ARMS = f"{_TOPF}{_bm('SELECT doc_id AS query_id, headline AS text FROM articles
 def _arms(spark, d, k=15):
     """The vector hits and the keyword hits of the articles whose number is divisible by 50."""
     q = V.articles(spark, d).filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("headline").alias("text"))
-    return _topk_near(spark, d, k).select("query_id", F.col("vec_id").alias("doc_id"), "rank"), J.bm25(q, _corpus(spark, d), k).select("query_id", "doc_id", "rank")
+    return _topk_near(spark, d, k).select("query_id", F.col("vec_id").alias("doc_id"), "rank"), R.search_postings(q, R.build_postings(_corpus(spark, d)), k).select("query_id", "doc_id", "rank")
 
 
 @query(f"{_ARMS} SELECT query_id, doc_id, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best, doc_id) AS rank FROM (SELECT query_id, doc_id, min(rank) AS best FROM arms GROUP BY 1, 2)) WHERE rank <= 30")

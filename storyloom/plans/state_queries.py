@@ -9,6 +9,7 @@ from ..operators import articles as A
 from ..operators import clusters as C
 from ..operators import joins as J
 from ..sources import io as S
+from ..sources import tables
 from ..streaming import streams as K
 from . import views as V
 from .join_queries import _J15, _LINKS, _WEEK, CENT, COS, _links, _vector_stories
@@ -50,6 +51,29 @@ def s3_upsert(spark, d):
     return S.upsert_articles(*_upserts(spark, d)).select("doc_id", "headline", F.col("fetched_at").cast("long").alias("fetched"))
 
 
+def _table(spark, d):
+    """The articles as a table parted by day, after upserts of a third of its days' rows, twice the same."""
+    a, late = _upserts(spark, d)
+    path, day = _tmp(spark, "articles"), F.to_date("published_at").alias("published_date")
+    days = V.articles(spark, d).select("doc_id", X.article_id(F.col("source"), F.col("url"), F.col("published_at")).alias("id"), day)
+    tables.upsert_table(path, a.join(days, "doc_id"), "doc_id")
+    for _ in range(2):
+        tables.upsert_table(path, late.join(days, "doc_id"), "doc_id")
+    return path, days
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN upper(headline) ELSE headline END AS headline, cast(epoch(fetched_at) AS bigint) AS fetched, cast(published_at AS date) AS published_date FROM articles")
+def s3_upsert_table(spark, d):
+    return spark.read.parquet(_table(spark, d)[0]).select("doc_id", "headline", F.col("fetched_at").cast("long").alias("fetched"), "published_date")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND cast(published_at AS date) = DATE '2024-01-01' THEN 'merged' WHEN doc_id % 4 = 0 THEN upper(headline) ELSE headline END AS headline FROM articles")
+def s4_patch_table(spark, d):
+    path, days = _table(spark, d)
+    tables.patch_table(path, days.filter("doc_id % 4 = 0 and published_date = date '2024-01-01'").select("doc_id", "published_date", F.lit("merged").alias("headline")), "doc_id")
+    return spark.read.parquet(path).select("doc_id", "headline")
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'merged' ELSE headline END AS headline, CASE WHEN doc_id % 8 = 0 THEN 'world' ELSE category END AS category FROM articles")
 def s4_merge_fields(spark, d):
     a = V.articles(spark, d).select("doc_id", "headline", "category")
@@ -65,9 +89,9 @@ def s5_feed_state(spark, d):
 
 @query("SELECT doc_id FROM articles WHERE doc_id % 13 = 0")
 def s6_articles_by_id(spark, d):
-    a = V.articles(spark, d)
-    a = a.select("doc_id", X.article_id(F.col("source"), F.col("url"), F.col("published_at")).alias("id"), F.to_date("published_at").alias("published_date"))
-    return S.articles_by_id(a, a.filter("doc_id % 13 = 0").select("id")).select("doc_id")
+    """Of the table parted by day: the day that an id holds prunes its partitions."""
+    path, days = _table(spark, d)
+    return S.articles_by_id(spark.read.parquet(path), days.filter("doc_id % 13 = 0").select("id")).select("doc_id")
 
 
 @query("SELECT doc_id, category FROM articles")
@@ -148,6 +172,29 @@ def _land(a, path, slices=4, files=2, at="published_at"):
         part.repartition(files).write.mode("append").parquet(path)
 
 
+_K1 = f"""{CENT}, mt AS (SELECT vec_id AS doc_id, story_id FROM (SELECT vec_id, story_id, row_number() OVER (PARTITION BY vec_id ORDER BY round({COS.format('embedding', 'centroid')}, 6) DESC, story_id) AS r, round({COS.format('embedding', 'centroid')}, 6) AS s FROM embeddings, cent) WHERE r = 1 AND s >= 0.3)"""
+
+
+def _matches(spark, d):
+    a, v = V.articles(spark, d), V.vectors(spark, d)
+    return J.match_stories(a.join(v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id"), _vector_stories(spark, d), 0.3, 0.3)
+
+
+@query(f"{_K1} SELECT doc_id, processed OR (epoch({T}) - epoch(published_at)) // 86400 <= 7 AS processed, CASE WHEN NOT processed AND (epoch({T}) - epoch(published_at)) // 86400 <= 7 THEN coalesce(mt.story_id, -doc_id - 1) END AS story_id FROM articles a LEFT JOIN mt USING (doc_id)".replace("a LEFT", "AS a LEFT").replace("mt.story_id", "mt.story_id::bigint"))
+def k2_mark_processed(spark, d):
+    """Every article that a run looked at is marked, with the story that took it or that it started; a second run finds none."""
+    a = V.articles(spark, d)
+    looked = C.fresh_articles(a, V.asof()).select("doc_id").join(_matches(spark, d).select("doc_id", F.col("story_id").cast("long").alias("match")), "doc_id", "left")
+    rows = a.select("doc_id", "processed", F.lit(None).cast("long").alias("story_id"))
+    return C.mark_processed(rows, looked.select("doc_id", F.coalesce("match", -F.col("doc_id") - 1).alias("story_id")))
+
+
+@query(f"{_K1} SELECT -doc_id - 1 AS story_id, headline AS title, category, 'NEW' AS status, 1 AS verification_level, 1 AS source_count, published_at AS first_seen, CASE WHEN tier = 1 THEN 70 ELSE 50 END AS importance, 40 AS confidence, tier = 1 AS breaking FROM articles WHERE NOT processed AND (epoch({T}) - epoch(published_at)) // 86400 <= 7 AND doc_id NOT IN (SELECT doc_id FROM mt)")
+def p29_new_stories(spark, d):
+    """The stories that unmatched articles start."""
+    return C.new_stories(C.fresh_articles(V.articles(spark, d), V.asof()).join(_matches(spark, d).select("doc_id"), "doc_id", "left_anti"))
+
+
 @query("""SELECT story_id, count(DISTINCT source)::int AS source_count, CASE WHEN count(DISTINCT source) >= 5 THEN 'TOP_STORY' WHEN count(DISTINCT source) >= 3 THEN 'VERIFIED' WHEN count(DISTINCT source) = 2 THEN 'DEVELOPING' ELSE 'NEW' END AS status, min(tier) = 1 OR count(DISTINCT source) >= 3 AS breaking FROM articles GROUP BY 1""")
 def k2_refresh_stories(spark, d):
     return C.refresh_stories(V.members(spark, d), V.vectors(spark, d)).select("story_id", "source_count", "status", "breaking")
