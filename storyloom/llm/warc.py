@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, checkpoint_dir, durable, slices
+from .files import read_files, write_files
 
+SUFFIX = ".warc.zst"
 SKIPPABLE = 0x184D2A5D
 FRAME = 0xFD2FB528
 VERSION = b"WARC/1.1"
@@ -224,32 +226,21 @@ def read_archives(files: DataFrame) -> DataFrame:
 def save(archives: DataFrame, folder: str) -> None:
     """Write archives (path, content) as files under folder, a place that all tasks and the driver reach by one address.
 
-    Names come from the task's number and its count of files, so a task that runs again replaces its own files.
+    Names hold the task's attempt, and the manifest says which attempts count: a task that runs again, with its rows in another order or in
+    fewer files, leaves nothing that is read twice. The folder is the caller's; nothing here removes it.
     """
 
-    def run(batches):
-        from pyarrow import fs
-        from pyspark import TaskContext
-
-        store, base = fs.FileSystem.from_uri(folder)
-        number, k = TaskContext.get().partitionId(), 0
+    def contents(batches):
         for batch in batches:
-            for content in batch.column(batch.schema.get_field_index("content")):
-                with store.open_output_stream(f"{base}/part-{number:06d}-{k:06d}.warc.zst", compression=None) as f:  # it is compressed as it is
-                    f.write(content.as_py())
-                k += 1
-        yield pa.RecordBatch.from_pydict({"files": pa.array([k], pa.int64())})
-
-    from pyarrow import fs
+            for content in batch.column(0):
+                yield content.as_py(), 1
 
-    store, base = fs.FileSystem.from_uri(folder)
-    store.create_dir(base, recursive=True)  # there without any archive, too
-    archives.mapInArrow(run, "files long").agg(F.sum("files")).collect()
+    write_files(archives.select("content"), folder, SUFFIX, contents)
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content) of the archives under folder, by Spark's own source of binary files; no row where there are none."""
-    return spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
+    """(path, content) of the archives that save put under folder; no row where there are none. Others come by Spark's binaryFile source."""
+    return read_files(spark, folder, SUFFIX).select("path", "content")
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
