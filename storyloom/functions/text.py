@@ -113,15 +113,19 @@ def keyword_score(text: Column, keywords, category: str) -> Column:
 
 def categorize(title: Column, description: Column, url: Column, keywords=vocab.KEYWORDS) -> Column:
     """Lifestyle titles, then URL sections, then the best keyword score (first declared of equals), then the default."""
-    text = F.lower(F.concat_ws(" ", title, description))
     low = F.lower(url)
     names = list(dict.fromkeys(c for c, _, _ in keywords))
-    ranked = [F.struct(keyword_score(text, keywords, c).alias("s"), F.lit(-i).alias("o"), F.lit(c).alias("c")) for i, c in enumerate(names)]
-    best = F.greatest(*ranked)
+
+    def best(text: Column) -> Column:
+        ranked = [F.struct(keyword_score(text, keywords, c).alias("s"), F.lit(-i).alias("o"), F.lit(c).alias("c")) for i, c in enumerate(names)]
+        return F.greatest(*ranked)
+
     out = F.when(lifestyle(title), "lifestyle")
     for name, marks in vocab.SECTIONS:
         out = out.when(low.rlike(any_of(marks)), name)
-    return out.otherwise(F.when(best["s"] > 0, best["c"]).otherwise(vocab.DEFAULT_CATEGORY))
+    # The text is lowered once and scored once a row.
+    scored = let(let(F.lower(F.concat_ws(" ", title, description)), best), lambda b: F.when(b["s"] > 0, b["c"]).otherwise(vocab.DEFAULT_CATEGORY))
+    return out.otherwise(scored)
 
 
 def categorize_light(title: Column, description: Column, url: Column, feed_category: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import vocab
@@ -88,10 +89,11 @@ def feed_columns(stories: DataFrame) -> DataFrame:
     return stories.select(*[c for c in wanted if c in stories.columns])
 
 
-def client_view(detail: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+def client_view(detail: DataFrame, urls: DataFrame | None = None, unavailable: str | None = None) -> DataFrame:
     """Stories as a client shows them. level is 0 to 10; trending is .9 for breaking news, else a tenth of the importance.
 
-    urls (story_id, url), where given, adds the address of the story's first source.
+    urls (story_id, url, place), where given, adds the first valid address of the story's sources, in order of place: one with a scheme and without
+    white space. Where there is none, it is `unavailable`.
     """
     words = F.size(X.words(F.coalesce("summary", F.lit(""))))
     level = F.least(F.col("source_count"), F.lit(10))
@@ -99,7 +101,10 @@ def client_view(detail: DataFrame, urls: DataFrame | None = None) -> DataFrame:
         "story_id", "title", X.normalize_category(F.col("category")).alias("category"), F.greatest(F.lit(1), F.floor(words / 200)).cast("int").alias("minutes"), "status",
         F.round(level / 10, 6).alias("credibility"), F.round(F.when(F.col("breaking"), 0.9).otherwise(F.col("importance") / 10), 6).alias("trending"),
     )
-    return out if urls is None else out.join(urls.select("story_id", "url"), "story_id", "left")
+    if urls is None:
+        return out
+    first = urls.filter(F.col("url").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$")).groupBy("story_id").agg(F.min_by("url", "place").alias("url"))
+    return out.join(first, "story_id", "left").withColumn("url", F.coalesce("url", F.lit(unavailable)))
 
 
 def display_columns(stories: DataFrame, asof: Column) -> DataFrame:
@@ -177,14 +182,24 @@ def needs_enrichment(articles: DataFrame, asof: Column, vectors: DataFrame, link
 
 
 def validate_stories(detail: DataFrame) -> DataFrame:
-    """(story_id, issues) of stories with an issue. detail: story_id, title, category, last_updated, sources (null: none listed)."""
+    """(story_id, issues) of stories with an issue. detail: story_id, title, category, last_updated, sources (null: none listed).
+
+    Where sources are structs, each must be there and have a source and a title; where last_updated is text, it must be an ISO date or time.
+    """
     issue = lambda c, name: F.when(c, F.lit(name))
     title, n = F.coalesce("title", F.lit("")), F.coalesce(F.size("sources"), F.lit(0))
-    issues = F.array(
+    issues = [
         issue(F.col("title").isNull(), "no title"), issue(F.col("category").isNull(), "no category"), issue(F.col("last_updated").isNull(), "no time"), issue(F.length(F.trim(title)) < 10, "short title"), issue(F.length(title) > 200, "long title"),
         issue(n <= 0, "no sources"), issue(n > 20, "many sources"), issue(~F.col("category").isin(*vocab.CATEGORIES, "tech", "us", "europe", "australia", "general"), "unknown category"),
-    )
-    return detail.select("story_id", F.filter(issues, lambda x: x.isNotNull()).alias("issues")).filter(F.size("issues") > 0)
+    ]
+    if isinstance(detail.schema["last_updated"].dataType, T.StringType):
+        iso = F.col("last_updated").rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$") & F.try_to_timestamp("last_updated").isNotNull()
+        issues.append(issue(F.col("last_updated").isNotNull() & ~iso, "bad time"))
+    found = F.array(*issues)
+    if isinstance(detail.schema["sources"].dataType.elementType, T.StructType):
+        each = lambda x, i: F.when(x.isNull(), F.concat(F.lit("source "), i.cast("string"), F.lit(" is nothing"))).when(x["source"].isNull() | x["title"].isNull(), F.concat(F.lit("source "), i.cast("string"), F.lit(" lacks a field")))
+        found = F.concat(found, F.coalesce(F.transform("sources", each), F.array().cast("array<string>")))
+    return detail.select("story_id", F.filter(found, lambda x: x.isNotNull()).alias("issues")).filter(F.size("issues") > 0)
 
 
 def ready_feeds(feeds: DataFrame, state: DataFrame, asof: Column, seconds: int) -> DataFrame:

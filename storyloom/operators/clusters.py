@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import similarity as Z
+from ..sources.io import durable
 from .articles import with_status
 from .joins import centroids
 
@@ -129,95 +130,88 @@ def split_clusters(members: DataFrame, least: int = 10, days: float = 3.0) -> Da
     return cut.unionByName(members.join(due.select("story_id"), "story_id", "left_anti").select("story_id", "doc_id", F.lit(0).alias("part")))
 
 
-def split_by_vectors(members: DataFrame, least: int = 10, seed: int = 7, whole: int = 1000) -> DataFrame:
-    """(story_id, doc_id, part): k-means over each large story's member vectors, k = min(3, n / 4); parts of one member are dropped.
+#: Rows of a story that are worked on in one task, and rounds of k-means.
+STORY_ROWS, ROUNDS = 10_000, 25
+
+
+def _per_dimension(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """(keys, name, n): the mean of value, an array, by keys, to nine digits, so that it doesn't hang on the order of sums, which are made where the rows lie."""
+    by = rows.select(*keys, F.posexplode(value).alias("i", "x")).groupBy(*keys, "i").agg(F.round(F.avg("x"), 9).alias("m"), F.count("*").alias("n"))
+    return by.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias(name), F.max("n").alias("n"))
+
 
-    members: story_id, doc_id, embedding. Stories below `whole` members are small independent fits, each in one task; larger
-    ones are fitted together, row by row where the rows lie. Those start from the k members of the least hash.
+def _placed(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """rows (story_id, salt, doc_id, v) with the nearest centre's part, and its distance d and that of the next one e (squares)."""
+    far = F.transform("centres", lambda c: F.struct(F.aggregate(F.zip_with("v", c["c"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("d"), c["part"].alias("part")))
+    near = rows.join(centres, ["story_id", "salt"]).withColumn("o", F.array_sort(far))
+    return near.select("story_id", "salt", "doc_id", "v", F.col("o")[0]["part"].alias("part"), F.col("o")[0]["d"].alias("d"), F.get("o", F.lit(1))["d"].alias("e"))
+
+
+def _k_means(rows: DataFrame, k: Column, salts: DataFrame, seed: int) -> DataFrame:
+    """_placed after k-means in every story at once, from the k members of the least seeded hashes; rows: story_id, salt, doc_id, v, n.
+
+    Centres are a table: a row a story, sent to each of its salts by a join. A round's result is written, and rounds end when no part's mean moves.
     """
-    import numpy as np
-    import pandas as pd
-
-    sized = members.join(members.groupBy("story_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least), "story_id").select("story_id", "doc_id", "embedding", "n")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        x = np.stack(pdf["embedding"].to_list())
-        k = min(3, len(x) // 4)
-        centres = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
-        for _ in range(25):
-            part = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-            centres = np.stack([x[part == i].mean(axis=0) if (part == i).any() else centres[i] for i in range(k)])
-        size = np.bincount(part, minlength=k)
-        keep = size[part] >= 2
-        return pd.DataFrame({"story_id": pdf["story_id"][keep], "doc_id": pdf["doc_id"][keep], "part": part[keep].astype("int32")})
-
-    small = sized.filter(F.col("n") < whole).drop("n").groupBy("story_id").applyInPandas(fit, "story_id long, doc_id long, part int")
-    return small.unionByName(_split_large(sized.filter(F.col("n") >= whole).select("story_id", "doc_id", "embedding"), seed))
-
-
-def _split_large(rows: DataFrame, seed: int, rounds: int = 25) -> DataFrame:
-    """k-means, k = 3, of all stories of rows at once. The driver holds three centres a story; a task sends sums by story and part."""
-    import numpy as np
-    import pandas as pd
-
-    sc = rows.sparkSession.sparkContext
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).repartition("doc_id").persist()
-    start: dict[int, list] = {}
-    left = rows
-    for _ in range(3):  # the least, then the least above it
-        least = left.groupBy("story_id").agg(F.min(F.struct("h", "doc_id", "embedding")).alias("m")).select("story_id", "m.*").collect()
-        if not least:
-            break
-        for r in least:
-            start.setdefault(r["story_id"], []).append((r["h"], r["doc_id"], r["embedding"]))
-        found = rows.sparkSession.createDataFrame([(s, x[-1][0], x[-1][1]) for s, x in start.items()], "story_id long, top long, last long")
-        left = rows.join(F.broadcast(found), "story_id").filter("h > top or (h = top and doc_id > last)").drop("top", "last")
-    centres = {s: np.array([e for *_, e in x], dtype="float64") for s, x in start.items()}
-    if not centres:
-        return rows.select(F.col("story_id").cast("long"), F.col("doc_id").cast("long"), F.lit(0).alias("part"))
-
-    def parts(pdf: pd.DataFrame, at: dict):
-        for story, g in pdf.groupby("story_id"):
-            x = np.stack(g["embedding"].to_list()).astype("float64")
-            c = at[story]
-            yield story, g, x, np.stack([((x - y) ** 2).sum(axis=1) for y in c], axis=1).argmin(axis=1)
-
-    def sums(shared):
-        def run(frames):
-            total: dict = {}
-            for pdf in frames:
-                for story, _, x, part in parts(pdf, shared.value):
-                    for i in np.unique(part).tolist():
-                        n, t = total.get((story, i), (0, 0.0))
-                        total[story, i] = n + int((part == i).sum()), t + x[part == i].sum(axis=0)
-            if total:
-                yield pd.DataFrame([(s, i, n, t.tolist()) for (s, i), (n, t) in total.items()], columns=["story_id", "part", "n", "t"])
-
-        return run
-
-    size: dict = {}
-    for _ in range(rounds):
-        shared = sc.broadcast(centres)
-        local = rows.select("story_id", "embedding").mapInPandas(sums(shared), "story_id long, part int, n long, t array<double>")
-        by = local.select("story_id", "part", F.posexplode_outer("t").alias("i", "x"), "n").groupBy("story_id", "part", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-        got = by.groupBy("story_id", "part").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("t")).collect()
-        used, centres = centres, {s: c.copy() for s, c in centres.items()}
-        size = {(r["story_id"], r["part"]): r["n"] for r in got}
-        for r in got:
-            centres[r["story_id"]][r["part"]] = np.array(r["t"]) / r["n"]
-        if all(np.array_equal(used[s], c) for s, c in centres.items()):
+    h = F.struct(F.xxhash64(F.lit(seed), "doc_id").alias("h"), "doc_id", "v")
+    w = Window.partitionBy("story_id").orderBy("h.h", "h.doc_id")
+    least = rows.select("story_id", "salt", h.alias("h"), k.alias("k")).withColumn("r", F.row_number().over(Window.partitionBy("story_id", "salt").orderBy("h.h", "h.doc_id"))).filter(F.col("r") <= F.col("k"))
+    means = least.select("story_id", "k", "h", F.row_number().over(w).alias("r")).filter(F.col("r") <= F.col("k")).select("story_id", (F.col("r") - 1).cast("int").alias("part"), F.col("h.v").alias("c"))
+    means = durable(means)
+    for _ in range(ROUNDS):
+        one = means.groupBy("story_id").agg(F.sort_array(F.collect_list(F.struct("part", "c"))).alias("centres")).join(salts, "story_id")
+        placed = _placed(rows, one)
+        new = _per_dimension(placed, ["story_id", "part"], F.col("v"), "c").select("story_id", "part", "c")
+        new = durable(new.unionByName(means.join(new.select("story_id", "part"), ["story_id", "part"], "left_anti")))  # an empty part keeps its centre
+        still = new.join(means.withColumnRenamed("c", "was"), ["story_id", "part"]).filter("c <> was").isEmpty()
+        means = new
+        if still:
             break
-    shared = sc.broadcast((used, size))
+    one = means.groupBy("story_id").agg(F.sort_array(F.collect_list(F.struct("part", "c"))).alias("centres")).join(salts, "story_id")
+    return durable(_placed(rows, one))
 
-    def assign(frames):
-        used, size = shared.value
-        for pdf in frames:
-            for story, g, _, part in parts(pdf, used):
-                keep = np.array([size.get((story, i), 0) >= 2 for i in part.tolist()])
-                yield pd.DataFrame({"story_id": g["story_id"][keep], "doc_id": g["doc_id"][keep], "part": part[keep].astype("int32")})
 
-    return rows.select("story_id", "doc_id", "embedding").mapInPandas(assign, "story_id long, doc_id long, part int")
+def _member_vectors(members: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, salts) of the stories with `least` member vectors or more: story_id, salt, doc_id, v, n; and each story's salts."""
+    some = members.filter(F.col("embedding").isNotNull())
+    size = durable(some.groupBy("story_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least))
+    parts = F.floor(F.col("n") / STORY_ROWS) + 1
+    rows = some.select("story_id", "doc_id", F.col("embedding").cast("array<double>").alias("v")).join(size, "story_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), parts))
+    return durable(rows), size.select("story_id", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt"))
+
+
+def separation(members: DataFrame, least: int = 10, seed: int = 7) -> DataFrame:
+    """(story_id, silhouette, n): how well two parts by k-means part each story's member vectors (story_id, doc_id, embedding).
+
+    The simplified silhouette: the mean of (b - a) / max(a, b), a being a member's distance to its own part's mean and b that to the other
+    mean. It takes one pass over the members, not one over their pairs. 0 for a story with one part, or whose vectors are all equal.
+    """
+    rows, salts = _member_vectors(members, least)
+    d = _k_means(rows, F.lit(2), salts, seed).withColumns({"a": F.sqrt("d"), "b": F.sqrt("e")})
+    s = F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
+    by = d.groupBy("story_id").agg(F.avg(s).alias("s"), F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n"))
+    return by.select("story_id", F.when(F.col("x") != F.col("y"), F.round("s", 6)).otherwise(0.0).alias("silhouette"), "n")
+
+
+def split_due(members: DataFrame, least: int = 10, days: float = 3.0, clear: float = 0.6, seed: int = 7) -> DataFrame:
+    """(story_id) of the stories to split: `least` members or more, over `days` or more, with a silhouette above `clear`.
+
+    members: story_id, doc_id, published_at, embedding. The silhouette needs `least` vectors.
+    """
+    span = F.max("published_at").cast("double") - F.min("published_at").cast("double")
+    old = members.groupBy("story_id").agg(F.count("*").alias("n"), span.alias("span")).filter((F.col("n") >= least) & (F.col("span") >= days * 86400))
+    return separation(members.join(old.select("story_id"), "story_id", "left_semi"), least, seed).filter(F.col("silhouette") > clear).select("story_id")
+
+
+def split_by_vectors(members: DataFrame, least: int = 10, seed: int = 7) -> DataFrame:
+    """(story_id, doc_id, part): k-means over each large story's member vectors, k = min(3, n / 4); parts of one member are dropped.
+
+    members: story_id, doc_id, embedding. All stories are fitted together by one rule, from the k members of the least seeded hashes; a
+    large story's rows are worked on in parts, and nothing of a story comes to the driver.
+    """
+    rows, salts = _member_vectors(members, least)
+    placed = _k_means(rows, F.least(F.lit(3), F.floor(F.col("n") / 4)), salts, seed)
+    size = placed.groupBy("story_id", "part").agg(F.count("*").alias("m")).filter("m >= 2")
+    return placed.join(size, ["story_id", "part"]).select("story_id", "doc_id", "part")
 
 
 def decay(stories: DataFrame, asof: Column) -> DataFrame:
@@ -266,14 +260,17 @@ def eligibility(stories: DataFrame, asof: Column) -> DataFrame:
     return stories.select("story_id", (age > 3600).alias("demote"), (age > 7 * 86400).alias("archive"))
 
 
-def ingest_batch_results(results: DataFrame, stories: DataFrame, fallback: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def ingest_batch_results(results: DataFrame, stories: DataFrame, fallback: DataFrame | None = None, batches: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(counts by batch, summaries by story) of results (batch_id, story_id, type, text).
 
     A succeeded answer becomes its story's summary; for a refusal the fallback (story_id, summary) of the story stands in,
-    and without one the story stays as it is. Errors and expired requests leave it, too. words counts the summary's.
+    and without one the story stays as it is. Errors and expired requests leave it, too. words counts the summary's. With batches
+    (batch_id, processing, error) only the results of those that ended without an error are looked at.
     """
     from ..functions.text import refusal, words
 
+    if batches is not None:
+        results = results.join(batches.filter((F.col("processing") == "ended") & F.col("error").isNull()).select("batch_id"), "batch_id", "left_semi")
     n = lambda t: F.count_if(F.col("type") == t).alias(t)
     counts = results.groupBy("batch_id").agg(F.count("*").alias("requests"), n("succeeded"), n("errored"), n("expired"), F.lit("completed").alias("status"))
     good = stories.select("story_id").join(results.filter("type = 'succeeded'").select("batch_id", "story_id", F.trim("text").alias("text")), "story_id")
@@ -283,3 +280,33 @@ def ingest_batch_results(results: DataFrame, stories: DataFrame, fallback: DataF
     else:
         good = good.filter(~refused)
     return counts, good.filter("text is not null").select("batch_id", "story_id", F.col("text").alias("summary"), F.size(words(F.col("text"))).alias("words"))
+
+
+def update_tracking(tracking: DataFrame, batches: DataFrame, results: DataFrame, asof: Column) -> DataFrame:
+    """tracking (batch_id, status, story_categories, story_counts; maps by story) with what became of its pending batches.
+
+    batches: batch_id, processing, error; results: batch_id, story_id, type. A batch whose retrieval failed is failed, with the error; one that
+    ended is completed, at asof, with its succeeded requests and its errored ones, expired and unknown ones among these; one that is still
+    running, or of which nothing is known, stays as it is. Batches that aren't pending (submitted, in_progress) are left alone.
+    """
+    done = results.groupBy("batch_id").agg(F.count_if(F.col("type") == "succeeded").alias("__ok"), F.count_if(~F.col("type").eqNullSafe("succeeded")).alias("__bad"))
+    j = tracking.join(batches.select("batch_id", "processing", F.col("error").alias("__error")), "batch_id", "left").join(done, "batch_id", "left")
+    pending = F.col("status").isin("submitted", "in_progress")
+    failed, ended = pending & F.col("__error").isNotNull(), pending & F.col("__error").isNull() & F.coalesce(F.col("processing") == "ended", F.lit(False))
+    status = F.when(failed, "failed").when(ended, "completed").otherwise(F.col("status"))
+    count = lambda c: F.when(ended, F.coalesce(F.col(c), F.lit(0)))
+    return j.select(*tracking.drop("status").columns, status.alias("status"), F.when(ended, asof).alias("ended_at"), count("__ok").alias("succeeded_count"), count("__bad").alias("errored_count"), F.when(failed, F.col("__error")).alias("error"))
+
+
+def batch_summaries(summaries: DataFrame, tracking: DataFrame, usage: DataFrame, prices: tuple[float, float, float] = (0.5, 0.05, 2.5)) -> DataFrame:
+    """summaries (batch_id, story_id, summary, words) with version, category and source_count as tracked (general and 1 where they aren't), and cost_usd.
+
+    usage: batch_id, story_id, input, cached, output (tokens); prices in dollars a million: of input that isn't cached, of cached, of output.
+    """
+    j = summaries.join(tracking.select("batch_id", "story_categories", "story_counts"), "batch_id", "left").join(usage, ["batch_id", "story_id"], "left")
+    key = F.col("story_id")
+    cost = (F.col("input") - F.col("cached")) * prices[0] + F.col("cached") * prices[1] + F.col("output") * prices[2]
+    return j.select(
+        "batch_id", "story_id", "summary", "words", F.lit(1).alias("version"), F.coalesce(F.try_element_at("story_categories", key), F.lit("general")).alias("category"),
+        F.coalesce(F.try_element_at("story_counts", key), F.lit(1)).alias("source_count"), F.round(cost / 1_000_000, 6).alias("cost_usd"),
+    )

@@ -366,11 +366,18 @@ def hybrid_candidates(vector: DataFrame, keyword: DataFrame, n: int) -> DataFram
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("best", "doc_id"))).filter(F.col("rank") <= n)
 
 
-def similar_articles(candidates: DataFrame, vectors: DataFrame, least: float = 0.7, n: int = 10) -> DataFrame:
-    """(query_id, doc_id, score): candidates scored by cosine, from least on, the n best."""
-    v = vectors.select(F.col("vec_id").alias("doc_id"), "embedding")
-    j = candidates.join(v, "doc_id").join(v.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").filter("doc_id <> query_id")
-    s = j.select("query_id", "doc_id", F.round(Z.cosine(F.col("q"), F.col("embedding")), 6).alias("score")).filter(F.col("score") >= least)
+def similar_articles(candidates: DataFrame, vectors: DataFrame, least: float = 0.7, n: int = 10, scored: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): candidates from a score of `least` on, the n best.
+
+    The score is that of scored (query_id, doc_id, score), where it is given, as from a stored scorer; else the cosine.
+    """
+    if scored is None:
+        v = vectors.select(F.col("vec_id").alias("doc_id"), "embedding")
+        j = candidates.join(v, "doc_id").join(v.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+        scored = j.select("query_id", "doc_id", F.round(Z.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    else:
+        scored = candidates.select("query_id", "doc_id").join(scored, ["query_id", "doc_id"])
+    s = scored.filter((F.col("doc_id") != F.col("query_id")) & (F.col("score") >= least))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("rank") <= n)
 
 
@@ -478,6 +485,24 @@ def score_pairs(model, features: DataFrame) -> DataFrame:
     return model.transform(features).select("a", "b", "label", vector_to_array("probability")[1].alias("score"))
 
 
+def save_scorer(model, path: str) -> None:
+    """A model of train_scorer, written to a folder that all executors reach; what was there goes."""
+    model.write().overwrite().save(path)
+
+
+def load_scorer(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def score_candidates(model, candidates: DataFrame, articles: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of candidates (query_id, doc_id) by a model of train_scorer; articles and vectors as pair_features takes them."""
+    pairs = candidates.filter("query_id <> doc_id").select(F.col("query_id").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("label")).distinct()
+    scored = score_pairs(model, pair_features(pairs, articles, vectors))
+    return scored.select(F.col("a").alias("query_id"), F.col("b").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 def importances(model, spark) -> DataFrame:
     """(feature, importance) of a model of train_scorer."""
     return spark.createDataFrame(list(zip(FEATURES, [float(x) for x in model.stages[-1].featureImportances.toArray()], strict=True)), "feature string, importance double")

@@ -1,5 +1,7 @@
 """Registered queries of joins, retrieval and scoring."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -8,6 +10,7 @@ from ..functions import text as X
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import retrieval as R
+from ..sources.io import durable, shared_folder
 from . import views as V
 from .text_queries import BARE, ENTITIES, JAC, SIM, WORDS
 from .views_sql import T, query
@@ -276,12 +279,16 @@ def _pairs(spark, d):
     return J.pair_dataset(J.positive_pairs(V.members(spark, d), 300), J.hard_negatives(V.with_entities(V.articles(spark, d)), 300), J.easy_negatives(V.articles(spark, d), 20, 200))
 
 
-def _features(spark, d):
+def _described(spark, d):
+    """Articles with what pair_features needs of them."""
     a = V.with_entities(V.articles(spark, d))
     a = a.withColumn("signature", X.event_signature(F.col("headline"), F.col("description"), F.col("entities")))
     qids = _links(spark, d).groupBy("doc_id").agg(F.collect_set("qid").alias("qids"))
-    a = a.join(qids, "doc_id", "left").withColumn("qids", F.coalesce("qids", F.array().cast("array<int>")))
-    return J.pair_features(_pairs(spark, d), a, V.vectors(spark, d))
+    return a.join(qids, "doc_id", "left").withColumn("qids", F.coalesce("qids", F.array().cast("array<int>")))
+
+
+def _features(spark, d):
+    return J.pair_features(_pairs(spark, d), _described(spark, d), V.vectors(spark, d))
 
 
 @query()
@@ -297,10 +304,30 @@ def e8_rule_score(spark, d):
 @query()
 def e9_learned_scorer(spark, d):
     """The held-back pairs' figures of a model of 100 trees of depth 6."""
-    model, rest = J.train_scorer(_features(spark, d).coalesce(2).cache())
+    model, rest = J.train_scorer(durable(_features(spark, d).coalesce(2)))
     return M.pair_metrics(J.score_pairs(model, rest), 0.5)
 
 
+def _forest(spark, d):
+    return J.train_scorer(durable(_features(spark, d).coalesce(2)), trees=20, depth=5, forest=True)
+
+
+@query()
+def e9_importances(spark, d):
+    """How much each feature weighs in a forest, the form for labels that boosting can't take."""
+    return J.importances(_forest(spark, d)[0], spark)
+
+
+@query()
+def e9_stored_scorer(spark, d):
+    """A forest, saved, loaded and applied to the candidates of the articles whose number is divisible by 50: their ten most similar articles."""
+    path = f"{shared_folder(spark)}/scorer-{uuid.uuid4()}"
+    J.save_scorer(_forest(spark, d)[0], path)
+    c = durable(J.hybrid_candidates(*_arms(spark, d), 30).select("query_id", "doc_id"))
+    scored = J.score_candidates(J.load_scorer(path), c, _described(spark, d), V.vectors(spark, d))
+    return J.similar_articles(c, V.vectors(spark, d), 0.0, 10, scored)
+
+
 _FACTORS = f"""{ENTITIES}, fa AS (SELECT a.doc_id, a.story_id, a.headline, a.published_at, a.category, coalesce(names, []) AS names, place FROM articles a LEFT JOIN (SELECT doc_id, list(DISTINCT lower(w)) AS names, lower(arg_min(w, r) FILTER (type = 'LOCATION')) AS place FROM ents GROUP BY 1) n ON n.doc_id = a.doc_id),
  fn AS (SELECT story_id, list(DISTINCT lower(w)) AS names FROM ents JOIN articles USING (doc_id) GROUP BY 1), fp AS (SELECT story_id, arg_min_null(place, doc_id) AS place FROM fa GROUP BY 1),
  sd AS (SELECT a.story_id, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS i FROM embeddings JOIN articles a ON a.doc_id = vec_id), sm0 AS (SELECT story_id, i, avg(x) AS m FROM sd GROUP BY 1, 2), sr AS (SELECT story_id, list(m ORDER BY i) AS c, sqrt(sum(m * m)) AS n FROM sm0 GROUP BY 1), sct AS (SELECT story_id, list_transform(c, lambda x: x / n) AS centroid FROM sr),

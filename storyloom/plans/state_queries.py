@@ -9,7 +9,7 @@ from ..operators import articles as A
 from ..operators import clusters as C
 from ..operators import joins as J
 from ..sources import io as S
-from ..sources import tables
+from ..sources import rows, tables
 from ..streaming import streams as K
 from . import views as V
 from .join_queries import _J15, _LINKS, _WEEK, CENT, COS, _links, _vector_stories
@@ -104,6 +104,16 @@ def s7_article_changes(spark, d):
     return spark.read.parquet(out).select("doc_id", "category")
 
 
+@query("SELECT doc_id, category FROM articles")
+def s7_article_rows(spark, d):
+    """The same by a source that counts rows, not files: 500 a trigger here."""
+    path, out = _tmp(spark, "changes"), _tmp(spark, "seen")
+    V.articles(spark, d).select("doc_id", "category").repartition(3).write.parquet(path)
+    changes = rows.row_changes(spark, path, spark.read.parquet(path).schema, 500)
+    rows.drain_rows(changes, _tmp(spark, "state"), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    return spark.read.schema("doc_id long, category string").parquet(out).select("doc_id", "category")
+
+
 @query("SELECT least(300, count(*))::bigint AS positive, 200::bigint AS negative FROM articles a JOIN articles b ON a.story_id = b.story_id AND a.doc_id < b.doc_id")
 def s8_pairs(spark, d):
     pairs = J.positive_pairs(V.members(spark, d), 300).unionByName(J.easy_negatives(V.articles(spark, d), 20, 200))
@@ -257,6 +267,36 @@ def k7_ingest_windows(spark, d):
     return K.ingest_windows(V.articles(spark, d))
 
 
+def _streamed_windows(spark, d, width):
+    path, out = _tmp(spark, "in"), _tmp(spark, "out")
+    a = V.articles(spark, d).select("doc_id", "source", "fetched_at")
+    _land(a, path, at="fetched_at")
+    stream = K.ingest_windows(S.article_changes(spark, path, a.schema, files=2), width, "2 minutes", sources=True)
+    K.drain(stream, _tmp(spark, "state"), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    return spark.read.schema("start long, n long, sources int").parquet(out).select("start", "n", "sources")
+
+
+_CLOSED = "SELECT cast(epoch(w) AS bigint) AS start, count(*) AS n, count(DISTINCT source)::int AS sources FROM (SELECT *, time_bucket(INTERVAL {0} MINUTE, fetched_at, TIMESTAMP '1970-01-01') AS w, max(fetched_at) OVER () AS newest FROM articles) WHERE w + INTERVAL {0} MINUTE <= newest - INTERVAL 2 MINUTE GROUP BY w"
+
+
+@query(_CLOSED.format(1))
+def k7_ingest_stream_1(spark, d):
+    """Windows of a minute as a stream gives them: each once, when the watermark has passed its end."""
+    return _streamed_windows(spark, d, "1 minute")
+
+
+@query(_CLOSED.format(5))
+def k7_ingest_stream_5(spark, d):
+    return _streamed_windows(spark, d, "5 minutes")
+
+
+@query(f"SELECT source, cast(epoch(m) AS bigint) AS last_fetched, coalesce(m <= {T} - INTERVAL 100 MINUTE, true) AS inactive FROM (SELECT DISTINCT 'src' || feed AS source FROM feeds UNION SELECT DISTINCT source FROM articles WHERE source IS NOT NULL) LEFT JOIN (SELECT source, max(fetched_at) AS m FROM articles WHERE fetched_at <= {T} GROUP BY 1) USING (source)")
+def k7_feed_activity(spark, d):
+    expected = V.feeds(spark, d).select(F.concat(F.lit("src"), F.col("feed").cast("string")).alias("source")).union(V.articles(spark, d).select("source").filter("source is not null"))
+    rows = K.feed_activity(expected, V.articles(spark, d), V.asof(), 100)
+    return rows.withColumn("last_fetched", F.col("last_fetched").cast("long"))
+
+
 @query(f"SELECT count(*) FILTER (fetched_at > {T} - INTERVAL 5 MINUTE AND fetched_at <= {T}) AS n, count(*) FILTER (fetched_at > {T} - INTERVAL 5 MINUTE AND fetched_at <= {T}) > 0 AS active FROM articles")
 def k7_ingest_active(spark, d):
     return K.ingest_active(V.articles(spark, d), V.asof())
@@ -297,6 +337,39 @@ def k10_batch_results(spark, d):
     return C.ingest_batch_results(_results(spark, d), V.stories(spark, d))[0]
 
 
+def _batches(spark, d):
+    """Tracked batches, a conversation each: of five one failed, one runs on, one is unknown, one was completed before."""
+    k = F.col("batch_id")
+    rows = _results(spark, d)
+    story = F.map_from_entries(F.collect_list(F.when(F.col("story_id") % 3 > 0, F.struct("story_id", F.concat(F.lit("c"), (F.col("story_id") % 4).cast("string"))))))
+    counts = F.map_from_entries(F.collect_list(F.when(F.col("story_id") % 3 > 0, F.struct("story_id", (F.col("story_id") % 5).cast("int")))))
+    tracking = rows.groupBy("batch_id").agg(story.alias("story_categories"), counts.alias("story_counts")).withColumn("status", F.when(k % 5 == 4, "completed").when(k % 2 == 0, "submitted").otherwise("in_progress"))
+    batches = rows.select("batch_id").distinct().filter(k % 5 != 3).select("batch_id", F.when(k % 5 == 2, "in_progress").otherwise("ended").alias("processing"), F.when(k % 5 == 1, "no such batch").alias("error"))
+    return tracking, batches, rows
+
+
+@query(f"""SELECT conv_id AS batch_id, CASE conv_id % 5 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 4 THEN 'completed' ELSE CASE WHEN conv_id % 2 = 0 THEN 'submitted' ELSE 'in_progress' END END AS status, CASE WHEN conv_id % 5 = 0 THEN cast(epoch({T}) AS bigint) END AS ended, CASE WHEN conv_id % 5 = 0 THEN count(*) FILTER (turn % 4 < 2) END AS succeeded_count,
+ CASE WHEN conv_id % 5 = 0 THEN count(*) FILTER (turn % 4 >= 2) END AS errored_count, CASE WHEN conv_id % 5 = 1 THEN 'no such batch' END AS error FROM conversations GROUP BY 1""")
+def k10_tracking(spark, d):
+    """What becomes of the tracked batches: completed with counts, failed with the error, or as they were."""
+    tracking, batches, results = _batches(spark, d)
+    made = C.update_tracking(tracking, batches, results, V.asof())
+    return made.select("batch_id", "status", F.col("ended_at").cast("long").alias("ended"), "succeeded_count", "errored_count", "error")
+
+
+@query(f""", fb AS ({_FALLBACK}), rs AS (SELECT conv_id AS batch_id, conv_id * 12 + turn AS story_id, trim(CASE WHEN conv_id % 7 = 0 THEN 'I cannot say. ' || text ELSE ' ' || text || ' ' END, ' ') AS text, turn FROM conversations WHERE turn % 4 < 2 AND conv_id % 5 IN (0, 4)),
+ fd AS (SELECT batch_id, rs.story_id, turn, CASE WHEN regexp_matches(lower(text), '{any_of(vocab.REFUSALS_LIVE)}') THEN fb.summary ELSE text END AS summary FROM rs JOIN stories s ON s.story_id = rs.story_id LEFT JOIN fb ON fb.story_id = rs.story_id)
+ SELECT batch_id, story_id, len({WORDS.format('summary')})::int AS words, 1 AS version, CASE WHEN story_id % 3 > 0 THEN 'c' || (story_id % 4) ELSE 'general' END AS category, CASE WHEN story_id % 3 > 0 THEN (story_id % 5)::int ELSE 1 END AS source_count, round(((1000 + story_id - 100 * turn) * 0.5 + 100 * turn * 0.05 + (50 + turn) * 2.5) / 1000000, 6)::double AS cost_usd FROM fd WHERE summary IS NOT NULL""")
+def k10_summaries_of_ended(spark, d):
+    """Summaries of the batches that ended well, as tracked, with their cost at batch prices."""
+    tracking, batches, results = _batches(spark, d)
+    s = V.stories(spark, d)
+    made = C.ingest_batch_results(results, s, A.fallback_summary(s, V.articles(spark, d)), batches)[1]
+    turn = F.col("story_id") - F.col("batch_id") * 12
+    usage = results.select("batch_id", "story_id", (F.col("story_id") + 1000).alias("input"), (100 * turn).alias("cached"), (50 + turn).alias("output"))
+    return C.batch_summaries(made, tracking, usage).drop("summary")
+
+
 def _results(spark, d):
     """Answers of batches: a turn of a conversation each, one in seven conversations refused."""
     kind = F.when(F.col("turn") % 4 < 2, "succeeded").when(F.col("turn") % 4 == 2, "errored").otherwise("expired")
@@ -361,6 +434,13 @@ def m3_split_by_vectors(spark, d):
     return C.split_by_vectors(v)
 
 
+@query()
+def m3_separation(spark, d):
+    """How well two parts part the vectors of each label."""
+    v = V.vectors(spark, d).select(F.col("story_id").cast("long").alias("story_id"), F.col("vec_id").alias("doc_id"), "embedding")
+    return C.separation(v)
+
+
 @query("SELECT story_id, CASE WHEN n_articles = 1 AND a > 14 THEN 'single' WHEN a > 30 THEN 'old' WHEN n_articles <= 2 AND a > 21 THEN 'small' END AS reason FROM (SELECT *, (epoch(TIMESTAMP '2024-01-23') - epoch(last_updated)) / 86400 AS a FROM stories) WHERE (n_articles = 1 AND a > 14) OR a > 30 OR (n_articles <= 2 AND a > 21)")
 def m4_decay(spark, d):
     return C.decay(V.stories(spark, d), F.lit("2024-01-23 00:00:00").cast("timestamp"))

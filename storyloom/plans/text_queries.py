@@ -1,6 +1,7 @@
 """Registered queries of cleaning, ids, categories, signatures, filters and title similarity."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import vocab
 from ..functions import similarity as Z
@@ -22,7 +23,8 @@ def p1_clean_text(spark, d):
 
 @query()
 def p1_clean_entities(spark, d):
-    return A.clean_columns(V.table(spark, d, "pages"), ["html"]).select("page_id", F.length("html").alias("n_clean"))
+    rows = A.clean_columns(V.table(spark, d, "pages"), ["html"])
+    return rows.select("page_id", F.length("html").alias("n_clean"), F.md5(F.col("html").cast("binary")).alias("digest"))
 
 
 @query("SELECT doc_id, CASE WHEN length(description) <= 80 THEN description ELSE regexp_replace(substr(description, 1, 80), ' [^ ]*$', '') || '...' END AS description FROM articles")
@@ -132,9 +134,11 @@ def p15_event_signature(spark, d):
     return s.select("doc_id", j(verbs).alias("verbs"), F.array_join(contexts, "|").alias("contexts"), j("s.event_types").alias("event_types"), j("s.scale").alias("scale"), j("s.temporal").alias("temporal"), j(X.key_names(F.col("s.entities"))).alias("entities"), F.col("s.confidence").alias("confidence"), F.col("s.hash").alias("hash"))
 
 
-@query(r"SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS domain FROM pages")
+@query(rf"SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS domain, length(c) AS n_body, md5(c) AS body FROM (SELECT page_id, url, {CLEAN.format('html')} AS c FROM pages)")
 def p16_normalize(spark, d):
-    return A.normalize_articles(V.table(spark, d, "pages").withColumn("text", F.lit(""))).select("page_id", "domain")
+    """Domains, and the stripped bodies of all pages by length and digest."""
+    rows = A.normalize_articles(V.table(spark, d, "pages").withColumnRenamed("html", "text"))
+    return rows.select("page_id", "domain", F.length("body").cast("long").alias("n_body"), F.md5(F.col("body").cast("binary")).alias("body"))
 
 
 _RAW = "CASE turn % 4 WHEN 0 THEN 'Here''s a concise summary: ' || text WHEN 1 THEN text || '. This summary provides facts' WHEN 2 THEN 'Summary: ' || text ELSE text END"
@@ -157,12 +161,15 @@ def p17_clean_summaries(spark, d):
     return _conv(spark, d).select("conv_id", "turn", X.clean_summary(F.col("raw")).alias("summary"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN headline WHEN doc_id % 3 = 1 THEN headline ELSE headline END AS cleaned FROM articles WHERE NOT regexp_matches(headline, '[''"]$|(?i)(note|reason):')""")
+@query(r"""SELECT doc_id, cleaned, CASE WHEN len(string_split_regex(cleaned, '\s+')) < 4 OR length(cleaned) < 20 THEN 'The headline before' WHEN length(cleaned) > 200 THEN regexp_replace(substr(cleaned, 1, 200), ' [^ ]*$', '') || '...' ELSE cleaned END AS accepted
+ FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN 'Big news' WHEN doc_id % 5 = 4 THEN trim(repeat(headline || ' ', 10)) ELSE headline END AS cleaned FROM articles WHERE NOT regexp_matches(headline, '[''"]$|(?i)(note|reason):'))""")
 def p18_clean_headlines(spark, d):
+    """Cleaned headlines, and what is accepted of them: short ones leave the headline before, long ones are cut."""
     h = F.col("headline")
-    k = F.col("doc_id") % 3
-    raw = F.when(k == 0, F.concat(F.lit('"'), h, F.lit('"'))).when(k == 1, F.concat(F.lit("Updated headline: "), h, F.lit("\nRationale: newer facts"))).otherwise(F.concat(h, F.lit(" | Live")))
-    return V.articles(spark, d).select("doc_id", X.clean_headline(raw).alias("cleaned"))
+    k = F.col("doc_id") % 5
+    raw = F.when(k == 0, F.concat(F.lit('"'), h, F.lit('"'))).when(k == 1, F.concat(F.lit("Updated headline: "), h, F.lit("\nRationale: newer facts"))).when(k == 2, F.concat(h, F.lit(" | Live"))).when(k == 3, "Big news").otherwise(F.repeat(F.concat(h, F.lit(" ")), F.lit(10)))
+    rows = V.articles(spark, d).select("doc_id", X.clean_headline(raw).alias("cleaned"))
+    return rows.withColumn("accepted", X.accept_headline(F.col("cleaned"), F.lit("The headline before")))
 
 
 @query(f"SELECT conv_id, turn, regexp_matches(lower(CASE WHEN conv_id % 7 = 0 THEN 'I cannot say. ' || text ELSE text END), '{any_of(vocab.REFUSALS_LIVE)}') AS refused FROM conversations")
@@ -220,11 +227,13 @@ def p24_feed_columns(spark, d):
     return A.feed_columns(V.stories(spark, d).join(v, "story_id", "left"))
 
 
-@query(f"""SELECT s.story_id, s.title, s.category, cast(greatest(1, len({WORDS.format("coalesce(summary, '')")}) // 200) AS int) AS minutes, {_STATUS} AS status, round(least(source_count, 10) / 10, 6) AS credibility, round(CASE WHEN breaking THEN 0.9 ELSE importance / 10 END, 6) AS trending, u.url
- FROM stories s LEFT JOIN (SELECT story_id, arg_min(url, doc_id) AS url FROM articles GROUP BY 1) u ON u.story_id = s.story_id""")
+@query(f"""SELECT s.story_id, s.title, s.category, cast(greatest(1, len({WORDS.format("coalesce(summary, '')")}) // 200) AS int) AS minutes, {_STATUS} AS status, round(least(source_count, 10) / 10, 6) AS credibility, round(CASE WHEN breaking THEN 0.9 ELSE importance / 10 END, 6) AS trending, coalesce(u.url, 'https://news.example/unavailable') AS url
+ FROM stories s LEFT JOIN (SELECT story_id, arg_min(url, doc_id) AS url FROM articles WHERE doc_id % 4 >= 2 GROUP BY 1) u ON u.story_id = s.story_id""")
 def p26_client_view(spark, d):
-    urls = V.articles(spark, d).groupBy("story_id").agg(F.min_by("url", "doc_id").alias("url"))
-    return A.client_view(V.stories(spark, d), urls)
+    """Addresses of some sources are empty or have no scheme."""
+    k = F.col("doc_id") % 4
+    url = F.when(k == 0, "").when(k == 1, F.regexp_replace("url", "^https://", "")).otherwise(F.col("url"))
+    return A.client_view(V.stories(spark, d), V.articles(spark, d).select("story_id", url.alias("url"), F.col("doc_id").alias("place")), "https://news.example/unavailable")
 
 
 @query(f"""SELECT story_id, epoch(last_updated) - epoch(first_seen) >= 1800 AS updated, CASE WHEN m < 60 THEN m || 'm' WHEN m < 1440 THEN (m // 60) || 'h' ELSE (m // 1440) || 'd' END AS age,
@@ -307,18 +316,25 @@ def f9_needs_enrichment(spark, d):
     return A.needs_enrichment(a, V.asof(), V.vectors(spark, d), a.filter(k % 3 != 0).select("doc_id"), 0.3, True).select("doc_id")
 
 
-@query("""SELECT story_id, issues FROM (SELECT story_id, array_to_string(list_filter([CASE WHEN t IS NULL THEN 'no title' END, CASE WHEN c IS NULL THEN 'no category' END, CASE WHEN length(trim(coalesce(t, ''))) < 10 THEN 'short title' END, CASE WHEN length(coalesce(t, '')) > 200 THEN 'long title' END,
- CASE WHEN n = 0 THEN 'no sources' END, CASE WHEN n > 20 THEN 'many sources' END, CASE WHEN c NOT IN (SELECT DISTINCT category FROM articles) AND c <> 'us' THEN 'unknown category' END], lambda x: x IS NOT NULL), ',') AS issues FROM (SELECT story_id, CASE story_id % 8 WHEN 1 THEN NULL WHEN 2 THEN 'Short' WHEN 3 THEN repeat(title, 20) ELSE title END AS t,
- CASE story_id % 5 WHEN 1 THEN NULL WHEN 2 THEN 'nowhere' WHEN 3 THEN 'us' ELSE category END AS c, CASE story_id % 7 WHEN 1 THEN 0 WHEN 2 THEN 21 ELSE source_count END AS n FROM stories)) WHERE issues <> ''""".replace("c NOT IN (SELECT DISTINCT category FROM articles) AND c <> 'us'", f"c NOT IN {(*vocab.CATEGORIES, 'us')}"))
+@query("""SELECT story_id, issues FROM (SELECT story_id, array_to_string(list_concat(list_filter([CASE WHEN t IS NULL THEN 'no title' END, CASE WHEN c IS NULL THEN 'no category' END, CASE WHEN story_id % 6 = 3 THEN 'no time' END, CASE WHEN length(trim(coalesce(t, ''))) < 10 THEN 'short title' END, CASE WHEN length(coalesce(t, '')) > 200 THEN 'long title' END,
+ CASE WHEN n = 0 THEN 'no sources' END, CASE WHEN n > 20 THEN 'many sources' END, CASE WHEN c NOT IN CATS THEN 'unknown category' END, CASE WHEN story_id % 6 IN (1, 2) THEN 'bad time' END], lambda x: x IS NOT NULL),
+ CASE WHEN n BETWEEN 1 AND 20 AND story_id % 9 = 4 THEN ['source 0 lacks a field'] WHEN n BETWEEN 1 AND 20 AND story_id % 9 = 5 THEN ['source ' || (n - 1) || ' is nothing'] ELSE [] END), ',') AS issues FROM (SELECT story_id, CASE story_id % 8 WHEN 1 THEN NULL WHEN 2 THEN 'Short' WHEN 3 THEN repeat(title, 20) ELSE title END AS t,
+ CASE story_id % 5 WHEN 1 THEN NULL WHEN 2 THEN 'nowhere' WHEN 3 THEN 'us' ELSE category END AS c, CASE story_id % 7 WHEN 1 THEN 0 WHEN 2 THEN 21 ELSE source_count + (story_id % 9 = 5)::int END AS n FROM stories)) WHERE issues <> ''""".replace("CATS", str((*vocab.CATEGORIES, "us"))))
 def f10_validate(spark, d):
-    """Stories, some of them spoilt by their number."""
+    """Stories, some of them spoilt by their number: titles, categories, times, lists of sources and sources."""
     k = F.col("story_id")
-    listed = V.members(spark, d).groupBy("story_id").agg(F.collect_set("source").alias("own"))
-    s = V.stories(spark, d).join(listed, "story_id")
+    source = F.struct(F.col("source"), F.when((k % 9 == 4) & (F.col("source") == F.min("source").over(Window.partitionBy("story_id"))), None).otherwise(F.col("headline")).alias("title"))
+    listed = V.members(spark, d).filter("source is not null").withColumn("s", source).groupBy("story_id").agg(F.sort_array(F.collect_set("s")).alias("all"))
+    first = F.filter("all", lambda x, i: (i == 0) | (x["source"] != F.col("all")[i - 1]["source"]))
+    s = V.stories(spark, d).join(listed.select("story_id", first.alias("own")), "story_id")
     title = F.when(k % 8 == 1, None).when(k % 8 == 2, "Short").when(k % 8 == 3, F.repeat("title", F.lit(20))).otherwise(F.col("title"))
     category = F.when(k % 5 == 1, None).when(k % 5 == 2, "nowhere").when(k % 5 == 3, "us").otherwise(F.col("category"))
-    sources = F.when(k % 7 == 1, F.array().cast("array<string>")).when(k % 7 == 2, F.array_repeat(F.lit("x"), 21)).otherwise(F.col("own"))
-    return A.validate_stories(s.withColumns({"title": title, "category": category, "sources": sources})).withColumn("issues", F.array_join("issues", ","))
+    time = F.when(k % 6 == 1, "soon").when(k % 6 == 2, "2024-13-01T00:00:00Z").when(k % 6 == 3, None).otherwise(F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    none = F.array().cast("array<struct<source:string,title:string>>")
+    own = F.when(k % 9 == 5, F.concat("own", F.array(F.lit(None).cast("struct<source:string,title:string>")))).otherwise(F.col("own"))
+    many = F.array_repeat(F.struct(F.lit("x").alias("source"), F.lit("y").alias("title")), 21)
+    sources = F.when(k % 7 == 1, none).when(k % 7 == 2, many).otherwise(own)
+    return A.validate_stories(s.withColumns({"title": title, "category": category, "last_updated": time, "sources": sources})).withColumn("issues", F.array_join("issues", ","))
 
 
 @query(f"SELECT f.feed FROM feeds f LEFT JOIN (SELECT feed, max(ts) AS p FROM fetch_log WHERE ts <= {T} GROUP BY 1) s USING (feed) WHERE p IS NULL OR floor(epoch({T})) - floor(epoch(p)) >= 21600")

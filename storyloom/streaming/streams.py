@@ -118,10 +118,19 @@ def notify_stream(stories: DataFrame, delay: str = "1 hour") -> DataFrame:
     return due.withWatermark("last_updated", delay).dropDuplicatesWithinWatermark(["story_id"])
 
 
-def ingest_windows(articles: DataFrame, width: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
-    """(minute, n): tumbling counts of fetched_at; late rows beyond the watermark are left out of a stream."""
+def ingest_windows(articles: DataFrame, width: str = "5 minutes", delay: str = "10 minutes", sources: bool = False) -> DataFrame:
+    """(start, n, and with sources how many there were): tumbling counts of fetched_at; late rows beyond the watermark are left out of a stream."""
     rows = articles.withWatermark("fetched_at", delay) if articles.isStreaming else articles
-    return rows.groupBy(F.window("fetched_at", width)).agg(F.count("*").alias("n")).select(F.col("window.start").cast("long").alias("start"), "n")
+    more = [F.size(F.collect_set("source")).alias("sources")] if sources else []
+    counted = rows.groupBy(F.window("fetched_at", width)).agg(F.count("*").alias("n"), *more)
+    return counted.select(F.col("window.start").cast("long").alias("start"), "n", *[c for c in counted.columns if c == "sources"])
+
+
+def feed_activity(feeds: DataFrame, articles: DataFrame, asof: Column, minutes: int = 10) -> DataFrame:
+    """(source, last_fetched, inactive) of each expected source: inactive are those without an article in the minutes before asof, if they ever had one."""
+    last = articles.filter(F.col("fetched_at") <= asof).groupBy("source").agg(F.max("fetched_at").alias("last_fetched"))
+    recent = F.col("last_fetched") > asof - F.expr(f"interval {minutes} minutes")
+    return feeds.select("source").distinct().join(last, "source", "left").withColumn("inactive", ~F.coalesce(recent, F.lit(False)))
 
 
 def dedup_stream(articles: DataFrame, memory: str = "7 days") -> DataFrame:

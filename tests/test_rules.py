@@ -544,3 +544,135 @@ def test_split_by_vectors_keeps_the_largest_stories(spark):
         mine = [i for i, (t, _) in got.items() if t == s]
         mean = {p: np.mean([vec[i][1] for i in mine if got[i][1] == p], axis=0) for p in {got[i][1] for i in mine}}
         assert all(got[i][1] == min(mean, key=lambda p: ((vec[i][1] - mean[p]) ** 2).sum()) for i in mine)
+
+
+def test_two_clouds_are_apart(spark):
+    """The simplified silhouette against plain numbers: two clouds far apart are due to be split, one cloud and a young or small story are not."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    t0 = dt.datetime(2024, 1, 1)
+
+    def story(s, n, gap, days):
+        return [(s, s * 1000 + i, t0 + dt.timedelta(days=days * i / (n - 1)), (rng.normal(0, 0.3, 4) + (gap if i % 2 else 0)).astype("float32").tolist()) for i in range(n)]
+
+    rows = story(1, 40, 3.0, 5) + story(2, 40, 0.0, 5) + story(3, 40, 3.0, 2) + story(4, 9, 3.0, 5) + [(5, 5000 + i, t0 + dt.timedelta(days=i), [1.0, 1.0, 0.0, 0.0]) for i in range(12)] + [(6, 6000, t0, None)]
+    m = spark.createDataFrame(rows, "story_id long, doc_id long, published_at timestamp, embedding array<float>").repartition(4)
+    got = {r["story_id"]: (r["silhouette"], r["n"]) for r in C.separation(m).collect()}
+    assert set(got) == {1, 2, 3, 5} and got[5] == (0.0, 12)
+    for s in (1, 3):
+        x = np.array([v for k, _, _, v in rows if k == s], "float64")
+        mean = [x[::2].mean(axis=0), x[1::2].mean(axis=0)]
+        d = np.stack([np.sqrt(((x - c) ** 2).sum(axis=1)) for c in mean], axis=1)
+        own, other = d.min(axis=1), d.max(axis=1)
+        assert abs(got[s][0] - ((other - own) / other).mean()) < 1e-5 and got[s][0] > 0.6
+    assert got[2][0] < 0.6
+    assert [r["story_id"] for r in C.split_due(m).collect()] == [1]
+
+
+def test_split_parts_do_not_hang_on_the_size_of_a_task(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(s, 100 * s + i, (np.eye(3)[i % 3] * 5 + rng.normal(0, 0.2, 3)).astype("float32").tolist()) for s in (1, 2) for i in range(60)]
+    m = spark.createDataFrame(rows, "story_id long, doc_id long, embedding array<float>")
+    one = sorted(tuple(r) for r in C.split_by_vectors(m).collect())
+    monkeypatch.setattr(C, "STORY_ROWS", 7)
+    assert sorted(tuple(r) for r in C.split_by_vectors(m).collect()) == one and len(one) == 120
+
+
+def test_changed_rows_by_twenty(spark, tmp_path):
+    """95 rows in three files are five batches; a query that fails in the middle of a file goes on at the row."""
+    from storyloom.sources import rows as CR
+
+    folder = f"file://{tmp_path}/in"
+    for a, b in ((0, 50), (50, 57), (57, 95)):
+        spark.range(a, b).coalesce(1).select("id", F.timestamp_seconds("id").alias("t"), F.array("id").alias("x")).write.mode("append").parquet(folder)
+        time.sleep(0.05)
+    schema = spark.read.parquet(folder).schema
+    seen, fail = {}, [True]
+
+    def each(batch, number):
+        if number == 2 and fail.pop():
+            fail.append(False)
+            raise RuntimeError("lost")
+        seen[number] = [r["id"] for r in batch.collect() if r["t"] == dt.datetime(1970, 1, 1) + dt.timedelta(seconds=r["id"]) and r["x"] == [r["id"]]]
+
+    with pytest.raises(Exception, match="lost"):
+        CR.drain_rows(CR.row_changes(spark, folder, schema), str(tmp_path / "state"), each)
+    assert sorted(seen) == [0, 1]
+    fail[:] = [False]
+    CR.drain_rows(CR.row_changes(spark, folder, schema), str(tmp_path / "state"), each)
+    assert [seen[n] for n in sorted(seen)] == [list(range(20 * k, min(20 * k + 20, 95))) for k in range(5)]
+
+
+@pytest.mark.parametrize("forest", [True, False])
+def test_stored_scorer(spark, tmp_path, forest):
+    """What is loaded scores as what was saved, and by hand: pairs with a title overlap are alike, so that feature weighs most."""
+    rows = [(i, i + 1000, int(i % 2)) for i in range(200)]
+    f = spark.createDataFrame(rows, "a long, b long, label int").select("a", "b", "label", *[(F.col("label") * 0.8 + (F.col("a") % 7) / 100 if n == "title_overlap" else (F.col("a") * 7 % 13) / 13.0).alias(n) for n in J.FEATURES])
+    model, rest = J.train_scorer(f, trees=5, depth=3, forest=forest)
+    J.save_scorer(model, f"file://{tmp_path}/m")
+    again = J.load_scorer(f"file://{tmp_path}/m")
+    score = lambda m: sorted((r["a"], r["b"], r["score"]) for r in J.score_pairs(m, rest).collect())
+    assert score(model) == score(again) and len(score(model)) > 20
+    assert all((s > 0.5) == bool(a % 2) for a, _, s in score(again))
+    weights = {r["feature"]: r["importance"] for r in J.importances(again, spark).collect()}
+    assert max(weights, key=weights.get) == "title_overlap"
+    c = spark.createDataFrame([(1, 1001), (1, 1003), (1, 1)], "query_id long, doc_id long")
+    scored = spark.createDataFrame([(1, 1001, 0.7), (1, 1003, 0.69), (1, 1, 1.0)], "query_id long, doc_id long, score double")
+    assert [tuple(r) for r in J.similar_articles(c, None, 0.7, 10, scored).collect()] == [(1, 1001, 0.7, 1)]
+
+
+def test_batches_are_tracked(spark):
+    """Retrieved with an error: failed; ended: completed, with errored, expired and unknown results counted as errors; running: as it was."""
+    maps = "story_categories map<long,string>, story_counts map<long,int>"
+    t = spark.createDataFrame([("a", "submitted", {1: "us"}, {1: 3}), ("b", "in_progress", {}, {}), ("c", "submitted", {}, {}), ("d", "completed", {}, {}), ("e", "submitted", {}, {}), ("f", "submitted", None, None)], f"batch_id string, status string, {maps}")
+    b = spark.createDataFrame([("a", "ended", None), ("b", "in_progress", None), ("c", "ended", "gone"), ("d", "ended", None), ("f", "ended", None)], "batch_id string, processing string, error string")
+    r = spark.createDataFrame([("a", 1, "succeeded", " Fine words here "), ("a", 2, "errored", None), ("a", 3, "expired", None), ("a", 4, None, None), ("b", 5, "succeeded", "x"), ("c", 6, "succeeded", "y")], "batch_id string, story_id long, type string, text string")
+    asof = F.lit("2024-01-02").cast("timestamp")
+    got = {x["batch_id"]: (x["status"], x["ended_at"], x["succeeded_count"], x["errored_count"], x["error"]) for x in C.update_tracking(t, b, r, asof).collect()}
+    end = dt.datetime(2024, 1, 2)
+    assert got == {"a": ("completed", end, 1, 3, None), "b": ("in_progress", None, None, None, None), "c": ("failed", None, None, None, "gone"), "d": ("completed", None, None, None, None), "e": ("submitted", None, None, None, None), "f": ("completed", end, 0, 0, None)}
+    stories = spark.createDataFrame([(i,) for i in range(1, 8)], "story_id long")
+    made = C.ingest_batch_results(r, stories, batches=b)[1]
+    usage = spark.createDataFrame([("a", 1, 1000, 400, 100)], "batch_id string, story_id long, input long, cached long, output long")
+    assert [tuple(x) for x in C.batch_summaries(made, t, usage).collect()] == [("a", 1, "Fine words here", 3, 1, "us", 3, 0.00057)]
+
+
+def test_client_view_address(spark):
+    detail = spark.createDataFrame([(1, "t", "us", 1, "s", True, 50), (2, "t", "us", 1, "s", True, 50), (3, "t", "us", 1, "s", True, 50)], "story_id long, title string, category string, source_count int, summary string, breaking boolean, importance int")
+    urls = spark.createDataFrame([(1, "", 0), (1, "news.example/no-scheme", 1), (1, "https://b.example/x", 3), (1, "ftp://c.example", 2), (2, "http://has white.space", 0), (2, None, 1)], "story_id long, url string, place int")
+    got = {r["story_id"]: r["url"] for r in A.client_view(detail, urls, "https://none.example").collect()}
+    assert got == {1: "ftp://c.example", 2: "https://none.example", 3: "https://none.example"}
+
+
+def test_story_checks_by_source_and_time(spark):
+    ok = ("src", "A title")
+    rows = [(1, "A fine long title", "us", "2024-01-02T03:04:05Z", [ok]), (2, "A fine long title", "us", "2024-02-30", [ok]), (3, "A fine long title", "us", "yesterday", [ok, None, ("x", None)]), (4, "A fine long title", "us", "2024", None), (5, "A fine long title", "us", None, [(None, "t")]), (6, "A fine long title", "us", "2024-01-02 03:04:05+01:00", [ok])]
+    df = spark.createDataFrame(rows, "story_id long, title string, category string, last_updated string, sources array<struct<source:string,title:string>>")
+    got = {r["story_id"]: r["issues"] for r in A.validate_stories(df).collect()}
+    assert got == {2: ["bad time"], 3: ["bad time", "source 1 is nothing", "source 2 lacks a field"], 4: ["no sources", "bad time"], 5: ["no time", "source 0 lacks a field"]}
+
+
+def test_headlines_are_accepted(spark):
+    rows = [("One two three four", "old"), ("One two three fours", "old"), ("Four words of length", "old"), ("Fourwordsbutnotreally of length", "old"), ("word " * 60, "old")]
+    got = [r["x"] for r in spark.createDataFrame(rows, "n string, o string").select(X.accept_headline(F.trim("n"), F.col("o")).alias("x")).collect()]
+    assert got == ["old", "old", "Four words of length", "old", ("word " * 40).strip() + "..."]
+
+
+def test_ingest_windows_as_a_stream(spark, tmp_path):
+    """A window comes once, when the watermark has passed its end; what comes later than that is left out."""
+    t = lambda m, s=0: dt.datetime(2024, 1, 1, 0, m, s)
+    rows = [("a", t(0, 10)), ("b", t(0, 50)), ("a", t(1, 5)), ("a", t(4)), ("a", t(0, 59)), ("c", t(9))]
+    got = _stream(spark, str(tmp_path), rows, "source string, fetched_at timestamp", [[0, 1, 2], [3], [5], [4]], lambda df: K.ingest_windows(df, "1 minute", "2 minutes", sources=True))
+    base = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
+    assert sorted(((r["start"] - base) // 60, r["n"], r["sources"]) for r in got.collect()) == [(0, 2, 2), (1, 1, 1), (4, 1, 1)]
+
+
+def test_inactive_feeds(spark):
+    t = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    a = spark.createDataFrame([("x", t(49)), ("y", t(50)), ("y", t(10)), ("z", t(59)), ("w", t(51))], "source string, fetched_at timestamp")
+    feeds = spark.createDataFrame([(s,) for s in "wxyvz"], "source string")
+    got = {r["source"]: (r["last_fetched"], r["inactive"]) for r in K.feed_activity(feeds, a.filter("source <> 'z'"), F.lit("2024-01-01 01:00:00").cast("timestamp"), 10).collect()}
+    assert got == {"w": (t(51), False), "x": (t(49), True), "y": (t(50), True), "v": (None, True), "z": (None, True)}
