@@ -1,7 +1,7 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash cuts each text into chunks at places that depend on the bytes around them alone, so passages that several
-documents share give the same chunks whatever stands before them. A worker encodes each distinct chunk once, with the
+documents share give the same chunks whatever stands before them. A task encodes each distinct chunk once, with the
 tokenizer itself, and reuses the ids while its cache lasts.
 
 A chunk's first and last tokens are wrong where the cut fell inside a word or a special token. So every join is repaired:
@@ -14,7 +14,7 @@ that doesn't split gets whole texts), and the words lie further from the cut tha
 
 Most chunks are new, but most of what stands between their spaces is not. Where the tokenizer's own description shows that
 no word of it reaches over a space (`parted`), each distinct piece between spaces is encoded once by the tokenizer while a
-worker's cache of pieces lasts, and a new chunk is put together from its pieces. Other tokenizers encode each new chunk whole.
+task's cache of pieces lasts, and a new chunk is put together from its pieces. Other tokenizers encode each new chunk whole.
 Windows at joins are always encoded whole.
 """
 
@@ -41,10 +41,10 @@ ROLL = 16
 MEAN_CHUNK, LEAST_CHUNK = 2048, 256
 #: Characters on either side of a cut that a window covers at least, beyond the longest added token.
 MARGIN = 12
-#: Characters of chunks in one generation of a worker's cache (there are two), and in one call of the tokenizer.
-CACHE_CHARS, CALL_CHARS = 6_000_000, 400_000
-#: Pieces between spaces in one of two generations of a worker's cache.
-PIECES = 150_000
+#: Bytes of one generation of a task's caches, of chunks and of pieces between spaces; each has two, and ENTRY is what an entry takes beside its text and ids.
+CHUNK_BYTES, PIECE_BYTES, ENTRY = 16 << 20, 32 << 20, 200
+#: Characters in one call of the tokenizer.
+CALL_CHARS = 400_000
 
 
 @lru_cache(maxsize=4)
@@ -150,14 +150,18 @@ class Pieces:
         self.tok = tok
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
         """The cache, with all pieces in it."""
-        if len(self.young) > PIECES:
-            self.young, self.old = {"": b""}, self.young
+        if self.held > PIECE_BYTES:
+            self.young, self.old, self.held = {"": b""}, self.young, 0
         young, old = self.young, self.old
-        young |= {x: old[x] for x in pieces & old.keys()}
+        again = {x: old[x] for x in pieces & old.keys()}
+        young |= again
         new = list(pieces - young.keys())
+        # A character is taken for a byte and an id of four bytes.
+        self.held += sum(ENTRY + 5 * len(x) for x in itertools.chain(again, new))
         # Many in one text, told apart by their places, unless the normaliser may move places.
         still = [x for x in new if x.isprintable() and (x.isascii() or unicodedata.is_normalized("NFC", x) and len(x.lower()) == len(x))]
         for a in range(0, len(still), 20_000):
@@ -197,7 +201,7 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes texts to (ids as little-endian 32-bit, decoded text); one for a worker."""
+    """Encodes texts to (ids as little-endian 32-bit, decoded text); one for a task, with which its caches go."""
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
@@ -240,11 +244,11 @@ class Encoder:
             else:
                 out[t] = self.young[t] = c
         self.made += len(new)
-        self.held += sum(map(len, new))
+        self.held += sum(ENTRY + 5 * len(t) for t in new)
         made = self.pieces.chunks(new, self.margin) if self.pieces else {t: self.chunk(t, enc) for t, enc in self.encodings(new)}
         self.young |= made
         out |= made
-        if self.held > CACHE_CHARS:
+        if self.held > CHUNK_BYTES:
             self.young, self.old, self.held = {}, self.young, 0
         return out
 
@@ -337,23 +341,17 @@ class Encoder:
         return ids, decoded
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One for a worker process, whatever the number of its tasks."""
-    return Encoder(path)
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "bpe", keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns keep) and a struct column out: n_tokens, ids (little-endian unsigned 32-bit), decoded.
 
     Equals the tokenizer's own encode(text, add_special_tokens=False) and decode(ids, skip_special_tokens=False) of whole
     texts. Null is the empty text, which has no token. Repeated rows are answered alike; an empty table stays empty. A
-    text that the tokenizer's splitter doesn't part is encoded whole. Row by row: no shuffle; what a worker shares between
-    documents it keeps in a cache of bounded size.
+    text that the tokenizer's splitter doesn't part is encoded whole. Row by row: no shuffle; what documents share is
+    kept in caches of bounded bytes, which end with their task.
     """
 
     def make():
-        own = encoder(path)
+        own = Encoder(path)
 
         def work(texts: pa.Array) -> dict:
             ids, decoded = own.texts(*raw(texts))

@@ -41,25 +41,26 @@ def _lower() -> np.ndarray:
 
 
 def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, row starts) of all n-grams of each row, each row between two spaces; rows must not be empty of bytes.
+    """(buckets, row starts) of all n-grams of each row, each row between spaces, so that no gram reaches into the next one.
 
-    buckets has len(ORDERS) rows, one for each order; a gram belongs to the row in which it starts.
+    buckets has len(ORDERS) rows, one for each order; a row of n bytes has n + 1 grams of each order. Rows must not be empty of bytes.
     """
-    n = len(off) - 1
+    n, gap = len(off) - 1, max(ORDERS)
     size = np.diff(off)
-    starts = off[:-1] + np.arange(n)
-    padded = np.full(int(off[-1]) + n + max(ORDERS) + 1, 32, dtype=np.uint8)
-    where = np.arange(int(off[-1])) + np.repeat(np.arange(n), size) + 1
-    padded[where] = _lower()[data]
-    wide = padded.astype(np.uint64)
-    total = int(off[-1]) + n
-    code, out = np.zeros(total, np.uint64), []
-    for k in range(max(ORDERS)):
-        code = (code << np.uint64(8)) | wide[k : k + total]
+    padded = np.full(int(off[-1]) + gap * n, 32, dtype=np.uint8)
+    at = np.repeat(gap * np.arange(n), size) + np.arange(int(off[-1]))
+    padded[at + 1] = _lower()[data]  # one space before, the others behind
+    wide = np.append(padded, np.full(gap, 32, np.uint8)).astype(np.uint64)
+    begins = np.zeros(len(padded), dtype=bool)
+    begins[at] = True
+    begins[off[1:] + gap * np.arange(n)] = True
+    code, out = np.zeros(len(padded), np.uint64), []
+    for k in range(gap):
+        code = (code << np.uint64(8)) | wide[k : k + len(padded)]
         if k + 1 in ORDERS:
-            h = (code + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
+            h = (code[begins] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
             out.append((h >> np.uint64(48)).astype(np.int32))
-    return np.stack(out), starts
+    return np.stack(out), off[:-1] + np.arange(n)
 
 
 @dataclass(frozen=True)

@@ -1,8 +1,11 @@
 """The numbered operators against brute force, on made-up edge rows and on the smallest tables."""
 
+import functools
 import hashlib
+import math
 import random
 import struct
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -346,7 +349,7 @@ def test_bpe_reuses_chunks(monkeypatch):
     made = e.made
     again = e.texts(*raw(pa.array([text, "prefix that shifts it " + text])))
     assert again[0][0] == first[0][0] and e.reused >= made - 3 and e.made <= made + 3
-    monkeypatch.setattr(bpe, "CACHE_CHARS", 1000)
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 1000)
     assert e.texts(*raw(pa.array([text])))[0] == first[0] and len(e.young) == 0
 
 
@@ -476,6 +479,63 @@ def test_language_id(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in held) / len(held) >= 0.9
 
 
+def grams_of(text):
+    """The buckets of a text's n-grams, one after the other."""
+    b = bytes(32 if c in (9, 10, 11, 12, 13) else c + 32 if 65 <= c <= 90 else c for c in text.encode())
+    padded, m = b" " + b + b" " * 4, 1 << 64
+    return [((int.from_bytes(padded[i : i + k], "big") + k * 0x9E3779B97F4A7C15 % m) * 0xD6E8FEB86659FD93 % m) >> 48 for i in range(len(b) + 1) for k in langid.ORDERS]
+
+
+def test_language_id_by_brute_force(spark):
+    """Counts, log ratios, trust of bits, losses and answers of all documents, in plain Python over the rows that the fit draws."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    drawn = langid._chosen(docs.filter(langid.learnable(F.col("doc_id"))), "text", "lang", "doc_id", langid.TRAIN_ROWS).collect()
+    labels = sorted({r["label"] for r in drawn})
+    code = langid.codewords(len(labels))
+    bits = range(code.shape[1])
+    count = {lab: Counter(g for r in drawn if r["label"] == lab and not r["back"] for g in grams_of(r["text"])) for lab in labels}
+    rate = {lab: {g: k / sum(c.values()) for g, k in c.items()} for lab, c in count.items()}
+
+    @functools.cache
+    def weight(g, b):
+        side = lambda sign: [rate[lab].get(g, 0.0) for lab, w in zip(labels, code, strict=True) if w[b] == sign]
+        pos, neg = side(1), side(-1)
+        return math.log((sum(pos) / len(pos) + 1e-7) / (sum(neg) / len(neg) + 1e-7))
+
+    def sums(text):
+        gs = Counter(grams_of(text))
+        return [sum(k * weight(g, b) for g, k in gs.items()) for b in bits], sum(gs.values())
+
+    trust = []
+    for lab, w in zip(labels, code, strict=True):
+        own = [sums(r["text"])[0] for r in drawn if r["label"] == lab and r["back"]]
+        t = [(sum(x[b] * w[b] > 0 for x in own) + 1) / (len(own) + 2) if own else 1.0 for b in bits]
+        trust.append([x * len(t) / sum(t) for x in t])
+    got = {r["doc_id"]: r for r in queries.op1_language_id(spark, SF).collect()}
+    for r in docs.collect():
+        text, answer = r["text"] or "", got[r["doc_id"]]
+        if not any(c.isalpha() for c in text):
+            assert (answer["lang_pred"], answer["score"], answer["runner_up"]) == ("und", 0.0, None)
+            continue
+        f, n = sums(text)
+        f = [x / n * min(math.sqrt(n), 40.0) for x in f]
+        loss = [sum(math.log1p(math.exp(-abs(w[b] * f[b]))) * t[b] + max(-w[b] * f[b], 0) * t[b] for b in bits) for w, t in zip(code.tolist(), trust, strict=True)]
+        order = sorted(range(len(labels)), key=lambda i: (loss[i], i))
+        score = 1 / sum(math.exp(loss[order[0]] - x) for x in loss)
+        if loss[order[1]] - loss[order[0]] > 1e-3:
+            assert answer["lang_pred"] == labels[order[0]]
+        assert abs(answer["score"] - score) < 1e-3 and answer["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        assert abs(loss[order[1]] - loss[order[0]] - langid.MARGIN) < 1e-3 or answer["ambiguous"] == (loss[order[1]] - loss[order[0]] < langid.MARGIN)
+
+
+def test_language_id_does_not_hang_on_neighbours(spark):
+    """A text's n-grams are its own, whatever rows stand beside it."""
+    texts = ["ab", "xyz é", "q", "ab"]
+    bucket, starts = langid.grams(*raw(pa.array(texts)))
+    rows = np.split(bucket, starts[1:], axis=1)
+    assert [sorted(x.ravel().tolist()) for x in rows] == [sorted(grams_of(t)) for t in texts]
+
+
 def test_language_id_edges(docs):
     model = langid.fit(docs)
     got = {r["doc_id"]: r["language"] for r in langid.identify(docs, model, keep=["doc_id"]).collect()}
