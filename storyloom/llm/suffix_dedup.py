@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASE, SLICE_BYTES, _BACK, bound_batches, durable, mix, powers, raw, slices, span_hashes
@@ -537,7 +537,7 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     """(id, spans) of the documents in which bytes are removed: byte spans of texts of SIZE bytes that also start earlier.
 
     Earlier is a smaller key, or the same key and an earlier start. A null text is empty. A row with a null key takes no
-    part. Rows that share a key share their spans: keys are expected to be unique. What a task holds is bounded by HOLD,
+    part. Rows that share a key share their spans, so keys must not stand for several texts: dedup sees to that. What a task holds is bounded by HOLD,
     RUN_ROWS and a part's suffixes; a part outgrows that only where a string of more than SIZE - CLASS bytes, but
     less than SIZE, is shared by a large part of all documents with other bytes around it in each.
     """
@@ -578,9 +578,28 @@ def cut(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_i
     return done.select(F.col("id").alias(key), "n_bytes", "spans", "kept")
 
 
+def _numbers(docs: DataFrame, text: str, key: str) -> DataFrame | None:
+    """(id, digest, number) of each text under each key, numbers in order of both; None where no key has two texts."""
+    own = docs.select(F.col(f"`{key}`").cast("long").alias("id"), _digest(F.col(f"`{text}`")).alias("digest")).filter("id is not null")
+    if own.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").isEmpty():
+        return None
+    return durable(own.distinct().repartitionByRange("id", "digest").sortWithinPartitions("id", "digest").withColumn("number", F.monotonically_increasing_id()))
+
+
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """cut() of repeats(): every row of docs with what is removed from it and what stays.
+    """cut() of repeats(): every row of docs with its key, what is removed from it and what stays; other columns aren't carried.
 
-    A row with a null key stays whole. An empty table stays empty.
+    A row with a null key stays whole. An empty table stays empty. Rows that share a key but not their text are documents of their own, of which
+    that with the smaller digest comes first; rows equal in both are one document and answered alike.
     """
-    return cut(docs, repeats(docs, text, key), text, key)
+    numbers = _numbers(docs, text, key)
+    if numbers is None:
+        return cut(docs, repeats(docs, text, key), text, key)
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias(BODY), _digest(F.col(f"`{text}`")).alias("digest"))
+    rows = rows.join(numbers, ["id", "digest"], "left").select("number", BODY)
+    done = cut(rows, repeats(rows, BODY, "number"), BODY, "number")
+    return done.join(numbers.select("number", F.col("id").alias(key)), "number", "left").select(key, "n_bytes", "spans", "kept")

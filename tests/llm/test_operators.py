@@ -246,6 +246,20 @@ def test_suffix_dedup_shared_line(spark, monkeypatch, hot, size):
     assert by_key(dedup_digests(d), ["n_bytes", "r", "s", "h"]) == brute.repeats(rows)
 
 
+def test_suffix_dedup_keys_with_other_texts(spark):
+    """Texts that share a key keep their own bytes: each is cut by its own spans, in order of the key and then of the digest."""
+    rng = random.Random(9)
+    part = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    x, y, z = part(150), part(300), part(250)
+    rows = [(1, z), (4, x + y), (4, y + z), (4, y + z), (7, x), (None, x), (9, None)]
+    order = sorted({(k, hashlib.md5((t or "").encode()).hexdigest(), t) for k, t in rows if k is not None}, key=lambda r: r[:2])
+    want = brute.repeats([(i, t) for i, (_, _, t) in enumerate(order)])
+    number = {(k, t or ""): i for i, (k, _, t) in enumerate(order)}
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    seen = Counter((r["doc_id"], r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["spans"]), brute.sha(bytes(r["kept"]))) for r in got)
+    assert seen == Counter((k, *want[number[k, t or ""]]) if k is not None else (None, 150, 0, 0, brute.sha(x)) for k, t in rows)
+
+
 def test_suffix_dedup_long_text(spark):
     """Texts that are worked on in several pieces; null keys stay whole."""
     rng = random.Random(5)
