@@ -120,10 +120,17 @@ def with_fallback(visible: DataFrame, n: int) -> DataFrame:
     return visible.filter(has).unionByName(back.join(F.broadcast(some), F.lit(True)).filter("not __some").drop("__some"))
 
 
+def with_fallback_of_few(few: DataFrame, n: int) -> DataFrame:
+    """with_fallback of rows that a limit bounds: one pass, in one task, so that what they are made of is computed once."""
+    has = F.length(F.coalesce("summary", F.lit(""))) > 0
+    marked = few.withColumns({"__some": F.max(has).over(Window.partitionBy()), "__r": F.row_number().over(Window.orderBy(F.desc("last_updated"), "story_id"))})
+    return marked.filter(has | (~F.col("__some") & (F.col("__r") <= n))).drop("__some", "__r")
+
+
 def ranked_feed(stories: DataFrame, profile: DataFrame, category: str | None, limit: int, offset: int, asof: Column) -> DataFrame:
     """The 200 newest visible stories with a summary, a slice of twice the limit, scored and diversified."""
     newest = visible_stories(stories, category, asof).orderBy(F.desc("last_updated"), "story_id").limit(200)
-    ready = with_fallback(newest, 20)
+    ready = with_fallback_of_few(newest, 20)
     place = F.row_number().over(Window.orderBy(F.desc("first_seen"), "story_id"))  # 200 rows at most
     cut = ready.withColumn("__p", place).filter((F.col("__p") > offset) & (F.col("__p") <= offset + 2 * limit)).drop("__p")
     return diversify(feed_score(cut, profile, asof), limit)

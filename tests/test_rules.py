@@ -676,3 +676,11 @@ def test_inactive_feeds(spark):
     feeds = spark.createDataFrame([(s,) for s in "wxyvz"], "source string")
     got = {r["source"]: (r["last_fetched"], r["inactive"]) for r in K.feed_activity(feeds, a.filter("source <> 'z'"), F.lit("2024-01-01 01:00:00").cast("timestamp"), 10).collect()}
     assert got == {"w": (t(51), False), "x": (t(49), True), "y": (t(50), True), "v": (None, True), "z": (None, True)}
+
+
+@pytest.mark.parametrize("summaries", [(None, "", None), (None, "s", None)])
+def test_fallback_of_few_is_the_fallback(spark, summaries):
+    rows = [(i, summaries[i % 3], dt.datetime(2024, 1, 1) + dt.timedelta(hours=i % 5)) for i in range(9)]
+    df = spark.createDataFrame(rows, "story_id long, summary string, last_updated timestamp")
+    one, other = (sorted(r["story_id"] for r in f(df, 4).collect()) for f in (R.with_fallback, R.with_fallback_of_few))
+    assert one == other and len(one) == (3 if summaries[1] else 4)
