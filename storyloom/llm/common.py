@@ -79,6 +79,15 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         start = end
 
 
+def give_back() -> None:
+    """Hand freed memory back to the machine at a task's end, as a worker process lives on and Spark shares the executor's memory with it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def with_struct(df: DataFrame, text: str, name: str, ddl: str, make: Callable[[], Callable[[pa.Array], dict]], keep: list[str] | None = None) -> DataFrame:
     """df (or its columns keep) and a struct column name of type ddl, computed from slices of the column text.
 
@@ -104,6 +113,8 @@ def with_struct(df: DataFrame, text: str, name: str, ddl: str, make: Callable[[]
                 cols = [c if c.type == t else c.cast(t) for c, t in zip(cols, types.values(), strict=True)]
                 kept = [part.column(part.schema.get_field_index(c)) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, pa.StructArray.from_arrays(cols, names=list(types))], names=[*keep, name])
+        del work
+        give_back()
 
     return source.mapInArrow(run, schema)
 
