@@ -49,7 +49,8 @@ def measure(docs: DataFrame, text: str = "text", out: str = "m") -> DataFrame:
 
     n_words, word_chars (code points in words), n_symbols, n_lines (lines with a word), n_dup_lines (those equal to an
     earlier one), n_repeat_words (words in five-word windows that are found twice or more, the first included). Windows
-    are compared by a 64-bit hash of their words. A document is one row and one task's work: no shuffle, no key.
+    are compared by a 64-bit hash of their words. A document is one row and one task's work: no shuffle, no key. Texts of any length are
+    measured whole; repeated rows are measured alike, each for itself; an empty table stays empty.
     """
     w, h, r = free_name(docs, "__words"), free_name(docs, "__windows"), free_name(docs, "__repeats")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))

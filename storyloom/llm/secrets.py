@@ -73,7 +73,8 @@ def scan(docs: DataFrame, text: str = "text", repository: str = "source", owner:
     Each span has its owners, repositories and whether it looks live. Added are opaque runs that no base span overlaps
     and that look live by their ownership over all rows; those that several places hold are examples and stay out. A null
     text is empty; null repositories and owners are one place. owner defaults to the repository. Rows that are equal in
-    keep and in their spans are folded with their number and given back as often.
+    keep and in their spans are folded with their number and given back as often. Texts of any length are scanned whole;
+    an empty table stays empty.
 
     Rows without a candidate pass by the shuffles. Hashes are counted by (hash, place) and then by hash, each with a
     partial sum before its shuffle, so a value in a third of all rows is one row a task and place; the counts come

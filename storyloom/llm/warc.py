@@ -128,7 +128,8 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", bod
 
     Of rows with equal payloads of LEAST bytes or more, those with the smallest key are responses and the others revisit
     that key; shorter ones are all responses. A null body is an empty payload. A null key counts as no candidate for the
-    smallest; a group in which all keys are null is all responses. Repeated rows are written as often as they occur.
+    smallest; a group in which all keys are null is all responses. Repeated rows are written as often as they occur. A payload
+    of more than ARCHIVE_BYTES is whole in an archive of its own; an empty table gives no archive.
     """
     bound_batches(pages.sparkSession)
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{body}`"), F.lit("")).alias("body"))

@@ -170,6 +170,19 @@ def test_quality(docs, rows):
     assert by_key(got.toDF("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "f", "k"), cols) == {i: brute.quality(t)[:7] for i, t in rows}
 
 
+def test_quality_of_repeated_rows_and_none(spark):
+    d = spark.createDataFrame([(1, "a b c d e " * 5), (1, "a b c d e " * 5), (2, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_repeat_words"]) for r in quality.measure(d).select("doc_id", "m.*").collect())
+    assert got == [(1, 25, 25), (1, 25, 25), (2, 0, 0)] and quality.ledger(quality.measure(d.limit(0))).count() == 0
+
+
+def test_warc_payload_beyond_an_archive(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1000)
+    d = spark.createDataFrame([(1, "u", "x" * 5000), (2, "u", "small"), (3, "u", "x" * 5000)], "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"], r["error"]) for r in warc.round_trip(d).collect())
+    assert got == [(1, 5000, "response", None, None), (2, 5, "response", None, None), (3, 5000, "revisit", 1, None)]
+
+
 def test_ablations(docs):
     led = quality.ledger(quality.measure(docs))
     got = {r["rule"]: r for r in quality.ablations(led).collect()}
