@@ -684,3 +684,12 @@ def test_fallback_of_few_is_the_fallback(spark, summaries):
     df = spark.createDataFrame(rows, "story_id long, summary string, last_updated timestamp")
     one, other = (sorted(r["story_id"] for r in f(df, 4).collect()) for f in (R.with_fallback, R.with_fallback_of_few))
     assert one == other and len(one) == (3 if summaries[1] else 4)
+
+
+def test_backfill_by_classes(spark):
+    """Forty stories and fifty articles of one fingerprint are forty rows, not two thousand; titles equal up to a word meet by similarity, the smallest article first."""
+    title = "President announces new climate policy in Washington"
+    s = spark.createDataFrame([*[(i, "f", "x", "world") for i in range(40)], (100, "-", title, "world"), (101, "-", title, "world"), (102, "-", "Cooking rice", "world"), (103, None, title, "health")], "story_id long, fp string, title string, category string")
+    a = spark.createDataFrame([*[(f"{'f' if i < 50 else i}", i, "Nothing alike" if i < 50 else f"{title} today", "world", dt.datetime(2024, 1, 1)) for i in range(55)]], "fp string, doc_id long, headline string, category string, published_at timestamp")
+    got = sorted(tuple(r) for r in J.backfill_sources(s, a).collect())
+    assert got == [*[(i, "f", 0, 50, "fingerprint") for i in range(40)], (100, "-", 50, 1, "title"), (101, "-", 50, 1, "title")]
