@@ -13,6 +13,7 @@ from storyloom.functions import text as X
 from storyloom.operators import articles as A
 from storyloom.operators import clusters as C
 from storyloom.operators import joins as J
+from storyloom.operators import metrics as M
 from storyloom.operators import ranking as R
 from storyloom.plans import QUERIES
 from storyloom.sources import io as S
@@ -693,3 +694,12 @@ def test_backfill_by_classes(spark):
     a = spark.createDataFrame([*[(f"{'f' if i < 50 else i}", i, "Nothing alike" if i < 50 else f"{title} today", "world", dt.datetime(2024, 1, 1)) for i in range(55)]], "fp string, doc_id long, headline string, category string, published_at timestamp")
     got = sorted(tuple(r) for r in J.backfill_sources(s, a).collect())
     assert got == [*[(i, "f", 0, 50, "fingerprint") for i in range(40)], (100, "-", 50, 1, "title"), (101, "-", 50, 1, "title")]
+
+
+def test_latency_is_exact(spark):
+    """Nearest ranks of a key with more values than a sketch holds, skewed ones, of a small key, and of keys with nulls only or null."""
+    big = [(i * 7919 % 60_013) ** 2 / 1e4 for i in range(60_000)]
+    rows = [("big", v) for v in big] + [("big", None), ("few", 3.0), ("few", 1.0), (None, 5.0), ("none", None)]
+    got = {r[0]: tuple(r)[1:] for r in M.latency(spark.createDataFrame(rows, "event_type string, value double").repartition(5)).collect()}
+    rank = lambda p: round(sorted(big)[(len(big) * p + 99) // 100 - 1], 6)
+    assert got == {"big": (60_001, rank(50), rank(95), rank(99)), "few": (2, 1.0, 3.0, 3.0), None: (1, 5.0, 5.0, 5.0), "none": (1, None, None, None)}
