@@ -36,8 +36,7 @@ def s2_parse_items(spark, d):
     when = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60), "yyyy-MM-dd HH:mm:ss")
     title = F.when(F.col("page_id") % 9 == 0, "<b></b>").otherwise(F.concat(F.lit("<b>Page &amp; "), F.col("page_id").cast("string"), F.lit("</b>")))
     items = p.select("page_id", F.lit("web").alias("source"), title.alias("title"), F.col("url").alias("link"), F.substring("html", 1, 2000).alias("description"), when.alias("pubDate"), F.lit(None).cast("string").alias("updated"), F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("content"))
-    rows = S.parse_feed_items(items, V.asof()).join(p.select("page_id", F.trim("url").alias("url")), "url")
-    return rows.select("page_id", "url", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"))
+    return S.parse_feed_items(items, V.asof(), keep=("page_id",)).select("page_id", "url", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"))
 
 
 def _upserts(spark, d):

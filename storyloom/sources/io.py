@@ -42,14 +42,14 @@ def read_feed_xml(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "item").schema(T._parse_datatype_string(ITEM)).load(path)
 
 
-def parse_feed_items(items: DataFrame, asof: Column, cap: int = 2000) -> DataFrame:
-    """Clean articles of raw items (source, and the fields of ITEM), without those that lack a title or a link.
+def parse_feed_items(items: DataFrame, asof: Column, cap: int = 2000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Clean articles of raw items (source, and the fields of ITEM), without those that lack a title or a link; columns keep stay.
 
     Published, else updated, else asof; the body is the content, else the description, cut to cap.
     """
     when = lambda c: F.coalesce(F.try_to_timestamp(c), F.try_to_timestamp(F.regexp_replace(c, r"^\w+, | GMT$| \+0000$", ""), F.lit("d MMM yyyy HH:mm:ss")))
     title, text = X.clean_text(F.col("title")), X.clean_text(F.col("description"))
-    rows = items.select("source", title.alias("title"), F.trim("link").alias("url"), X.truncate_words(text, 500).alias("description"), X.truncate_words(F.coalesce(F.when(F.length("content") > 0, X.clean_text(F.col("content"))), text), cap).alias("content"), F.coalesce(when(F.col("pubDate")), when(F.col("updated")), asof).alias("published_at"))
+    rows = items.select(*keep, "source", title.alias("title"), F.regexp_replace("link", r"^\s+|\s+$", "").alias("url"), X.truncate_words(text, 500).alias("description"), X.truncate_words(F.coalesce(F.when(F.length("content") > 0, X.clean_text(F.col("content"))), text), cap).alias("content"), F.coalesce(when(F.col("pubDate")), when(F.col("updated")), asof).alias("published_at"))
     rows = rows.filter((F.length("title") > 0) & (F.length("url") > 0))
     return rows.withColumns({"id": X.article_id(F.col("source"), F.col("url"), F.col("published_at")), "published_date": F.to_date("published_at")})
 

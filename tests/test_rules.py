@@ -703,3 +703,11 @@ def test_latency_is_exact(spark):
     got = {r[0]: tuple(r)[1:] for r in M.latency(spark.createDataFrame(rows, "event_type string, value double").repartition(5)).collect()}
     rank = lambda p: round(sorted(big)[(len(big) * p + 99) // 100 - 1], 6)
     assert got == {"big": (60_001, rank(50), rank(95), rank(99)), "few": (2, 1.0, 3.0, 3.0), None: (1, 5.0, 5.0, 5.0), "none": (1, None, None, None)}
+
+
+def test_items_of_one_link_stay_apart(spark, tmp_path):
+    """Three pages of one address are three items, not nine; white space around it goes."""
+    pages = spark.createDataFrame([(1, "http://x/a", "h"), (2, " http://x/a\t", "h"), (3, "http://x/a", "h"), (9, "http://x/b", "h")], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in QUERIES["s2_parse_items"](spark, str(tmp_path)).select("page_id", "url").collect())
+    assert got == [(i, "http://x/a") for i in (1, 2, 3)]
