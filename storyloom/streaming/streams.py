@@ -244,12 +244,6 @@ def near_dedup_stream(articles: DataFrame, checkpoint: str, out: str, days: int
     drain(near, checkpoint, lambda df, number: df.groupBy("doc_id").agg(F.max("near").alias("near")).filter("not near").select("doc_id").write.mode("overwrite").parquet(f"{out}/kept/batch={number}"))
 
 
-def _rows(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A key's rows of a micro-batch in order of time; ts as microseconds."""
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-    return rows.assign(us=rows["ts"].astype("datetime64[us]").astype("int64"))
-
-
 def _ring(handle: StatefulProcessorHandle, *at: int) -> None:
     """The key's timers are those at these times (microseconds) and no others; a timer of milliseconds rings after its time, never before."""
     for old in list(handle.listTimers()):
@@ -258,65 +252,130 @@ def _ring(handle: StatefulProcessorHandle, *at: int) -> None:
         handle.registerTimer(us // 1000 + 1)
 
 
-class Breaker(StatefulProcessor):
-    """A feed's breaker. Emits its changes: open at `failures` in a row, half_open when the last of them is `seconds` past, closed by a success.
+#: Feeds are kept in so many groups, each with one state and one timer: what a call of a processor costs is paid for many feeds at once.
+GROUPS = 1024
 
-    The change to half open comes from a timer; where the feed's next outcome is in the same micro-batch, that outcome brings it first, so the rows
-    don't depend on where batches are cut. A feed without an outcome for `forget` seconds loses its state.
+
+def _grouped(rows: DataFrame, delay: str, groups: int):
+    """rows (feed, ts, event_id, ...) with a watermark, by groups of feeds. A null feed is one too: its number is 0, and known is false."""
+    marked = rows.withWatermark("ts", delay).withColumns({"part": F.pmod(F.xxhash64("feed"), F.lit(groups)).cast("int"), "known": F.col("feed").isNotNull(), "feed": F.coalesce("feed", F.lit(0).cast("long"))})
+    return marked.groupBy("part")
+
+
+def _feed_again(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("feed", F.when(F.col("known"), F.col("feed"))).drop("known")
+
+
+class FeedStates(StatefulProcessor):
+    """State by feed, held for a group of feeds as one row of arrays. A subclass says what a feed's rows do and when its state is due.
+
+    columns: those of a feed's state, all long; read: those of a row that its step takes; out: those it emits. What is due is what a timer of the feed alone would do: the group's timer is that of the feed which is
+    due first, and when it rings, all feeds whose time the watermark has passed are seen to.
     """
 
-    def __init__(self, failures: int, seconds: int, forget: int):
-        self.failures, self.wait, self.forget = failures, seconds * 1_000_000, forget * 1_000_000
+    columns: tuple[str, ...] = ()
+    read: tuple[str, ...] = ()
+    out: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("breaker", "consecutive long, last_failure long, seen long, state string")
+        self.held = handle.getValueState("feeds", ", ".join(["known array<boolean>", "feed array<long>", *[f"{c} array<long>" for c in self.columns]]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        count, last, seen, state = self.state.get() or (0, None, 0, "closed")
-        out = []
-        for ok, us in zip(*[_r[c] for _r in [_rows(rows)] for c in ("ok", "us")], strict=True):
-            if seen and us - seen > self.forget:
-                count, last, state = 0, None, "closed"
-            if state == "open" and us - last > self.wait:
-                state = "half_open"
-                out.append((key[0], last + self.wait, state, count))
-            count, last = (0, None) if ok else (count + 1, us)
-            new = "open" if count >= self.failures else "closed"
-            if new != state:
-                out.append((key[0], us, new, count))
-            state, seen = new, max(seen, us)
-        self.state.update((count, last, seen, state))
-        _ring(self.handle, seen + self.forget, *([last + self.wait] if state == "open" else []))
-        yield self._frame(out)
+        states, out = self._load(), []
+        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        frame = frame.assign(us=frame["ts"].astype("datetime64[us]").astype("int64"))
+        for known, feed, *row in zip(*[frame[c].tolist() for c in ("known", "feed", *self.read)], strict=True):
+            states[known, feed] = self.step(states.get((known, feed)), out, (known, feed), *row)
+        self._keep(states)
+        yield from self._frames(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out, us = [], expiredTimerInfo.getExpiryTimeInMs() * 1000
-        if self.state.exists():
-            count, last, seen, state = self.state.get()
-            if us > seen + self.forget:
-                self.state.clear()
-            elif state == "open" and us > last + self.wait:
-                self.state.update((count, last, seen, "half_open"))
-                out.append((key[0], last + self.wait, "half_open", count))
-        yield self._frame(out)
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        states, out = self._load(), []
+        for feed in [f for f, state in states.items() if self._ring(state) <= now]:
+            state = self.ended(states.pop(feed), out, feed, now * 1000)
+            if state is not None:
+                states[feed] = state
+        self._keep(states)
+        yield from self._frames(out)
 
     def close(self) -> None:
         pass
 
-    @staticmethod
-    def _frame(out: list[tuple]) -> pd.DataFrame:
-        rows = pd.DataFrame(out, columns=["feed", "at", "state", "consecutive"])
-        return rows.assign(at=pd.to_datetime(rows["at"].astype("int64"), unit="us"))
+    def _ring(self, state: tuple) -> int:
+        """The milliseconds at which a feed's timer rings: after its time, never before."""
+        return self.due(state) // 1000 + 1
+
+    def _load(self) -> dict:
+        if not self.held.exists():
+            return {}
+        known, feed, *rest = self.held.get()
+        return dict(zip(zip(known, feed, strict=True), zip(*rest, strict=True), strict=True))
+
+    def _keep(self, states: dict) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if states:
+            known, feed = zip(*states, strict=True)
+            self.held.update((list(known), list(feed), *[list(c) for c in zip(*states.values(), strict=True)]))
+            self.handle.registerTimer(min(map(self._ring, states.values())))
+        else:
+            self.held.clear()
+
+    def _frames(self, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        rows = pd.DataFrame(out, columns=["known", "feed", *self.out])
+        if "at" in self.out:
+            rows = rows.assign(at=pd.to_datetime(rows["at"].astype("int64"), unit="us"))
+        yield rows
+
+
+class Breaker(FeedStates):
+    """A feed's breaker. Emits its changes: open at `failures` in a row, half_open when the last of them is `seconds` past, closed by a success.
+
+    The change to half open comes from a timer; where the feed's next outcome is in the same micro-batch, that outcome brings it first, so the rows
+    don't depend on where batches are cut. A feed without an outcome for `forget` seconds loses its state.
+    """
 
+    STATES = ("closed", "open", "half_open")
+    columns, read, out = ("consecutive", "last_failure", "seen", "state"), ("ok", "us"), ("at", "state", "consecutive")
 
-def breaker_stream(outcomes: DataFrame, failures: int = 3, seconds: int = 1800, delay: str = "0 seconds", forget: int = 90 * 86400) -> DataFrame:
+    def __init__(self, failures: int, seconds: int, forget: int):
+        self.failures, self.wait, self.forget = failures, seconds * 1_000_000, forget * 1_000_000
+
+    def step(self, held: tuple | None, out: list, feed: tuple, ok: bool, us: int) -> tuple:
+        count, last, seen, state = held or (0, None, us, 0)
+        if us - seen > self.forget:
+            count, last, state = 0, None, 0
+        if state == 1 and us - last > self.wait:
+            state = 2
+            out.append((*feed, last + self.wait, "half_open", count))
+        count, last = (0, None) if ok else (count + 1, us)
+        new = 1 if count >= self.failures else 0
+        if new != state:
+            out.append((*feed, us, self.STATES[new], count))
+        return count, last, max(seen, us), new
+
+    def due(self, held: tuple) -> int:
+        _, last, seen, state = held
+        return min(seen + self.forget, last + self.wait) if state == 1 else seen + self.forget
+
+    def ended(self, held: tuple, out: list, feed: tuple, us: int) -> tuple | None:
+        count, last, seen, state = held
+        if state == 1 and us > last + self.wait and self.wait <= self.forget:
+            state = 2
+            out.append((*feed, last + self.wait, "half_open", count))
+        return None if us > seen + self.forget else (count, last, seen, state)
+
+
+def breaker_stream(outcomes: DataFrame, failures: int = 3, seconds: int = 1800, delay: str = "0 seconds", forget: int = 90 * 86400, groups: int = GROUPS) -> DataFrame:
     """(feed, at, state, consecutive): the changes of each feed's breaker, as outcomes (feed, ts, event_id, ok) come in.
 
     Keyed state with timers of event time: half_open is emitted half an hour after the last failure, once the watermark is past it.
     Outcomes behind the watermark are left out. Needs the RocksDB state store, see drain.
     """
-    return outcomes.withWatermark("ts", delay).groupBy("feed").transformWithStateInPandas(Breaker(failures, seconds, forget), "feed long, at timestamp, state string, consecutive long", "append", "EventTime")
+    rows = _grouped(outcomes.select("feed", "ts", "event_id", "ok"), delay, groups)
+    return _feed_again(rows.transformWithStateInPandas(Breaker(failures, seconds, forget), "known boolean, feed long, at timestamp, state string, consecutive long", "append", "EventTime"))
 
 
 def breakers_at(changes: DataFrame, asof: Column) -> DataFrame:
@@ -326,39 +385,32 @@ def breakers_at(changes: DataFrame, asof: Column) -> DataFrame:
     return last.select("feed", "l.state", "l.consecutive", F.col("l.at").alias("since"))
 
 
-class Cooldown(StatefulProcessor):
+class Cooldown(FeedStates):
     """Lets a feed's request through if the last one let through is `seconds` past; its state is only held until then."""
 
+    columns, read, out = ("last",), ("us", "event_id"), ("event_id",)
+
     def __init__(self, seconds: int):
         self.wait = seconds * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "us long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last = self.last.get()[0] if self.last.exists() else None
-        passed = []
-        for us, event in zip(*[_r[c] for _r in [_rows(rows)] for c in ("us", "event_id")], strict=True):
-            if last is None or us // 1_000_000 - last // 1_000_000 >= self.wait // 1_000_000:
-                last = us
-                passed.append(event)
-        self.last.update((last,))
-        _ring(self.handle, last + self.wait)
-        yield pd.DataFrame({"feed": [key[0]] * len(passed), "event_id": passed})
+    def step(self, held: tuple | None, out: list, feed: tuple, us: int, event: int) -> tuple:
+        if held is not None and us // 1_000_000 - held[0] // 1_000_000 < self.wait // 1_000_000:
+            return held
+        out.append((*feed, event))
+        return (us,)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.last.clear()
-        yield pd.DataFrame({"feed": [], "event_id": []})
+    def due(self, held: tuple) -> int:
+        return held[0] + self.wait
 
-    def close(self) -> None:
-        pass
+    def ended(self, held: tuple, out: list, feed: tuple, us: int) -> None:
+        return None
 
 
-def cooldown(requests: DataFrame, seconds: int, delay: str = "0 seconds") -> DataFrame:
+def cooldown(requests: DataFrame, seconds: int, delay: str = "0 seconds", groups: int = GROUPS) -> DataFrame:
     """The requests (feed, ts, event_id) that come at least `seconds` (whole ones are compared) after the last one let through of their feed.
 
     Keyed state that a timer clears when the cooldown is over, so it holds no more feeds than are cooling. Requests behind the
     watermark are left out. Needs the RocksDB state store, see drain.
     """
-    return requests.withWatermark("ts", delay).groupBy("feed").transformWithStateInPandas(Cooldown(seconds), "feed long, event_id long", "append", "EventTime")
+    rows = _grouped(requests.select("feed", "ts", "event_id"), delay, groups)
+    return _feed_again(rows.transformWithStateInPandas(Cooldown(seconds), "known boolean, feed long, event_id long", "append", "EventTime"))

@@ -711,3 +711,17 @@ def test_items_of_one_link_stay_apart(spark, tmp_path):
     pages.write.parquet(f"{tmp_path}/pages.parquet")
     got = sorted(tuple(r) for r in QUERIES["s2_parse_items"](spark, str(tmp_path)).select("page_id", "url").collect())
     assert got == [(i, "http://x/a") for i in (1, 2, 3)]
+
+
+@pytest.mark.parametrize("cuts", [[15], [3, 6, 9, 15], list(range(1, 16))])
+def test_feeds_of_one_group_keep_their_own_state(spark, tmp_path, cuts):
+    """All feeds in one group with one timer, the null feed and large numbers too: the rows are those of feeds by themselves."""
+    big = (1 << 62) + 1
+    name = {1: big, 2: None, 3: 0, 4: 4}
+    rows = [(name[f], i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m), ok) for i, (f, m, ok) in enumerate([*_MINUTES, (4, 95, True), (3, 200, True)])]
+    slices = [range(a, b) for a, b in zip([0, *cuts], cuts)]
+    got = _stream(spark, str(tmp_path / "b"), rows, "feed long, event_id long, ts timestamp, ok boolean", slices, lambda df: K.breaker_stream(df, groups=1))
+    at = lambda r: int((r["at"] - dt.datetime(2024, 1, 1)).total_seconds() // 60)
+    assert sorted((at(r), r["feed"], r["state"], r["consecutive"]) for r in got.collect()) == [(2, big, "open", 3), (32, big, "half_open", 3), (40, big, "open", 4), (45, big, "closed", 0), (51, None, "open", 3), (81, None, "half_open", 3)]
+    let = _stream(spark, str(tmp_path / "c"), [r[:3] for r in rows], "feed long, event_id long, ts timestamp", slices, lambda df: K.cooldown(df, 1800, groups=1))
+    assert sorted((r["event_id"], r["feed"]) for r in let.collect()) == [(0, big), (2, None), (5, big), (6, None), (10, 0), (11, 0), (12, 4), (14, 0)]
