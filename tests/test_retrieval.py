@@ -1,5 +1,6 @@
 """Indexes against the exact forms that they stand for, and tables that change by whole partitions."""
 
+import struct
 import datetime as dt
 import math
 import random
@@ -156,3 +157,24 @@ def test_vector_topk_stays_exact(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = {(r["query_id"], r["vec_id"]) for r in J.vector_topk(df.filter("vec_id < 5").withColumnRenamed("vec_id", "query_id"), df, 3).collect()}
     assert got == {(i, int(j)) for i in range(5) for j in np.argsort(((x[i] - x) ** 2).sum(axis=1))[:3]}
+
+
+def test_nearest_by_blocks(spark, monkeypatch):
+    """Blocks and slices of a few rows, hundreds of copies of one vector, ties, vectors that are null or of another length: the rows of brute force."""
+    from storyloom.operators import joins as J
+    from storyloom.operators import nearest as N
+
+    monkeypatch.setattr(N, "BLOCK", 7)
+    monkeypatch.setattr(N, "SLICE", 50)
+    monkeypatch.setattr(N, "SHARE", 90)
+    v = {i: [1.0, 2.0, 3.0] if i % 3 == 0 else [float(i * 7 % 5), float(i * 11 % 4), (i % 10) / 7] for i in range(900)}
+    rows = [*v.items(), (1000, None), (1001, [1.0])]
+    c = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in J.vector_topk(c.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), c, 9).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["distance"], r["vec_id"]))
+    f32 = {i: [struct.unpack("f", struct.pack("f", x))[0] for x in w] for i, w in v.items()}
+    for q in range(0, 900, 20):
+        best = sorted((round(sum((a - b) * (a - b) for a, b in zip(f32[q], w)), 6), i) for i, w in f32.items())[:9]
+        assert sorted(got.pop(q)) == [(n + 1, *b) for n, b in enumerate(best)]
+    assert not got
