@@ -13,6 +13,7 @@ from .. import vocab
 from ..functions import text as X
 from ..sources.io import durable
 from .joins import drawn_share, vector_topk
+from .nearest import nearest_in_cells
 
 #: Rows that the cells' centres are fitted on, at most about so many, and the most cells there are.
 FIT_ROWS, MOST_CELLS = 50_000, 4096
@@ -88,12 +89,12 @@ def search_cells(queries: DataFrame, index: Cells, k: int, probes: int, where: C
     where compares columns about of the rows and, as q_ and the name, of the queries; it holds before rows are ranked. A query that finds fewer
     than k rows so is answered from all rows, exactly. What is sent to all tasks is the centres, MOST_CELLS at most.
     """
-    q = queries.select("query_id", F.col("embedding").alias("q"), *[F.col(c).alias(f"q_{c}") for c in about])
-    near = _cells_in_order(q, index, q.columns).filter(F.col("place") <= probes)
-    asked = near.select("query_id", "q", *[f"q_{c}" for c in about], "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    met = asked.join(index.rows.select("vec_id", F.col("embedding").alias("v"), "cell", "part", *about), ["cell", "part"])
-    met = met if where is None else met.filter(where)
-    found = durable(_nearest(met.select("query_id", "vec_id", F.round(_distance("q", "v"), 6).alias("distance"), "cell", "part"), k, ["cell", "part"]).select("query_id", "vec_id", "distance", "rank"))
+    if where is None:
+        met = nearest_in_cells(queries, index.centres, index.rows, k, probes).withColumn("distance", F.round("distance", 6))
+        order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+        found = durable(met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
+    else:
+        found = _found_where(queries, index, k, probes, where, about)
     full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
     rest = durable(queries.join(full, "query_id", "left_anti"))
     if rest.isEmpty():
@@ -102,6 +103,16 @@ def search_cells(queries: DataFrame, index: Cells, k: int, probes: int, where: C
     return found.join(full, "query_id", "left_semi").select("query_id", "vec_id", "distance", "rank").unionByName(exact)
 
 
+def _found_where(queries: DataFrame, index: Cells, k: int, probes: int, where: Column, about: tuple[str, ...]) -> DataFrame:
+    """The k nearest rows of each query's cells that fit it, or fewer."""
+    q = queries.select("query_id", F.col("embedding").alias("q"), *[F.col(c).alias(f"q_{c}") for c in about])
+    near = _cells_in_order(q, index, q.columns).filter(F.col("place") <= probes)
+    asked = near.select("query_id", "q", *[f"q_{c}" for c in about], "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    met = asked.join(index.rows.select("vec_id", F.col("embedding").alias("v"), "cell", "part", *about), ["cell", "part"])
+    met = met.filter(where)
+    return durable(_nearest(met.select("query_id", "vec_id", F.round(_distance("q", "v"), 6).alias("distance"), "cell", "part"), k, ["cell", "part"]).select("query_id", "vec_id", "distance", "rank"))
+
+
 @dataclass(frozen=True)
 class Postings:
     """An index of words: about (N, mean), and a row (t, block, doc_id, impact) for each word of a document."""

@@ -178,3 +178,21 @@ def test_nearest_by_blocks(spark, monkeypatch):
         best = sorted((round(sum((a - b) * (a - b) for a, b in zip(f32[q], w)), 6), i) for i, w in f32.items())[:9]
         assert sorted(got.pop(q)) == [(n + 1, *b) for n, b in enumerate(best)]
     assert not got
+
+
+def test_nearest_in_cells(spark, monkeypatch):
+    """Two clouds as cells in several parts: one probe finds the own cloud's nearest alone, two probes what brute force finds."""
+    from storyloom.operators import nearest as N
+
+    monkeypatch.setattr(N, "SLICE", 16)
+    v = {i: [float(i % 2 * 10), (i * 37 % 101) / 10] for i in range(200)}
+    rows = spark.createDataFrame([(i, x, i % 2, i % 3) for i, x in v.items()], "vec_id long, embedding array<double>, cell int, part long")
+    centres = spark.createDataFrame([(1, [10.0, 5.0]), (0, [0.0, 5.0])], "cell int, centre array<double>")
+    q = spark.createDataFrame([(7, [4.9, 5.0]), (8, [9.0, 5.0])], "query_id long, embedding array<double>")
+    for probes in (1, 2):
+        got = {}
+        for r in N.nearest_in_cells(q, centres, rows, 5, probes).collect():
+            got.setdefault(r["query_id"], []).append((round(r["distance"], 6), r["vec_id"]))
+        for n, at, own in ((7, [4.9, 5.0], 0), (8, [9.0, 5.0], 1)):
+            want = sorted((round(sum((a - b) ** 2 for a, b in zip(at, x)), 6), i) for i, x in v.items() if probes == 2 or i % 2 == own)[:5]
+            assert sorted(got[n])[:5] == want
