@@ -196,3 +196,11 @@ def test_nearest_in_cells(spark, monkeypatch):
         for n, at, own in ((7, [4.9, 5.0], 0), (8, [9.0, 5.0], 1)):
             want = sorted((round(sum((a - b) ** 2 for a, b in zip(at, x)), 6), i) for i, x in v.items() if probes == 2 or i % 2 == own)[:5]
             assert sorted(got[n])[:5] == want
+
+
+def test_only_articles_of_pairs_are_described(spark):
+    from storyloom.plans import join_queries as Q
+    from tests.oracle import SF
+
+    pairs = spark.createDataFrame([(3, 5, 1), (5, 8, 0)], "a long, b long, label int")
+    assert sorted(r["doc_id"] for r in Q._described(spark, SF, pairs).select("doc_id").collect()) == [3, 5, 8]
