@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -445,6 +446,19 @@ def test_min_max_template_in_a_third_of_all_rows(spark, monkeypatch, small):
     assert got == brute.near(rows) and sum(c == 0 for _, c, _ in got.values()) == 200
 
 
+def test_near_duplicates_leave_no_shuffle_files(spark):
+    """The shuffles of all the steps go with them; only those of the last read may stay. The session's setting is put back."""
+    jvm, key = spark.sparkContext._jvm, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    left = lambda: {b.shuffleId() for b in (s.apply(i) for s in [jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()] for i in range(s.size())) if b.isShuffle()}
+    before, was = left(), spark.conf.get(key, None)
+    rows = spark.createDataFrame([(i, f"a b c d e f g h {i // 2} x y z") for i in range(40)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.link(rows, size=2).collect()} == {i: i // 2 * 2 for i in range(40)}
+    late = time.time() + 20
+    while len(left() - before) > 8 and time.time() < late:
+        time.sleep(0.2)
+    assert len(left() - before) <= 8 and spark.conf.get(key, None) == was
+
+
 @pytest.mark.parametrize("few", [1_000_000, 0])
 def test_components(spark, monkeypatch, few):
     monkeypatch.setattr(components, "FEW", few)
