@@ -105,11 +105,14 @@ def s7_article_changes(spark, d):
 
 @query("SELECT doc_id, category FROM articles")
 def s7_article_rows(spark, d):
-    """The same by a source that counts rows, not files: 500 a trigger here."""
-    path, out = _tmp(spark, "changes"), _tmp(spark, "seen")
+    """The same by a source that counts rows, not files: 500 a trigger here. The files of each of the three writers are a lane."""
+    path, out, state = _tmp(spark, "changes"), _tmp(spark, "seen"), _tmp(spark, "state")
     V.articles(spark, d).select("doc_id", "category").repartition(3).write.parquet(path)
-    changes = rows.row_changes(spark, path, spark.read.parquet(path).schema, 500)
-    rows.drain_rows(changes, _tmp(spark, "state"), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    schema = spark.read.parquet(path).schema
+    changes = [rows.row_changes(spark, path, schema, 500, lane, 3) for lane in range(3)]
+    # A batch that runs again overwrites its folder, so one commit of its task's file is enough.
+    quick = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false", "mapreduce.fileoutputcommitter.algorithm.version": "2"}
+    rows.drain_lanes(changes, lambda lane: f"{state}/{lane}", lambda df, lane, n: df.write.mode("overwrite").options(**quick).parquet(f"{out}/lane={lane}/batch={n}"))
     return spark.read.schema("doc_id long, category string").parquet(out).select("doc_id", "category")
 
 

@@ -607,6 +607,64 @@ def test_changed_rows_by_twenty(spark, tmp_path):
     assert [seen[n] for n in sorted(seen)] == [list(range(20 * k, min(20 * k + 20, 95))) for k in range(5)]
 
 
+def test_changed_rows_are_decoded_once(tmp_path, monkeypatch):
+    """Triggers go on where the last one ended; a reader that starts anew passes over whole row groups; lanes share the files out."""
+    import pickle
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from storyloom.sources.rows import ChangedRows
+
+    decoded, real = [], pq.ParquetFile.iter_batches
+
+    def counted(self, *a, **k):
+        for batch in real(self, *a, **k):
+            decoded.append(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(pq.ParquetFile, "iter_batches", counted)
+    for i, n in enumerate((6000, 0, 4100)):
+        pq.write_table(pa.table({"id": pa.array(range(10_000 * i, 10_000 * i + n), pa.int64())}), tmp_path / f"part-0000{i}-x.parquet", row_group_size=2000)
+        time.sleep(0.02)
+    every = [(i,) for i in [*range(6000), *range(20_000, 24_100)]]
+
+    def through(reader, at):
+        places, out = [at], []
+        while True:
+            rows, at = reader.read(at)
+            rows = list(rows)
+            if not rows:
+                assert reader.read(at)[1] == at
+                return places, out
+            out += rows
+            places.append(at)
+            assert len(rows) <= reader.rows
+
+    reader = ChangedRows(f"file://{tmp_path}", 300, ["id"])
+    places, out = through(reader, reader.initialOffset())
+    assert out == every and len(places) == 1 + 34 and sum(decoded) == len(every)
+    decoded.clear()
+    again = pickle.loads(pickle.dumps(reader))
+    assert through(again, places[15])[1] == every[4500:] and sum(decoded) == 2000 + 4100
+    for a, b in ((0, 3), (15, 16), (18, 25), (34, 34)):
+        assert list(reader.readBetweenOffsets(places[a], places[b])) == every[300 * a : 300 * b]
+    lanes = [through(r, r.initialOffset())[1] for r in (ChangedRows(f"file://{tmp_path}", 300, ["id"], k, 2) for k in range(2))]
+    assert lanes == [every, []] and through(ChangedRows(f"file://{tmp_path}", 7, ["id"], 2, 3), reader.initialOffset())[1] == every[6000:]
+
+
+def test_lanes_of_changed_rows(spark, tmp_path):
+    """Three lanes run side by side, each in its files' order; together they give every row once."""
+    from storyloom.sources import rows as CR
+
+    folder, seen = f"file://{tmp_path}/in", {}
+    spark.range(0, 100, numPartitions=3).write.parquet(folder)
+    streams = [CR.row_changes(spark, folder, spark.read.parquet(folder).schema, 10, k, 3) for k in range(3)]
+    for _ in range(2):  # the second time there is nothing new
+        CR.drain_lanes(streams, lambda k: str(tmp_path / f"state{k}"), lambda df, k, n: seen.setdefault((k, n), [r["id"] for r in df.collect()]))
+    assert [i for key in sorted(seen) for i in seen[key]] == list(range(100)) and max(map(len, seen.values())) == 10 and {k for k, _ in seen} == {0, 1, 2}
+
+
 @pytest.mark.parametrize("forest", [True, False])
 def test_stored_scorer(spark, tmp_path, forest):
     """What is loaded scores as what was saved, and by hand: pairs with a title overlap are alike, so that feature weighs most."""
