@@ -479,6 +479,21 @@ def test_components(spark, monkeypatch, few):
     assert got == {x: root(x) for x in up}
 
 
+def test_components_make_no_rows_of_links(spark, monkeypatch):
+    """Rounds send minima to the links; they don't write each link out again in both directions."""
+    plans, own = [], components.durable
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return own(df)
+
+    monkeypatch.setattr(components, "durable", seen)
+    links = [(i, i + 1) for i in range(9)] + [(20, i) for i in range(21, 29)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(10)} | {i: 20 for i in range(20, 29)}
+    assert len(plans) > 1 and not any("Generate" in p for p in plans)
+
+
 def test_empty_tables_and_clashing_columns(spark):
     """No row, and columns that are called what operators might call theirs: the same columns come back, and no row fails."""
     names = "id body n hashes spans kept __text __body __found same component bucket rep s words secrets m failed judged language bpe first digest".split()
