@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import math
+import os
 import random
 import struct
 import time
@@ -654,3 +655,37 @@ def test_pipeline_edges(spark, tmp_path):
     assert sorted(run("some"), key=str) == sorted([1, 1, 7, 8, None], key=str)  # rows equal in key are one document: both stay
     assert sorted(run("no_item"), key=str) == sorted([1, 1, 6, 7, 8, None], key=str)
     assert run("none") == []
+
+
+def test_near_duplicates_release_their_tables(spark, monkeypatch):
+    """Of the durable tables the large ones go when they were read, and no text but those that share a number with it is shuffled."""
+    made = {}
+
+    def seen(df, f=minhash.durable):
+        out = f(df)
+        folder = out._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+        made[folder] = bytes_of(folder)
+        return out
+
+    monkeypatch.setattr(minhash, "durable", seen)
+    bytes_of = lambda top: sum(os.path.getsize(f"{d}/{x}") for d, _, names in os.walk(top) for x in names)
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(200))
+    rows = [(i, text(i // 2) + (" more" if i % 2 else "")) for i in range(200)] + [(1, text(500)), (None, text(0))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.dedup(d)
+    assert 4 * sum(map(bytes_of, made)) < sum(made.values())
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["text"][:6]) for r in got.filter("doc_id is not null").collect()) == sorted((False, i, t[:6]) for i, t in rows[:201] if i % 2 == 0 or t == text(500))
+    assert got.filter("doc_id is null").count() == 1
+    monkeypatch.setattr(minhash, "SENT", 3)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, minhash.dedup(d).collect()), key=str)
+
+
+def test_pipeline_keeps_one_stage(spark):
+    """Of the stages' outputs only that which the last stage reads is there at the end."""
+    from storyloom.llm.common import checkpoint_dir
+
+    top = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    made = [x for x in set(os.listdir(top)) - before if x.startswith("pipeline-")]
+    assert [os.listdir(f"{top}/{x}") for x in made] == [["3-secret_scan"]]
