@@ -783,3 +783,16 @@ def test_feeds_of_one_group_keep_their_own_state(spark, tmp_path, cuts):
     assert sorted((at(r), r["feed"], r["state"], r["consecutive"]) for r in got.collect()) == [(2, big, "open", 3), (32, big, "half_open", 3), (40, big, "open", 4), (45, big, "closed", 0), (51, None, "open", 3), (81, None, "half_open", 3)]
     let = _stream(spark, str(tmp_path / "c"), [r[:3] for r in rows], "feed long, event_id long, ts timestamp", slices, lambda df: K.cooldown(df, 1800, groups=1))
     assert sorted((r["event_id"], r["feed"]) for r in let.collect()) == [(0, big), (2, None), (5, big), (6, None), (10, 0), (11, 0), (12, 4), (14, 0)]
+
+
+def test_backfill_gives_every_article(spark):
+    """A story gets every article of its fingerprint, as j3_backfill_sources gives it, and one of a like title where there is none."""
+    from storyloom import plans
+    from tests.oracle import SF
+
+    title = "President announces new climate policy in Washington"
+    s = spark.createDataFrame([*[(i, "f", "x", "world") for i in range(4)], (100, "-", title, "world"), (103, None, title, "health")], "story_id long, fp string, title string, category string")
+    a = spark.createDataFrame([*[(f"{'f' if i < 50 else i}", i, "Nothing alike" if i < 50 else f"{title} today", "world", dt.datetime(2024, 1, 1)) for i in range(55)]], "fp string, doc_id long, headline string, category string, published_at timestamp")
+    got = sorted(tuple(r) for r in J.backfill_links(s, a).collect())
+    assert got == [*[(i, j, "fingerprint") for i in range(4) for j in range(50)], (100, 50, "title")]
+    assert plans.QUERIES["j3_backfill_sources"](spark, SF).columns == ["story_id", "doc_id", "how"]
