@@ -14,7 +14,7 @@ from ..sources.io import durable
 #: Queries of a block and rows of a slice; rows of the corpus that one task sees beside one block.
 BLOCK, SLICE, SHARE = 4096, 8192, 65_536
 #: Distances are compared rounded to six places: what lies so near to the k-th best must stay. Queries that are multiplied at once.
-NEAR, AT_ONCE = 1e-6, 512
+NEAR, AT_ONCE = 1e-6, 128
 PACK, FOUND = "dims int, cell int, ids binary, v binary", "query_id long, vec_id long, distance double"
 
 
@@ -91,14 +91,15 @@ def _probed(q: np.ndarray, centres: tuple[np.ndarray, np.ndarray], probes: int)
     return out
 
 
-def _search(k: int, centres: tuple[np.ndarray, np.ndarray] | None = None, probes: int = 0):
-    """Pairs of packs as (query_id, vec_id, distance): each task's k nearest of every query, and what ties with them after rounding.
+def _search(k: int, centres: tuple[np.ndarray, np.ndarray] | None = None, probes: int = 0, within: float = np.inf):
+    """Pairs of packs as (query_id, vec_id, distance): each task's k nearest of every query, of those not farther than within, and what ties with them after rounding.
 
     With centres (cells' numbers and places, in order of number), a query only meets the packs of its `probes` nearest cells.
     """
 
     def run(batches):
         blocks: dict[bytes, list] = {}
+        room = np.empty(AT_ONCE * SLICE)
         for b in batches:
             for row in b.to_pylist():
                 if row["dims"] != row["q_dims"]:
@@ -106,7 +107,7 @@ def _search(k: int, centres: tuple[np.ndarray, np.ndarray] | None = None, probes
                 ids, v = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["v"], np.float64).reshape(-1, row["dims"])
                 q_ids, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_v"], np.float64).reshape(-1, row["dims"])
                 none = np.empty(0, np.int64), np.empty(0, np.float64), np.empty(0, np.int64)
-                block = blocks.setdefault(row["q_ids"] + bytes([row["dims"] % 251]), [q_ids, none, np.full(q_ids.size, np.inf), None])
+                block = blocks.setdefault(row["q_ids"] + bytes([row["dims"] % 251]), [q_ids, none, np.full(q_ids.size, within), None])
                 if centres is not None and block[3] is None:
                     block[3] = _probed(q, centres, probes)
                 asks = np.arange(q_ids.size) if centres is None else np.flatnonzero(block[3][:, row["cell"]])
@@ -114,19 +115,25 @@ def _search(k: int, centres: tuple[np.ndarray, np.ndarray] | None = None, probes
                 qq, vv = (q * q).sum(1), (v * v).sum(1)
                 for s in range(0, asks.size, AT_ONCE):
                     part = asks[s : s + AT_ONCE]
-                    far = qq[part, None] + vv[None, :] - 2.0 * (q[part] @ v.T)
-                    most = block[2][part]
-                    if ids.size > k and not np.isfinite(most).all():
-                        most = np.minimum(most, np.partition(far, k - 1, axis=1)[:, k - 1])
+                    far = room[: part.size * ids.size].reshape(part.size, ids.size)  # less the queries' own squares
+                    np.matmul(-2.0 * q[part], v.T, out=far)
+                    far += vv
                     # The product's error is far below this margin.
                     margin = 2 * NEAR + 1e-12 * (qq[part] + (vv.max() if vv.size else 0.0))
-                    x, y = np.nonzero(far <= (most + margin)[:, None])
+                    most = block[2][part] - qq[part] + margin
+                    stay = far <= most[:, None]
+                    many = np.flatnonzero(np.count_nonzero(stay, axis=1) > 2 * k)
+                    if many.size:
+                        most[many] = np.minimum(most[many], np.partition(far[many], k - 1, axis=1)[:, k - 1] + margin[many])
+                        stay[many] = far[many] <= most[many, None]
+                    x, y = np.nonzero(stay)
                     for t in range(0, x.size, 100_000):
                         xs, ys = x[t : t + 100_000], y[t : t + 100_000]
                         by = q[part][xs] - v[ys]
                         exact = np.cumsum(by * by, axis=1)[:, -1] if by.shape[1] else np.zeros(xs.size)  # summed in the dimensions' order
                         found.append((part[xs], exact, ids[ys]))
-                block[1:3] = _best(tuple(np.concatenate(c) for c in zip(*found, strict=True)), k, q_ids.size)
+                block[1], best = _best(tuple(np.concatenate(c) for c in zip(*found, strict=True)), k, q_ids.size)
+                block[2] = np.minimum(best, within)
         for q_ids, (r, d, i), *_ in blocks.values():
             for s in range(0, r.size, 50_000):
                 e = s + 50_000
@@ -145,8 +152,9 @@ def _shares(n: int, blocks: int, cores: int) -> int:
     return max(-(-n // SHARE), min(-(-2 * cores // blocks), -(-n // 1024)), 1)
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, within: float = np.inf) -> DataFrame:
     """(query_id, vec_id, distance): for each query (query_id, embedding) its k nearest of corpus (vec_id, embedding) by squared L2, and a few more.
+    Of those farther than within some are left out, which spares most of the work where few are so near.
 
     Exact: products of matrices only leave out what can't be near; the rest is summed term by term. Each task gives its own k nearest, so
     the rows still are to be ranked. Ids are whole numbers. Rows without a vector, or with one of another length than the query's, are left out.
@@ -155,7 +163,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     asked, blocks = _asked(queries)
     shares = _shares(c.count(), blocks, queries.sparkSession.sparkContext.defaultParallelism)
     packed = durable(c.repartition(shares).mapInArrow(_packs(SLICE, k), PACK))
-    return packed.crossJoin(asked).mapInArrow(_search(k), FOUND)
+    return packed.crossJoin(asked.hint("shuffle_replicate_nl")).mapInArrow(_search(k, within=within), FOUND)
 
 
 def nearest_in_cells(queries: DataFrame, centres: DataFrame, rows: DataFrame, k: int, probes: int) -> DataFrame:

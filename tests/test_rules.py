@@ -796,3 +796,17 @@ def test_backfill_gives_every_article(spark):
     got = sorted(tuple(r) for r in J.backfill_links(s, a).collect())
     assert got == [*[(i, j, "fingerprint") for i in range(4) for j in range(50)], (100, 50, "title")]
     assert plans.QUERIES["j3_backfill_sources"](spark, SF).columns == ["story_id", "doc_id", "how"]
+
+
+def test_every_article_has_its_similar_ones(spark):
+    """r6_similar_articles asks for every article, not for some; within a radius the exact search gives what it gives without one."""
+    from storyloom import plans
+    from tests.oracle import SF
+
+    asked = {r["query_id"] for r in plans.QUERIES["r6_similar_articles"](spark, SF).collect()}
+    assert any(i % 50 for i in asked) and "% 50" not in plans.ORACLE_SQL["r6_similar_articles"].split(" tk AS ")[1]
+    v = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    q = v.withColumnRenamed("vec_id", "query_id")
+    for k in (2, 20):
+        every = J.vector_topk(q, v, k).filter("distance <= 1.3")
+        assert sorted(map(tuple, J.vector_topk(q, v, k, within=1.3).filter("distance <= 1.3").collect())) == sorted(map(tuple, every.collect()))
