@@ -676,8 +676,21 @@ def test_near_duplicates_release_their_tables(spark, monkeypatch):
     assert 4 * sum(map(bytes_of, made)) < sum(made.values())
     assert sorted((r["doc_id"] is None, r["doc_id"], r["text"][:6]) for r in got.filter("doc_id is not null").collect()) == sorted((False, i, t[:6]) for i, t in rows[:201] if i % 2 == 0 or t == text(500))
     assert got.filter("doc_id is null").count() == 1
-    monkeypatch.setattr(minhash, "SENT", 3)
-    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, minhash.dedup(d).collect()), key=str)
+
+
+def test_near_duplicates_send_marks(spark, monkeypatch):
+    """Neither digests nor the numbers of all members are sent to the tasks, but two bytes a key; a mark is there for every key and for few others."""
+    sent = []
+    monkeypatch.setattr(F, "broadcast", lambda df, f=F.broadcast: (sent.append([x for x, _ in df.dtypes]), f(df))[1])
+    monkeypatch.setattr(minhash, "FEW", 10)
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    d = spark.createDataFrame([(i, text(i // 2) + (" more" if i % 2 else "")) for i in range(200)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in minhash.dedup(d).collect()) == list(range(0, 200, 2))
+    assert not any("digest" in names or names == ["node", "component"] for names in sent)
+    rows = spark.range(30_000)
+    told = minhash._marked(rows, F.xxhash64("id"), rows.filter("id % 10 = 0"), F.xxhash64("id"), "m").groupBy((F.col("id") % 10 == 0).alias("key"), "m").count().collect()
+    got = {(r["key"], r["m"]): r["count"] for r in told}
+    assert got[True, True] == 3000 and (True, False) not in got and got[False, True] < 0.1 * got[False, False]
 
 
 def test_pipeline_keeps_one_stage(spark):
